@@ -141,14 +141,24 @@ def capitalize(c: Column | str) -> Column:
     return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, 2, 1 << 30)))
 
 
+SNAP_DIGITS = 8
+
+
 def rnd(c: Column | str, digits: int = 4) -> Column:
     """Deterministic half-up rounding used on both sides of oracle comparisons.
 
-    ``floor(x * 10^d + 0.5) / 10^d`` evaluates identically in any IEEE engine,
-    unlike ``round`` whose half-way handling differs between engines.
+    First snap to 8 decimals (removes last-bit noise from a different
+    summation order, so an exact decimal half stays a half), then
+    ``floor(x * 10^d + 0.5) / 10^d``. Both steps evaluate identically in any
+    IEEE engine, unlike ``round`` whose half-way handling differs between
+    engines. Very large values are left as they are.
     """
+    c = col_(c)
+    snap = float(10 ** SNAP_DIGITS)
     scale = float(10 ** digits)
-    return (F.floor(col_(c) * F.lit(scale) + F.lit(0.5)) / F.lit(scale)).cast("double")
+    snapped = F.when(F.abs(c) < F.lit(1e10), F.floor(c * F.lit(snap) + F.lit(0.5)) / F.lit(snap)).otherwise(c)
+    return F.when(F.abs(snapped) < F.lit(1e11),
+                  F.floor(snapped * F.lit(scale) + F.lit(0.5)) / F.lit(scale)).otherwise(snapped).cast("double")
 
 
 def is_numeric(dtype: DataType) -> bool:

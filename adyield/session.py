@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str | None = None, app_name: str = "adyield",
-                  shuffle_partitions: int | None = None) -> SparkSession:
+                  shuffle_partitions: int | None = None, driver_memory: str | None = None) -> SparkSession:
     """Create (or reuse) a session with the settings the library assumes.
 
     On a cluster, ``master`` is left to spark-submit; locally pass ``local[N]``.
@@ -19,12 +19,16 @@ def build_session(master: str | None = None, app_name: str = "adyield",
         builder = builder.master(master)
     builder = (
         builder.config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
+    if driver_memory or (master or "").startswith("local"):
+        # Local mode runs every task inside the driver JVM.
+        builder = builder.config("spark.driver.memory", driver_memory or "16g")
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
