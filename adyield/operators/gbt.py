@@ -2,8 +2,9 @@
 
 Spark partitions and shuffles the groups; this helper only fits the rows of
 one (channel, campaign_type) group, which are bounded by the number of days.
-Squared loss, depth-limited exact-split trees, row subsampling, the same
-hyper-parameters as the fallback model. Median imputation and
+Squared loss, depth-limited trees over per-feature bins (one bin per
+distinct value up to 255 values, so small groups split exactly), row
+subsampling, the same hyper-parameters as the fallback model. Median imputation and
 standardisation are applied first, as in the fallback pipeline. Results are
 not bit-identical to any other library's trees.
 """
@@ -26,43 +27,69 @@ class BoostParams:
     seed: int = 42
 
 
-def _best_split(x: np.ndarray, r: np.ndarray, min_leaf: int):
-    m = x.shape[0]
+MAX_BINS = 255
+
+
+def _bin(x: np.ndarray, max_bins: int = MAX_BINS):
+    """Per-feature bin codes and split thresholds.
+
+    Features with at most ``max_bins`` distinct values get one bin per value
+    (splits are then exact); others get quantile edges.
+    """
+    n, p = x.shape
+    codes = np.empty((n, p), dtype=np.int32)
+    cuts = []
+    for j in range(p):
+        u = np.unique(x[:, j])
+        if len(u) > max_bins:
+            u = np.unique(np.quantile(x[:, j], np.linspace(0.0, 1.0, max_bins)))
+        mids = 0.5 * (u[:-1] + u[1:])
+        # Adjacent floats: a midpoint may round onto the upper value; cut at the lower one then.
+        mids = np.where(mids >= u[1:], u[:-1], mids)
+        codes[:, j] = np.searchsorted(mids, x[:, j], side="left")
+        cuts.append(mids)
+    return codes, cuts
+
+
+def _best_split(codes: np.ndarray, r: np.ndarray, n_bins: int, min_leaf: int):
+    m, p = codes.shape
     if m < 2 * min_leaf:
         return None
-    order = np.argsort(x, axis=0, kind="stable")
-    xs = np.take_along_axis(x, order, axis=0)
-    cs = np.cumsum(r[order], axis=0)
-    total = cs[-1]
-    n_left = np.arange(1, m, dtype=float)[:, None]
-    s_left = cs[:-1]
-    gain = s_left ** 2 / n_left + (total - s_left) ** 2 / (m - n_left)
-    valid = (xs[1:] > xs[:-1]) & (n_left >= min_leaf) & ((m - n_left) >= min_leaf)
+    flat = (codes + (np.arange(p) * n_bins)[None, :]).ravel()
+    sums = np.bincount(flat, weights=np.repeat(r, p), minlength=p * n_bins).reshape(p, n_bins)
+    cnts = np.bincount(flat, minlength=p * n_bins).reshape(p, n_bins).astype(float)
+    s_left = np.cumsum(sums, axis=1)[:, :-1]
+    n_left = np.cumsum(cnts, axis=1)[:, :-1]
+    total = r.sum()
+    n_right = m - n_left
+    valid = (n_left >= min_leaf) & (n_right >= min_leaf)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = s_left ** 2 / n_left + (total - s_left) ** 2 / n_right
     gain = np.where(valid, gain, -np.inf)
-    flat = int(np.argmax(gain))
-    i, j = divmod(flat, x.shape[1])
-    if not np.isfinite(gain[i, j]) or gain[i, j] <= total[j] ** 2 / m + 1e-12:
+    j, b = divmod(int(np.argmax(gain)), n_bins - 1)
+    if not np.isfinite(gain[j, b]) or gain[j, b] <= total ** 2 / m + 1e-12:
         return None
-    return j, 0.5 * (xs[i, j] + xs[i + 1, j])
+    return j, b
 
 
-def _grow(x: np.ndarray, r: np.ndarray, max_depth: int, min_leaf: int):
+def _grow(codes: np.ndarray, cuts: list, r: np.ndarray, max_depth: int, min_leaf: int):
+    n_bins = max(len(c) for c in cuts) + 1 if cuts else 1
     feature, threshold, left, right, value = [], [], [], [], []
 
     def node(rows: np.ndarray, depth: int) -> int:
         nid = len(feature)
         feature.append(-1); threshold.append(0.0); left.append(-1); right.append(-1)
-        value.append(float(r[rows].mean()))
-        split = _best_split(x[rows], r[rows], min_leaf) if depth < max_depth else None
+        value.append(float(r[rows].mean()) if rows.size else 0.0)
+        split = _best_split(codes[rows], r[rows], n_bins, min_leaf) if depth < max_depth and n_bins > 1 else None
         if split is not None:
-            j, thr = split
-            go_left = x[rows, j] <= thr
-            feature[nid], threshold[nid] = j, thr
+            j, b = split
+            go_left = codes[rows, j] <= b
+            feature[nid], threshold[nid] = j, float(cuts[j][b])
             left[nid] = node(rows[go_left], depth + 1)
             right[nid] = node(rows[~go_left], depth + 1)
         return nid
 
-    node(np.arange(x.shape[0]), 0)
+    node(np.arange(codes.shape[0]), 0)
     return (np.array(feature, np.int32), np.array(threshold), np.array(left, np.int32),
             np.array(right, np.int32), np.array(value))
 
@@ -97,6 +124,7 @@ def fit(x: np.ndarray, y: np.ndarray, params: BoostParams = BoostParams()) -> di
     scale = filled.std(axis=0)
     scale = np.where(scale > 0, scale, 1.0)
     xs = (filled - mean) / scale
+    codes, cuts = _bin(xs)
     rng = np.random.RandomState(params.seed)
     init = float(y.mean()) if y.size else 0.0
     pred = np.full(y.shape[0], init)
@@ -104,7 +132,7 @@ def fit(x: np.ndarray, y: np.ndarray, params: BoostParams = BoostParams()) -> di
     trees = []
     for _ in range(params.n_estimators):
         rows = np.sort(rng.permutation(y.shape[0])[:n_sub]) if params.subsample < 1.0 else np.arange(y.shape[0])
-        tree = _grow(xs[rows], (y - pred)[rows], params.max_depth, params.min_samples_leaf)
+        tree = _grow(codes[rows], cuts, (y - pred)[rows], params.max_depth, params.min_samples_leaf)
         pred = pred + params.learning_rate * _apply_tree(tree, xs)
         trees.append(tree)
     return {"init": init, "lr": params.learning_rate, "med": med, "mean": mean, "scale": scale, "trees": trees}

@@ -18,6 +18,7 @@ fallback residuals of all rows in (channel, campaign_type, date) order.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Callable
 
@@ -145,6 +146,15 @@ def fallback_pipeline(feature_cols: list[str], target: str, params: gbt.BoostPar
     ])
 
 
+TRAIN_PARTITION_BYTES = 64 << 20
+
+
+def training_partitions(features: DataFrame, n_cols: int) -> int:
+    """Partitions for the fallback training input: rows x columns x 8 bytes / 64 MB, at least 1."""
+    rows = features.count()
+    return max(1, -(-rows * (n_cols + 4) * 8 // TRAIN_PARTITION_BYTES))
+
+
 def _fallback_score(fallback: dict, df: DataFrame) -> DataFrame:
     cols = df.columns
     out = df
@@ -166,16 +176,18 @@ def _group_fitter(feature_cols: list[str], params: gbt.BoostParams):
         pdf = pdf.sort_values("date", kind="stable")
         x = pdf[feature_cols].to_numpy(dtype=float)
         ch, ty = pdf["channel"].iloc[0], pdf["campaign_type"].iloc[0]
-        parts = []
+        kinds, targets, dates, residuals, blobs = [], [], [], [], []
         for t in TARGETS:
             y = pdf[t].to_numpy(dtype=float)
             model = gbt.fit(x, y, params)
-            parts.append(pd.DataFrame({"channel": [ch], "campaign_type": [ty], "kind": ["model"], "target": [t],
-                                       "date": [None], "residual": [None], "model": [gbt.dumps(model)]}))
-            parts.append(pd.DataFrame({"channel": ch, "campaign_type": ty, "kind": "residual", "target": t,
-                                       "date": pdf["date"].to_numpy(), "residual": y - gbt.predict(model, x),
-                                       "model": None}))
-        return pd.concat(parts, ignore_index=True)
+            res = y - gbt.predict(model, x)
+            kinds += ["model"] + ["residual"] * len(res)
+            targets += [t] * (len(res) + 1)
+            dates += [None] + list(pdf["date"])
+            residuals += [None] + res.tolist()
+            blobs += [gbt.dumps(model)] + [None] * len(res)
+        return pd.DataFrame({"channel": ch, "campaign_type": ty, "kind": kinds, "target": targets,
+                             "date": dates, "residual": residuals, "model": blobs})
     return fit_group
 
 
@@ -196,13 +208,22 @@ def fit_boosted(features: DataFrame, feature_cols: list[str], params: gbt.BoostP
                 dedicated_min_rows: int = DEDICATED_MIN_ROWS) -> FittedModels:
     """Fallback Spark ML models on all rows plus dedicated per-group models (M1-M6)."""
     # Fixed input order: GBT subsampling depends on the row order within partitions.
-    ordered = features.repartition(*GROUP_KEYS).sortWithinPartitions(*GROUP_KEYS, "date")
-    fallback = {t: fallback_pipeline(feature_cols, t, params).fit(ordered) for t in TARGETS}
+    # Partitions sized by volume (~64 MB each): every boosting iteration runs a few
+    # jobs over them, so tiny partitions only add scheduling cost.
+    n_parts = training_partitions(features, len(feature_cols))
+    ordered = features.repartition(n_parts, *GROUP_KEYS).sortWithinPartitions(*GROUP_KEYS, "date")
+    ordered = ordered.persist(StorageLevel.MEMORY_AND_DISK)
     groups = group_table(features, dedicated_min_rows)
-
     ded_rows = features.join(groups.where("dedicated").select(*GROUP_KEYS), GROUP_KEYS, "left_semi")
-    fitted = cut_lineage(ded_rows.select(*GROUP_KEYS, "date", *TARGETS, *[F.col(f"`{c}`") for c in feature_cols])
-                         .groupBy(*GROUP_KEYS).applyInPandas(_group_fitter(feature_cols, params), FIT_SCHEMA))
+    grouped_fit = (ded_rows.select(*GROUP_KEYS, "date", *TARGETS, *[F.col(f"`{c}`") for c in feature_cols])
+                   .groupBy(*GROUP_KEYS).applyInPandas(_group_fitter(feature_cols, params), FIT_SCHEMA))
+    # The two fallback fits and the grouped fit are independent jobs: submit them together.
+    with ThreadPoolExecutor(max_workers=len(TARGETS) + 1) as pool:
+        futures = {t: pool.submit(fallback_pipeline(feature_cols, t, params).fit, ordered) for t in TARGETS}
+        fitted_future = pool.submit(cut_lineage, grouped_fit)
+        fallback = {t: fut.result() for t, fut in futures.items()}
+        fitted = fitted_future.result()
+    ordered.unpersist()
     models = fitted.where(F.col("kind") == "model").select(*GROUP_KEYS, "target", "model")
     ded_res = fitted.where(F.col("kind") == "residual").select(*GROUP_KEYS, "date", "target", "residual")
 
