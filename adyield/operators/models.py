@@ -220,7 +220,7 @@ def fit_boosted(features: DataFrame, feature_cols: list[str], params: gbt.BoostP
     # The two fallback fits and the grouped fit are independent jobs: submit them together.
     with ThreadPoolExecutor(max_workers=len(TARGETS) + 1) as pool:
         futures = {t: pool.submit(fallback_pipeline(feature_cols, t, params).fit, ordered) for t in TARGETS}
-        fitted_future = pool.submit(cut_lineage, grouped_fit)
+        fitted_future = pool.submit(cut_lineage, grouped_fit, "group-models")
         fallback = {t: fut.result() for t, fut in futures.items()}
         fitted = fitted_future.result()
     ordered.unpersist()

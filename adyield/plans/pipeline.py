@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.aggregate import daily_aggregate
+from ..operators.aggregate import GROUP_KEYS, daily_aggregate
 from ..operators.features import build_features, feature_columns
 from ..operators.forecast import predictions, sort_predictions, what_if, yield_curve
 from ..operators.gbt import BoostParams
@@ -51,7 +51,7 @@ def feature_table(spark: SparkSession, sf_dir: str, materialize: bool = True) ->
     f = build_features(daily_table(spark, sf_dir))
     if not materialize:
         return f
-    f = cut_lineage(f)
+    f = cut_lineage(f.repartition(*GROUP_KEYS).sortWithinPartitions(*GROUP_KEYS, "date"), "features")
     _MEMO[key] = f
     return f
 

@@ -49,7 +49,7 @@ def main() -> None:
     spark.range(1000).selectExpr("sum(id)").collect()
 
     timed("ingest_daily_a1", lambda: _run(daily_table(spark, sf_dir)))
-    features = timed("features_w1_w7", lambda: cut_lineage(build_features(daily_table(spark, sf_dir))))
+    features = timed("features_w1_w7", lambda: cut_lineage(build_features(daily_table(spark, sf_dir)), "features"))
     cols = feature_columns(features)
     timed("stats_summaries_i4", lambda: summaries(features).collect())
     bundle = timed("train_boosted_m1_m6", lambda: _materialise(train(features, "boosted")))
