@@ -2,10 +2,10 @@
 
 The reference reseeds before every draw, so the 1,000 drawn positions depend
 only on the pool size n. ``draws`` builds (n, k, idx) once per distinct pool
-size; joining it to the pools gives (pool, target, k, residual), 1,000 rows
-per pool. Scenario rows are partitioned by their key first and then
-exploded 1,000 times, so the join (broadcast when the sampled side is small)
-and the percentile aggregate run without shuffling the exploded rows.
+size; resolving it against the pools gives one array of 1,000 drawn
+residuals per (pool, target). Every scenario row then reads its pool's array
+and computes its quantiles with array expressions (sort + interpolation),
+inside the JVM and without multiplying rows by the number of draws.
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import clip
-from .common import checked_broadcast
 from .models import GLOBAL_POOL, TARGETS, pool_key
 
 # Draws per interval, seed, smallest usable own pool, quantiles.
@@ -74,11 +73,31 @@ def pool_choice(rows: DataFrame, sizes: DataFrame, min_pool: int = MIN_POOL) ->
 
 def sampled_residuals(residuals: DataFrame, mode: str = "numpy", n_draws: int = N_DRAWS,
                       seed: int = SEED) -> DataFrame:
-    """(pool, target, k, residual): the draws resolved against every pool."""
+    """(pool, target, samples): the drawn residuals of every pool as one array (M9).
+
+    The draw table is joined on (n, k), so pools that share a size are spread
+    over the k keys instead of meeting in one task. Percentiles do not depend
+    on the order of the samples, so the array is not ordered by k.
+    """
     sizes = pool_sizes(residuals)
     d = draws(sizes, mode, n_draws, seed)
-    picks = sizes.join(d, "n", "inner").select("pool", "target", "k", F.col("idx").alias("pool_idx"))
-    return picks.join(residuals, ["pool", "target", "pool_idx"], "inner").select("pool", "target", "k", "residual")
+    k = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_draws - 1).cast("long"))).alias("k")
+    picks = sizes.select("pool", "target", "n", k).join(d, ["n", "k"], "inner") \
+        .select("pool", "target", F.col("idx").alias("pool_idx"))
+    picked = picks.join(residuals, ["pool", "target", "pool_idx"], "inner")
+    return picked.groupBy("pool", "target").agg(F.collect_list("residual").alias("samples"))
+
+
+def _quantile(sorted_values: F.Column, n: int, q: float) -> F.Column:
+    """Linear interpolation between order statistics, position q * (n - 1) (as numpy and Spark)."""
+    pos = q * (n - 1)
+    lo = int(pos // 1)
+    frac = pos - lo
+    a = F.element_at(sorted_values, lo + 1)
+    if frac == 0 or lo + 1 >= n:
+        return a
+    b = F.element_at(sorted_values, lo + 2)
+    return a + (b - a) * F.lit(frac)
 
 
 def intervals(scored: DataFrame, residuals: DataFrame, keys: list[str], mode: str = "numpy",
@@ -88,6 +107,12 @@ def intervals(scored: DataFrame, residuals: DataFrame, keys: list[str], mode: st
     revenue: (prediction + residual) * horizon, clipped at 0 (T18);
     ratio:   prediction + residual clipped to [0, 50].
     ``scored`` carries ``keys``, forecast_period_days, pred_revenue, pred_roas.
+
+    Each (scenario row, target) meets its pool's array of drawn residuals in
+    one join and the quantiles are array expressions, so no row is multiplied
+    by the number of draws. Rows that fall back to the global pool (possibly
+    most of them) join a two-row broadcast table; own pools are used by one
+    group's 15 rows each, so their shuffle join is uniform.
     """
     sizes = pool_sizes(residuals)
     per_target = scored.select(
@@ -95,17 +120,19 @@ def intervals(scored: DataFrame, residuals: DataFrame, keys: list[str], mode: st
                                    for t in TARGETS])).alias("_p"))
     per_target = per_target.select(*keys, "_p.target", "_p.pred")
     chosen = pool_choice(per_target, sizes, min_pool).select(*keys, "target", "pred", "pool")
-    sampled = checked_broadcast(sampled_residuals(residuals, mode, n_draws, seed))
-    k = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_draws - 1).cast("long"))).alias("k")
-    exploded = chosen.repartition(*keys).select("*", k)
-    j = exploded.join(sampled, ["pool", "target", "k"], "inner")
-    value = F.when(F.col("target") == "revenue",
-                   F.greatest((F.col("pred") + F.col("residual")) * F.col("forecast_period_days"), F.lit(0.0))) \
-        .otherwise(clip(F.col("pred") + F.col("residual"), 0.0, ROAS_MAX))
-    q = F.array(*[F.lit(x) for x in QUANTILES])
-    agg = j.groupBy(*keys).agg(
-        F.percentile(F.when(F.col("target") == "revenue", value), q).alias("_rq"),
-        F.percentile(F.when(F.col("target") == "roas", value), q).alias("_sq"))
+    samples = sampled_residuals(residuals, mode, n_draws, seed)
+    is_global = F.col("pool") == GLOBAL_POOL
+    with_global = chosen.where(is_global).join(F.broadcast(samples.where(is_global)), ["pool", "target"], "inner")
+    with_own = chosen.where(~is_global).join(samples.where(~is_global), ["pool", "target"], "inner")
+    j = with_global.unionByName(with_own)
+    horizon = F.col("forecast_period_days").cast("double")
+    values = F.array_sort(F.transform(
+        "samples",
+        lambda r: F.when(F.col("target") == "revenue", F.greatest((F.col("pred") + r) * horizon, F.lit(0.0)))
+        .otherwise(clip(F.col("pred") + r, 0.0, ROAS_MAX))))
     names = ["p10", "p50", "p90"]
-    return agg.select(*keys, *[F.col("_rq")[i].alias(f"revenue_{n}") for i, n in enumerate(names)],
-                      *[F.col("_sq")[i].alias(f"roas_{n}") for i, n in enumerate(names)])
+    ordered = j.select(*keys, "target", values.alias("_sorted"))
+    q = ordered.select(*keys, "target",
+                       *[_quantile(F.col("_sorted"), n_draws, x).alias(n) for x, n in zip(QUANTILES, names)])
+    return q.groupBy(*keys).agg(
+        *[F.max(F.when(F.col("target") == t, F.col(n))).alias(f"{t}_{n}") for t in TARGETS for n in names])

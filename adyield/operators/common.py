@@ -1,27 +1,10 @@
-"""Join helpers shared by the operators."""
+"""Broadcast helpers shared by the operators."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Largest side (rows) the library hints for broadcast; above it the join shuffles.
-BROADCAST_MAX_ROWS = 2_000_000
-
-
-def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast a small, already-aggregated side only after counting it.
-
-    The side is persisted so the count and the join read the same rows once.
-    Above ``max_rows`` the plain DataFrame is returned and the join shuffles
-    (AQE may still convert it when its runtime size is small).
-    """
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    if df.count() <= max_rows:
-        return F.broadcast(df)
-    return df
-
 
 def one_row(df: DataFrame) -> DataFrame:
     """A global aggregate has exactly one row: a proven bound, so always broadcast."""

@@ -188,8 +188,9 @@ def _roll(c: str, n: int) -> str:
     return f"avg({c}) OVER ({_W} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS rolling_{n}d_{c}_mean"
 
 
-cte("feat", f"""
-SELECT daily.*,
+def _feat_cte(name: str, daily: str) -> None:
+    cte(name, f"""
+SELECT {daily}.*,
        CAST(month(date) AS BIGINT) AS month, CAST(weekofyear(date) AS BIGINT) AS week_of_year,
        CAST(isodow(date) - 1 AS BIGINT) AS day_of_week, CAST(quarter(date) AS BIGINT) AS quarter,
        CAST(month(date) IN (10, 11, 12) AS BIGINT) AS is_q4, CAST(month(date) = 11 AS BIGINT) AS is_november,
@@ -204,7 +205,28 @@ SELECT daily.*,
             ELSE least(greatest(spend / daily_budget, 0.0), 3.0) END AS spend_vs_budget_ratio,
        CAST(channel = 'bing' AS BIGINT) AS channel_bing, CAST(channel = 'google' AS BIGINT) AS channel_google,
        CAST(channel = 'meta' AS BIGINT) AS channel_meta
-FROM daily CROSS JOIN (SELECT min(date) AS min_date FROM daily) AS mn""", "daily")
+FROM {daily} CROSS JOIN (SELECT min(date) AS min_date FROM {daily}) AS mn""", daily)
+
+
+_feat_cte("feat", "daily")
+
+# ------------------------------------------------------------------ second source: events as channel 'web'
+
+cte("ev_canon", f"""
+SELECT CAST(ts AS DATE) AS date, 'web' AS channel, coalesce(event_type, 'Unknown') AS campaign_type,
+       coalesce(event_type, 'Unknown') AS campaign_name, 0.0 AS spend, coalesce(value, 0.0) AS revenue,
+       0.0 AS roas, CAST(0 AS BIGINT) AS clicks, CAST(0 AS BIGINT) AS impressions, 0.0 AS conversions,
+       0.0 AS daily_budget, CAST(user_id AS VARCHAR) AS campaign_id
+FROM events WHERE ts IS NOT NULL""")
+
+cte("ev_daily", f"""
+SELECT date, channel, campaign_type, coalesce(sum(spend), 0.0) AS spend, coalesce(sum(revenue), 0.0) AS revenue,
+       CAST(coalesce(sum(clicks), 0) AS BIGINT) AS clicks, CAST(coalesce(sum(impressions), 0) AS BIGINT) AS impressions,
+       coalesce(sum(conversions), 0.0) AS conversions, coalesce(sum(daily_budget), 0.0) AS daily_budget,
+       {roas('coalesce(sum(revenue), 0.0)', 'coalesce(sum(spend), 0.0)')} AS roas
+FROM ev_canon GROUP BY date, channel, campaign_type""", "ev_canon")
+
+_feat_cte("ev_feat", "ev_daily")
 
 # ------------------------------------------------------------------ statistics
 

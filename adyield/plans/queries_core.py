@@ -12,7 +12,7 @@ from ..operators import normalize as norm
 from ..operators import quality, stats
 from ..sources import csv as csvsrc
 from ..sources import sinks
-from ..sources.fixtures import raw_dialects
+from ..sources.fixtures import events_canonical, raw_dialects
 from . import oracle as O
 from .pipeline import canonical_table, feature_table
 from .registry import register
@@ -95,6 +95,18 @@ def s5_features_parquet(spark, sf):
     return sinks.read_features(spark, path).select(*FIXED_FEATURES)
 
 
+@register("s9_events_source", O.q("SELECT * FROM ev_daily", "ev_daily"), DAILY_DBL)
+def s9_events_source(spark, sf):
+    """Second source: the events table as channel 'web' rows, through the daily aggregate (A1)."""
+    return agg.daily_aggregate(events_canonical(spark, sf))
+
+
+@register("w1_w7_events_features", O.q(f"SELECT {_cols(FIXED_FEATURES)} FROM ev_feat", "ev_feat"), FEAT_DBL)
+def w1_w7_events_features(spark, sf):
+    """Window and calendar features over the events source (every group is short: all fallback)."""
+    return feats.build_features(agg.daily_aggregate(events_canonical(spark, sf))).select(*FIXED_FEATURES)
+
+
 # ======================================================================= 2.2 projections, filters
 
 def _dialect_query(ch):
