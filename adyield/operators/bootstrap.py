@@ -101,7 +101,8 @@ def _quantile(sorted_values: F.Column, n: int, q: float) -> F.Column:
 
 
 def intervals(scored: DataFrame, residuals: DataFrame, keys: list[str], mode: str = "numpy",
-              n_draws: int = N_DRAWS, seed: int = SEED, min_pool: int = MIN_POOL) -> DataFrame:
+              n_draws: int = N_DRAWS, seed: int = SEED, min_pool: int = MIN_POOL,
+              samples: DataFrame | None = None) -> DataFrame:
     """p10/p50/p90 of revenue over the horizon and of the ratio, per scenario row.
 
     revenue: (prediction + residual) * horizon, clipped at 0 (T18);
@@ -120,7 +121,8 @@ def intervals(scored: DataFrame, residuals: DataFrame, keys: list[str], mode: st
                                    for t in TARGETS])).alias("_p"))
     per_target = per_target.select(*keys, "_p.target", "_p.pred")
     chosen = pool_choice(per_target, sizes, min_pool).select(*keys, "target", "pred", "pool")
-    samples = sampled_residuals(residuals, mode, n_draws, seed)
+    if samples is None:
+        samples = sampled_residuals(residuals, mode, n_draws, seed)
     is_global = F.col("pool") == GLOBAL_POOL
     with_global = chosen.where(is_global).join(F.broadcast(samples.where(is_global)), ["pool", "target"], "inner")
     with_own = chosen.where(~is_global).join(samples.where(~is_global), ["pool", "target"], "inner")

@@ -31,7 +31,8 @@ def scored_intervals(frame: DataFrame, models: FittedModels, draws: str = "numpy
     """Scenario rows -> point predictions -> bootstrap intervals, joined back to spend_input."""
     keys = FRAME_KEYS + ["spend_input", "base_spend", "multiplier"]
     scored = models.score(frame)
-    return intervals(scored.select(*keys, "pred_revenue", "pred_roas"), models.residuals, keys, draws)
+    return intervals(scored.select(*keys, "pred_revenue", "pred_roas"), models.residuals, keys, draws,
+                     samples=models.samples(draws))
 
 
 def group_predictions(features: DataFrame, feature_cols: list[str], models: FittedModels,

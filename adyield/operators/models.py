@@ -19,7 +19,7 @@ fallback residuals of all rows in (channel, campaign_type, date) order.
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from typing import Callable
 
 import pandas as pd
@@ -45,6 +45,18 @@ class FittedModels:
     group_models: DataFrame            # channel, campaign_type, rows, dedicated
     residuals: DataFrame               # pool, target, pool_idx, residual
     score: Callable[[DataFrame], DataFrame]   # adds pred_revenue, pred_roas
+    _samples: dict = field(default_factory=dict, repr=False)
+
+    def samples(self, mode: str = "numpy") -> DataFrame:
+        """Drawn residuals per (pool, target) as arrays; built once per draw mode and kept.
+
+        Bounded by pools x 2 rows of 1,000 doubles, and read by every forecast,
+        what-if and yield plan of this model set.
+        """
+        if mode not in self._samples:
+            from .bootstrap import sampled_residuals
+            self._samples[mode] = sampled_residuals(self.residuals, mode).persist(StorageLevel.MEMORY_AND_DISK)
+        return self._samples[mode]
 
 
 def pool_key(channel: F.Column | str = "channel", campaign_type: F.Column | str = "campaign_type") -> F.Column:

@@ -8,7 +8,6 @@ from Parquet.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,9 +61,7 @@ def impute_budget(df: DataFrame, type_col: str = "campaign_type", budget_col: st
     once for the statistics and once for the fill. No window over raw rows:
     a hot campaign type would otherwise land in one task.
     """
-    # Small (distinct type x budget values) and read three times below: keep it.
-    counts = (df.groupBy(type_col, budget_col).agg(F.count(F.lit(1)).alias("n"))
-              .persist(StorageLevel.MEMORY_AND_DISK))
+    counts = df.groupBy(type_col, budget_col).agg(F.count(F.lit(1)).alias("n"))
     type_median = counts.groupBy(type_col).agg(
         F.expr(f"percentile(`{budget_col}`, 0.5, n)").alias("_type_median"))
     filled = (counts.join(type_median, type_col, "left")
