@@ -5,7 +5,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,10 +64,36 @@ def rollup(rows: DataFrame, summary_table: DataFrame | None = None) -> DataFrame
 
 def predictions(features: DataFrame, feature_cols: list[str], models: FittedModels,
                 summary_table: DataFrame | None = None, draws: str = "numpy") -> DataFrame:
-    """Group rows plus rollup rows (U2), in the predictions schema; sort at the sink (O3)."""
-    # 15 rows per group, read twice (group rows and rollup): keep them.
-    rows = group_predictions(features, feature_cols, models, summary_table, draws).persist(StorageLevel.MEMORY_AND_DISK)
-    return rows.unionByName(rollup(rows, summary_table).select(*PREDICTION_COLUMNS))
+    """Group rows plus rollup rows in one aggregate (A6, U2), predictions schema; sort at the sink (O3).
+
+    GROUPING SETS ((horizon, scenario, channel, type), (horizon, scenario)): a
+    group-level set has exactly one row, so its sums are the row's own values
+    and its ratios are taken as they are; the (horizon, scenario) set is the
+    portfolio rollup, whose ratios come from the sums (T19).
+    """
+    frame = scenario_frame(features, feature_cols, HORIZONS, SCENARIOS)
+    rows = scored_intervals(frame, models, draws)
+    keys = ["forecast_period_days", "budget_scenario", "channel", "campaign_type"]
+    g = rows.groupingSets([keys, keys[:2]], *keys).agg(
+        F.grouping("channel").alias("_portfolio"),
+        F.sum("spend_input").alias("spend_input"),
+        *[F.sum(f"revenue_{p}").alias(f"revenue_{p}") for p in ("p10", "p50", "p90")],
+        *[F.first(f"roas_{p}").alias(f"_roas_{p}") for p in ("p10", "p50", "p90")])
+    top = F.col("_portfolio") == 1
+    ratio = {p: F.when(top, F.when(F.col("spend_input") > 0, clip(F.coalesce(
+        F.col(f"revenue_{p}") / F.col("spend_input"), F.lit(0.0)), 0.0, 50.0)).otherwise(F.lit(0.0)))
+        .otherwise(F.col(f"_roas_{p}")) for p in ("p10", "p50", "p90")}
+    out = g.select("forecast_period_days",
+                   F.when(top, F.lit("all")).otherwise(F.col("channel")).alias("channel"),
+                   F.when(top, F.lit("all")).otherwise(F.col("campaign_type")).alias("campaign_type"),
+                   "revenue_p10", "revenue_p50", "revenue_p90",
+                   *[ratio[p].alias(f"roas_{p}") for p in ("p10", "p50", "p90")],
+                   "spend_input", "budget_scenario")
+    if summary_table is None:
+        out = out.withColumn("causal_summary", F.when(F.col("channel") == "all", F.lit(MISSING_PORTFOLIO_SUMMARY))
+                             .otherwise(F.lit(None).cast("string")))
+        return out.select(*PREDICTION_COLUMNS)
+    return summary_lookup(out, summary_table).select(*PREDICTION_COLUMNS)
 
 
 def sort_predictions(pred: DataFrame) -> DataFrame:

@@ -48,14 +48,14 @@ class FittedModels:
     _samples: dict = field(default_factory=dict, repr=False)
 
     def samples(self, mode: str = "numpy") -> DataFrame:
-        """Drawn residuals per (pool, target) as arrays; built once per draw mode and kept.
+        """Drawn residuals per (pool, target) as arrays; written once per draw mode.
 
         Bounded by pools x 2 rows of 1,000 doubles, and read by every forecast,
         what-if and yield plan of this model set.
         """
         if mode not in self._samples:
             from .bootstrap import sampled_residuals
-            self._samples[mode] = sampled_residuals(self.residuals, mode).persist(StorageLevel.MEMORY_AND_DISK)
+            self._samples[mode] = cut_lineage(sampled_residuals(self.residuals, mode), f"samples-{mode}")
         return self._samples[mode]
 
 
@@ -126,7 +126,7 @@ def fit_linear(features: DataFrame, dedicated_min_rows: int = DEDICATED_MIN_ROWS
     fb = features.crossJoin(F.broadcast(overall))
     global_res = _stack_targets(fb, {t: F.col(t) - (F.col(f"g_{t}_a") + F.col(f"g_{t}_b") * F.col("spend"))
                                      for t in TARGETS})
-    residuals = residual_pools(group_res, global_res).persist(StorageLevel.MEMORY_AND_DISK)
+    residuals = cut_lineage(residual_pools(group_res, global_res), "residuals")
 
     def score(frame: DataFrame) -> DataFrame:
         j = frame.join(models.drop("rows", "dedicated"), GROUP_KEYS, "left").crossJoin(F.broadcast(overall))
@@ -243,7 +243,7 @@ def fit_boosted(features: DataFrame, feature_cols: list[str], params: gbt.BoostP
                                                        *[F.col(f"`{c}`") for c in feature_cols]))
     fb_stacked = _stack_targets(fb_all, {t: F.col(t) - F.col(f"pred_{t}") for t in TARGETS})
     thin = fb_stacked.join(groups.where(~F.col("dedicated")).select(*GROUP_KEYS), GROUP_KEYS, "left_semi")
-    residuals = residual_pools(ded_res.unionByName(thin), fb_stacked).persist(StorageLevel.MEMORY_AND_DISK)
+    residuals = cut_lineage(residual_pools(ded_res.unionByName(thin), fb_stacked), "residuals")
 
     def score(frame: DataFrame) -> DataFrame:
         flagged = frame.join(groups.select(*GROUP_KEYS, "dedicated"), GROUP_KEYS, "left")

@@ -152,7 +152,7 @@ def summary_lookup(rows: DataFrame, summary_table: DataFrame) -> DataFrame:
     s = summary_table.select(F.col("scope").alias("_scope"), F.col("horizon").alias("_h"),
                              F.col("summary").alias("_summary"))
     scope = F.when(F.col("channel") == "all", F.lit("all")).otherwise(F.col("channel"))
-    j = rows.join(F.broadcast(s), (scope == F.col("_scope")) & (F.col("forecast_period_days") == F.col("_h")), "left")
+    j = rows.join(s, (scope == F.col("_scope")) & (F.col("forecast_period_days") == F.col("_h")), "left")
     default = F.when(F.col("channel") == "all", F.lit(MISSING_PORTFOLIO_SUMMARY)).otherwise(F.lit(MISSING_CHANNEL_SUMMARY))
     return j.withColumn("causal_summary", F.coalesce(F.col("_summary"), default)).drop("_scope", "_h", "_summary")
 

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.aggregate import GROUP_KEYS, daily_aggregate
@@ -70,7 +69,7 @@ def train(features: DataFrame, kind: str = "boosted", params: BoostParams = Boos
     cols = feature_columns(features)
     kw = {"params": params} if kind == "boosted" else {}
     models = fit_models(features, cols, kind, **kw)
-    summ = summaries(features).persist(StorageLevel.MEMORY_AND_DISK)
+    summ = cut_lineage(summaries(features), "summaries")
     return TrainedBundle(features, cols, models, summ)
 
 

@@ -220,7 +220,16 @@ def p17_input_validation(spark, sf):
     return quality.validation_rules(_canon(spark, sf))
 
 
-@register("p18_training_columns")
+_P18_FIXED = " UNION ALL ".join(f"SELECT {i} AS position, '{c}' AS feature"
+                                for i, c in enumerate(feats.BASE_FEATURE_COLUMNS))
+
+
+@register("p18_training_columns", O.q(f"""
+{_P18_FIXED}
+UNION ALL
+SELECT {len(feats.BASE_FEATURE_COLUMNS)} + row_number() OVER (ORDER BY campaign_type) - 1 AS position,
+       'campaign_type_' || campaign_type AS feature
+FROM (SELECT DISTINCT campaign_type FROM feat) AS t""", "feat"))
 def p18_training_columns(spark, sf):
     """Training column list: fixed names plus every campaign_type_* column, with positions."""
     cols = feats.feature_columns(_feat(spark, sf))

@@ -85,12 +85,28 @@ def p14_error_bars(spark, sf):
     return fc.error_bars(fc.report_filter(_pred(spark, sf)))
 
 
-@register("p15_align_columns")
+_P15_BASE = " UNION ALL ".join(
+    f"SELECT channel, campaign_type, '{c}' AS feature, CAST(avg({c}) AS DOUBLE) AS value FROM trail "
+    f"GROUP BY channel, campaign_type" for c in feats.BASE_FEATURE_COLUMNS)
+
+
+@register("p15_align_columns", O.rounded(f"""
+{_P15_BASE}
+UNION ALL
+SELECT g.channel, g.campaign_type, 'campaign_type_' || t.campaign_type AS feature,
+       CASE WHEN g.campaign_type = t.campaign_type THEN 1.0 ELSE 0.0 END AS value
+FROM (SELECT DISTINCT channel, campaign_type FROM trail) AS g CROSS JOIN (SELECT DISTINCT campaign_type FROM feat) AS t
+UNION ALL
+SELECT DISTINCT channel, campaign_type, 'campaign_type_NOT_IN_DATA' AS feature, 0.0 AS value FROM trail""",
+                                        {"value": 2}, "trail", "feat"))
 def p15_align_columns(spark, sf):
-    """Base rows over the stored training columns plus one absent column, which reads 0."""
+    """Base rows over the stored training columns plus one absent column, which reads 0 (long form)."""
     b = _lin(spark, sf)
     cols = b.feature_cols + [feats.TYPE_PREFIX + "NOT_IN_DATA"]
-    return sc.base_rows(b.features, cols)
+    wide = sc.base_rows(b.features, cols)
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").cast("double").alias("value"))
+                                for c in cols])).alias("_kv")
+    return wide.select("channel", "campaign_type", pairs).select("channel", "campaign_type", "_kv.feature", "_kv.value")
 
 
 _REPORT = ["forecast_period_days", "channel", "campaign_type", "spend_input", "revenue_p10", "revenue_p50",
