@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import nan_to_null, parse_date, safe_ratio, to_double, to_long
+from ..session import cut_lineage
 from .common import one_row
 
 # The canonical column order of every normalised table.
@@ -53,21 +54,30 @@ def _text(c: Column) -> Column:
     return c.cast("string")
 
 
+# Largest number of campaign types whose medians are broadcast to the raw rows.
+MEDIAN_BROADCAST_MAX_TYPES = 100_000
+
+
 def impute_budget(df: DataFrame, type_col: str = "campaign_type", budget_col: str = "daily_budget") -> DataFrame:
     """Median of the campaign type, then median of the already filled column, then 0.
 
-    One pre-aggregated pass builds (type, budget) -> count; both medians are
-    exact weighted percentiles over that small table, so the raw rows are read
-    once for the statistics and once for the fill. No window over raw rows:
-    a hot campaign type would otherwise land in one task.
+    The statistics pass pre-aggregates the raw rows into (type, budget) ->
+    count (map-side combine, so a hot type costs nothing extra) and writes
+    that small table to the shared checkpoint directory. Both medians are
+    exact weighted percentiles over it. The fill pass joins the per-type
+    medians back to the raw rows: broadcast when the number of types is under
+    a checked bound, so a type holding a third of all rows never lands in one
+    task; above the bound the join shuffles and AQE splits skewed partitions.
     """
-    counts = df.groupBy(type_col, budget_col).agg(F.count(F.lit(1)).alias("n"))
+    counts = cut_lineage(df.groupBy(type_col, budget_col).agg(F.count(F.lit(1)).alias("n")), "budget-counts")
     type_median = counts.groupBy(type_col).agg(
         F.expr(f"percentile(`{budget_col}`, 0.5, n)").alias("_type_median"))
     filled = (counts.join(type_median, type_col, "left")
               .select(F.coalesce(F.col(budget_col), F.col("_type_median")).alias("_v"), "n"))
     global_median = filled.agg(F.expr("percentile(_v, 0.5, n)").alias("_global_median"))
-    return (df.join(type_median, type_col, "left")
+    n_types = counts.select(type_col).distinct().count()
+    medians = F.broadcast(type_median) if n_types <= MEDIAN_BROADCAST_MAX_TYPES else type_median
+    return (df.join(medians, type_col, "left")
             .crossJoin(one_row(global_median))
             .withColumn(budget_col, F.coalesce(F.col(budget_col), F.col("_type_median"),
                                                F.col("_global_median"), F.lit(0.0)))
@@ -193,9 +203,17 @@ def invalid_date_counts(raws: dict[str, DataFrame]) -> DataFrame:
 
 
 def canonical_sort(df: DataFrame, with_name: bool = True) -> DataFrame:
-    """Canonical order (O1): date, channel, campaign_type[, campaign_name]. Sink-side only."""
+    """Canonical order (O1): date, channel, campaign_type[, campaign_name]. Sink-side only.
+
+    The remaining columns and a row id break ties: the range partitioner sends
+    equal keys to one partition, so without them one hot key would be one task.
+    The order among rows equal on the canonical keys is unspecified, as in the
+    reference.
+    """
     keys = ["date", "channel", "campaign_type"] + (["campaign_name"] if with_name else [])
-    return df.orderBy(*keys)
+    rest = [c for c in ("campaign_id", "spend", "revenue", "daily_budget", "clicks", "impressions")
+            if c in df.columns and c not in keys]
+    return df.orderBy(*keys, *rest, F.monotonically_increasing_id())
 
 
 def nan_safe(df: DataFrame, cols: list[str]) -> DataFrame:
