@@ -45,6 +45,9 @@ class FittedModels:
     group_models: DataFrame            # channel, campaign_type, rows, dedicated
     residuals: DataFrame               # pool, target, pool_idx, residual
     score: Callable[[DataFrame], DataFrame]   # adds pred_revenue, pred_roas
+    tables: dict = field(default_factory=dict)     # model state as DataFrames (saved with the bundle)
+    fallback: dict = field(default_factory=dict)   # target -> fitted Spark ML PipelineModel (boosted)
+    feature_cols: list = field(default_factory=list)
     _samples: dict = field(default_factory=dict, repr=False)
 
     def samples(self, mode: str = "numpy") -> DataFrame:
@@ -127,15 +130,25 @@ def fit_linear(features: DataFrame, dedicated_min_rows: int = DEDICATED_MIN_ROWS
     global_res = _stack_targets(fb, {t: F.col(t) - (F.col(f"g_{t}_a") + F.col(f"g_{t}_b") * F.col("spend"))
                                      for t in TARGETS})
     residuals = cut_lineage(residual_pools(group_res, global_res), "residuals")
+    tables = {"coefficients": cut_lineage(models, "coefficients"), "overall": cut_lineage(overall, "overall")}
+    return restore_linear(tables, residuals)
 
+
+def linear_scorer(coefficients: DataFrame, overall: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """Score frames with per-group coefficients; unknown groups use the all-rows fit."""
     def score(frame: DataFrame) -> DataFrame:
-        j = frame.join(models.drop("rows", "dedicated"), GROUP_KEYS, "left").crossJoin(F.broadcast(overall))
+        j = frame.join(coefficients.drop("rows", "dedicated"), GROUP_KEYS, "left").crossJoin(F.broadcast(overall))
         preds = [(F.coalesce(F.col(f"{t}_a"), F.col(f"g_{t}_a"))
                   + F.coalesce(F.col(f"{t}_b"), F.col(f"g_{t}_b")) * F.col("spend")).alias(f"pred_{t}")
                  for t in TARGETS]
         return j.select(*frame.columns, *preds)
+    return score
+
 
-    return FittedModels("linear", models.select(*GROUP_KEYS, "rows", "dedicated"), residuals, score)
+def restore_linear(tables: dict, residuals: DataFrame) -> FittedModels:
+    coefficients = tables["coefficients"]
+    return FittedModels("linear", coefficients.select(*GROUP_KEYS, "rows", "dedicated"), residuals,
+                        linear_scorer(coefficients, tables["overall"]), tables=tables)
 
 
 # ----------------------------------------------------------------------------- boosted trees
@@ -245,6 +258,13 @@ def fit_boosted(features: DataFrame, feature_cols: list[str], params: gbt.BoostP
     thin = fb_stacked.join(groups.where(~F.col("dedicated")).select(*GROUP_KEYS), GROUP_KEYS, "left_semi")
     residuals = cut_lineage(residual_pools(ded_res.unionByName(thin), fb_stacked), "residuals")
 
+    tables = {"groups": cut_lineage(groups, "groups"), "group_models": models}
+    return restore_boosted(tables, residuals, fallback, feature_cols)
+
+
+def boosted_scorer(groups: DataFrame, models: DataFrame, fallback: dict,
+                   feature_cols: list[str]) -> Callable[[DataFrame], DataFrame]:
+    """Dedicated groups: cogroup with their model rows (each model shipped once); others: fallback."""
     def score(frame: DataFrame) -> DataFrame:
         flagged = frame.join(groups.select(*GROUP_KEYS, "dedicated"), GROUP_KEYS, "left")
         own = flagged.where(F.coalesce(F.col("dedicated"), F.lit(False))).drop("dedicated")
@@ -253,8 +273,14 @@ def fit_boosted(features: DataFrame, feature_cols: list[str], params: gbt.BoostP
         scored_own = own.groupBy(*GROUP_KEYS).cogroup(models.groupBy(*GROUP_KEYS)).applyInPandas(
             _group_scorer(feature_cols, out_schema.fieldNames()), out_schema)
         return scored_own.unionByName(_fallback_score(fallback, rest))
+    return score
+
 
-    return FittedModels("boosted", groups, residuals, score)
+def restore_boosted(tables: dict, residuals: DataFrame, fallback: dict, feature_cols: list[str]) -> FittedModels:
+    groups = tables["groups"]
+    return FittedModels("boosted", groups.select(*GROUP_KEYS, "rows", "dedicated"), residuals,
+                        boosted_scorer(groups, tables["group_models"], fallback, feature_cols),
+                        tables=tables, fallback=fallback, feature_cols=list(feature_cols))
 
 
 def fit_models(features: DataFrame, feature_cols: list[str], kind: str = "boosted", **kw) -> FittedModels:

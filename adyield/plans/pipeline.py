@@ -9,19 +9,22 @@ executor re-reads files instead of re-running ingest).
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.aggregate import GROUP_KEYS, daily_aggregate
+from ..operators.aggregate import GROUP_KEYS, daily_aggregate, training_metadata
 from ..operators.features import build_features, feature_columns
 from ..operators.forecast import predictions, sort_predictions, what_if, yield_curve
 from ..operators.gbt import BoostParams
-from ..operators.models import FittedModels, fit_models
+from ..operators.models import TARGETS, FittedModels, fit_models, restore_boosted, restore_linear
+from ..operators.quality import check, validation_rules
 from ..operators.normalize import unify
 from ..operators.scenarios import channel_multipliers
 from ..operators.stats import summaries
 from ..session import cut_lineage, prepare
+from ..sources import sinks
 from ..sources.fixtures import raw_dialects
 
 _MEMO: dict[tuple, object] = {}
@@ -102,3 +105,71 @@ def curve(bundle: TrainedBundle, horizon: int = 60, draws: str = "numpy") -> Dat
 
 def clear_memo() -> None:
     _MEMO.clear()
+
+
+# ----------------------------------------------------------------------------- bundle and jobs
+
+MODEL_TABLES = {"linear": ("coefficients", "overall"), "boosted": ("groups", "group_models")}
+
+
+def save_trained(bundle: TrainedBundle, path: str) -> None:
+    """Bundle directory: residuals, group models, summaries, metadata, model tables, fallback pipelines."""
+    spark = bundle.features.sparkSession
+    m = bundle.models
+    meta = (spark.createDataFrame([(m.kind, list(bundle.feature_cols))], "kind string, feature_columns array<string>")
+            .crossJoin(training_metadata(bundle.features)))
+    sinks.save_bundle(path, m.residuals, m.group_models, bundle.summaries, meta)
+    for name, df in m.tables.items():
+        df.write.mode("overwrite").parquet(os.path.join(path, "model_tables", name))
+    for target, pipeline_model in m.fallback.items():
+        pipeline_model.write().overwrite().save(os.path.join(path, "fallback", target))
+
+
+def load_trained(spark: SparkSession, path: str, features: DataFrame) -> TrainedBundle:
+    """Rebuild a trained bundle (scoring included) from ``save_trained`` output."""
+    t = sinks.load_bundle(spark, path)
+    meta = t["metadata"].first()
+    kind, cols = meta["kind"], list(meta["feature_columns"])
+    tables = {n: spark.read.parquet(os.path.join(path, "model_tables", n)) for n in MODEL_TABLES[kind]}
+    if kind == "linear":
+        models = restore_linear(tables, t["residuals"])
+    else:
+        from pyspark.ml import PipelineModel
+        fallback = {tg: PipelineModel.load(os.path.join(path, "fallback", tg)) for tg in TARGETS}
+        models = restore_boosted(tables, t["residuals"], fallback, cols)
+    return TrainedBundle(features, cols, models, t["summaries"])
+
+
+def load_source(spark: SparkSession, source: str) -> dict[str, DataFrame]:
+    """Raw dialect tables: the driver tables when ``source`` holds them, else a directory of CSV exports."""
+    from ..sources import csv as csvsrc
+    if csvsrc.list_files(spark, source, "lineitem.parquet") or os.path.isdir(os.path.join(source, "lineitem.parquet")):
+        return raw_dialects(spark, source)
+    return csvsrc.load_directory(spark, source)
+
+
+def features_job(spark: SparkSession, source: str, out: str) -> DataFrame:
+    """Ingest, validate, aggregate, build features, write Parquet (the reference's feature program)."""
+    prepare(spark)
+    canonical = unify(load_source(spark, source))
+    check(validation_rules(canonical))
+    sinks.write_features(build_features(daily_aggregate(canonical)), out)
+    return sinks.read_features(spark, out)
+
+
+def train_job(spark: SparkSession, features_path: str, bundle_out: str, kind: str = "boosted") -> TrainedBundle:
+    """Fit models, residual pools and summaries; save the bundle (the reference's training program)."""
+    prepare(spark)
+    bundle = train(sinks.read_features(spark, features_path), kind)
+    save_trained(bundle, bundle_out)
+    return bundle
+
+
+def predict_job(spark: SparkSession, features_path: str, bundle_path: str, output: str,
+                draws: str = "numpy") -> DataFrame:
+    """Load features and bundle, forecast, write the predictions CSV (the reference's predict program)."""
+    prepare(spark)
+    features = sinks.read_features(spark, features_path)
+    pred = forecast(load_trained(spark, bundle_path, features), draws=draws)
+    sinks.write_predictions_csv(pred, output)
+    return sinks.read_predictions_csv(spark, output)

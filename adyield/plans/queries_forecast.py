@@ -445,6 +445,16 @@ def s7_predictions_csv_read(spark, sf):
     return fc.report_table(fc.report_filter(sinks.read_predictions_csv(spark, path)))
 
 
+@register("s8_bundle_forecast", O.rounded("SELECT * FROM predictions", PRED_DIG, "predictions"))
+def s8_bundle_forecast(spark, sf):
+    """Train, save the bundle, load it back (models rebuilt from tables) and forecast from the loaded copy."""
+    from .pipeline import load_trained, save_trained
+    b = _lin(spark, sf)
+    path = sinks.scratch_dir(spark, "bundle")
+    save_trained(b, path)
+    return forecast(load_trained(spark, path, b.features), draws="lcg", sort=False)
+
+
 @register("s8_bundle_save_load", O.q("SELECT pool, target, n FROM pool_n", "pool_n"))
 def s8_bundle_save_load(spark, sf):
     """Bundle saved as Parquet tables and loaded back; residual pool sizes from the loaded table."""
