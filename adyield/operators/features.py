@@ -75,7 +75,10 @@ def build_features(daily: DataFrame, channels: list[str] | None = None,
     """Daily table -> feature table (the Parquet schema of S5).
 
     ``channels``/``types`` fix the one-hot columns; by default they are the
-    observed values (the only driver-side collect in the library).
+    observed values (the only driver-side collect in the library). ``daily``
+    is read for those values, for the global first date and for the windows,
+    so pass a materialised table (``plans.pipeline`` does) rather than a plan
+    over raw data.
     """
     if channels is None or types is None:
         obs_channels, obs_types = observed_values(daily)

@@ -50,9 +50,11 @@ def feature_table(spark: SparkSession, sf_dir: str, materialize: bool = True) ->
     key = _key(spark, "features", sf_dir)
     if materialize and key in _MEMO:
         return _MEMO[key]
-    f = build_features(daily_table(spark, sf_dir))
     if not materialize:
-        return f
+        return build_features(daily_table(spark, sf_dir))
+    # The daily table (days x groups rows) is read three times by the feature build (one-hot
+    # values, the global first date, the windows): write it once instead of re-running A1.
+    f = build_features(cut_lineage(daily_table(spark, sf_dir), "daily"))
     f = cut_lineage(f.repartition(*GROUP_KEYS).sortWithinPartitions(*GROUP_KEYS, "date"), "features")
     _MEMO[key] = f
     return f
@@ -153,7 +155,8 @@ def features_job(spark: SparkSession, source: str, out: str) -> DataFrame:
     prepare(spark)
     canonical = unify(load_source(spark, source))
     check(validation_rules(canonical))
-    sinks.write_features(build_features(daily_aggregate(canonical)), out)
+    daily = cut_lineage(daily_aggregate(canonical), "daily")
+    sinks.write_features(build_features(daily), out)
     return sinks.read_features(spark, out)
 
 

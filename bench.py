@@ -55,8 +55,8 @@ def main() -> None:
         _run(warm)
         summaries(warm).collect()
 
-    timed("ingest_daily_a1", lambda: _run(daily_table(spark, sf_dir)))
-    features = timed("features_w1_w7", lambda: cut_lineage(build_features(daily_table(spark, sf_dir)), "features"))
+    daily = timed("ingest_daily_a1", lambda: cut_lineage(daily_table(spark, sf_dir), "daily"))
+    features = timed("features_w1_w7", lambda: cut_lineage(build_features(daily), "features"))
     cols = feature_columns(features)
     timed("stats_summaries_i4", lambda: summaries(features).collect())
     bundle = timed("train_boosted_m1_m6", lambda: _materialise(train(features, "boosted")))
