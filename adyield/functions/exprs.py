@@ -57,10 +57,15 @@ def clip(c: Column | str, lo: float | None = None, hi: float | None = None) -> C
 
 
 def safe_ratio(num: Column | str, den: Column | str, hi: float = ROAS_MAX) -> Column:
-    """num/den when den > 0 else 0; NaN/inf -> 0; clipped to [0, hi]."""
+    """num/den when den > 0 else 0; NaN and +-inf (an overflowing quotient) -> 0; then clipped to [0, hi].
+
+    (P9, T1-T3.) The infinity rule is the row-level one: an overflowing
+    quotient becomes 0 before the clip, it is not capped at ``hi``.
+    """
     num, den = col_(num), col_(den)
-    return F.when(den > 0, clip(F.coalesce(F.try_divide(num, den), F.lit(0.0)), 0.0, hi)) \
-        .otherwise(F.lit(0.0))
+    q = F.try_divide(num, den)
+    finite = F.when(q.isNull() | F.isnan(q) | (F.abs(q) == F.lit(float("inf"))), F.lit(0.0)).otherwise(q)
+    return F.when(den > 0, clip(finite, 0.0, hi)).otherwise(F.lit(0.0))
 
 
 def budget_ratio_feature(spend: Column | str, budget: Column | str) -> Column:

@@ -68,13 +68,20 @@ def with_ctes(final: str, *needs: str) -> str:
     return f"WITH {body}\n{final.strip()}"
 
 
-ROAS_CLIP = "CASE WHEN {s} > 0 THEN least(greatest(coalesce({r} / {s}, 0.0), 0.0), 50.0) ELSE 0.0 END"
+ROAS_CLIP = ("CASE WHEN {s} > 0 THEN least(greatest(CASE WHEN isinf({r} / {s}) OR isnan({r} / {s}) THEN 0.0 "
+             "ELSE coalesce({r} / {s}, 0.0) END, 0.0), 50.0) ELSE 0.0 END")
 
 
 def roas(rev: str, spend: str) -> str:
+    """Row-level ratio: an overflowing quotient becomes 0 before the clip."""
     return ROAS_CLIP.format(r=rev, s=spend)
 
 
+def scalar_ratio(rev: str, spend: str) -> str:
+    """Scope/rollup ratio (scalar division): an overflowing quotient is clipped to 50."""
+    return f"CASE WHEN {spend} > 0 THEN least(greatest(coalesce({rev} / {spend}, 0.0), 0.0), 50.0) ELSE 0.0 END"
+
+
 # ------------------------------------------------------------------ raw dialect views (FIXTURES 3)
 
 cte("src", """
@@ -249,8 +256,8 @@ SELECT x.{key},
 FROM {name}_rows AS x JOIN {name}_anchor AS a ON a.{key} = x.{key}
 GROUP BY x.{key}""", f"{name}_rows", f"{name}_anchor")
     cte(f"{name}_final", f"""
-SELECT {key}, {roas('rev30', 'spend30')} AS avg_roas_last_30d,
-       {roas('total_revenue_last_90d', 'total_spend_last_90d')} AS avg_roas_last_90d,
+SELECT {key}, {scalar_ratio('rev30', 'spend30')} AS avg_roas_last_30d,
+       {scalar_ratio('total_revenue_last_90d', 'total_spend_last_90d')} AS avg_roas_last_90d,
        total_revenue_last_90d, total_spend_last_90d,
        CASE WHEN rev30 > rev_prior * 1.05 THEN 'up' WHEN rev30 < rev_prior * 0.95 THEN 'down' ELSE 'flat' END
            AS trend_direction,
@@ -453,8 +460,8 @@ FROM grp_pred AS g LEFT JOIN summ AS s ON s.scope = g.channel AND s.horizon = g.
 
 cte("rollup_rows", f"""
 SELECT forecast_period_days, 'all' AS channel, 'all' AS campaign_type, rp10 AS revenue_p10, rp50 AS revenue_p50,
-       rp90 AS revenue_p90, {roas('rp10', 'sp')} AS roas_p10, {roas('rp50', 'sp')} AS roas_p50,
-       {roas('rp90', 'sp')} AS roas_p90, sp AS spend_input, budget_scenario,
+       rp90 AS revenue_p90, {scalar_ratio('rp10', 'sp')} AS roas_p10, {scalar_ratio('rp50', 'sp')} AS roas_p50,
+       {scalar_ratio('rp90', 'sp')} AS roas_p90, sp AS spend_input, budget_scenario,
        coalesce(s.summary, 'Aggregate causal summary not available.') AS causal_summary
 FROM (SELECT forecast_period_days, budget_scenario, sum(spend_input) AS sp, sum(revenue_p10) AS rp10,
              sum(revenue_p50) AS rp50, sum(revenue_p90) AS rp90

@@ -15,6 +15,7 @@ import csv as _csv
 import fnmatch
 import posixpath
 import sys
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -90,15 +91,27 @@ def detect_dialect(columns: list[str], path: str = "") -> str | None:
     return None
 
 
+HEADER_READERS = 16
+
+
 def dialect_files(spark: SparkSession, directory: str) -> dict[str, list[str]]:
-    """Group a directory's CSV files by dialect; unreadable or unknown files are skipped."""
-    groups: dict[str, list[str]] = {}
-    for path in csv_files(spark, directory):
+    """Group a directory's CSV files by dialect; unreadable or unknown files are skipped.
+
+    Only the first line of each file is read, a few files at a time (I/O-bound
+    metadata work, like Spark's own file listing).
+    """
+    def detect(path: str):
         try:
-            dialect = detect_dialect(header(spark, path), path)
+            return path, detect_dialect(header(spark, path), path)
         except Exception as exc:  # an unreadable file is a warning, as in the reference
             print(f"Warning: skipping file {path}: {exc}", file=sys.stderr)
-            continue
+            return path, None
+
+    paths = csv_files(spark, directory)
+    with ThreadPoolExecutor(max_workers=min(HEADER_READERS, max(1, len(paths)))) as pool:
+        found = list(pool.map(detect, paths))
+    groups: dict[str, list[str]] = {}
+    for path, dialect in found:
         if dialect:
             groups.setdefault(dialect, []).append(path)
     return groups
