@@ -89,15 +89,22 @@ def sampled_residuals(residuals: DataFrame, mode: str = "numpy", n_draws: int =
 
 
 def _quantile(sorted_values: F.Column, n: int, q: float) -> F.Column:
-    """Linear interpolation between order statistics, position q * (n - 1) (as numpy and Spark)."""
+    """Linear interpolation between order statistics at position q * (n - 1).
+
+    The weight is known when the plan is built, so the same two-sided form as
+    ``numpy.percentile`` is chosen statically: a + (b - a) t below one half,
+    b - (b - a)(1 - t) from one half on.
+    """
     pos = q * (n - 1)
     lo = int(pos // 1)
-    frac = pos - lo
+    t = pos - lo
     a = F.element_at(sorted_values, lo + 1)
-    if frac == 0 or lo + 1 >= n:
+    if t == 0 or lo + 1 >= n:
         return a
     b = F.element_at(sorted_values, lo + 2)
-    return a + (b - a) * F.lit(frac)
+    if t >= 0.5:
+        return b - (b - a) * F.lit(1.0 - t)
+    return a + (b - a) * F.lit(t)
 
 
 def intervals(scored: DataFrame, residuals: DataFrame, keys: list[str], mode: str = "numpy",

@@ -71,5 +71,6 @@ def test_numpy_path_matches_per_group_loop(spark, sf):
         rev, roas, spend_input = expected[(r["forecast_period_days"], r["channel"], r["campaign_type"],
                                            r["budget_scenario"])]
         assert r["spend_input"] == pytest.approx(spend_input, rel=1e-9)
-        assert [r["revenue_p10"], r["revenue_p50"], r["revenue_p90"]] == pytest.approx(list(rev), rel=1e-6, abs=1e-6)
-        assert [r["roas_p10"], r["roas_p50"], r["roas_p90"]] == pytest.approx(list(roas), rel=1e-6, abs=1e-6)
+        # Point predictions come from two least-squares solvers, so allow their last-digit differences.
+        assert [r["revenue_p10"], r["revenue_p50"], r["revenue_p90"]] == pytest.approx(list(rev), rel=1e-9, abs=1e-6)
+        assert [r["roas_p10"], r["roas_p50"], r["roas_p90"]] == pytest.approx(list(roas), rel=1e-9, abs=1e-9)
