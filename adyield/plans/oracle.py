@@ -333,7 +333,8 @@ FROM scope_stats AS s
 JOIN scope_top AS t ON t.scope = s.scope
 JOIN scope_types AS ty ON ty.scope = s.scope
 LEFT JOIN scope_anom5 AS a ON a.scope = s.scope
-CROSS JOIN (VALUES (30), (60), (90)) AS h(horizon)""", "scope_stats", "scope_top", "scope_types", "scope_anom5")
+CROSS JOIN (SELECT CAST(v AS BIGINT) AS horizon FROM (VALUES (30), (60), (90)) AS hv(v)) AS h""",
+    "scope_stats", "scope_top", "scope_types", "scope_anom5")
 
 # ------------------------------------------------------------------ forecast inputs
 
@@ -352,7 +353,7 @@ cte("base", """
 SELECT channel, campaign_type, avg(spend) AS base_spend, avg(daily_budget) AS base_daily_budget,
        count(*) AS trailing_rows FROM trail GROUP BY channel, campaign_type""", "trail")
 
-cte("horizons", "SELECT * FROM (VALUES (30), (60), (90)) AS h(forecast_period_days)")
+cte("horizons", "SELECT CAST(h AS BIGINT) AS forecast_period_days FROM (VALUES (30), (60), (90)) AS v(h)")
 cte("scen", """
 SELECT budget_scenario, CAST(m AS DOUBLE) AS multiplier FROM (VALUES
   ('minus_30pct', '0.7'), ('minus_15pct', '0.85'), ('base', '1.0'), ('plus_15pct', '1.15'), ('plus_30pct', '1.3')

@@ -471,8 +471,8 @@ def f7_budget_ratio_feature(spark, sf):
 
 
 @register("f9_channel_onehot", O.q("""
-SELECT channel, sum(channel_google) AS channel_google, sum(channel_bing) AS channel_bing,
-       sum(channel_meta) AS channel_meta FROM feat GROUP BY channel""", "feat"))
+SELECT channel, CAST(sum(channel_google) AS BIGINT) AS channel_google, CAST(sum(channel_bing) AS BIGINT) AS channel_bing,
+       CAST(sum(channel_meta) AS BIGINT) AS channel_meta FROM feat GROUP BY channel""", "feat"))
 def f9_channel_onehot(spark, sf):
     return _feat(spark, sf).groupBy("channel").agg(*[F.sum(c).cast("long").alias(c) for c in
                                                      ("channel_google", "channel_bing", "channel_meta")])

@@ -52,6 +52,22 @@ def rows_of(pdf):
     return cols, sorted(out, key=lambda t: tuple((x is None, str(type(x)), x if x is not None else 0) for x in t))
 
 
+SPARK_TO_DUCK = {"long": "BIGINT", "integer": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "date": "DATE", "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "float": "FLOAT",
+                 "short": "SMALLINT", "binary": "BLOB"}
+
+
+def type_diffs(sdf, rel) -> list[str]:
+    duck_types = {n: str(t) for n, t in zip(rel.columns, rel.types)}
+    out = []
+    for f in sdf.schema.fields:
+        want = SPARK_TO_DUCK.get(f.dataType.typeName(), f.dataType.simpleString().upper())
+        got = duck_types.get(f.name)
+        if got is not None and got != want:
+            out.append(f"{f.name}: spark {want} vs duck {got}")
+    return out
+
+
 def compare(spark, con, key, fn, sql, sf_dir):
     t = time.time()
     sdf = fn(spark, sf_dir)
@@ -62,7 +78,9 @@ def compare(spark, con, key, fn, sql, sf_dir):
     if sql is None:
         return f"{key:38s} rows={len(sp):7d} (rows-only) {ts:6.1f}s", True
     t = time.time()
-    od = con.sql(sql).df()
+    rel = con.sql(sql)
+    tdiff = type_diffs(sdf, rel)
+    od = rel.df()
     to = time.time() - t
     sc, sr = rows_of(sp)
     oc, orr = rows_of(od)
@@ -72,13 +90,15 @@ def compare(spark, con, key, fn, sql, sf_dir):
     msg = f"{key:38s} rows={len(sr):7d}/{len(orr):7d} cols={'ok' if ok_cols else 'DIFF'} vals={'ok' if ok_vals else 'DIFF'} {ts:6.1f}s/{to:5.1f}s"
     if undeclared:
         msg += f"  [unrounded doubles: {undeclared}]"
+    if tdiff:
+        msg += f"  [types: {'; '.join(tdiff)}]"
     if not ok_cols:
         msg += f"\n    spark cols {sc}\n    duck  cols {oc}"
     elif not ok_vals:
         diffs = [(a, b) for a, b in zip(sr, orr) if a != b][:3]
         for a, b in diffs:
             msg += f"\n    spark {a}\n    duck  {b}"
-    return msg, ok_cols and ok_rows and ok_vals
+    return msg, ok_cols and ok_rows and ok_vals and not tdiff
 
 
 def main(argv):
