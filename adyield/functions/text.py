@@ -26,6 +26,34 @@ PORTFOLIO_TEMPLATE = (
 )
 PORTFOLIO_SCOPES = ["all", "aggregate"]
 
+# The request texts for a summary model (channel scope and whole portfolio).
+CHANNEL_PROMPT = (
+    "Channel: {channel}\n"
+    "Campaign types: {types}\n"
+    "Avg ROAS last 30 days: {roas_30d}x\n"
+    "Avg ROAS last 90 days: {roas_90d}x\n"
+    "Revenue trend: {trend}\n"
+    "Top campaign type by revenue: {top}\n"
+    "Total revenue last 90 days: ${revenue_90d}\n"
+    "Anomaly dates: {anomalies}\n"
+    "Forecast window: {window} days\n\n"
+    "Provide a 2-3 sentence business insight explaining the performance trend and key risks or opportunities "
+    "for the next {window} days. Be specific to this channel's data."
+)
+PORTFOLIO_PROMPT = (
+    "Channel: Combined Portfolio (All Channels)\n"
+    "Campaign types represented: {types}\n"
+    "Combined Avg ROAS last 30 days: {roas_30d}x\n"
+    "Combined Avg ROAS last 90 days: {roas_90d}x\n"
+    "Portfolio Revenue trend: {trend}\n"
+    "Top campaign type overall: {top}\n"
+    "Total portfolio revenue last 90 days: ${revenue_90d}\n"
+    "Anomaly dates: {anomalies}\n"
+    "Forecast window: {window} days\n\n"
+    "Provide a 3-4 sentence overall business narrative explaining the portfolio-wide performance, "
+    "risks, and Q4 preparation opportunities for the next {window} days."
+)
+
 # Defaults when no summary exists for a key (J3, per caller).
 MISSING_CHANNEL_SUMMARY = "Causal summary not available."
 MISSING_PORTFOLIO_SUMMARY = "Aggregate causal summary not available."
@@ -75,29 +103,21 @@ def prompt_text(scope: Column | str, types: Column | str, roas_30d: Column | str
 
     ``types`` and ``anomalies`` are arrays of strings; empty anomalies -> "None detected".
     """
-    scope, horizon = col_(scope), col_(horizon).cast("string")
-    types_s = F.array_join(col_(types), ", ")
+    scope = col_(scope)
     anom = col_(anomalies)
-    anom_s = F.when(F.size(anom) > 0, F.array_join(anom, ", ")).otherwise(F.lit(NO_ANOMALIES))
-    r30, r90 = ratio2(roas_30d), ratio2(roas_90d)
-    rev = money0(revenue_90d)
-    channel = F.concat(
-        F.lit("Channel: "), scope, F.lit("\nCampaign types: "), types_s,
-        F.lit("\nAvg ROAS last 30 days: "), r30, F.lit("x\nAvg ROAS last 90 days: "), r90,
-        F.lit("x\nRevenue trend: "), col_(trend), F.lit("\nTop campaign type by revenue: "), col_(top_type),
-        F.lit("\nTotal revenue last 90 days: $"), rev, F.lit("\nAnomaly dates: "), anom_s,
-        F.lit("\nForecast window: "), horizon, F.lit(" days\n\n"),
-        F.lit("Provide a 2-3 sentence business insight explaining the performance trend and key risks or "
-              "opportunities for the next "), horizon, F.lit(" days. Be specific to this channel's data."))
-    portfolio = F.concat(
-        F.lit("Channel: Combined Portfolio (All Channels)\nCampaign types represented: "), types_s,
-        F.lit("\nCombined Avg ROAS last 30 days: "), r30, F.lit("x\nCombined Avg ROAS last 90 days: "), r90,
-        F.lit("x\nPortfolio Revenue trend: "), col_(trend), F.lit("\nTop campaign type overall: "), col_(top_type),
-        F.lit("\nTotal portfolio revenue last 90 days: $"), rev, F.lit("\nAnomaly dates: "), anom_s,
-        F.lit("\nForecast window: "), horizon, F.lit(" days\n\n"),
-        F.lit("Provide a 3-4 sentence overall business narrative explaining the portfolio-wide performance, "
-              "risks, and Q4 preparation opportunities for the next "), horizon, F.lit(" days."))
-    return F.when(F.lower(scope).isin(*PORTFOLIO_SCOPES), portfolio).otherwise(channel)
+    values = {
+        "channel": scope,
+        "types": F.array_join(col_(types), ", "),
+        "roas_30d": ratio2(roas_30d),
+        "roas_90d": ratio2(roas_90d),
+        "trend": col_(trend),
+        "top": col_(top_type),
+        "revenue_90d": money0(revenue_90d),
+        "anomalies": F.when(F.size(anom) > 0, F.array_join(anom, ", ")).otherwise(F.lit(NO_ANOMALIES)),
+        "window": col_(horizon).cast("string"),
+    }
+    return F.when(F.lower(scope).isin(*PORTFOLIO_SCOPES), _fill(PORTFOLIO_PROMPT, values)) \
+        .otherwise(_fill(CHANNEL_PROMPT, values))
 
 
 def report_label(channel: Column | str, campaign_type: Column | str) -> Column:
