@@ -58,6 +58,28 @@ def _text(c: Column) -> Column:
 MEDIAN_BROADCAST_MAX_TYPES = 100_000
 
 
+def impute_budget_approx(df: DataFrame, type_col: str = "campaign_type", budget_col: str = "daily_budget",
+                         accuracy: int = 10_000) -> DataFrame:
+    """``impute_budget`` with ``percentile_approx`` (relative rank error 1/accuracy).
+
+    For budget columns with very many distinct values: every partial
+    aggregate is a bounded, mergeable sketch, so no task ever holds the
+    distinct values of a campaign type. Three passes over the rows (type
+    medians, median of the filled column, fill).
+    """
+    type_median = df.groupBy(type_col).agg(
+        F.percentile_approx(budget_col, 0.5, accuracy).alias("_type_median"))
+    n_types = type_median.count()
+    medians = F.broadcast(type_median) if n_types <= MEDIAN_BROADCAST_MAX_TYPES else type_median
+    with_type = df.join(medians, type_col, "left")
+    global_median = with_type.agg(F.percentile_approx(
+        F.coalesce(F.col(budget_col), F.col("_type_median")), 0.5, accuracy).alias("_global_median"))
+    return (with_type.crossJoin(one_row(global_median))
+            .withColumn(budget_col, F.coalesce(F.col(budget_col), F.col("_type_median"),
+                                               F.col("_global_median"), F.lit(0.0)))
+            .drop("_type_median", "_global_median"))
+
+
 def impute_budget(df: DataFrame, type_col: str = "campaign_type", budget_col: str = "daily_budget") -> DataFrame:
     """Median of the campaign type, then median of the already filled column, then 0.
 
@@ -68,6 +90,9 @@ def impute_budget(df: DataFrame, type_col: str = "campaign_type", budget_col: st
     medians back to the raw rows: broadcast when the number of types is under
     a checked bound, so a type holding a third of all rows never lands in one
     task; above the bound the join shuffles and AQE splits skewed partitions.
+    The exact percentile merges, per type, the distinct budget values of that
+    type (budgets repeat across days, so this is normally small); for columns
+    with very many distinct values use ``impute_budget_approx``.
     """
     counts = cut_lineage(df.groupBy(type_col, budget_col).agg(F.count(F.lit(1)).alias("n")), "budget-counts")
     type_median = counts.groupBy(type_col).agg(
@@ -158,11 +183,15 @@ PARSERS = {"google": parsed_google, "bing": parsed_bing, "meta": parsed_meta}
 IMPUTES_BUDGET = {"google": True, "bing": False, "meta": True}
 
 
-def normalize(raw: DataFrame, channel: str) -> DataFrame:
-    """Raw dialect table -> canonical rows (P1-P11). Rows with no valid date are dropped."""
+def normalize(raw: DataFrame, channel: str, exact_medians: bool = True) -> DataFrame:
+    """Raw dialect table -> canonical rows (P1-P11). Rows with no valid date are dropped.
+
+    ``exact_medians=False`` fills budgets with approximate medians (bounded
+    memory per campaign type whatever the number of distinct budgets).
+    """
     typed = PARSERS[channel](raw).where(F.col("date").isNotNull())
     if IMPUTES_BUDGET[channel]:
-        typed = impute_budget(typed)
+        typed = impute_budget(typed) if exact_medians else impute_budget_approx(typed)
     return finish_canonical(typed)
 
 
@@ -178,14 +207,14 @@ def normalize_meta(raw: DataFrame) -> DataFrame:
     return normalize(raw, "meta")
 
 
-def unify(raws: dict[str, DataFrame]) -> DataFrame:
+def unify(raws: dict[str, DataFrame], exact_medians: bool = True) -> DataFrame:
     """Union-all of the normalised dialects (U1); missing dialect is an error."""
     missing = [ch for ch in ("google", "bing", "meta") if ch not in raws]
     if missing:
         raise FileNotFoundError(f"no input identified for channel(s): {', '.join(missing)}")
     out = None
     for ch in ("google", "bing", "meta"):
-        part = normalize(raws[ch], ch)
+        part = normalize(raws[ch], ch, exact_medians)
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -18,15 +18,20 @@ EXPECTED_CHANNELS = ["google", "bing", "meta"]
 PREVIEW_ROWS = 20
 
 
-def quality_metrics(canonical: DataFrame) -> DataFrame:
-    """Null cells, share of revenue <= 0, calendar gaps, distinct campaigns."""
+def quality_metrics(canonical: DataFrame, approx_distinct: bool = False) -> DataFrame:
+    """Null cells, share of revenue <= 0, calendar gaps, distinct campaigns.
+
+    ``approx_distinct`` counts campaigns with ``approx_count_distinct`` (HyperLogLog).
+    """
     nulls = sum((F.col(c).isNull().cast("long") for c in CANONICAL_COLUMNS), F.lit(0))
+    distinct_ids = (F.approx_count_distinct("campaign_id") if approx_distinct
+                    else F.count_distinct("campaign_id"))
     m = canonical.agg(
         F.sum(nulls).alias("missing_values"),
         F.avg((F.col("revenue") <= 0).cast("double")).alias("nonpositive_revenue_share"),
         F.min("date").alias("_min"), F.max("date").alias("_max"),
         F.count_distinct("date").alias("distinct_dates"),
-        F.count_distinct("campaign_id").alias("active_campaigns"),
+        distinct_ids.alias("active_campaigns"),
         F.count(F.lit(1)).alias("rows"))
     return m.select(
         F.coalesce(F.col("missing_values"), F.lit(0)).cast("long").alias("missing_values"),

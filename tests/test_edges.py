@@ -137,3 +137,14 @@ def test_tie_edges(spark):
             (D(2024, 1, 1), "c", "Beta", 1.0, 10.0)]
     got = top_campaign_type(_daily(spark, rows)).collect()[0]["top_campaign_type"]
     assert got == "Alpha"
+
+
+def test_approx_medians_close_to_exact(spark):
+    from adyield.sources.fixtures import raw_dialects
+    raw = raw_dialects(spark, "/root/testdata/sf0.001")["google"]
+    exact = {r["campaign_id"] + str(r["date"]): r["daily_budget"] for r in norm.normalize(raw, "google").collect()}
+    approx = {r["campaign_id"] + str(r["date"]): r["daily_budget"]
+              for r in norm.normalize(raw, "google", exact_medians=False).collect()}
+    assert exact.keys() == approx.keys()
+    diffs = [abs(exact[k] - approx[k]) / max(abs(exact[k]), 1.0) for k in exact]
+    assert max(diffs) < 0.01
