@@ -172,12 +172,21 @@ def fallback_pipeline(feature_cols: list[str], target: str, params: gbt.BoostPar
 
 
 TRAIN_PARTITION_BYTES = 64 << 20
+TRAIN_PARTITION_MIN_ROWS = 5_000
 
 
 def training_partitions(features: DataFrame, n_cols: int) -> int:
-    """Partitions for the fallback training input: rows x columns x 8 bytes / 64 MB, at least 1."""
+    """Partitions for the fallback training input.
+
+    By volume (rows x columns x 8 bytes / 64 MB), but at least one per core
+    while each keeps 5,000 rows: every tree level aggregates over all
+    partitions, so small inputs still use the cluster's cores without
+    fanning out into tiny tasks.
+    """
     rows = features.count()
-    return max(1, -(-rows * (n_cols + 4) * 8 // TRAIN_PARTITION_BYTES))
+    by_volume = -(-rows * (n_cols + 4) * 8 // TRAIN_PARTITION_BYTES)
+    by_cores = min(features.sparkSession.sparkContext.defaultParallelism, rows // TRAIN_PARTITION_MIN_ROWS)
+    return max(1, by_volume, by_cores)
 
 
 def _fallback_score(fallback: dict, df: DataFrame) -> DataFrame:
@@ -233,8 +242,7 @@ def fit_boosted(features: DataFrame, feature_cols: list[str], params: gbt.BoostP
                 dedicated_min_rows: int = DEDICATED_MIN_ROWS) -> FittedModels:
     """Fallback Spark ML models on all rows plus dedicated per-group models (M1-M6)."""
     # Fixed input order: GBT subsampling depends on the row order within partitions.
-    # Partitions sized by volume (~64 MB each): every boosting iteration runs a few
-    # jobs over them, so tiny partitions only add scheduling cost.
+    # Partitions sized by volume and cores: every boosting iteration runs a few jobs over them.
     n_parts = training_partitions(features, len(feature_cols))
     ordered = features.repartition(n_parts, *GROUP_KEYS).sortWithinPartitions(*GROUP_KEYS, "date")
     ordered = ordered.persist(StorageLevel.MEMORY_AND_DISK)
