@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, DateType, NumericType, StringType, TimestampNTZType, TimestampType
+from pyspark.sql.types import DataType, DateType, TimestampNTZType, TimestampType
 
 # Ratio bounds used throughout the reference.
 ROAS_MAX = 50.0
@@ -164,11 +164,3 @@ def rnd(c: Column | str, digits: int = 4) -> Column:
     snapped = F.when(F.abs(c) < F.lit(1e10), F.floor(c * F.lit(snap) + F.lit(0.5)) / F.lit(snap)).otherwise(c)
     return F.when(F.abs(snapped) < F.lit(1e11),
                   F.floor(snapped * F.lit(scale) + F.lit(0.5)) / F.lit(scale)).otherwise(snapped).cast("double")
-
-
-def is_numeric(dtype: DataType) -> bool:
-    return isinstance(dtype, NumericType)
-
-
-def is_string(dtype: DataType) -> bool:
-    return isinstance(dtype, StringType)

@@ -20,7 +20,6 @@ from .stats import summary_lookup
 PREDICTION_COLUMNS = ["forecast_period_days", "channel", "campaign_type", "revenue_p10", "revenue_p50",
                       "revenue_p90", "roas_p10", "roas_p50", "roas_p90", "spend_input", "budget_scenario",
                       "causal_summary"]
-INTERVAL_COLUMNS = ["revenue_p10", "revenue_p50", "revenue_p90", "roas_p10", "roas_p50", "roas_p90"]
 # Marginal return compares the curve points nearest these multipliers.
 MARGINAL_BASE, MARGINAL_HIGH = 1.0, 1.15
 REPORT_CHANNELS = ["google", "bing", "meta"]

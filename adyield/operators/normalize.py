@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import nan_to_null, parse_date, safe_ratio, to_double, to_long
+from ..functions.exprs import parse_date, safe_ratio, to_double, to_long
 from ..session import cut_lineage
 from .common import one_row
 
@@ -243,7 +243,3 @@ def canonical_sort(df: DataFrame, with_name: bool = True) -> DataFrame:
     rest = [c for c in ("campaign_id", "spend", "revenue", "daily_budget", "clicks", "impressions")
             if c in df.columns and c not in keys]
     return df.orderBy(*keys, *rest, F.monotonically_increasing_id())
-
-
-def nan_safe(df: DataFrame, cols: list[str]) -> DataFrame:
-    return df.select(*[nan_to_null(F.col(c)).alias(c) if c in cols else F.col(c) for c in df.columns])
