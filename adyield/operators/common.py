@@ -9,3 +9,13 @@ from pyspark.sql import functions as F
 def one_row(df: DataFrame) -> DataFrame:
     """A global aggregate has exactly one row: a proven bound, so always broadcast."""
     return F.broadcast(df)
+
+
+# Largest small side (rows) hinted for broadcast after counting it.
+BROADCAST_MAX_ROWS = 100_000
+
+
+def broadcast_if_small(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Broadcast an aggregated side only after its row count is checked; above the bound the
+    join shuffles and AQE splits skewed partitions. Call it on cheap, already-reduced tables."""
+    return F.broadcast(small) if small.count() <= max_rows else small

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import parse_date, safe_ratio, to_double, to_long
 from ..session import cut_lineage
-from .common import one_row
+from .common import broadcast_if_small, one_row
 
 # The canonical column order of every normalised table.
 CANONICAL_COLUMNS = [
@@ -69,8 +69,7 @@ def impute_budget_approx(df: DataFrame, type_col: str = "campaign_type", budget_
     """
     type_median = df.groupBy(type_col).agg(
         F.percentile_approx(budget_col, 0.5, accuracy).alias("_type_median"))
-    n_types = type_median.count()
-    medians = F.broadcast(type_median) if n_types <= MEDIAN_BROADCAST_MAX_TYPES else type_median
+    medians = broadcast_if_small(type_median, MEDIAN_BROADCAST_MAX_TYPES)
     with_type = df.join(medians, type_col, "left")
     global_median = with_type.agg(F.percentile_approx(
         F.coalesce(F.col(budget_col), F.col("_type_median")), 0.5, accuracy).alias("_global_median"))
@@ -100,8 +99,7 @@ def impute_budget(df: DataFrame, type_col: str = "campaign_type", budget_col: st
     filled = (counts.join(type_median, type_col, "left")
               .select(F.coalesce(F.col(budget_col), F.col("_type_median")).alias("_v"), "n"))
     global_median = filled.agg(F.expr("percentile(_v, 0.5, n)").alias("_global_median"))
-    n_types = counts.select(type_col).distinct().count()
-    medians = F.broadcast(type_median) if n_types <= MEDIAN_BROADCAST_MAX_TYPES else type_median
+    medians = broadcast_if_small(type_median, MEDIAN_BROADCAST_MAX_TYPES)
     return (df.join(medians, type_col, "left")
             .crossJoin(one_row(global_median))
             .withColumn(budget_col, F.coalesce(F.col(budget_col), F.col("_type_median"),

@@ -16,6 +16,7 @@ from ..functions.exprs import clip
 from ..functions.text import (MISSING_CHANNEL_SUMMARY, MISSING_PORTFOLIO_SUMMARY, prompt_text,
                               template_summary)
 from .aggregate import GROUP_KEYS, portfolio_daily
+from .common import broadcast_if_small
 
 # Trend thresholds, anomaly z-score, risk ratio, horizons.
 TREND_UP = 1.05
@@ -28,11 +29,16 @@ ANOMALY_ISSUE = "Revenue Z-Score > 2.5 (Volume Anomaly)"
 
 
 def _anchored(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with their scope's anchor date, mean and sample std.
+
+    A scope can be a whole channel (a third of the rows each): the one-row-per-
+    scope side is broadcast after a size check, so no scope becomes one task.
+    """
     per_scope = rows.groupBy(*keys).agg(
         F.max("date").alias("_last"),
         F.avg("revenue").alias("_mean"),
         F.stddev_samp("revenue").alias("_std"))
-    return rows.join(per_scope, keys, "inner")
+    return rows.join(broadcast_if_small(per_scope), keys, "inner")
 
 
 def anomaly_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
