@@ -15,7 +15,7 @@ from ..operators import forecast as fc
 from ..operators import scenarios as sc
 from ..operators.bootstrap import draws, pool_choice, pool_sizes
 from ..operators.gbt import BoostParams
-from ..operators.models import FRAME_KEYS, GLOBAL_POOL, TARGETS, fallback_pipeline, fit_boosted
+from ..operators.models import GLOBAL_POOL, TARGETS, fallback_pipeline
 from ..sources import sinks
 from . import oracle as O
 from .pipeline import feature_table, forecast, simulate, trained
