@@ -62,7 +62,8 @@ def rollup(rows: DataFrame, summary_table: DataFrame | None = None) -> DataFrame
 
 
 def predictions(features: DataFrame, feature_cols: list[str], models: FittedModels,
-                summary_table: DataFrame | None = None, draws: str = "numpy") -> DataFrame:
+                summary_table: DataFrame | None = None, draws: str = "numpy",
+                base: DataFrame | None = None) -> DataFrame:
     """Group rows plus rollup rows in one aggregate (A6, U2), predictions schema; sort at the sink (O3).
 
     GROUPING SETS ((horizon, scenario, channel, type), (horizon, scenario)): a
@@ -70,7 +71,7 @@ def predictions(features: DataFrame, feature_cols: list[str], models: FittedMode
     and its ratios are taken as they are; the (horizon, scenario) set is the
     portfolio rollup, whose ratios come from the sums (T19).
     """
-    frame = scenario_frame(features, feature_cols, HORIZONS, SCENARIOS)
+    frame = scenario_frame(features, feature_cols, HORIZONS, SCENARIOS, base)
     rows = scored_intervals(frame, models, draws)
     keys = ["forecast_period_days", "budget_scenario", "channel", "campaign_type"]
     g = rows.groupingSets([keys, keys[:2]], *keys).agg(
@@ -101,9 +102,9 @@ def sort_predictions(pred: DataFrame) -> DataFrame:
 
 
 def what_if(features: DataFrame, feature_cols: list[str], models: FittedModels, multipliers: DataFrame,
-            horizon: int = WHAT_IF_HORIZON, draws: str = "numpy") -> DataFrame:
+            horizon: int = WHAT_IF_HORIZON, draws: str = "numpy", base: DataFrame | None = None) -> DataFrame:
     """Per group: spend_input and revenue p10/p50/p90, ratio p50 under per-channel multipliers."""
-    frame = what_if_frame(features, feature_cols, multipliers, horizon)
+    frame = what_if_frame(features, feature_cols, multipliers, horizon, base)
     rows = scored_intervals(frame, models, draws)
     return rows.select(*GROUP_KEYS, "spend_input", "revenue_p10", "revenue_p50", "revenue_p90", "roas_p50")
 
@@ -117,9 +118,10 @@ def what_if_totals(sim: DataFrame) -> DataFrame:
 
 
 def yield_curve(features: DataFrame, feature_cols: list[str], models: FittedModels,
-                horizon: int = WHAT_IF_HORIZON, draws: str = "numpy", channels=YIELD_CHANNELS) -> DataFrame:
+                horizon: int = WHAT_IF_HORIZON, draws: str = "numpy", channels=YIELD_CHANNELS,
+                base: DataFrame | None = None) -> DataFrame:
     """Per (channel, multiplier): summed revenue p50 and spend; points without spend dropped."""
-    frame = yield_frame(features, feature_cols, horizon, channels)
+    frame = yield_frame(features, feature_cols, horizon, channels, base)
     rows = scored_intervals(frame, models, draws)
     curve = rows.groupBy("channel", "multiplier").agg(
         F.sum(F.col("base_spend") * F.col("multiplier") * F.col("forecast_period_days")).alias("spend"),

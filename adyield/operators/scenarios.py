@@ -1,5 +1,9 @@
 """Forecast inputs: trailing rows, base feature row, scenario expansion.
 
+The frame builders take an optional precomputed ``base`` (one row per group),
+so a session that forecasts, simulates and draws yield curves computes the
+trailing-row window once.
+
 The base row of every group is one aggregate after one window (both keyed by
 group, so they share a single exchange). Horizons and multipliers are literal
 tables of a fixed size and are broadcast; the result has 15 rows per group.
@@ -100,11 +104,11 @@ def future_rows(base: DataFrame, anchor: DataFrame, feature_cols: list[str]) ->
 
 
 def scenario_frame(features: DataFrame, feature_cols: list[str], horizons: list[int] = HORIZONS,
-                   scenarios=SCENARIOS) -> DataFrame:
+                   scenarios=SCENARIOS, base: DataFrame | None = None) -> DataFrame:
     """Groups x horizons x scenarios with their feature rows (J4, M10, M11 inputs)."""
     spark = features.sparkSession
     anchor = anchors(features)
-    base = base_rows(features, feature_cols, anchor)
+    base = base_rows(features, feature_cols, anchor) if base is None else base
     expanded = (base.crossJoin(F.broadcast(horizons_df(spark, horizons)))
                 .crossJoin(F.broadcast(scenarios_df(spark, scenarios))))
     return future_rows(expanded, anchor, feature_cols)
@@ -116,11 +120,11 @@ def channel_multipliers(spark: SparkSession, multipliers: dict[str, float]) -> D
 
 
 def what_if_frame(features: DataFrame, feature_cols: list[str], multipliers: DataFrame,
-                  horizon: int = WHAT_IF_HORIZON) -> DataFrame:
+                  horizon: int = WHAT_IF_HORIZON, base: DataFrame | None = None) -> DataFrame:
     """One horizon, one user multiplier per channel; channels not listed keep 1.0."""
     spark = features.sparkSession
     anchor = anchors(features)
-    base = base_rows(features, feature_cols, anchor)
+    base = base_rows(features, feature_cols, anchor) if base is None else base
     m = multipliers.select("channel", F.col("multiplier").alias("_m"))
     expanded = (base.join(F.broadcast(m), "channel", "left")
                 .withColumn("multiplier", F.coalesce(F.col("_m"), F.lit(1.0))).drop("_m")
@@ -130,11 +134,13 @@ def what_if_frame(features: DataFrame, feature_cols: list[str], multipliers: Dat
 
 
 def yield_frame(features: DataFrame, feature_cols: list[str], horizon: int = WHAT_IF_HORIZON,
-                channels: list[str] = YIELD_CHANNELS) -> DataFrame:
+                channels: list[str] = YIELD_CHANNELS, base: DataFrame | None = None) -> DataFrame:
     """Groups of the drawn channels x 10 grid multipliers, one horizon (J8, A13 input)."""
     spark = features.sparkSession
     anchor = anchors(features)
-    base = base_rows(features.where(F.col("channel").isin(*channels)), feature_cols, anchor)
+    # Base rows are per group against the global anchor, so filtering before or after is the same.
+    base = (base_rows(features.where(F.col("channel").isin(*channels)), feature_cols, anchor) if base is None
+            else base.where(F.col("channel").isin(*channels)))
     expanded = (base.crossJoin(F.broadcast(yield_grid_df(spark)))
                 .crossJoin(F.broadcast(horizons_df(spark, [horizon])))
                 .withColumn("budget_scenario", F.concat(F.lit("grid_"), F.col("point").cast("string"))))

@@ -21,7 +21,7 @@ from ..operators.gbt import BoostParams
 from ..operators.models import TARGETS, FittedModels, fit_models, restore_boosted, restore_linear
 from ..operators.quality import check, validation_rules
 from ..operators.normalize import unify
-from ..operators.scenarios import channel_multipliers
+from ..operators.scenarios import base_rows, channel_multipliers
 from ..operators.stats import summaries
 from ..session import cut_lineage, prepare
 from ..sources import sinks
@@ -67,6 +67,13 @@ class TrainedBundle:
     feature_cols: list[str]
     models: FittedModels
     summaries: DataFrame
+    _base: DataFrame | None = None
+
+    def base_rows(self) -> DataFrame:
+        """Per-group base rows (trailing-row means), written once and shared by every forecast plan."""
+        if self._base is None:
+            self._base = cut_lineage(base_rows(self.features, self.feature_cols), "base-rows")
+        return self._base
 
 
 def train(features: DataFrame, kind: str = "boosted", params: BoostParams = BoostParams()) -> TrainedBundle:
@@ -89,7 +96,8 @@ def trained(spark: SparkSession, sf_dir: str, kind: str = "boosted",
 
 def forecast(bundle: TrainedBundle, draws: str = "numpy", sort: bool = True) -> DataFrame:
     """Predictions table: groups x 3 horizons x 5 scenarios + portfolio rollup (predict.main)."""
-    p = predictions(bundle.features, bundle.feature_cols, bundle.models, bundle.summaries, draws)
+    p = predictions(bundle.features, bundle.feature_cols, bundle.models, bundle.summaries, draws,
+                    base=bundle.base_rows())
     return sort_predictions(p) if sort else p
 
 
@@ -98,11 +106,12 @@ def simulate(bundle: TrainedBundle, multipliers: dict[str, float], horizon: int
     """What-if table under per-channel spend multipliers (budget page)."""
     spark = bundle.features.sparkSession
     return what_if(bundle.features, bundle.feature_cols, bundle.models,
-                   channel_multipliers(spark, multipliers), horizon, draws)
+                   channel_multipliers(spark, multipliers), horizon, draws, base=bundle.base_rows())
 
 
 def curve(bundle: TrainedBundle, horizon: int = 60, draws: str = "numpy") -> DataFrame:
-    return yield_curve(bundle.features, bundle.feature_cols, bundle.models, horizon, draws)
+    return yield_curve(bundle.features, bundle.feature_cols, bundle.models, horizon, draws,
+                       base=bundle.base_rows())
 
 
 def clear_memo() -> None:
