@@ -89,10 +89,10 @@ class Words:
 
 def sequence_hash(hashes: np.ndarray) -> np.uint64:
     """Hash of a short whole sequence, apart from every window hash by its length."""
-    h = np.uint64(0x1234567)
+    h = 0x1234567 + len(hashes) * int(_LANE[63])
     for j, x in enumerate(hashes):
-        h = h + x * _LANE[j % 32 + 32]
-    return mix(np.array([h + np.uint64(len(hashes)) * _LANE[63]], np.uint64))[0]
+        h += int(x) * int(_LANE[j % 31 + 32])
+    return mix(np.array([h & 0xFFFFFFFFFFFFFFFF], np.uint64))[0]
 
 
 def shingle_sets(texts: list[str | None], k: int = 5) -> list[np.ndarray]:

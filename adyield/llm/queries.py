@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import byte_pieces, language_parse, mixing, quality_trees, url_reputation
+from ..session import ensure_checkpoint_dir
+from . import (byte_pieces, grid_order, language_parse, mixing, ngram_join, quality_trees, sentence_spans, toxic_segments,
+               url_reputation, warc)
 from .registry import register, table
 
 
@@ -40,3 +45,37 @@ def op6_byte_pieces(spark, sf):
 def op7_mixing(spark, sf):
     """Words taken of every document by the mix of all sources."""
     return mixing.taken(table(spark, sf, "documents"))
+
+
+@register("op3_ngram_join")
+def op3_ngram_join(spark, sf):
+    """Components of documents whose 5-word shingle sets are at least 0.8 similar."""
+    return ngram_join.linked(table(spark, sf, "documents"))
+
+
+@register("op8_sentence_spans")
+def op8_sentence_spans(spark, sf):
+    """Every document's text without the passages that an earlier document holds."""
+    return sentence_spans.dedup(table(spark, sf, "documents")).select("doc_id", "text", "n_units", "n_removed")
+
+
+@register("op5_warc")
+def op5_warc(spark, sf):
+    """Pages written as WARC archives to the shared folder and read back."""
+    folder = os.path.join(ensure_checkpoint_dir(spark), "warc-" + uuid.uuid4().hex[:12])
+    pages = table(spark, sf, "pages")
+    warc.write(pages, folder)
+    found = warc.read(spark, folder, with_payload=False, id_type=dict(pages.dtypes)["page_id"])
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@register("op9_toxic_segments")
+def op9_toxic_segments(spark, sf):
+    """Toxicity of every document from its maximum-scoring segments."""
+    return toxic_segments.predict(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@register("op10_grid_order")
+def op10_grid_order(spark, sf):
+    """Link counts and components of all vectors at cosine 0.95."""
+    return grid_order.linked(table(spark, sf, "embeddings"))
