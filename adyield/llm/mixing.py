@@ -20,13 +20,16 @@ source) are the only thing that the driver sees.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import WORD
+from .common import WORD, row_key, slices
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -115,11 +118,12 @@ def _sources(sized: DataFrame, seed: int) -> tuple[DataFrame, DataFrame, int]:
 def mix(documents: DataFrame, seed: int = 7) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(layout, slots, sources).
 
-    ``layout``: every row of ``documents`` (columns doc_id, source, text hash) with its size and the place of
-    its first word in its source. ``slots``: (shard, place, source_no, block), the mix in output order.
+    ``layout``: every row of ``documents`` (doc_id, source, row key) with its size and the place of its first
+    word in its source. ``slots``: (shard, place, source_no, block), the mix in output order.
     """
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sized = documents.select("doc_id", "source", words.alias("size"), F.xxhash64("text").alias("text_hash"))
+    sized = documents.select("doc_id", "source", words.alias("size"), F.xxhash64("text").alias("text_hash"),
+                             row_key("doc_id", "source", "text").alias("rkey"))
     sized = sized.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(CHUNKS)).cast("int"))
     sized = cut_lineage(sized, "mix-sizes")
     sources, shard_slots, _ = _sources(sized, seed)
@@ -132,7 +136,7 @@ def mix(documents: DataFrame, seed: int = 7) -> tuple[DataFrame, DataFrame, Data
     placed = sized.withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0)))
     t = totals.select(F.col("source").alias("s"), F.col("chunk").alias("c"), "chunk_first")
     layout = placed.join(t, (placed["chunk"] == t["c"]) & placed["source"].eqNullSafe(t["s"])).select(
-        "doc_id", "source", "size", "text_hash", (F.col("chunk_first") + F.col("before")).alias("first_word"))
+        "doc_id", "source", "size", "rkey", (F.col("chunk_first") + F.col("before")).alias("first_word"))
 
     @F.pandas_udf("long")
     def block_of(slot: pd.Series, blocks: pd.Series, source_no: pd.Series) -> pd.Series:
@@ -149,20 +153,84 @@ def mix(documents: DataFrame, seed: int = 7) -> tuple[DataFrame, DataFrame, Data
     return layout, slots, sources
 
 
-def taken(documents: DataFrame, seed: int = 7) -> DataFrame:
-    """One row per document: size, source_size, target and the words that the mix takes of it."""
+def pieces(documents: DataFrame, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+    """(rows, pieces): the layout with targets, and for each row its words per block with the times the mix takes them."""
     layout, slots, sources = mix(documents, seed)
     s = sources.select(F.col("source").alias("s"), "source_no", "source_size", "target")
     rows = layout.join(s, layout["source"].eqNullSafe(s["s"])).drop("s", "source")
     rows = cut_lineage(rows.withColumn("row", F.monotonically_increasing_id()), "mix-layout")
     last = F.col("first_word") + F.col("size") - 1
-    pieces = (rows.filter("size > 0")
-              .select("row", "source_no", "first_word", last.alias("last_word"),
-                      F.explode(F.sequence(F.floor(F.col("first_word") / BLOCK), F.floor(last / BLOCK))).alias("block"))
-              .withColumn("words", F.least("last_word", F.col("block") * BLOCK + BLOCK - 1)
-                          - F.greatest("first_word", F.col("block") * BLOCK) + 1))
+    cut = (rows.filter("size > 0")
+           .select("row", "source_no", "first_word", last.alias("last_word"),
+                   F.explode(F.sequence(F.floor(F.col("first_word") / BLOCK), F.floor(last / BLOCK))).alias("block"))
+           .withColumn("words", F.least("last_word", F.col("block") * BLOCK + BLOCK - 1)
+                       - F.greatest("first_word", F.col("block") * BLOCK) + 1))
     times = slots.groupBy("source_no", "block").agg(F.count("*").alias("times"))
-    got = (pieces.join(times, ["source_no", "block"]).groupBy("row")
-           .agg(F.sum(F.col("words") * F.col("times")).alias("taken")))
+    return rows, cut.join(times, ["source_no", "block"])
+
+
+def taken(documents: DataFrame, seed: int = 7) -> DataFrame:
+    """One row per document: size, source_size, target and the words that the mix takes of it."""
+    rows, cut = pieces(documents, seed)
+    got = cut.groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     return rows.join(got, "row", "left").select("doc_id", "size", "source_size", "target",
                                                 F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
+
+
+def passages(text: str, first: int, blocks: list[tuple[int, int]]) -> list[str]:
+    """The parts of a text that the mix takes: per pass, each run of neighbouring blocks is one part."""
+    spans = [m.span() for m in re.finditer(WORD, text)]
+    last, out = first + len(spans) - 1, []
+    for level in range(1, MAX_EPOCHS + 1):
+        taken_blocks = [b for b, t in blocks if t >= level]
+        runs: list[list[int]] = []
+        for b in taken_blocks:
+            if runs and runs[-1][1] == b - 1:
+                runs[-1][1] = b
+            else:
+                runs.append([b, b])
+        for a, b in runs:
+            i, j = max(first, a * BLOCK) - first, min(last, b * BLOCK + BLOCK - 1) - first
+            whole = i == 0 and j == len(spans) - 1
+            out.append(text if whole else text[spans[i][0]: spans[j][1]])
+    return out
+
+
+def mixed(documents: DataFrame, seed: int = 7) -> DataFrame:
+    """Pipeline form: the mix as rows of documents (columns unchanged).
+
+    A document taken whole keeps its text; otherwise every run of neighbouring blocks is a row with the
+    document's id and the run's text, and passes beyond the first repeat it. ``n_chars`` follows the text.
+    """
+    names = documents.columns
+    rows, cut = pieces(documents, seed)
+    # bounded by the blocks of one document
+    profile = cut.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("block", "times"))).alias("blocks"))
+    place = rows.select("row", "rkey", "first_word").join(profile, "row").select(
+        "rkey", "first_word", "blocks",
+        F.row_number().over(Window.partitionBy("rkey").orderBy("first_word")).alias("copy"))
+    own = documents.toDF(*[f"c{i}" for i in range(len(names))])
+    at = {c: f"c{names.index(c)}" for c in ("doc_id", "source", "text")}
+    key = row_key(at["doc_id"], at["source"], at["text"])
+    own = own.withColumn("rkey", key).withColumn("copy", F.row_number().over(Window.partitionBy("rkey").orderBy("rkey")))
+    joined = own.join(place, ["rkey", "copy"]).drop("rkey", "copy").withColumnRenamed(at["text"], "text")
+    kept = [c for c in joined.columns if c not in ("first_word", "blocks")]
+    chars = f"c{names.index('n_chars')}" if "n_chars" in names else None
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 20):
+                source, texts = [], []
+                columns = [part.column(c).to_pylist() for c in ("text", "first_word", "blocks")]
+                for i, (text, first, blocks) in enumerate(zip(*columns)):
+                    found = passages(text, first, [(b["block"], b["times"]) for b in blocks])
+                    texts += found
+                    source += [i] * len(found)
+                take = pa.array(source, pa.int64())
+                out = {c: part.column(c).take(take) for c in kept} | {"text": pa.array(texts, pa.string())}
+                if chars:
+                    out[chars] = pa.array([len(t) for t in texts], pa.int64()).cast(out[chars].type)
+                yield pa.RecordBatch.from_pydict({c: out[c] for c in kept})
+
+    schema = joined.select(kept).schema
+    return joined.mapInArrow(run, schema).toDF(*names)
