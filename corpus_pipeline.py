@@ -10,7 +10,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from adyield.llm import byte_pieces, language_parse
+from adyield.llm import byte_pieces, language_parse, mixing, ngram_join, sentence_spans
 from adyield.session import cut_lineage, prepare, table_path
 
 
@@ -19,12 +19,28 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return language_parse.keep_identified(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return ngram_join.one_of_each(docs)
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages that an earlier document holds."""
+    return sentence_spans.without_repeats(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sources mixed to their target weights."""
+    return mixing.mixed(docs)
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document of the mix."""
+    """Token ids of every row of the mix."""
     return byte_pieces.tokenise(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-STAGES = [("language ID", language), ("byte-level BPE", tokens)]
+STAGES = [("language ID", language), ("n-gram Jaccard join", near_duplicates), ("substring dedup", passages),
+          ("source mix", mix), ("byte-level BPE", tokens)]
 
 # Trained language samples, exact similarity components and tokenisation are not expressible in SQL.
 ORACLE_SQL = None
