@@ -1,9 +1,10 @@
 """Substring deduplication by sliding spans of sentences.
 
 A text is cut into sentence units (ends ``. ! ? ; :`` and commas before white
-space, and line ends). From every unit on, the shortest run of at least
-``MIN_UNITS`` consecutive units with at least ``MIN_WORDS`` words is hashed
-(words only, A-Z lower-cased). Runs are joined over all documents; the first
+space, and line ends). For every unit, the shortest run of at least
+``MIN_UNITS`` consecutive units with at least ``MIN_WORDS`` words that begins
+with it, and the one that ends with it, are hashed (words only, A-Z
+lower-cased). Runs are joined over all documents; the first
 occurrence (smallest doc_id, then first position) stays, and every sentence
 that a later occurrence covers is removed.
 
@@ -54,17 +55,21 @@ def runs(units: list[list[str]]) -> tuple[list[np.ndarray], list[np.ndarray], li
     down = np.multiply.accumulate(step)
     run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words.hash * up[:n], dtype=np.uint64)])
     unit = np.arange(len(flat))
-    end = np.searchsorted(upto, upto[:-1] + MIN_WORDS, "left")      # least end with enough words
-    end = np.maximum(end, unit + MIN_UNITS)
+    filled = upto[1:] > upto[:-1]                        # a run begins and ends with a unit that has words
+    ends = np.maximum(np.searchsorted(upto, upto[:-1] + MIN_WORDS, "left"), unit + MIN_UNITS)
+    starts = np.minimum(np.searchsorted(upto, upto[1:] - MIN_WORDS, "right") - 1, unit + 1 - MIN_UNITS)
     out = ([], [], [])
     for i in range(len(units)):
         a, b = first[i], first[i + 1]
-        s = unit[a:b][end[a:b] <= b]
-        e = end[s]
+        own = unit[a:b]
+        ahead, back = own[ends[a:b] <= b], own[starts[a:b] >= a]
+        pairs = np.unique(np.concatenate([ahead * (len(flat) + 1) + ends[ahead], starts[back] * (len(flat) + 1) + back + 1]))
+        s, e = pairs // (len(flat) + 1), pairs % (len(flat) + 1)
+        whole = filled[s] & filled[e - 1]
+        s, e = s[whole], e[whole]
         h = mix((run[upto[e]] - run[upto[s]]) * down[upto[s]] + (upto[e] - upto[s]).astype(np.uint64))
-        filled = upto[s + 1] > upto[s]                   # a run starts at a unit with words
         for part, v in zip(out, (s - a, e - a, h)):
-            part.append(v[filled])
+            part.append(v)
     return out
 
 
@@ -121,7 +126,7 @@ def dedup(documents: DataFrame) -> DataFrame:
                 gone = np.zeros(len(units[i]) + 1, np.int64)
                 h = hashes[i]
                 again = np.ones(len(h), bool)
-                again[np.unique(h, return_index=True)[1]] = False          # later in the same text
+                again[np.unique(h, return_index=True)[1]] = False          # later in the same text: runs come by start
                 if seen:
                     again |= np.isin(h, np.array(seen, np.int64).view(np.uint64))
                 np.add.at(gone, starts[i][again], 1)
