@@ -15,15 +15,18 @@ from pyspark.sql.types import DataType, DateType, TimestampNTZType, TimestampTyp
 ROAS_MAX = 50.0
 BUDGET_RATIO_MAX = 3.0
 
-# Date text layouts accepted by the raw readers, tried in this order.
-DATE_FORMATS = (
-    "yyyy-MM-dd",
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy/MM/dd",
-    "MM/dd/yyyy",
-    "yyyyMMdd",
+# Date text layouts accepted by the raw readers, tried in this order, as a pattern and the
+# places of year, month and day among its groups. A time, fraction and offset may follow any of them.
+DATE_LAYOUTS = (
+    (r"(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})", (1, 2, 3)),        # 2024-01-05, 2024/1/5
+    (r"(\d{4})(\d{2})(\d{2})", (1, 2, 3)),                      # 20240105
+    (r"(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})", (3, 1, 2)),        # 1/5/2024
+    (r"(\d{1,2})[-/.](\d{1,2})[-/.](\d{2})", (3, 1, 2)),        # 01/05/24
+    (r"([A-Za-z]{3,9})\.? +(\d{1,2}),? +(\d{4})", (3, 1, 2)),   # Jan 5, 2024
+    (r"(\d{1,2})[- ]([A-Za-z]{3,9})[- ,]+(\d{4})", (3, 2, 1)),   # 5-Jan-2024
 )
+DATE_TAIL = r"(?:[T ,]+\d{1,2}:\d{2}(?::\d{2}(?:[.,]\d+)?)? *(?:[AaPp][Mm])? *(?:Z|UTC|GMT|[+-]\d{2}:?\d{0,2})?)?"
+MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 
 
 def col_(c: Column | str) -> Column:
@@ -90,19 +93,31 @@ def budget_ratio_forecast(new_spend: Column | str, budget: Column | str) -> Colu
                   clip(new_spend / budget, 0.0, BUDGET_RATIO_MAX)).otherwise(F.lit(1.0))
 
 
-def parse_date(c: Column | str, dtype: DataType | None = None,
-               formats: tuple[str, ...] = DATE_FORMATS) -> Column:
+def _layout_date(text: Column, pattern: str, places: tuple[int, int, int]) -> Column:
+    """The date that ``text`` holds in one layout, else NULL."""
+    whole = f"^{pattern}{DATE_TAIL}$"
+    year, month, day = (F.regexp_extract(text, whole, k) for k in places)
+    if "A-Za-z" in pattern:
+        month = F.array_position(F.lit(MONTHS), F.lower(F.substring(month, 1, 3))).cast("string")
+    year = F.when(F.length(year) == 2, F.concat(F.when(year.try_cast("int") < 69, "20").otherwise("19"), year)).otherwise(year)
+    # day and month change places only where the text can be read no other way
+    first = F.try_to_timestamp(F.concat_ws("-", year, month, day), F.lit("yyyy-M-d"))
+    swapped = F.try_to_timestamp(F.concat_ws("-", year, day, month), F.lit("yyyy-M-d"))
+    return F.when(F.regexp_like(text, F.lit(whole)), F.coalesce(first, swapped) if places == (3, 1, 2) else first)
+
+
+def parse_date(c: Column | str, dtype: DataType | None = None, layouts=DATE_LAYOUTS) -> Column:
     """Raw date -> DateType; unparseable -> NULL.
 
-    Typed inputs are truncated to the day; text is tried against one declared
-    list of layouts (pandas would infer a single layout from the first value).
+    Typed inputs are truncated to the day; every text is tried against the declared layouts by itself, and
+    the day is the one written, whatever time or offset follows. ``normalize.invalid_date_counts`` reports
+    what is dropped.
     """
     c = col_(c)
     if isinstance(dtype, (DateType, TimestampType, TimestampNTZType)):
         return F.to_date(c)
     text = F.trim(c.cast("string"))
-    parsed = [F.try_to_timestamp(text, F.lit(fmt)) for fmt in formats]
-    return F.to_date(F.coalesce(*parsed))
+    return F.to_date(F.coalesce(*[_layout_date(text, p, k) for p, k in layouts]))
 
 
 # ---------------------------------------------------------------- calendar

@@ -58,6 +58,9 @@ PORTFOLIO_PROMPT = (
 MISSING_CHANNEL_SUMMARY = "Causal summary not available."
 MISSING_PORTFOLIO_SUMMARY = "Aggregate causal summary not available."
 NO_ANOMALIES = "None detected"
+# The insight page's defaults, per scope.
+MISSING_NARRATIVE = "Aggregate narrative not generated in model cache."
+MISSING_INSIGHT = "{channel} summary not available in cache."
 
 
 def ratio2(c: Column | str) -> Column:

@@ -1,4 +1,4 @@
-"""Aggregations over canonical and daily tables.
+"""Aggregations over canonical and daily tables.
 
 A1 is the only step whose input grows with the raw data: it is a hash
 aggregate with map-side partial sums, so a hot (date, channel, type) key is
@@ -47,24 +47,9 @@ def channel_status(canonical: DataFrame) -> DataFrame:
         F.coalesce(F.sum("revenue"), F.lit(0.0)).alias("revenue"))
 
 
-def campaign_types_by_scope(df: DataFrame) -> DataFrame:
-    """Distinct campaign types per channel and overall (scope 'all') as sorted lists (A10)."""
-    per_channel = df.groupBy(F.col("channel").alias("scope")).agg(
-        F.array_sort(F.collect_set("campaign_type")).alias("campaign_types"))
-    overall = df.agg(F.lit("all").alias("scope"),
-                     F.array_sort(F.collect_set("campaign_type")).alias("campaign_types"))
-    return per_channel.unionByName(overall)
-
-
 def training_metadata(features: DataFrame) -> DataFrame:
     """min date, max date, rows of the training table."""
     return features.agg(
         F.date_format(F.min("date"), "yyyy-MM-dd").alias("min_date"),
         F.date_format(F.max("date"), "yyyy-MM-dd").alias("max_date"),
         F.count(F.lit(1)).alias("num_rows"))
-
-
-def group_sizes(features: DataFrame, dedicated_min_rows: int = 60) -> DataFrame:
-    """Rows per (channel, campaign_type) and whether the group gets its own model (A15, M4 gate)."""
-    return features.groupBy(*GROUP_KEYS).agg(F.count(F.lit(1)).alias("rows")) \
-        .withColumn("dedicated", F.col("rows") >= dedicated_min_rows)

@@ -10,6 +10,9 @@ current row (T11), as the reference does.
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,17 +60,40 @@ def rolling_std(src: str, n: int) -> F.Column:
 
 
 def observed_values(daily: DataFrame) -> tuple[list[str], list[str]]:
-    """Distinct channels and campaign types (F9, F10). One small collect: one row per group."""
-    rows = daily.select(*GROUP_KEYS).distinct().collect()
-    channels = sorted({r["channel"] for r in rows if r["channel"] is not None})
-    types = sorted({r["campaign_type"] for r in rows if r["campaign_type"] is not None})
-    return channels, types
+    """Distinct channels and campaign types (F9, F10): the values that become columns."""
+    found = [sorted(r[0] for r in daily.select(c).where(F.col(c).isNotNull()).distinct().collect()) for c in GROUP_KEYS]
+    return found[0], found[1]
+
+
+def dummy_name(prefix: str, value: str, plain: str) -> str:
+    """Column name of a one-hot value: a function of the value alone, so training and scoring tables agree.
+
+    Values of ``plain`` characters (one letter case) keep their own name. Any other value, which could clash with
+    another in a case-insensitive schema or need quoting, has odd characters replaced and a digest appended.
+    """
+    if re.fullmatch(plain, value):
+        return prefix + value
+    return f"{prefix}{re.sub('[^A-Za-z0-9_]', '_', value)}_{hashlib.md5(value.encode()).hexdigest()[:10]}"
+
+
+def type_column(campaign_type: str) -> str:
+    return dummy_name(TYPE_PREFIX, campaign_type, "[A-Z0-9_]+")
+
+
+def channel_column(channel: str) -> str:
+    return dummy_name("channel_", channel, "[a-z0-9_]+")
+
+
+def channel_dummies(channels: list[str]) -> dict[str, str]:
+    """Column -> channel: observed channels in sorted order, then any guaranteed channel not observed."""
+    names = {channel_column(c): c for c in sorted(channels)}
+    return names | {channel_column(c): c for c in GUARANTEED_CHANNELS if channel_column(c) not in names}
 
 
-def channel_dummy_names(channels: list[str]) -> list[str]:
-    """Observed channels in sorted order, then any guaranteed channel not observed."""
-    names = [f"channel_{c}" for c in sorted(channels)]
-    return names + [n for n in CHANNEL_DUMMIES if n not in names]
+def feature_values(channels: list[str], types: list[str]) -> list[tuple[str, str, str]]:
+    """(feature, key column, value) of every one-hot column: the name-to-value table kept with a bundle."""
+    return ([(n, "channel", c) for n, c in channel_dummies(channels).items()]
+            + [(type_column(t), "campaign_type", t) for t in sorted(types)])
 
 
 def build_features(daily: DataFrame, channels: list[str] | None = None,
@@ -75,7 +101,7 @@ def build_features(daily: DataFrame, channels: list[str] | None = None,
     """Daily table -> feature table (the Parquet schema of S5).
 
     ``channels``/``types`` fix the one-hot columns; by default they are the
-    observed values (the only driver-side collect in the library). ``daily``
+    observed values (one small collect per key column). ``daily``
     is read for those values, for the global first date and for the windows,
     so pass a materialised table (``plans.pipeline`` does) rather than a plan
     over raw data.
@@ -93,10 +119,8 @@ def build_features(daily: DataFrame, channels: list[str] | None = None,
     cols += [rolling_mean(src, n).alias(f"rolling_{n}d_{src}_mean") for src, n in ROLLING_MEANS]
     cols.append(rolling_std("revenue", ROLLING_STD_ROWS).alias("rolling_7d_revenue_std"))
     cols.append(budget_ratio_feature("spend", "daily_budget").alias("spend_vs_budget_ratio"))
-    for name in channel_dummy_names(channels):
-        cols.append((F.col("channel") == F.lit(name[len("channel_"):])).cast("long").alias(name))
-    for t in sorted(types):
-        cols.append((F.col("campaign_type") == F.lit(t)).cast("long").alias(f"{TYPE_PREFIX}{t}"))
+    for name, key, value in feature_values(channels, types):
+        cols.append((F.col(key) == F.lit(value)).cast("long").alias(name))
     return df.select(*cols)
 
 

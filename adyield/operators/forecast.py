@@ -17,6 +17,7 @@ from .scenarios import (HORIZONS, SCENARIOS, WHAT_IF_HORIZON, YIELD_CHANNELS, sc
                         what_if_frame, yield_frame)
 from .stats import summary_lookup
 
+# The columns of the predictions table, in order.
 PREDICTION_COLUMNS = ["forecast_period_days", "channel", "campaign_type", "revenue_p10", "revenue_p50",
                       "revenue_p90", "roas_p10", "roas_p50", "roas_p90", "spend_input", "budget_scenario",
                       "causal_summary"]
@@ -33,46 +34,22 @@ def scored_intervals(frame: DataFrame, models: FittedModels, draws: str = "numpy
                      samples=models.samples(draws))
 
 
-def group_predictions(features: DataFrame, feature_cols: list[str], models: FittedModels,
-                      summary_table: DataFrame | None = None, draws: str = "numpy",
-                      horizons=HORIZONS, scenarios=SCENARIOS) -> DataFrame:
-    """groups x horizons x scenarios prediction rows."""
-    frame = scenario_frame(features, feature_cols, horizons, scenarios)
-    rows = scored_intervals(frame, models, draws)
-    if summary_table is None:
-        return rows.withColumn("causal_summary", F.lit(None).cast("string")).select(*PREDICTION_COLUMNS)
-    return summary_lookup(rows, summary_table).select(*PREDICTION_COLUMNS)
-
-
-def rollup(rows: DataFrame, summary_table: DataFrame | None = None) -> DataFrame:
-    """'all'/'all' rows per (horizon, scenario): sums of spend and revenue quantiles; ratios from the sums."""
-    s = rows.groupBy("forecast_period_days", "budget_scenario").agg(
-        F.sum("spend_input").alias("spend_input"),
-        *[F.sum(f"revenue_{p}").alias(f"revenue_{p}") for p in ("p10", "p50", "p90")])
-    ratio = {p: F.when(F.col("spend_input") > 0,
-                       clip(F.coalesce(F.col(f"revenue_{p}") / F.col("spend_input"), F.lit(0.0)), 0.0, 50.0)
-                       ).otherwise(F.lit(0.0)) for p in ("p10", "p50", "p90")}
-    out = s.select("forecast_period_days", F.lit("all").alias("channel"), F.lit("all").alias("campaign_type"),
-                   "revenue_p10", "revenue_p50", "revenue_p90",
-                   *[ratio[p].alias(f"roas_{p}") for p in ("p10", "p50", "p90")],
-                   "spend_input", "budget_scenario")
-    if summary_table is None:
-        return out.withColumn("causal_summary", F.lit(MISSING_PORTFOLIO_SUMMARY))
-    return summary_lookup(out, summary_table).select(*PREDICTION_COLUMNS)
-
-
 def predictions(features: DataFrame, feature_cols: list[str], models: FittedModels,
                 summary_table: DataFrame | None = None, draws: str = "numpy",
-                base: DataFrame | None = None) -> DataFrame:
-    """Group rows plus rollup rows in one aggregate (A6, U2), predictions schema; sort at the sink (O3).
+                base: DataFrame | None = None, min_date: str | None = None) -> DataFrame:
+    """Groups x horizons x scenarios plus the portfolio rollup (M11, U2); sort at the sink (O3)."""
+    frame = scenario_frame(features, feature_cols, HORIZONS, SCENARIOS, base, min_date)
+    return with_rollup(scored_intervals(frame, models, draws), summary_table)
+
+
+def with_rollup(rows: DataFrame, summary_table: DataFrame | None = None) -> DataFrame:
+    """Group rows plus 'all'/'all' rows per (horizon, scenario) in one aggregate (A6), predictions schema.
 
     GROUPING SETS ((horizon, scenario, channel, type), (horizon, scenario)): a
     group-level set has exactly one row, so its sums are the row's own values
     and its ratios are taken as they are; the (horizon, scenario) set is the
     portfolio rollup, whose ratios come from the sums (T19).
     """
-    frame = scenario_frame(features, feature_cols, HORIZONS, SCENARIOS, base)
-    rows = scored_intervals(frame, models, draws)
     keys = ["forecast_period_days", "budget_scenario", "channel", "campaign_type"]
     g = rows.groupingSets([keys, keys[:2]], *keys).agg(
         F.grouping("channel").alias("_portfolio"),
@@ -102,9 +79,10 @@ def sort_predictions(pred: DataFrame) -> DataFrame:
 
 
 def what_if(features: DataFrame, feature_cols: list[str], models: FittedModels, multipliers: DataFrame,
-            horizon: int = WHAT_IF_HORIZON, draws: str = "numpy", base: DataFrame | None = None) -> DataFrame:
+            horizon: int = WHAT_IF_HORIZON, draws: str = "numpy", base: DataFrame | None = None,
+            min_date: str | None = None) -> DataFrame:
     """Per group: spend_input and revenue p10/p50/p90, ratio p50 under per-channel multipliers."""
-    frame = what_if_frame(features, feature_cols, multipliers, horizon, base)
+    frame = what_if_frame(features, feature_cols, multipliers, horizon, base, min_date)
     rows = scored_intervals(frame, models, draws)
     return rows.select(*GROUP_KEYS, "spend_input", "revenue_p10", "revenue_p50", "revenue_p90", "roas_p50")
 
@@ -119,9 +97,9 @@ def what_if_totals(sim: DataFrame) -> DataFrame:
 
 def yield_curve(features: DataFrame, feature_cols: list[str], models: FittedModels,
                 horizon: int = WHAT_IF_HORIZON, draws: str = "numpy", channels=YIELD_CHANNELS,
-                base: DataFrame | None = None) -> DataFrame:
+                base: DataFrame | None = None, min_date: str | None = None) -> DataFrame:
     """Per (channel, multiplier): summed revenue p50 and spend; points without spend dropped."""
-    frame = yield_frame(features, feature_cols, horizon, channels, base)
+    frame = yield_frame(features, feature_cols, horizon, channels, base, min_date)
     rows = scored_intervals(frame, models, draws)
     curve = rows.groupBy("channel", "multiplier").agg(
         F.sum(F.col("base_spend") * F.col("multiplier") * F.col("forecast_period_days")).alias("spend"),

@@ -1,17 +1,16 @@
-"""Small gradient-boosted regression trees for one group's rows (used inside ``applyInPandas``).
-
-Spark partitions and shuffles the groups; this helper only fits the rows of
-one (channel, campaign_type) group, which are bounded by the number of days.
-Squared loss, depth-limited trees over per-feature bins (one bin per
-distinct value up to 255 values, so small groups split exactly), row
-subsampling, the same hyper-parameters as the fallback model. Median imputation and
-standardisation are applied first, as in the fallback pipeline. Results are
-not bit-identical to any other library's trees.
+"""Default learner for one group's rows: boosted regression trees with exact splits.
+
+Spark partitions and shuffles the groups; a learner only ever sees the rows of
+one (channel, campaign_type) group, one per day. ``models.fit_boosted`` takes
+any object with ``fit``, ``predict`` and ``MODEL`` (the Spark type that holds
+a fitted model), so this module can be replaced where another learner is
+installed. Squared loss, depth-limited trees, row subsampling; every distinct
+value is a possible split, however many there are. Missing values take the
+column's median. Standardising would not move any split, so it is left out.
 """
 
 from __future__ import annotations
 
-import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,136 +18,96 @@ import numpy as np
 
 @dataclass(frozen=True)
 class BoostParams:
+    """Hyper-parameters of the boosted models.
+
+    ``max_bins`` and ``partitions`` concern the fallback model, which Spark ML fits: candidate splits per
+    feature, and the partitions its row sampling follows. Both are fixed numbers, so the size of the table
+    never picks the model.
+    """
     n_estimators: int = 200
     learning_rate: float = 0.05
     max_depth: int = 4
     min_samples_leaf: int = 5
     subsample: float = 0.8
     seed: int = 42
+    max_bins: int = 256
+    partitions: int = 8
 
 
-MAX_BINS = 255
+# Spark type of a fitted model: start value, medians, and per tree its nodes (feature -1: a leaf).
+MODEL = ("struct<start: double, rate: double, medians: array<double>, trees: array<struct<feature: array<int>, "
+         "threshold: array<double>, left: array<int>, right: array<int>, value: array<double>>>>")
 
 
-def _bin(x: np.ndarray, max_bins: int = MAX_BINS):
-    """Per-feature bin codes and split thresholds.
+def best_split(x: np.ndarray, r: np.ndarray, min_leaf: int) -> tuple[int, float] | None:
+    """The (feature, threshold) that lowers the squared error of ``r`` most, or None if none does.
 
-    Features with at most ``max_bins`` distinct values get one bin per value
-    (splits are then exact); others get quantile edges.
+    Ties go to the smaller feature number, then the smaller threshold.
     """
-    n, p = x.shape
-    codes = np.empty((n, p), dtype=np.int32)
-    cuts = []
-    for j in range(p):
-        u = np.unique(x[:, j])
-        if len(u) > max_bins:
-            u = np.unique(np.quantile(x[:, j], np.linspace(0.0, 1.0, max_bins)))
-        mids = 0.5 * (u[:-1] + u[1:])
-        # Adjacent floats: a midpoint may round onto the upper value; cut at the lower one then.
-        mids = np.where(mids >= u[1:], u[:-1], mids)
-        codes[:, j] = np.searchsorted(mids, x[:, j], side="left")
-        cuts.append(mids)
-    return codes, cuts
-
-
-def _best_split(codes: np.ndarray, r: np.ndarray, n_bins: int, min_leaf: int):
-    m, p = codes.shape
+    m = len(r)
     if m < 2 * min_leaf:
         return None
-    flat = (codes + (np.arange(p) * n_bins)[None, :]).ravel()
-    sums = np.bincount(flat, weights=np.repeat(r, p), minlength=p * n_bins).reshape(p, n_bins)
-    cnts = np.bincount(flat, minlength=p * n_bins).reshape(p, n_bins).astype(float)
-    s_left = np.cumsum(sums, axis=1)[:, :-1]
-    n_left = np.cumsum(cnts, axis=1)[:, :-1]
-    total = r.sum()
-    n_right = m - n_left
-    valid = (n_left >= min_leaf) & (n_right >= min_leaf)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        gain = s_left ** 2 / n_left + (total - s_left) ** 2 / n_right
-    gain = np.where(valid, gain, -np.inf)
-    j, b = divmod(int(np.argmax(gain)), n_bins - 1)
-    if not np.isfinite(gain[j, b]) or gain[j, b] <= total ** 2 / m + 1e-12:
+    order = np.argsort(x, axis=0, kind="stable")
+    values = np.take_along_axis(x, order, 0)
+    left, total = np.cumsum(r[order], 0)[:-1], r.sum()
+    n = np.arange(1, m)[:, None]
+    gain = left ** 2 / n + (total - left) ** 2 / (m - n)
+    gain[values[1:] == values[:-1]] = -np.inf
+    gain[: min_leaf - 1] = gain[m - min_leaf:] = -np.inf
+    j, i = divmod(int(np.argmax(gain.T)), m - 1)
+    if not gain[i, j] > total ** 2 / m + 1e-12:
         return None
-    return j, b
+    low, high = values[i, j], values[i + 1, j]
+    middle = low + (high - low) / 2
+    return j, float(middle if middle < high else low)
 
 
-def _grow(codes: np.ndarray, cuts: list, r: np.ndarray, max_depth: int, min_leaf: int):
-    n_bins = max(len(c) for c in cuts) + 1 if cuts else 1
-    feature, threshold, left, right, value = [], [], [], [], []
+def _tree(x: np.ndarray, r: np.ndarray, params: BoostParams) -> dict:
+    tree = {"feature": [], "threshold": [], "left": [], "right": [], "value": []}
 
     def node(rows: np.ndarray, depth: int) -> int:
-        nid = len(feature)
-        feature.append(-1); threshold.append(0.0); left.append(-1); right.append(-1)
-        value.append(float(r[rows].mean()) if rows.size else 0.0)
-        split = _best_split(codes[rows], r[rows], n_bins, min_leaf) if depth < max_depth and n_bins > 1 else None
-        if split is not None:
-            j, b = split
-            go_left = codes[rows, j] <= b
-            feature[nid], threshold[nid] = j, float(cuts[j][b])
-            left[nid] = node(rows[go_left], depth + 1)
-            right[nid] = node(rows[~go_left], depth + 1)
-        return nid
-
-    node(np.arange(codes.shape[0]), 0)
-    return (np.array(feature, np.int32), np.array(threshold), np.array(left, np.int32),
-            np.array(right, np.int32), np.array(value))
-
-
-def _apply_tree(tree, x: np.ndarray) -> np.ndarray:
-    feature, threshold, left, right, value = tree
-    at = np.zeros(x.shape[0], dtype=np.int32)
-    while True:
-        f = feature[at]
-        inner = f >= 0
-        if not inner.any():
-            return value[at]
-        xi = x[np.arange(x.shape[0]), np.where(inner, f, 0)]
-        nxt = np.where(xi <= threshold[at], left[at], right[at])
-        at = np.where(inner, nxt, at)
-
-
-def _prepare(x: np.ndarray, med: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
-    x = np.where(np.isnan(x), med, x)
-    return (x - mean) / scale
+        k = len(tree["feature"])
+        for name, v in (("feature", -1), ("threshold", 0.0), ("left", -1), ("right", -1), ("value", float(r[rows].mean()))):
+            tree[name].append(v)
+        split = best_split(x[rows], r[rows], params.min_samples_leaf) if depth < params.max_depth else None
+        if split:
+            tree["feature"][k], tree["threshold"][k] = split
+            below = x[rows, split[0]] <= split[1]
+            tree["left"][k] = node(rows[below], depth + 1)
+            tree["right"][k] = node(rows[~below], depth + 1)
+        return k
 
+    node(np.arange(len(r)), 0)
+    return tree
 
-def fit(x: np.ndarray, y: np.ndarray, params: BoostParams = BoostParams()) -> dict:
-    """Fit on one group's rows; returns a plain dict of arrays."""
-    x = np.asarray(x, dtype=float)
-    y = np.asarray(y, dtype=float)
-    with np.errstate(all="ignore"):
-        med = np.nanmedian(x, axis=0)
-    med = np.where(np.isnan(med), 0.0, med)
-    filled = np.where(np.isnan(x), med, x)
-    mean = filled.mean(axis=0)
-    scale = filled.std(axis=0)
-    scale = np.where(scale > 0, scale, 1.0)
-    xs = (filled - mean) / scale
-    codes, cuts = _bin(xs)
-    rng = np.random.RandomState(params.seed)
-    init = float(y.mean()) if y.size else 0.0
-    pred = np.full(y.shape[0], init)
-    n_sub = max(1, int(params.subsample * y.shape[0]))
-    trees = []
-    for _ in range(params.n_estimators):
-        rows = np.sort(rng.permutation(y.shape[0])[:n_sub]) if params.subsample < 1.0 else np.arange(y.shape[0])
-        tree = _grow(codes[rows], cuts, (y - pred)[rows], params.max_depth, params.min_samples_leaf)
-        pred = pred + params.learning_rate * _apply_tree(tree, xs)
-        trees.append(tree)
-    return {"init": init, "lr": params.learning_rate, "med": med, "mean": mean, "scale": scale, "trees": trees}
 
+def _values(tree: dict, x: np.ndarray) -> np.ndarray:
+    feature, threshold, left, right, value = (np.asarray(tree[k]) for k in ("feature", "threshold", "left", "right", "value"))
+    at = np.zeros(len(x), np.int64)
+    while (inner := feature[at] >= 0).any():
+        below = x[np.arange(len(x)), np.maximum(feature[at], 0)] <= threshold[at]
+        at = np.where(inner, np.where(below, left[at], right[at]), at)
+    return value[at]
 
-def predict(model: dict, x: np.ndarray) -> np.ndarray:
-    xs = _prepare(np.asarray(x, dtype=float), model["med"], model["mean"], model["scale"])
-    out = np.full(xs.shape[0], model["init"])
-    for tree in model["trees"]:
-        out = out + model["lr"] * _apply_tree(tree, xs)
-    return out
 
+def _filled(x: np.ndarray, medians) -> np.ndarray:
+    return np.where(np.isnan(x), np.asarray(medians, float), x)
 
-def dumps(model: dict) -> bytes:
-    return pickle.dumps(model, protocol=pickle.HIGHEST_PROTOCOL)
 
+def fit(x: np.ndarray, y: np.ndarray, params: BoostParams = BoostParams()) -> dict:
+    """Fit one group's rows (at least one row)."""
+    known = [c[~np.isnan(c)] for c in x.T]
+    medians = [float(np.median(c)) if len(c) else 0.0 for c in known]
+    x = _filled(x, medians)
+    rng, now, trees = np.random.RandomState(params.seed), np.full(len(y), y.mean()), []
+    take = max(1, int(params.subsample * len(y)))
+    for _ in range(params.n_estimators):
+        rows = np.sort(rng.permutation(len(y))[:take])
+        trees.append(_tree(x[rows], (y - now)[rows], params))
+        now = now + params.learning_rate * _values(trees[-1], x)
+    return {"start": float(y.mean()), "rate": params.learning_rate, "medians": medians, "trees": trees}
 
-def loads(blob: bytes) -> dict:
-    return pickle.loads(blob)
+
+def predict(model: dict, x: np.ndarray) -> np.ndarray:
+    x = _filled(x, model["medians"])
+    return model["start"] + model["rate"] * sum((_values(t, x) for t in model["trees"]), np.zeros(len(x)))

@@ -2,12 +2,12 @@
 
 Two model families share one interface (``FittedModels``):
 
-* ``fit_boosted``: the default. Fallback models for revenue and ratio are Spark ML
-  pipelines (median Imputer -> VectorAssembler -> StandardScaler ->
-  GBTRegressor) trained on all rows (M1-M3). Groups with at least 60 rows
-  get dedicated models fitted per group with ``groupBy().applyInPandas``
-  (M4); a group's rows are bounded by its days, so one task per group is
-  safe. The fit output is checkpointed so a lost executor does not refit.
+* ``fit_boosted``: the default. The fallback models for revenue and ratio are fitted by
+  Spark ML on all rows: exact column medians fill missing values, then VectorAssembler ->
+  StandardScaler once for both targets, then a GBTRegressor per target (M1-M3). Groups with
+  at least 60 rows get dedicated models, fitted per group with
+  ``groupBy().applyInPandas`` by a replaceable learner (M4); a group's rows are bounded by
+  its days. The fits are written to the shared folder, so a lost executor does not refit.
 * ``fit_linear``: a verification stand-in whose predictions SQL can
   reproduce: per group ``regr_intercept + regr_slope * spend`` (SURVEY 7.3).
 
@@ -62,9 +62,11 @@ class FittedModels:
         return self._samples[mode]
 
 
-def pool_key(channel: F.Column | str = "channel", campaign_type: F.Column | str = "campaign_type") -> F.Column:
-    return F.concat_ws("__", F.col(channel) if isinstance(channel, str) else channel,
-                       F.col(campaign_type) if isinstance(campaign_type, str) else campaign_type)
+def pool_key(channel: str = "channel", campaign_type: str = "campaign_type") -> F.Column:
+    """``channel__type``; where that could be read in two ways, the channel's length goes in front."""
+    c, t = F.col(channel), F.col(campaign_type)
+    unclear = c.contains("__") | t.contains("__") | c.endswith("_") | t.startswith("_")
+    return F.concat(F.when(unclear, F.concat(F.length(c).cast("string"), F.lit(":"))).otherwise(F.lit("")), c, F.lit("__"), t)
 
 
 def _stack_targets(df: DataFrame, residual_cols: dict[str, F.Column]) -> DataFrame:
@@ -153,133 +155,130 @@ def restore_linear(tables: dict, residuals: DataFrame) -> FittedModels:
 
 # ----------------------------------------------------------------------------- boosted trees
 
-def fallback_pipeline(feature_cols: list[str], target: str, params: gbt.BoostParams):
-    """Spark ML pipeline of the fallback model (M1-M3); intermediate columns are per target."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
+FILLED, SCALED = "_filled", "_scaled"
 
-    imputed = [f"_{target}_imp_{i}" for i in range(len(feature_cols))]
-    return Pipeline(stages=[
-        Imputer(inputCols=feature_cols, outputCols=imputed, strategy="median"),
-        VectorAssembler(inputCols=imputed, outputCol=f"_{target}_vec"),
-        StandardScaler(inputCol=f"_{target}_vec", outputCol=f"_{target}_std", withMean=True, withStd=True),
-        GBTRegressor(featuresCol=f"_{target}_std", labelCol=target, predictionCol=f"pred_{target}",
-                     maxIter=params.n_estimators, stepSize=params.learning_rate, maxDepth=params.max_depth,
-                     minInstancesPerNode=params.min_samples_leaf, subsamplingRate=params.subsample,
-                     seed=params.seed),
-    ])
 
+def median_surrogates(features: DataFrame, feature_cols: list[str]) -> DataFrame:
+    """(feature, median): the exact median that fills a column's missing values; 0 for an all-null column (M2)."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.coalesce(F.median(F.col(c).cast("double")), F.lit(0.0)).alias("median"))
+                      for c in feature_cols])
+    return features.agg(pairs.alias("_p")).select(F.explode("_p").alias("_p")).select("_p.*")
 
-TRAIN_PARTITION_BYTES = 64 << 20
 
+def fill_medians(df: DataFrame, medians: dict[str, float]) -> DataFrame:
+    """The columns as doubles, missing values replaced."""
+    return df.withColumns({c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), F.lit(m))
+                           for c, m in medians.items()})
 
-def training_partitions(features: DataFrame, n_cols: int) -> int:
-    """Partitions for the fallback training input: rows x columns x 8 bytes / 64 MB, at least 1."""
-    rows = features.count()
-    return max(1, -(-rows * (n_cols + 4) * 8 // TRAIN_PARTITION_BYTES))
 
+def preparation(feature_cols: list[str]):
+    """Assemble and standardise the filled columns, once for both targets (M3)."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+    return Pipeline(stages=[VectorAssembler(inputCols=feature_cols, outputCol=FILLED),
+                            StandardScaler(inputCol=FILLED, outputCol=SCALED, withMean=True, withStd=True)])
 
-def _fallback_score(fallback: dict, df: DataFrame) -> DataFrame:
-    cols = df.columns
-    out = df
+
+def fallback_regressor(target: str, params: gbt.BoostParams):
+    """The fallback model of one target (M1)."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.regression import GBTRegressor
+    return Pipeline(stages=[GBTRegressor(
+        featuresCol=SCALED, labelCol=target, predictionCol=f"pred_{target}", maxIter=params.n_estimators,
+        stepSize=params.learning_rate, maxDepth=params.max_depth, minInstancesPerNode=params.min_samples_leaf,
+        subsamplingRate=params.subsample, maxBins=params.max_bins, seed=params.seed)])
+
+
+def _fallback_score(fallback: dict, medians: DataFrame, df: DataFrame) -> DataFrame:
+    # one row per feature: small
+    surrogates = {r["feature"]: r["median"] for r in medians.collect()}
+    # the filled columns stay inside: the caller's columns come back as they were
+    out = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("_row"), *surrogates)
+    out = fallback["prepare"].transform(fill_medians(out, surrogates)).select("_row", SCALED)
     for t in TARGETS:
         out = fallback[t].transform(out)
-    return out.select(*cols, *[F.col(f"pred_{t}") for t in TARGETS])
-
+    return out.select("_row.*", *[F.col(f"pred_{t}") for t in TARGETS])
 
-FIT_SCHEMA = T.StructType([
-    T.StructField("channel", T.StringType()), T.StructField("campaign_type", T.StringType()),
-    T.StructField("kind", T.StringType()), T.StructField("target", T.StringType()),
-    T.StructField("date", T.DateType()), T.StructField("residual", T.DoubleType()),
-    T.StructField("model", T.BinaryType()),
-])
 
-
-def _group_fitter(feature_cols: list[str], params: gbt.BoostParams):
+def _group_fitter(feature_cols: list[str], params: gbt.BoostParams, learner):
     def fit_group(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date", kind="stable")
-        x = pdf[feature_cols].to_numpy(dtype=float)
-        ch, ty = pdf["channel"].iloc[0], pdf["campaign_type"].iloc[0]
-        kinds, targets, dates, residuals, blobs = [], [], [], [], []
+        x, rows = pdf[feature_cols].to_numpy(dtype=float), []
         for t in TARGETS:
             y = pdf[t].to_numpy(dtype=float)
-            model = gbt.fit(x, y, params)
-            res = y - gbt.predict(model, x)
-            kinds += ["model"] + ["residual"] * len(res)
-            targets += [t] * (len(res) + 1)
-            dates += [None] + list(pdf["date"])
-            residuals += [None] + res.tolist()
-            blobs += [gbt.dumps(model)] + [None] * len(res)
-        return pd.DataFrame({"channel": ch, "campaign_type": ty, "kind": kinds, "target": targets,
-                             "date": dates, "residual": residuals, "model": blobs})
+            model = learner.fit(x, y, params)
+            rows.append(("model", t, None, None, model))
+            rows += [("residual", t, d, r, None) for d, r in zip(pdf["date"], (y - learner.predict(model, x)).tolist())]
+        out = pd.DataFrame(rows, columns=["kind", "target", "date", "residual", "model"])
+        return out.assign(channel=pdf["channel"].iloc[0], campaign_type=pdf["campaign_type"].iloc[0])
     return fit_group
 
 
-def _group_scorer(feature_cols: list[str], out_cols: list[str]):
+def _group_scorer(feature_cols: list[str], out_cols: list[str], learner):
     def score_group(frame: pd.DataFrame, models: pd.DataFrame) -> pd.DataFrame:
         if frame.empty:
             return pd.DataFrame(columns=out_cols)
-        x = frame[feature_cols].to_numpy(dtype=float)
-        out = frame.copy()
+        x, out = frame[feature_cols].to_numpy(dtype=float), frame.copy()
         for t in TARGETS:
-            blob = models.loc[models["target"] == t, "model"].iloc[0]
-            out[f"pred_{t}"] = gbt.predict(gbt.loads(bytes(blob)), x)
+            out[f"pred_{t}"] = learner.predict(models.loc[models["target"] == t, "model"].iloc[0], x)
         return out[out_cols]
     return score_group
 
 
 def fit_boosted(features: DataFrame, feature_cols: list[str], params: gbt.BoostParams = gbt.BoostParams(),
-                dedicated_min_rows: int = DEDICATED_MIN_ROWS) -> FittedModels:
+                dedicated_min_rows: int = DEDICATED_MIN_ROWS, learner=gbt) -> FittedModels:
     """Fallback Spark ML models on all rows plus dedicated per-group models (M1-M6)."""
-    # Fixed input order: GBT subsampling depends on the row order within partitions.
-    # Partitions sized by volume (~64 MB each): every boosting iteration runs a few
-    # jobs over them, so tiny partitions only add scheduling cost.
-    n_parts = training_partitions(features, len(feature_cols))
-    ordered = features.repartition(n_parts, *GROUP_KEYS).sortWithinPartitions(*GROUP_KEYS, "date")
-    ordered = ordered.persist(StorageLevel.MEMORY_AND_DISK)
     groups = group_table(features, dedicated_min_rows)
+    medians = cut_lineage(median_surrogates(features, feature_cols), "medians")
+    # Fixed partitions and row order: the boosting's row sampling follows both.
+    ordered = features.select(*GROUP_KEYS, "date", *TARGETS, F.struct(*feature_cols).alias("_x"))
+    ordered = ordered.repartition(params.partitions, *GROUP_KEYS).sortWithinPartitions(*GROUP_KEYS, "date")
+    filled = fill_medians(ordered.select(*[F.col(t).alias(f"_y_{t}") for t in TARGETS], "_x.*"),
+                          {r["feature"]: r["median"] for r in medians.collect()})
+    prepare = preparation(feature_cols).fit(filled)
+    scaled = prepare.transform(filled).select(*[F.col(f"_y_{t}").alias(t) for t in TARGETS], SCALED)
+    scaled = scaled.persist(StorageLevel.MEMORY_AND_DISK)
     ded_rows = features.join(groups.where("dedicated").select(*GROUP_KEYS), GROUP_KEYS, "left_semi")
-    grouped_fit = (ded_rows.select(*GROUP_KEYS, "date", *TARGETS, *[F.col(f"`{c}`") for c in feature_cols])
-                   .groupBy(*GROUP_KEYS).applyInPandas(_group_fitter(feature_cols, params), FIT_SCHEMA))
+    own_cols = [c for c in feature_cols if c not in (*GROUP_KEYS, "date", *TARGETS)]
+    schema = f"channel string, campaign_type string, kind string, target string, date date, residual double, model {learner.MODEL}"
+    grouped_fit = (ded_rows.select(*GROUP_KEYS, "date", *TARGETS, *own_cols)
+                   .groupBy(*GROUP_KEYS).applyInPandas(_group_fitter(feature_cols, params, learner), schema))
     # The two fallback fits and the grouped fit are independent jobs: submit them together.
     with ThreadPoolExecutor(max_workers=len(TARGETS) + 1) as pool:
-        futures = {t: pool.submit(fallback_pipeline(feature_cols, t, params).fit, ordered) for t in TARGETS}
-        fitted_future = pool.submit(cut_lineage, grouped_fit, "group-models")
-        fallback = {t: fut.result() for t, fut in futures.items()}
-        fitted = fitted_future.result()
-    ordered.unpersist()
+        futures = {t: pool.submit(fallback_regressor(t, params).fit, scaled) for t in TARGETS}
+        fitted = pool.submit(cut_lineage, grouped_fit, "group-models").result()
+        fallback = {t: f.result() for t, f in futures.items()} | {"prepare": prepare}
+    scaled.unpersist()
     models = fitted.where(F.col("kind") == "model").select(*GROUP_KEYS, "target", "model")
     ded_res = fitted.where(F.col("kind") == "residual").select(*GROUP_KEYS, "date", "target", "residual")
 
-    fb_all = _fallback_score(fallback, features.select(*GROUP_KEYS, "date", *TARGETS,
-                                                       *[F.col(f"`{c}`") for c in feature_cols]))
-    fb_stacked = _stack_targets(fb_all, {t: F.col(t) - F.col(f"pred_{t}") for t in TARGETS})
+    fb_all = _fallback_score(fallback, medians, features.select(*GROUP_KEYS, "date", *TARGETS, *own_cols))
+    fb_stacked = cut_lineage(_stack_targets(fb_all, {t: F.col(t) - F.col(f"pred_{t}") for t in TARGETS}), "fallback-residuals")
     thin = fb_stacked.join(groups.where(~F.col("dedicated")).select(*GROUP_KEYS), GROUP_KEYS, "left_semi")
     residuals = cut_lineage(residual_pools(ded_res.unionByName(thin), fb_stacked), "residuals")
 
-    tables = {"groups": cut_lineage(groups, "groups"), "group_models": models}
-    return restore_boosted(tables, residuals, fallback, feature_cols)
+    tables = {"groups": cut_lineage(groups, "groups"), "group_models": models, "medians": medians}
+    return restore_boosted(tables, residuals, fallback, feature_cols, learner)
 
 
-def boosted_scorer(groups: DataFrame, models: DataFrame, fallback: dict,
-                   feature_cols: list[str]) -> Callable[[DataFrame], DataFrame]:
+def boosted_scorer(tables: dict, fallback: dict, feature_cols: list[str], learner=gbt) -> Callable[[DataFrame], DataFrame]:
     """Dedicated groups: cogroup with their model rows (each model shipped once); others: fallback."""
+    groups, models = tables["groups"], tables["group_models"]
+
     def score(frame: DataFrame) -> DataFrame:
         flagged = frame.join(groups.select(*GROUP_KEYS, "dedicated"), GROUP_KEYS, "left")
         own = flagged.where(F.coalesce(F.col("dedicated"), F.lit(False))).drop("dedicated")
         rest = flagged.where(~F.coalesce(F.col("dedicated"), F.lit(False))).drop("dedicated")
         out_schema = T.StructType(frame.schema.fields + [T.StructField(f"pred_{t}", T.DoubleType()) for t in TARGETS])
         scored_own = own.groupBy(*GROUP_KEYS).cogroup(models.groupBy(*GROUP_KEYS)).applyInPandas(
-            _group_scorer(feature_cols, out_schema.fieldNames()), out_schema)
-        return scored_own.unionByName(_fallback_score(fallback, rest))
+            _group_scorer(feature_cols, out_schema.fieldNames(), learner), out_schema)
+        return scored_own.unionByName(_fallback_score(fallback, tables["medians"], rest))
     return score
 
 
-def restore_boosted(tables: dict, residuals: DataFrame, fallback: dict, feature_cols: list[str]) -> FittedModels:
-    groups = tables["groups"]
-    return FittedModels("boosted", groups.select(*GROUP_KEYS, "rows", "dedicated"), residuals,
-                        boosted_scorer(groups, tables["group_models"], fallback, feature_cols),
+def restore_boosted(tables: dict, residuals: DataFrame, fallback: dict, feature_cols: list[str], learner=gbt) -> FittedModels:
+    return FittedModels("boosted", tables["groups"].select(*GROUP_KEYS, "rows", "dedicated"), residuals,
+                        boosted_scorer(tables, fallback, feature_cols, learner),
                         tables=tables, fallback=fallback, feature_cols=list(feature_cols))
 
 

@@ -4,15 +4,23 @@ Each normaliser is one projection of column expressions over the raw table,
 followed by the date filter and the budget imputation. Types are coerced with
 ``try_cast`` so the same code serves text columns from CSV and typed columns
 from Parquet.
+
+``ingest`` is the production path: it reads the raw rows once, into sums per
+(date, channel, type, raw budget). Budget medians, the fill (a constant per
+type), the daily table (A1), the validation figures and the counts of dropped
+dates and unreadable numbers all come from that one table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import parse_date, safe_ratio, to_double, to_long
 from ..session import cut_lineage
+from .aggregate import DAILY_COLUMNS, DAILY_KEYS
 from .common import broadcast_if_small, one_row
 
 # The canonical column order of every normalised table.
@@ -54,57 +62,73 @@ def _text(c: Column) -> Column:
     return c.cast("string")
 
 
-# Largest number of campaign types whose medians are broadcast to the raw rows.
-MEDIAN_BROADCAST_MAX_TYPES = 100_000
+def weighted_median(counts: DataFrame, keys: list[str], value: str, n: str = "n") -> DataFrame:
+    """Exact median of ``value`` (each counted ``n`` times, nulls ignored) per key: (keys, median).
+
+    The (key, value) rows are range-partitioned and each partition's total is carried to the later ones (one
+    row per key and partition), so running counts need no task that holds all values of a key. The median is
+    the mean of the values at the two middle places.
+    """
+    rows = counts.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.sum(n).alias("_n"))
+    ranged = cut_lineage(rows.repartitionByRange(*keys, value).withColumn("_part", F.spark_partition_id()), "ranged")
+    by_key = Window.partitionBy(*keys)
+    totals = ranged.groupBy(*keys, "_part").agg(F.sum("_n").alias("_here")).select(
+        *keys, "_part", F.sum("_here").over(by_key).alias("_total"),
+        (F.sum("_here").over(by_key.orderBy("_part")) - F.col("_here")).alias("_before"))
+    upto = F.sum("_n").over(Window.partitionBy(*keys, "_part").orderBy(value)) + F.col("_before")
+    placed = ranged.join(totals, [*keys, "_part"]).withColumn("_upto", upto)
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((F.col("_upto") > place) & (F.col("_upto") - F.col("_n") <= place), F.col(value)))
+
+    low, high = F.floor((F.col("_total") - 1) / 2), F.floor(F.col("_total") / 2)
+    return placed.groupBy(*keys).agg(((at(low) + at(high)) / 2).alias("median"))
+
+
+def budget_medians(counts: DataFrame, keys: list[str], type_col: str = "campaign_type",
+                   budget_col: str = "daily_budget") -> tuple[DataFrame, DataFrame]:
+    """Medians that fill missing budgets (T7), from ``(keys, type, budget, n)`` counts.
+
+    Returns (keys, type, type_median) and (keys, filled_median): the median of the type, and the median of the
+    column after that first fill.
+    """
+    per_type = cut_lineage(weighted_median(counts, [*keys, type_col], budget_col).withColumnRenamed(
+        "median", "type_median"), "type-medians")
+    filled = counts.join(broadcast_if_small(per_type), [*keys, type_col], "left").withColumn(
+        "_filled", F.coalesce(budget_col, "type_median"))
+    return per_type, weighted_median(filled, keys, "_filled").withColumnRenamed("median", "filled_median")
 
 
 def impute_budget_approx(df: DataFrame, type_col: str = "campaign_type", budget_col: str = "daily_budget",
                          accuracy: int = 10_000) -> DataFrame:
-    """``impute_budget`` with ``percentile_approx`` (relative rank error 1/accuracy).
+    """``impute_budget`` with ``percentile_approx`` (relative rank error 1/accuracy) instead of counted values."""
+    per_type = cut_lineage(df.groupBy(type_col).agg(
+        F.percentile_approx(budget_col, 0.5, accuracy).alias("type_median")), "type-medians")
+    with_type = df.join(broadcast_if_small(per_type), type_col, "left")
+    filled = with_type.agg(F.percentile_approx(F.coalesce(budget_col, "type_median"), 0.5, accuracy).alias("filled_median"))
+    return _filled(with_type, filled, budget_col)
 
-    For budget columns with very many distinct values: every partial
-    aggregate is a bounded, mergeable sketch, so no task ever holds the
-    distinct values of a campaign type. Three passes over the rows (type
-    medians, median of the filled column, fill).
-    """
-    type_median = df.groupBy(type_col).agg(
-        F.percentile_approx(budget_col, 0.5, accuracy).alias("_type_median"))
-    medians = broadcast_if_small(type_median, MEDIAN_BROADCAST_MAX_TYPES)
-    with_type = df.join(medians, type_col, "left")
-    global_median = with_type.agg(F.percentile_approx(
-        F.coalesce(F.col(budget_col), F.col("_type_median")), 0.5, accuracy).alias("_global_median"))
-    return (with_type.crossJoin(one_row(global_median))
-            .withColumn(budget_col, F.coalesce(F.col(budget_col), F.col("_type_median"),
-                                               F.col("_global_median"), F.lit(0.0)))
-            .drop("_type_median", "_global_median"))
+
+def _filled(with_type: DataFrame, filled: DataFrame, budget_col: str) -> DataFrame:
+    return (with_type.crossJoin(one_row(filled))
+            .withColumn(budget_col, F.coalesce(budget_col, "type_median", "filled_median", F.lit(0.0)))
+            .drop("type_median", "filled_median"))
 
 
 def impute_budget(df: DataFrame, type_col: str = "campaign_type", budget_col: str = "daily_budget") -> DataFrame:
-    """Median of the campaign type, then median of the already filled column, then 0.
-
-    The statistics pass pre-aggregates the raw rows into (type, budget) ->
-    count (map-side combine, so a hot type costs nothing extra) and writes
-    that small table to the shared checkpoint directory. Both medians are
-    exact weighted percentiles over it. The fill pass joins the per-type
-    medians back to the raw rows: broadcast when the number of types is under
-    a checked bound, so a type holding a third of all rows never lands in one
-    task; above the bound the join shuffles and AQE splits skewed partitions.
-    The exact percentile merges, per type, the distinct budget values of that
-    type (budgets repeat across days, so this is normally small); for columns
-    with very many distinct values use ``impute_budget_approx``.
+    """Median of the campaign type, then median of the already filled column, then 0 (P7, T7), row by row.
+
+    Runs jobs when called: one raw pass counts (type, budget) pairs with map-side combine and writes them to
+    the shared folder, and the medians come from that table. The returned plan is the fill: the per-type
+    medians meet the raw rows by broadcast while their checked size allows, else by a join whose skewed
+    partitions AQE splits, so a type that holds a third of the rows is never one task.
     """
     counts = cut_lineage(df.groupBy(type_col, budget_col).agg(F.count(F.lit(1)).alias("n")), "budget-counts")
-    type_median = counts.groupBy(type_col).agg(
-        F.expr(f"percentile(`{budget_col}`, 0.5, n)").alias("_type_median"))
-    filled = (counts.join(type_median, type_col, "left")
-              .select(F.coalesce(F.col(budget_col), F.col("_type_median")).alias("_v"), "n"))
-    global_median = filled.agg(F.expr("percentile(_v, 0.5, n)").alias("_global_median"))
-    medians = broadcast_if_small(type_median, MEDIAN_BROADCAST_MAX_TYPES)
-    return (df.join(medians, type_col, "left")
-            .crossJoin(one_row(global_median))
-            .withColumn(budget_col, F.coalesce(F.col(budget_col), F.col("_type_median"),
-                                               F.col("_global_median"), F.lit(0.0)))
-            .drop("_type_median", "_global_median"))
+    per_type, filled = budget_medians(counts.withColumn("_all", F.lit(0)), ["_all"], type_col, budget_col)
+    with_type = df.join(broadcast_if_small(per_type.drop("_all")), type_col, "left")
+    # a one-row table even where no budget is known
+    one = df.sparkSession.range(1).select(F.lit(0).alias("_all")).join(filled, "_all", "left").drop("_all")
+    return _filled(with_type, one, budget_col)
 
 
 def finish_canonical(df: DataFrame) -> DataFrame:
@@ -119,6 +143,12 @@ def meta_campaign_type(name: Column) -> Column:
     return F.when(token.isin(*META_TYPES), token).otherwise(F.lit(UNKNOWN_NAME))
 
 
+def _unreadable(get, names: list[str]) -> Column:
+    """Cells of the named fields that hold text which is no number (they become NULL and are filled, T31)."""
+    return sum((F.when(get(n).isNotNull() & get(n).try_cast("double").isNull(), 1).otherwise(0) for n in names),
+               F.lit(0)).alias("unreadable")
+
+
 def parsed_google(raw: DataFrame) -> DataFrame:
     """Typed google rows before the date filter."""
     get, dtype, cols = _getter(raw)
@@ -136,6 +166,8 @@ def parsed_google(raw: DataFrame) -> DataFrame:
         F.coalesce(to_double(get("metrics_conversions")), F.lit(0.0)).alias("conversions"),
         to_double(get("campaign_budget_amount")).alias("daily_budget"),
         _text(get("campaign_id")).alias("campaign_id"),
+        _unreadable(get, ["metrics_cost_micros", "metrics_conversions_value", "metrics_clicks", "metrics_impressions",
+                          "metrics_conversions", "campaign_budget_amount"]),
     )
 
 
@@ -154,6 +186,7 @@ def parsed_bing(raw: DataFrame) -> DataFrame:
         F.coalesce(to_double(get("Conversions")), F.lit(0.0)).alias("conversions"),
         F.coalesce(to_double(get("DailyBudget")), F.lit(0.0)).alias("daily_budget"),
         _text(get("CampaignId")).alias("campaign_id"),
+        _unreadable(get, ["Spend", "Revenue", "Clicks", "Impressions", "Conversions", "DailyBudget"]),
     )
 
 
@@ -174,6 +207,7 @@ def parsed_meta(raw: DataFrame) -> DataFrame:
         (revenue / F.lit(100.0)).alias("conversions"),
         to_double(get("daily_budget")).alias("daily_budget"),
         _text(get("campaign_id")).alias("campaign_id"),
+        _unreadable(get, ["spend", "conversion", "clicks", "impressions", "daily_budget"]),
     )
 
 
@@ -217,8 +251,52 @@ def unify(raws: dict[str, DataFrame], exact_medians: bool = True) -> DataFrame:
     return out
 
 
+@dataclass
+class Ingest:
+    """What one pass over the raw rows yields."""
+    grain: DataFrame      # date, channel, campaign_type, daily_budget (raw) with sums and counts
+    daily: DataFrame      # A1, budgets filled
+    report: DataFrame     # channel, rows_read, rows_dropped, unreadable
+
+
+def ingest(raws: dict[str, DataFrame]) -> Ingest:
+    """Raw dialects -> daily table and reports, reading every raw row once.
+
+    Rows are summed per (date, channel, type, raw budget) with map-side combine and written to the shared
+    folder. A missing budget is its own group, and its fill is a constant per type, so the daily budget is
+    ``rows x median`` there; nothing needs the raw rows again. At worst (every row a budget of its own) the
+    table has as many rows as the input, with eleven narrow columns.
+    """
+    missing = [ch for ch in PARSERS if ch not in raws]
+    if missing:
+        raise FileNotFoundError(f"no input identified for channel(s): {', '.join(missing)}")
+    typed = None
+    for ch in PARSERS:
+        part = PARSERS[ch](raws[ch]).drop("campaign_name", "campaign_id")
+        typed = part if typed is None else typed.unionByName(part)
+    grain = cut_lineage(typed.groupBy(*DAILY_KEYS, "daily_budget").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(F.when(F.col("revenue") <= 0, 1).otherwise(0)).alias("nonpositive"),
+        F.sum("unreadable").alias("unreadable"),
+        *[F.sum(c).alias(c) for c in ("spend", "revenue", "clicks", "impressions", "conversions")]), "grain")
+    report = grain.groupBy("channel").agg(
+        F.sum("rows").alias("rows_read"),
+        F.sum(F.when(F.col("date").isNull(), F.col("rows")).otherwise(0)).alias("rows_dropped"),
+        F.sum("unreadable").alias("unreadable"))
+    grain = grain.where(F.col("date").isNotNull())
+    imputed = grain.where(F.col("channel").isin(*[ch for ch, yes in IMPUTES_BUDGET.items() if yes]))
+    per_type, filled = budget_medians(imputed.withColumn("n", F.col("rows")), ["channel"])
+    budget = F.coalesce("daily_budget", "type_median", "filled_median", F.lit(0.0)) * F.col("rows")
+    full = (grain.join(broadcast_if_small(per_type), ["channel", "campaign_type"], "left")
+            .join(broadcast_if_small(cut_lineage(filled, "filled-medians")), "channel", "left"))
+    daily = full.groupBy(*DAILY_KEYS).agg(
+        *[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in ("spend", "revenue")],
+        *[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("clicks", "impressions")],
+        F.coalesce(F.sum("conversions"), F.lit(0.0)).alias("conversions"), F.sum(budget).alias("daily_budget"))
+    return Ingest(grain, daily.withColumn("roas", safe_ratio("revenue", "spend")).select(*DAILY_COLUMNS), report)
+
+
 def invalid_date_counts(raws: dict[str, DataFrame]) -> DataFrame:
-    """Rows dropped by the date parse, per channel (P4 report)."""
+    """Rows dropped by the date parse, per channel (P4 report), without the rest of ``ingest``."""
     out = None
     for ch, raw in raws.items():
         part = PARSERS[ch](raw).agg(

@@ -1,14 +1,16 @@
 """Input validation and data-quality tables.
 
-Each check is one aggregate over the canonical table, returned as rows of a
-rule table so callers decide whether to abort; nothing is collected here.
+Each check is an aggregate returned as rows of a table, so callers decide
+whether to abort; only ``check`` collects its four rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+from .common import one_row
 from .normalize import CANONICAL_COLUMNS
 
 # Validation thresholds.
@@ -21,24 +23,29 @@ PREVIEW_ROWS = 20
 def quality_metrics(canonical: DataFrame, approx_distinct: bool = False) -> DataFrame:
     """Null cells, share of revenue <= 0, calendar gaps, distinct campaigns.
 
-    ``approx_distinct`` counts campaigns with ``approx_count_distinct`` (HyperLogLog).
+    The raw rows are reduced once, to one row per (date, campaign), which is written; both distinct counts and
+    the sums read that table. ``approx_distinct`` counts campaigns with HyperLogLog in a single aggregate instead.
     """
     nulls = sum((F.col(c).isNull().cast("long") for c in CANONICAL_COLUMNS), F.lit(0))
-    distinct_ids = (F.approx_count_distinct("campaign_id") if approx_distinct
-                    else F.count_distinct("campaign_id"))
-    m = canonical.agg(
-        F.sum(nulls).alias("missing_values"),
-        F.avg((F.col("revenue") <= 0).cast("double")).alias("nonpositive_revenue_share"),
-        F.min("date").alias("_min"), F.max("date").alias("_max"),
-        F.count_distinct("date").alias("distinct_dates"),
-        distinct_ids.alias("active_campaigns"),
-        F.count(F.lit(1)).alias("rows"))
+    nonpositive = F.sum(F.when(F.col("revenue") <= 0, 1).otherwise(0))
+    if approx_distinct:
+        m = canonical.agg(F.sum(nulls).alias("missing"), nonpositive.alias("nonpositive"), F.count(F.lit(1)).alias("rows"),
+                          F.min("date").alias("_min"), F.max("date").alias("_max"),
+                          F.approx_count_distinct("date").alias("dates"),
+                          F.approx_count_distinct("campaign_id").alias("campaigns"))
+    else:
+        base = cut_lineage(canonical.groupBy("date", "campaign_id").agg(
+            F.sum(nulls).alias("missing"), nonpositive.alias("nonpositive"), F.count(F.lit(1)).alias("rows")), "per-campaign")
+        m = base.agg(F.sum("missing").alias("missing"), F.sum("nonpositive").alias("nonpositive"), F.sum("rows").alias("rows"),
+                     F.min("date").alias("_min"), F.max("date").alias("_max"))
+        for column, name in (("date", "dates"), ("campaign_id", "campaigns")):
+            m = m.crossJoin(one_row(base.select(column).distinct().agg(F.count(column).alias(name))))
+    rows = F.coalesce("rows", F.lit(0))
     return m.select(
-        F.coalesce(F.col("missing_values"), F.lit(0)).cast("long").alias("missing_values"),
-        "nonpositive_revenue_share",
-        (F.datediff("_max", "_min") + 1 - F.col("distinct_dates")).cast("long").alias("date_gaps"),
-        F.col("active_campaigns").cast("long").alias("active_campaigns"),
-        "rows")
+        F.coalesce(F.col("missing"), F.lit(0)).cast("long").alias("missing_values"),
+        F.when(rows > 0, F.col("nonpositive") / rows).alias("nonpositive_revenue_share"),
+        (F.datediff("_max", "_min") + 1 - F.col("dates")).cast("long").alias("date_gaps"),
+        F.col("campaigns").cast("long").alias("active_campaigns"), rows.alias("rows"))
 
 
 def expected_channels(canonical: DataFrame, expected=EXPECTED_CHANNELS) -> DataFrame:
@@ -49,30 +56,43 @@ def expected_channels(canonical: DataFrame, expected=EXPECTED_CHANNELS) -> DataF
     return exp.join(present, "channel", "left_anti")
 
 
-def validation_rules(canonical: DataFrame) -> DataFrame:
-    """Rule table (rule, value, level): row count, date type, revenue share, missing channels."""
-    spark = canonical.sparkSession
-    is_date = dict(canonical.dtypes).get("date") == "date"
-    agg = canonical.agg(F.count(F.lit(1)).cast("double").alias("rows"),
-                        F.avg((F.col("revenue") <= 0).cast("double")).alias("share"))
-    missing = expected_channels(canonical).agg(F.count(F.lit(1)).cast("double").alias("missing"))
-    r = agg.crossJoin(F.broadcast(missing))
-    rows = r.select(F.lit("min_rows").alias("rule"), F.col("rows").alias("value"),
-                    F.when(F.col("rows") < MIN_ROWS, F.lit("abort")).otherwise(F.lit("ok")).alias("level"))
-    share = r.select(F.lit("nonpositive_revenue_share").alias("rule"), F.coalesce(F.col("share"), F.lit(0.0)).alias("value"),
-                     F.when(F.col("share") > MAX_NONPOSITIVE_REVENUE_SHARE, F.lit("warn")).otherwise(F.lit("ok")).alias("level"))
-    chans = r.select(F.lit("missing_channels").alias("rule"), F.col("missing").alias("value"),
-                     F.when(F.col("missing") > 0, F.lit("warn")).otherwise(F.lit("ok")).alias("level"))
-    dtype = spark.createDataFrame([("date_type", 1.0 if is_date else 0.0, "ok" if is_date else "abort")],
-                                  "rule string, value double, level string")
-    return rows.unionByName(dtype).unionByName(share).unionByName(chans)
-
-
-def check(rules: DataFrame) -> None:
-    """Raise when any rule is at level 'abort' (the rule table has four rows)."""
-    failed = rules.where(F.col("level") == "abort").collect()
+def channel_counts(canonical: DataFrame) -> DataFrame:
+    """Rows and rows with revenue <= 0 per channel: what the validation rules need."""
+    return canonical.groupBy("channel").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(F.when(F.col("revenue") <= 0, 1).otherwise(0)).alias("nonpositive"))
+
+
+def validation_rules(counts: DataFrame, is_date: bool = True) -> DataFrame:
+    """Rule table (rule, value, level): row count, date type, revenue share, missing channels.
+
+    ``counts`` is ``channel_counts`` of canonical rows, or any table that sums up to it (``Ingest.grain``): one
+    aggregate over it gives all rules.
+    """
+    present = F.collect_set(F.when(F.col("channel").isin(*EXPECTED_CHANNELS), F.col("channel")))
+    a = counts.agg(F.coalesce(F.sum("rows"), F.lit(0)).cast("double").alias("rows"),
+                   F.coalesce(F.sum("nonpositive"), F.lit(0)).cast("double").alias("nonpositive"),
+                   (F.lit(len(EXPECTED_CHANNELS)) - F.size(present)).cast("double").alias("missing"))
+    share = F.when(F.col("rows") > 0, F.col("nonpositive") / F.col("rows")).otherwise(0.0)
+
+    def rule(name: str, value: Column, level: str, when: Column) -> Column:
+        return F.struct(F.lit(name).alias("rule"), value.cast("double").alias("value"),
+                        F.when(when, level).otherwise("ok").alias("level"))
+
+    rules = F.array(
+        rule("min_rows", F.col("rows"), "abort", F.col("rows") < MIN_ROWS),
+        rule("date_type", F.lit(1.0 if is_date else 0.0), "abort", F.lit(not is_date)),
+        rule("nonpositive_revenue_share", share, "warn", share > MAX_NONPOSITIVE_REVENUE_SHARE),
+        rule("missing_channels", F.col("missing"), "warn", F.col("missing") > 0))
+    return a.select(F.explode(rules).alias("r")).select("r.*")
+
+
+def check(rules: DataFrame) -> list[str]:
+    """Raise when any rule is at level 'abort'; return the warnings (the rule table has four rows)."""
+    rows = rules.where(F.col("level") != "ok").collect()
+    failed = [r for r in rows if r["level"] == "abort"]
     if failed:
         raise ValueError("input validation failed: " + ", ".join(f"{r['rule']}={r['value']}" for r in failed))
+    return [f"{r['rule']}={r['value']}" for r in rows]
 
 
 def preview(canonical: DataFrame, n: int = PREVIEW_ROWS) -> DataFrame:

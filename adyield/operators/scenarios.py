@@ -30,9 +30,14 @@ YIELD_CHANNELS = ["google", "meta", "bing"]
 WHAT_IF_HORIZON = 60
 
 
-def anchors(features: DataFrame) -> DataFrame:
-    """One row: forecast anchor (max date over all data) and training min date."""
-    return features.agg(F.max("date").alias("anchor_date"), F.min("date").alias("min_date"))
+def anchors(features: DataFrame, min_date: str | None = None) -> DataFrame:
+    """One row: forecast anchor (last date of the scored table) and first date of the training table.
+
+    ``min_date`` is the training table's first date as kept with a bundle; without one the scored table is
+    the training table. ``days_since_start`` counts from it, so a model meets the same origin it learnt.
+    """
+    first = F.min("date") if min_date is None else F.lit(min_date).cast("date")
+    return features.agg(F.max("date").alias("anchor_date"), first.alias("min_date"))
 
 
 def trailing_rows(features: DataFrame, anchor: DataFrame | None = None) -> DataFrame:
@@ -104,10 +109,10 @@ def future_rows(base: DataFrame, anchor: DataFrame, feature_cols: list[str]) ->
 
 
 def scenario_frame(features: DataFrame, feature_cols: list[str], horizons: list[int] = HORIZONS,
-                   scenarios=SCENARIOS, base: DataFrame | None = None) -> DataFrame:
+                   scenarios=SCENARIOS, base: DataFrame | None = None, min_date: str | None = None) -> DataFrame:
     """Groups x horizons x scenarios with their feature rows (J4, M10, M11 inputs)."""
     spark = features.sparkSession
-    anchor = anchors(features)
+    anchor = anchors(features, min_date)
     base = base_rows(features, feature_cols, anchor) if base is None else base
     expanded = (base.crossJoin(F.broadcast(horizons_df(spark, horizons)))
                 .crossJoin(F.broadcast(scenarios_df(spark, scenarios))))
@@ -120,10 +125,11 @@ def channel_multipliers(spark: SparkSession, multipliers: dict[str, float]) -> D
 
 
 def what_if_frame(features: DataFrame, feature_cols: list[str], multipliers: DataFrame,
-                  horizon: int = WHAT_IF_HORIZON, base: DataFrame | None = None) -> DataFrame:
+                  horizon: int = WHAT_IF_HORIZON, base: DataFrame | None = None,
+                  min_date: str | None = None) -> DataFrame:
     """One horizon, one user multiplier per channel; channels not listed keep 1.0."""
     spark = features.sparkSession
-    anchor = anchors(features)
+    anchor = anchors(features, min_date)
     base = base_rows(features, feature_cols, anchor) if base is None else base
     m = multipliers.select("channel", F.col("multiplier").alias("_m"))
     expanded = (base.join(F.broadcast(m), "channel", "left")
@@ -134,10 +140,11 @@ def what_if_frame(features: DataFrame, feature_cols: list[str], multipliers: Dat
 
 
 def yield_frame(features: DataFrame, feature_cols: list[str], horizon: int = WHAT_IF_HORIZON,
-                channels: list[str] = YIELD_CHANNELS, base: DataFrame | None = None) -> DataFrame:
+                channels: list[str] = YIELD_CHANNELS, base: DataFrame | None = None,
+                min_date: str | None = None) -> DataFrame:
     """Groups of the drawn channels x 10 grid multipliers, one horizon (J8, A13 input)."""
     spark = features.sparkSession
-    anchor = anchors(features)
+    anchor = anchors(features, min_date)
     # Base rows are per group against the global anchor, so filtering before or after is the same.
     base = (base_rows(features.where(F.col("channel").isin(*channels)), feature_cols, anchor) if base is None
             else base.where(F.col("channel").isin(*channels)))

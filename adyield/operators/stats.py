@@ -12,9 +12,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import clip
-from ..functions.text import (MISSING_CHANNEL_SUMMARY, MISSING_PORTFOLIO_SUMMARY, prompt_text,
-                              template_summary)
+from ..functions.exprs import capitalize, clip
+from ..functions.text import (MISSING_CHANNEL_SUMMARY, MISSING_INSIGHT, MISSING_NARRATIVE, MISSING_PORTFOLIO_SUMMARY,
+                              prompt_text, template_summary)
+from ..session import cut_lineage
 from .aggregate import GROUP_KEYS, portfolio_daily
 from .common import broadcast_if_small
 
@@ -26,6 +27,9 @@ RISK_ROAS = 1.5
 HORIZONS = [30, 60, 90]
 MAX_PROMPT_ANOMALIES = 5
 ANOMALY_ISSUE = "Revenue Z-Score > 2.5 (Volume Anomaly)"
+# Scopes and horizon of the insight page.
+INSIGHT_SCOPES = ["all", "google", "meta", "bing"]
+INSIGHT_HORIZON = 60
 
 
 def _anchored(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -38,7 +42,7 @@ def _anchored(rows: DataFrame, keys: list[str]) -> DataFrame:
         F.max("date").alias("_last"),
         F.avg("revenue").alias("_mean"),
         F.stddev_samp("revenue").alias("_std"))
-    return rows.join(broadcast_if_small(per_scope), keys, "inner")
+    return rows.join(broadcast_if_small(cut_lineage(per_scope, "scopes")), keys, "inner")
 
 
 def anomaly_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -163,12 +167,20 @@ def summary_lookup(rows: DataFrame, summary_table: DataFrame) -> DataFrame:
     return j.withColumn("causal_summary", F.coalesce(F.col("_summary"), default)).drop("_scope", "_h", "_summary")
 
 
-def anomaly_table(features: DataFrame) -> DataFrame:
-    """One row per (group, anomaly date, issue)."""
-    return anomaly_rows(features.select(*GROUP_KEYS, "date", "revenue"), GROUP_KEYS).select(
-        F.concat_ws("__", "channel", "campaign_type").alias("group"),
-        F.date_format("date", "yyyy-MM-dd").alias("date"),
-        F.lit(ANOMALY_ISSUE).alias("issue"))
+def insight_texts(summary_table: DataFrame, scopes: list[str] = INSIGHT_SCOPES, horizon: int = INSIGHT_HORIZON) -> DataFrame:
+    """(scope, summary) of the insight page: one row per shown scope, with that page's own defaults."""
+    shown = summary_table.sparkSession.createDataFrame([(s,) for s in scopes], "scope string")
+    found = summary_table.where(F.col("horizon") == horizon).select("scope", "summary")
+    default = F.when(F.col("scope") == "all", F.lit(MISSING_NARRATIVE)).otherwise(
+        F.replace(F.lit(MISSING_INSIGHT), F.lit("{channel}"), capitalize("scope")))
+    return shown.join(found, "scope", "left").select("scope", F.coalesce("summary", default).alias("summary"))
+
+
+def anomaly_table(stats: DataFrame) -> DataFrame:
+    """One row per (group, anomaly date, issue), from group statistics (fresh or a bundle's)."""
+    return stats.select(
+        F.concat_ws("__", "channel", "campaign_type").alias("group"), F.explode("anomaly_flags").alias("_d")).select(
+        "group", F.date_format("_d", "yyyy-MM-dd").alias("date"), F.lit(ANOMALY_ISSUE).alias("issue"))
 
 
 def risk_flags(stats: DataFrame) -> DataFrame:

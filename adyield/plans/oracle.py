@@ -219,21 +219,36 @@ _feat_cte("feat", "daily")
 
 # ------------------------------------------------------------------ second source: events as channel 'web'
 
-cte("ev_canon", f"""
-SELECT CAST(ts AS DATE) AS date, 'web' AS channel, coalesce(event_type, 'Unknown') AS campaign_type,
+
+def _events_ctes(p: str, campaign_type: str) -> None:
+    cte(f"{p}canon", f"""
+SELECT CAST(ts AS DATE) AS date, 'web' AS channel, {campaign_type} AS campaign_type,
        coalesce(event_type, 'Unknown') AS campaign_name, 0.0 AS spend, coalesce(value, 0.0) AS revenue,
        0.0 AS roas, CAST(0 AS BIGINT) AS clicks, CAST(0 AS BIGINT) AS impressions, 0.0 AS conversions,
        0.0 AS daily_budget, CAST(user_id AS VARCHAR) AS campaign_id
 FROM events WHERE ts IS NOT NULL""")
-
-cte("ev_daily", f"""
+    cte(f"{p}daily", f"""
 SELECT date, channel, campaign_type, coalesce(sum(spend), 0.0) AS spend, coalesce(sum(revenue), 0.0) AS revenue,
        CAST(coalesce(sum(clicks), 0) AS BIGINT) AS clicks, CAST(coalesce(sum(impressions), 0) AS BIGINT) AS impressions,
        coalesce(sum(conversions), 0.0) AS conversions, coalesce(sum(daily_budget), 0.0) AS daily_budget,
        {roas('coalesce(sum(revenue), 0.0)', 'coalesce(sum(spend), 0.0)')} AS roas
-FROM ev_canon GROUP BY date, channel, campaign_type""", "ev_canon")
+FROM {p}canon GROUP BY date, channel, campaign_type""", f"{p}canon")
+    _feat_cte(f"{p}feat", f"{p}daily")
+
+
+_events_ctes("ev_", "coalesce(event_type, 'Unknown')")
+# one type per event type and weekday: a few rows per group
+_events_ctes("evw_", "coalesce(event_type, 'Unknown') || '_' || (isodow(CAST(ts AS DATE)) - 1)")
+
+# the last year of the feature table, scored by a bundle that was trained on all of it
+cte("yr_feat", "SELECT * FROM feat WHERE date > (SELECT max(date) FROM feat) - 365", "feat")
+
+
+def type_column(t: str) -> str:
+    """Name of a campaign type's one-hot column: plain upper-case names as they are, others with a digest."""
+    return (f"'campaign_type_' || CASE WHEN regexp_full_match({t}, '[A-Z0-9_]+') THEN {t} "
+            f"ELSE regexp_replace({t}, '[^A-Za-z0-9_]', '_', 'g') || '_' || substr(md5({t}), 1, 10) END")
 
-_feat_cte("ev_feat", "ev_daily")
 
 # ------------------------------------------------------------------ statistics
 
@@ -338,20 +353,7 @@ CROSS JOIN (SELECT CAST(v AS BIGINT) AS horizon FROM (VALUES (30), (60), (90)) A
 
 # ------------------------------------------------------------------ forecast inputs
 
-cte("anchor", "SELECT max(date) AS anchor_date, min(date) AS min_date FROM feat", "feat")
-
-cte("trail", """
-SELECT f.*, CASE WHEN n_recent > 0 THEN 'recent' ELSE 'last_rows' END AS trailing_branch FROM (
-  SELECT feat.*, feat.date > a.anchor_date - 30 AS recent,
-         sum(CASE WHEN feat.date > a.anchor_date - 30 THEN 1 ELSE 0 END)
-             OVER (PARTITION BY channel, campaign_type) AS n_recent,
-         row_number() OVER (PARTITION BY channel, campaign_type ORDER BY feat.date DESC) AS rn
-  FROM feat CROSS JOIN anchor AS a) AS f
-WHERE recent OR (n_recent = 0 AND rn <= 30)""", "feat", "anchor")
-
-cte("base", """
-SELECT channel, campaign_type, avg(spend) AS base_spend, avg(daily_budget) AS base_daily_budget,
-       count(*) AS trailing_rows FROM trail GROUP BY channel, campaign_type""", "trail")
+# ------------------------------------------------------------------ fixed tables
 
 cte("horizons", "SELECT CAST(h AS BIGINT) AS forecast_period_days FROM (VALUES (30), (60), (90)) AS v(h)")
 cte("scen", """
@@ -359,79 +361,109 @@ SELECT budget_scenario, CAST(m AS DOUBLE) AS multiplier FROM (VALUES
   ('minus_30pct', '0.7'), ('minus_15pct', '0.85'), ('base', '1.0'), ('plus_15pct', '1.15'), ('plus_30pct', '1.3')
 ) AS s(budget_scenario, m)""")
 
-cte("frame", """
+cte("targets", "SELECT * FROM (VALUES ('revenue'), ('roas')) AS t(target)")
+
+
+# a constant spend has no slope: NaN here, NULL in Spark
+SLOPE_revenue = "nullif(regr_slope(revenue, spend), CAST('NaN' AS DOUBLE))"
+SLOPE_roas = "nullif(regr_slope(roas, spend), CAST('NaN' AS DOUBLE))"
+
+
+def forecast_ctes(p: str, feat: str, origin: str) -> None:
+    """Forecast inputs, linear stand-in models, residual pools and draws over feature table ``feat``.
+
+    The names of the CTEs begin with ``p``; ``origin`` is the training table whose first date counts.
+    """
+    cte(f"{p}anchor", f"SELECT max(date) AS anchor_date, (SELECT min(date) FROM {origin}) AS min_date FROM {feat}", feat, origin)
+
+    cte(f"{p}trail", f"""
+SELECT f.*, CASE WHEN n_recent > 0 THEN 'recent' ELSE 'last_rows' END AS trailing_branch FROM (
+  SELECT {feat}.*, {feat}.date > a.anchor_date - 30 AS recent,
+         sum(CASE WHEN {feat}.date > a.anchor_date - 30 THEN 1 ELSE 0 END)
+             OVER (PARTITION BY channel, campaign_type) AS n_recent,
+         row_number() OVER (PARTITION BY channel, campaign_type ORDER BY {feat}.date DESC) AS rn
+  FROM {feat} CROSS JOIN {p}anchor AS a) AS f
+WHERE recent OR (n_recent = 0 AND rn <= 30)""", feat, f"{p}anchor")
+
+    cte(f"{p}base", f"""
+SELECT channel, campaign_type, avg(spend) AS base_spend, avg(daily_budget) AS base_daily_budget,
+       count(*) AS trailing_rows FROM {p}trail GROUP BY channel, campaign_type""", f"{p}trail")
+
+    cte(f"{p}frame", f"""
 SELECT b.channel, b.campaign_type, h.forecast_period_days, s.budget_scenario, s.multiplier,
        b.base_spend, b.base_daily_budget,
        b.base_spend * s.multiplier AS new_spend,
        b.base_spend * s.multiplier * h.forecast_period_days AS spend_input,
        CAST(a.anchor_date + CAST(h.forecast_period_days / 2 AS INTEGER) AS DATE) AS midpoint_date
-FROM base AS b CROSS JOIN horizons AS h CROSS JOIN scen AS s CROSS JOIN anchor AS a""",
-    "base", "horizons", "scen", "anchor")
+FROM {p}base AS b CROSS JOIN horizons AS h CROSS JOIN scen AS s CROSS JOIN {p}anchor AS a""",
+    f"{p}base", "horizons", "scen", f"{p}anchor")
 
-# ------------------------------------------------------------------ linear stand-in models, pools, draws
-
-cte("lin_g", """
+    cte(f"{p}lin_g", f"""
 SELECT channel, campaign_type, count(*) AS n_rows,
-  CASE WHEN regr_slope(revenue, spend) IS NULL THEN avg(revenue) ELSE regr_intercept(revenue, spend) END AS ra,
-  coalesce(regr_slope(revenue, spend), 0.0) AS rb,
-  CASE WHEN regr_slope(roas, spend) IS NULL THEN avg(roas) ELSE regr_intercept(roas, spend) END AS sa,
-  coalesce(regr_slope(roas, spend), 0.0) AS sb
-FROM feat GROUP BY channel, campaign_type""", "feat")
-
-cte("lin_all", """
-SELECT CASE WHEN regr_slope(revenue, spend) IS NULL THEN avg(revenue) ELSE regr_intercept(revenue, spend) END AS ra,
-  coalesce(regr_slope(revenue, spend), 0.0) AS rb,
-  CASE WHEN regr_slope(roas, spend) IS NULL THEN avg(roas) ELSE regr_intercept(roas, spend) END AS sa,
-  coalesce(regr_slope(roas, spend), 0.0) AS sb
-FROM feat""", "feat")
-
-cte("lin_model", """
+  CASE WHEN {SLOPE_revenue} IS NULL THEN avg(revenue) ELSE regr_intercept(revenue, spend) END AS ra,
+  coalesce({SLOPE_revenue}, 0.0) AS rb,
+  CASE WHEN {SLOPE_roas} IS NULL THEN avg(roas) ELSE regr_intercept(roas, spend) END AS sa,
+  coalesce({SLOPE_roas}, 0.0) AS sb
+FROM {feat} GROUP BY channel, campaign_type""", feat)
+
+    cte(f"{p}lin_all", f"""
+SELECT CASE WHEN {SLOPE_revenue} IS NULL THEN avg(revenue) ELSE regr_intercept(revenue, spend) END AS ra,
+  coalesce({SLOPE_revenue}, 0.0) AS rb,
+  CASE WHEN {SLOPE_roas} IS NULL THEN avg(roas) ELSE regr_intercept(roas, spend) END AS sa,
+  coalesce({SLOPE_roas}, 0.0) AS sb
+FROM {feat}""", feat)
+
+    cte(f"{p}lin_model", f"""
 SELECT g.channel, g.campaign_type, g.n_rows, g.n_rows >= 60 AS dedicated,
   CASE WHEN g.n_rows >= 60 THEN g.ra ELSE a.ra END AS ra, CASE WHEN g.n_rows >= 60 THEN g.rb ELSE a.rb END AS rb,
   CASE WHEN g.n_rows >= 60 THEN g.sa ELSE a.sa END AS sa, CASE WHEN g.n_rows >= 60 THEN g.sb ELSE a.sb END AS sb
-FROM lin_g AS g CROSS JOIN lin_all AS a""", "lin_g", "lin_all")
+FROM {p}lin_g AS g CROSS JOIN {p}lin_all AS a""", f"{p}lin_g", f"{p}lin_all")
 
-cte("targets", "SELECT * FROM (VALUES ('revenue'), ('roas')) AS t(target)")
-
-cte("pools", """
+    cte(f"{p}pools", f"""
 SELECT f.channel || '__' || f.campaign_type AS pool, t.target,
        row_number() OVER (PARTITION BY f.channel, f.campaign_type, t.target ORDER BY f.date) - 1 AS pool_idx,
        CASE WHEN t.target = 'revenue' THEN f.revenue - (m.ra + m.rb * f.spend)
             ELSE f.roas - (m.sa + m.sb * f.spend) END AS residual
-FROM feat AS f JOIN lin_model AS m ON m.channel = f.channel AND m.campaign_type = f.campaign_type
+FROM {feat} AS f JOIN {p}lin_model AS m ON m.channel = f.channel AND m.campaign_type = f.campaign_type
 CROSS JOIN targets AS t
 UNION ALL
 SELECT '__global__' AS pool, t.target,
        row_number() OVER (PARTITION BY t.target ORDER BY f.channel, f.campaign_type, f.date) - 1 AS pool_idx,
        CASE WHEN t.target = 'revenue' THEN f.revenue - (a.ra + a.rb * f.spend)
             ELSE f.roas - (a.sa + a.sb * f.spend) END AS residual
-FROM feat AS f CROSS JOIN lin_all AS a CROSS JOIN targets AS t""", "feat", "lin_model", "lin_all", "targets")
+FROM {feat} AS f CROSS JOIN {p}lin_all AS a CROSS JOIN targets AS t""", feat, f"{p}lin_model", f"{p}lin_all", "targets")
 
-cte("pool_n", "SELECT pool, target, count(*) AS n FROM pools GROUP BY pool, target", "pools")
+    cte(f"{p}pool_n", f"SELECT pool, target, count(*) AS n FROM {p}pools GROUP BY pool, target", f"{p}pools")
 
-cte("draws", """
+    cte(f"{p}draws", f"""
 SELECT pn.pool, pn.target, r.k, ((r.k * 1103515245 + 12345) % 2147483648) % pn.n AS pool_idx
-FROM pool_n AS pn CROSS JOIN (SELECT range AS k FROM range(0, 1000)) AS r""", "pool_n")
+FROM {p}pool_n AS pn CROSS JOIN (SELECT range AS k FROM range(0, 1000)) AS r""", f"{p}pool_n")
 
-cte("sampled", """
+    cte(f"{p}sampled", f"""
 SELECT d.pool, d.target, d.k, p.residual
-FROM draws AS d JOIN pools AS p ON p.pool = d.pool AND p.target = d.target AND p.pool_idx = d.pool_idx""",
-    "draws", "pools")
+FROM {p}draws AS d JOIN {p}pools AS p ON p.pool = d.pool AND p.target = d.target AND p.pool_idx = d.pool_idx""",
+    f"{p}draws", f"{p}pools")
+
+
+forecast_ctes("", "feat", "feat")
+forecast_ctes("ev_", "ev_feat", "ev_feat")
+forecast_ctes("evw_", "evw_feat", "evw_feat")
+forecast_ctes("yr_", "yr_feat", "feat")
 
 
-def interval_cte(name: str, frame: str, deps: tuple[str, ...]) -> None:
+def interval_cte(name: str, frame: str, p: str = "") -> None:
     """Bootstrap p10/p50/p90 for the rows of ``frame`` (must have channel, campaign_type,
-    forecast_period_days, budget_scenario, new_spend)."""
+    forecast_period_days, budget_scenario, new_spend); models and pools are those with prefix ``p``."""
     cte(f"{name}_pred", f"""
 SELECT fr.*, t.target,
        CASE WHEN t.target = 'revenue' THEN coalesce(m.ra, la.ra) + coalesce(m.rb, la.rb) * fr.new_spend
             ELSE coalesce(m.sa, la.sa) + coalesce(m.sb, la.sb) * fr.new_spend END AS pred,
        CASE WHEN coalesce(pn.n, 0) >= 30 THEN fr.channel || '__' || fr.campaign_type ELSE '__global__' END AS pool
 FROM {frame} AS fr
-LEFT JOIN lin_model AS m ON m.channel = fr.channel AND m.campaign_type = fr.campaign_type
-CROSS JOIN lin_all AS la CROSS JOIN targets AS t
-LEFT JOIN pool_n AS pn ON pn.pool = fr.channel || '__' || fr.campaign_type AND pn.target = t.target""",
-        frame, "lin_model", "lin_all", "targets", "pool_n", *deps)
+LEFT JOIN {p}lin_model AS m ON m.channel = fr.channel AND m.campaign_type = fr.campaign_type
+CROSS JOIN {p}lin_all AS la CROSS JOIN targets AS t
+LEFT JOIN {p}pool_n AS pn ON pn.pool = fr.channel || '__' || fr.campaign_type AND pn.target = t.target""",
+        frame, f"{p}lin_model", f"{p}lin_all", "targets", f"{p}pool_n")
     cte(f"{name}_iv", f"""
 SELECT p.channel, p.campaign_type, p.forecast_period_days, p.budget_scenario,
   quantile_cont(CASE WHEN p.target = 'revenue' THEN greatest((p.pred + s.residual) * p.forecast_period_days, 0.0) END, 0.1) AS revenue_p10,
@@ -440,8 +472,8 @@ SELECT p.channel, p.campaign_type, p.forecast_period_days, p.budget_scenario,
   quantile_cont(CASE WHEN p.target = 'roas' THEN least(greatest(p.pred + s.residual, 0.0), 50.0) END, 0.1) AS roas_p10,
   quantile_cont(CASE WHEN p.target = 'roas' THEN least(greatest(p.pred + s.residual, 0.0), 50.0) END, 0.5) AS roas_p50,
   quantile_cont(CASE WHEN p.target = 'roas' THEN least(greatest(p.pred + s.residual, 0.0), 50.0) END, 0.9) AS roas_p90
-FROM {name}_pred AS p JOIN sampled AS s ON s.pool = p.pool AND s.target = p.target
-GROUP BY p.channel, p.campaign_type, p.forecast_period_days, p.budget_scenario""", f"{name}_pred", "sampled")
+FROM {name}_pred AS p JOIN {p}sampled AS s ON s.pool = p.pool AND s.target = p.target
+GROUP BY p.channel, p.campaign_type, p.forecast_period_days, p.budget_scenario""", f"{name}_pred", f"{p}sampled")
     cte(name, f"""
 SELECT fr.*, iv.revenue_p10, iv.revenue_p50, iv.revenue_p90, iv.roas_p10, iv.roas_p50, iv.roas_p90
 FROM {frame} AS fr JOIN {name}_iv AS iv
@@ -450,7 +482,9 @@ FROM {frame} AS fr JOIN {name}_iv AS iv
         frame, f"{name}_iv")
 
 
-interval_cte("grp_pred", "frame", ())
+interval_cte("grp_pred", "frame")
+interval_cte("ev_pred", "ev_frame", "ev_")
+interval_cte("evw_pred", "evw_frame", "evw_")
 
 cte("pred_rows", """
 SELECT g.forecast_period_days, g.channel, g.campaign_type, g.revenue_p10, g.revenue_p50, g.revenue_p90,
@@ -483,7 +517,7 @@ SELECT b.channel, b.campaign_type, CAST(60 AS BIGINT) AS forecast_period_days, '
        b.base_spend * coalesce(m.multiplier, 1.0) * 60 AS spend_input
 FROM base AS b LEFT JOIN wi_mult AS m ON m.channel = b.channel""", "base", "wi_mult")
 
-interval_cte("wi", "wi_frame", ())
+interval_cte("wi", "wi_frame")
 
 cte("grid", """
 SELECT i AS point, CASE WHEN i = 9 THEN 2.0 ELSE 0.5 + CAST(i AS DOUBLE) * (1.5 / 9) END AS multiplier
@@ -495,7 +529,7 @@ SELECT b.channel, b.campaign_type, CAST(60 AS BIGINT) AS forecast_period_days, '
        b.base_spend * g.multiplier * 60 AS spend_input
 FROM base AS b CROSS JOIN grid AS g WHERE b.channel IN ('google', 'meta', 'bing')""", "base", "grid")
 
-interval_cte("yc", "yc_frame", ())
+interval_cte("yc", "yc_frame")
 
 cte("curve", """
 SELECT channel, multiplier, sum(base_spend * multiplier * forecast_period_days) AS spend,

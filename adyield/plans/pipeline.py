@@ -10,28 +10,34 @@ executor re-reads files instead of re-running ingest).
 from __future__ import annotations
 
 import os
+import sys
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.aggregate import GROUP_KEYS, daily_aggregate, training_metadata
-from ..operators.features import build_features, feature_columns
+from ..operators.aggregate import GROUP_KEYS, training_metadata
+from ..operators.features import build_features, feature_columns, feature_values, observed_values
 from ..operators.forecast import predictions, sort_predictions, what_if, yield_curve
 from ..operators.gbt import BoostParams
 from ..operators.models import TARGETS, FittedModels, fit_models, restore_boosted, restore_linear
+from ..operators.normalize import Ingest, ingest, unify
 from ..operators.quality import check, validation_rules
-from ..operators.normalize import unify
 from ..operators.scenarios import base_rows, channel_multipliers
-from ..operators.stats import summaries
-from ..session import cut_lineage, prepare
+from ..operators.stats import group_stats, summaries
+from ..session import cut_lineage, fingerprint, path_exists, prepare, table_path
 from ..sources import sinks
 from ..sources.fixtures import raw_dialects
 
 _MEMO: dict[tuple, object] = {}
 
 
-def _key(spark: SparkSession, *parts) -> tuple:
-    return (spark.sparkContext.applicationId, *parts)
+SOURCE_TABLES = ["lineitem", "part"]
+
+
+def _key(spark: SparkSession, what: str, sf_dir: str, *parts) -> tuple:
+    """Memo key: the session, the source and the state of its files, so changed data is read again."""
+    state = fingerprint(spark, [table_path(sf_dir, t) for t in SOURCE_TABLES])
+    return (spark.sparkContext.applicationId, what, sf_dir, state, *parts)
 
 
 def canonical_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,8 +46,14 @@ def canonical_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unify(raw_dialects(spark, sf_dir))
 
 
+def ingested(spark: SparkSession, sf_dir: str) -> Ingest:
+    """One pass over the driver tables' raw rows: daily table, validation figures, report."""
+    prepare(spark)
+    return ingest(raw_dialects(spark, sf_dir))
+
+
 def daily_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return daily_aggregate(canonical_table(spark, sf_dir))
+    return ingested(spark, sf_dir).daily
 
 
 def feature_table(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataFrame:
@@ -67,6 +79,8 @@ class TrainedBundle:
     feature_cols: list[str]
     models: FittedModels
     summaries: DataFrame
+    stats: DataFrame
+    min_date: str | None = None       # first date of the training table; None: ``features`` is that table
     _base: DataFrame | None = None
 
     def base_rows(self) -> DataFrame:
@@ -82,7 +96,7 @@ def train(features: DataFrame, kind: str = "boosted", params: BoostParams = Boos
     kw = {"params": params} if kind == "boosted" else {}
     models = fit_models(features, cols, kind, **kw)
     summ = cut_lineage(summaries(features), "summaries")
-    return TrainedBundle(features, cols, models, summ)
+    return TrainedBundle(features, cols, models, summ, cut_lineage(group_stats(features), "group-stats"))
 
 
 def trained(spark: SparkSession, sf_dir: str, kind: str = "boosted",
@@ -97,7 +111,7 @@ def trained(spark: SparkSession, sf_dir: str, kind: str = "boosted",
 def forecast(bundle: TrainedBundle, draws: str = "numpy", sort: bool = True) -> DataFrame:
     """Predictions table: groups x 3 horizons x 5 scenarios + portfolio rollup (predict.main)."""
     p = predictions(bundle.features, bundle.feature_cols, bundle.models, bundle.summaries, draws,
-                    base=bundle.base_rows())
+                    base=bundle.base_rows(), min_date=bundle.min_date)
     return sort_predictions(p) if sort else p
 
 
@@ -106,12 +120,13 @@ def simulate(bundle: TrainedBundle, multipliers: dict[str, float], horizon: int
     """What-if table under per-channel spend multipliers (budget page)."""
     spark = bundle.features.sparkSession
     return what_if(bundle.features, bundle.feature_cols, bundle.models,
-                   channel_multipliers(spark, multipliers), horizon, draws, base=bundle.base_rows())
+                   channel_multipliers(spark, multipliers), horizon, draws, base=bundle.base_rows(),
+                   min_date=bundle.min_date)
 
 
 def curve(bundle: TrainedBundle, horizon: int = 60, draws: str = "numpy") -> DataFrame:
     return yield_curve(bundle.features, bundle.feature_cols, bundle.models, horizon, draws,
-                       base=bundle.base_rows())
+                       base=bundle.base_rows(), min_date=bundle.min_date)
 
 
 def clear_memo() -> None:
@@ -120,24 +135,27 @@ def clear_memo() -> None:
 
 # ----------------------------------------------------------------------------- bundle and jobs
 
-MODEL_TABLES = {"linear": ("coefficients", "overall"), "boosted": ("groups", "group_models")}
+MODEL_TABLES = {"linear": ("coefficients", "overall"), "boosted": ("groups", "group_models", "medians")}
 
 
 def save_trained(bundle: TrainedBundle, path: str) -> None:
-    """Bundle directory: residuals, group models, summaries, metadata, model tables, fallback pipelines."""
+    """Bundle directory: residuals, group models, summaries, group stats, metadata, model tables, fallback."""
     spark = bundle.features.sparkSession
     m = bundle.models
-    meta = (spark.createDataFrame([(m.kind, list(bundle.feature_cols))], "kind string, feature_columns array<string>")
+    values = [v for v in feature_values(*observed_values(bundle.features)) if v[0] in set(bundle.feature_cols)]
+    meta = (spark.createDataFrame([(m.kind, list(bundle.feature_cols), values)], "kind string, feature_columns array<string>, "
+                                  "feature_values array<struct<feature: string, key: string, value: string>>")
             .crossJoin(training_metadata(bundle.features)))
-    sinks.save_bundle(path, m.residuals, m.group_models, bundle.summaries, meta)
+    sinks.save_bundle(path, {"residuals": m.residuals, "group_models": m.group_models, "summaries": bundle.summaries,
+                             "group_stats": bundle.stats, "metadata": meta})
     for name, df in m.tables.items():
         df.write.mode("overwrite").parquet(os.path.join(path, "model_tables", name))
-    for target, pipeline_model in m.fallback.items():
-        pipeline_model.write().overwrite().save(os.path.join(path, "fallback", target))
+    for name, pipeline_model in m.fallback.items():
+        pipeline_model.write().overwrite().save(os.path.join(path, "fallback", name))
 
 
 def load_trained(spark: SparkSession, path: str, features: DataFrame) -> TrainedBundle:
-    """Rebuild a trained bundle (scoring included) from ``save_trained`` output."""
+    """Rebuild a trained bundle (scoring included) from ``save_trained`` output, to score ``features``."""
     t = sinks.load_bundle(spark, path)
     meta = t["metadata"].first()
     kind, cols = meta["kind"], list(meta["feature_columns"])
@@ -146,25 +164,33 @@ def load_trained(spark: SparkSession, path: str, features: DataFrame) -> Trained
         models = restore_linear(tables, t["residuals"])
     else:
         from pyspark.ml import PipelineModel
-        fallback = {tg: PipelineModel.load(os.path.join(path, "fallback", tg)) for tg in TARGETS}
+        fallback = {n: PipelineModel.load(os.path.join(path, "fallback", n)) for n in ("prepare", *TARGETS)}
         models = restore_boosted(tables, t["residuals"], fallback, cols)
-    return TrainedBundle(features, cols, models, t["summaries"])
+    return TrainedBundle(features, cols, models, t["summaries"], t["group_stats"], meta["min_date"])
 
 
 def load_source(spark: SparkSession, source: str) -> dict[str, DataFrame]:
     """Raw dialect tables: the driver tables when ``source`` holds them, else a directory of CSV exports."""
     from ..sources import csv as csvsrc
-    if csvsrc.list_files(spark, source, "lineitem.parquet") or os.path.isdir(os.path.join(source, "lineitem.parquet")):
+    if path_exists(spark, table_path(source, "lineitem")):
         return raw_dialects(spark, source)
     return csvsrc.load_directory(spark, source)
 
 
 def features_job(spark: SparkSession, source: str, out: str) -> DataFrame:
-    """Ingest, validate, aggregate, build features, write Parquet (the reference's feature program)."""
+    """Ingest, validate, aggregate, build features, write Parquet (the reference's feature program).
+
+    One pass over the raw rows. Dropped dates, unreadable numbers and validation warnings go to stderr.
+    """
     prepare(spark)
-    canonical = unify(load_source(spark, source))
-    check(validation_rules(canonical))
-    daily = cut_lineage(daily_aggregate(canonical), "daily")
+    found = ingest(load_source(spark, source))
+    for r in found.report.orderBy("channel").collect():          # one row per channel
+        if r["rows_dropped"] or r["unreadable"]:
+            print(f"{r['channel']}: {r['rows_dropped']} of {r['rows_read']} rows dropped for their date, "
+                  f"{r['unreadable']} unreadable numbers filled", file=sys.stderr)
+    for warning in check(validation_rules(found.grain)):
+        print(f"warning: {warning}", file=sys.stderr)
+    daily = cut_lineage(found.daily, "daily")
     sinks.write_features(build_features(daily), out)
     return sinks.read_features(spark, out)
 

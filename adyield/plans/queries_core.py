@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.exprs import clip
+from ..functions.exprs import clip, parse_date
 from ..functions.text import group_key, report_label
 from ..operators import aggregate as agg
 from ..operators import features as feats
 from ..operators import normalize as norm
 from ..operators import quality, stats
+from ..operators.models import group_table
+from ..session import table_path
 from ..sources import csv as csvsrc
 from ..sources import sinks
 from ..sources.fixtures import events_canonical, raw_dialects
 from . import oracle as O
+from . import pipeline
 from .pipeline import canonical_table, feature_table
 from .registry import register
 
@@ -43,35 +46,52 @@ def _cols(names):
 # ======================================================================= 2.1 sources and sinks
 
 def _export_dir(spark, sf):
+    """The dialects as a directory of mixed exports: with and without the index column, columns in another order, an
+    unused column left out, quoted names with commas and doubled quotes, missing values as NA."""
     d = sinks.scratch_dir(spark, "dialect-csv")
-    sinks.export_dialect_csv(raw_dialects(spark, sf), d)
+    for ch, raw in raw_dialects(spark, sf).items():
+        name = "CampaignName" if ch == "bing" else "campaign_name"
+        dealt = raw.withColumn("_part", F.pmod(F.hash(*raw.columns), F.lit(3)))
+        quoted = F.concat(F.col(name), F.lit('_"Brand", US'))
+        left_out = ("metrics_video_views", "cpm")       # a meta file without its mark is known by its name
+        sinks.export_csv(dealt.where("_part = 0").drop("_part"), f"{d}/{ch}_0.csv", with_index=True)
+        sinks.export_csv(dealt.where("_part = 1").withColumn(name, quoted).select(raw.columns[::-1]), f"{d}/{ch}_1.csv",
+                         with_index=False, null_text="NA")
+        sinks.export_csv(dealt.where("_part = 2").select([c for c in raw.columns if c not in left_out]), f"{d}/{ch}_2.csv",
+                         with_index=False)
     return d
 
 
 @register("s1_csv_directory_scan", O.q("SELECT * FROM daily", "daily"), DAILY_DBL)
 def s1_csv_directory_scan(spark, sf):
-    """Driver tables exported as platform CSVs, scanned back by header detection, then A1."""
-    raws = csvsrc.load_directory(spark, _export_dir(spark, sf))
-    return agg.daily_aggregate(norm.unify(raws))
+    """Driver tables exported as mixed platform CSVs, scanned back by header detection, through the one-pass ingest."""
+    return norm.ingest(csvsrc.load_directory(spark, _export_dir(spark, sf))).daily
 
 
-@register("s2_csv_pattern_read")
+@register("s2_csv_pattern_read", O.q("SELECT channel, count(*) AS rows FROM canon GROUP BY channel", "canon"))
 def s2_csv_pattern_read(spark, sf):
-    """First file matching a pattern, detected and normalised; rows per channel."""
-    d = _export_dir(spark, sf)
-    first = csvsrc.list_files(spark, d, "part-*.csv")[0]
-    raw = csvsrc.load_by_pattern(spark, d, "part-*.csv")
-    dialect = csvsrc.detect_dialect(csvsrc.header(spark, first), first)
-    return norm.normalize(raw, dialect).groupBy("channel").agg(F.count(F.lit(1)).alias("rows"))
+    """First export matching a pattern, one per dialect, detected by its columns and normalised; rows per channel."""
+    d, out = sinks.scratch_dir(spark, "pattern-csv"), None
+    for ch, raw in raw_dialects(spark, sf).items():
+        sinks.export_csv(raw, f"{d}/{ch.upper()}_export.csv")
+    for pattern in ("GOOGLE*.csv", "BING*.csv", "META*.csv"):
+        raw = csvsrc.load_by_pattern(spark, d, pattern)
+        part = norm.normalize(raw, csvsrc.detect_dialect(raw.columns)).groupBy("channel").agg(F.count(F.lit(1)).alias("rows"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
-@register("s3_dialect_detection")
+@register("s3_dialect_detection", O.q("""
+SELECT 'google' AS dialect, count(*) AS rows FROM g_raw UNION ALL
+SELECT 'bing', count(*) FROM b_raw UNION ALL SELECT 'meta', count(*) FROM m_raw""", "g_raw", "b_raw", "m_raw"))
 def s3_dialect_detection(spark, sf):
-    """Dialect decided per exported file (header, then name); one row per file."""
+    """Dialect decided per exported file (header, then name); data lines per dialect."""
     d = _export_dir(spark, sf)
-    rows = [(p.rsplit("/", 1)[-1], csvsrc.detect_dialect(csvsrc.header(spark, p), p))
-            for p in csvsrc.csv_files(spark, d)]
-    return spark.createDataFrame(rows, "file string, dialect string")
+    parts = [p for f in csvsrc.csv_files(spark, d) for p in csvsrc.part_files(spark, f)]
+    kinds = spark.createDataFrame([(p.rsplit("/", 1)[-1], k) for p, _, k in csvsrc.detected(spark, parts)],
+                                  "file string, dialect string")
+    lines = spark.read.text(parts).groupBy(F.col("_metadata.file_name").alias("file")).agg((F.count(F.lit(1)) - 1).alias("n"))
+    return kinds.join(lines, "file").groupBy("dialect").agg(F.sum("n").alias("rows"))
 
 
 @register("s4_file_choice", O.q("""
@@ -127,6 +147,23 @@ def p4_invalid_dates(spark, sf):
     return norm.invalid_date_counts(raw_dialects(spark, sf))
 
 
+# A text form per layout, by order number.
+_DATE_TEXTS = ["yyyy-MM-dd", "M/d/yyyy", "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd HH:mm:ss.SSS", "MM/dd/yy", "MMM d, yyyy",
+               "d-MMM-yyyy", "yyyy/MM/dd", "yyyyMMdd", "yyyy-MM-dd'T'HH:mm:ss'+05:30'", "MMMM d, yyyy", "yyyy-M-d"]
+
+
+@register("p4_date_layouts", O.q("""
+SELECT CAST(l_shipdate AS DATE) AS date, l_orderkey % 12 AS layout, count(*) AS rows FROM lineitem GROUP BY 1, 2"""))
+def p4_date_layouts(spark, sf):
+    """Every ship date written in one of twelve layouts and parsed back."""
+    li = spark.read.parquet(table_path(sf, "lineitem")).select("l_orderkey", "l_shipdate")
+    text, layout = F.lit(None).cast("string"), F.col("l_orderkey") % len(_DATE_TEXTS)
+    for k, form in enumerate(_DATE_TEXTS):
+        text = F.when(layout == k, F.date_format(F.to_timestamp(F.to_date("l_shipdate")), form)).otherwise(text)
+    return li.select(parse_date(text).alias("date"), layout.cast("long").alias("layout")).groupBy("date", "layout").agg(
+        F.count(F.lit(1)).alias("rows"))
+
+
 @register("p5_null_fill", O.q("""
 SELECT channel, campaign_type, count(*) AS rows, count(*) FILTER (WHERE campaign_name = 'Unknown') AS unknown_names,
        CAST(sum(clicks) AS BIGINT) AS clicks, CAST(sum(impressions) AS BIGINT) AS impressions,
@@ -160,18 +197,14 @@ GROUP BY f.channel, f.campaign_type""", "g_fill", "m_fill", "g_tmed", "m_tmed",
           {"budget_after": 2, "type_median": 4})
 def p7_budget_imputation(spark, sf):
     """Type median, then median of the filled column, then 0, for google and meta."""
-    raws = raw_dialects(spark, sf)
-    out = None
-    for ch in ("google", "meta"):
-        typed = norm.PARSERS[ch](raws[ch]).where(F.col("date").isNotNull())
-        before = typed.groupBy("campaign_type").agg(
-            F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("daily_budget").isNull(), 1)).alias("null_before"),
-            F.median("daily_budget").alias("type_median"))
-        after = norm.impute_budget(typed).groupBy("campaign_type").agg(F.sum("daily_budget").alias("budget_after"))
-        part = before.join(after, "campaign_type").select(F.lit(ch).alias("channel"), "campaign_type", "rows",
-                                                          "null_before", "type_median", "budget_after")
-        out = part if out is None else out.unionByName(part)
-    return out
+    g = norm.ingest(raw_dialects(spark, sf)).grain.where(F.col("channel").isin("google", "meta"))
+    g = g.withColumn("n", F.col("rows"))
+    per_type, filled = norm.budget_medians(g, ["channel"])
+    full = g.join(per_type, ["channel", "campaign_type"], "left").join(filled, "channel", "left")
+    budget = F.coalesce("daily_budget", "type_median", "filled_median", F.lit(0.0))
+    return full.groupBy("channel", "campaign_type").agg(
+        F.sum("n").alias("rows"), F.sum(F.when(F.col("daily_budget").isNull(), F.col("n")).otherwise(0)).alias("null_before"),
+        F.first("type_median").alias("type_median"), F.sum(budget * F.col("n")).alias("budget_after"))
 
 
 @register("p8_meta_campaign_type", O.q("""
@@ -217,7 +250,27 @@ UNION ALL SELECT 'missing_channels', CAST(count(*) AS DOUBLE), CASE WHEN count(*
 FROM (SELECT * FROM (VALUES ('google'), ('bing'), ('meta')) AS e(channel)
       WHERE channel NOT IN (SELECT DISTINCT channel FROM canon)) AS m""", "canon"), {"value": 4})
 def p17_input_validation(spark, sf):
-    return quality.validation_rules(_canon(spark, sf))
+    return quality.validation_rules(pipeline.ingested(spark, sf).grain)
+
+
+@register("p17_validation_events", O.q("""
+SELECT 'min_rows' AS rule, CAST(count(*) AS DOUBLE) AS value, CASE WHEN count(*) < 100 THEN 'abort' ELSE 'ok' END AS level FROM ev_canon
+UNION ALL SELECT 'date_type', 1.0, 'ok'
+UNION ALL SELECT 'nonpositive_revenue_share', avg(CASE WHEN revenue <= 0 THEN 1.0 ELSE 0.0 END),
+       CASE WHEN avg(CASE WHEN revenue <= 0 THEN 1.0 ELSE 0.0 END) > 0.5 THEN 'warn' ELSE 'ok' END FROM ev_canon
+UNION ALL SELECT 'missing_channels', 3.0, 'warn'""", "ev_canon"), {"value": 4})
+def p17_validation_events(spark, sf):
+    """The rules over a source that lacks every expected channel."""
+    return quality.validation_rules(quality.channel_counts(events_canonical(spark, sf)))
+
+
+@register("p4_ingest_report", O.q("""
+SELECT 'google' AS channel, count(*) AS rows_read, count(*) FILTER (WHERE date IS NULL) AS rows_dropped, CAST(0 AS BIGINT) AS unreadable FROM g_typed
+UNION ALL SELECT 'bing', count(*), count(*) FILTER (WHERE date IS NULL), 0 FROM b_typed
+UNION ALL SELECT 'meta', count(*), count(*) FILTER (WHERE date IS NULL), 0 FROM m_typed""", "g_typed", "b_typed", "m_typed"))
+def p4_ingest_report(spark, sf):
+    """Rows read, rows dropped for their date and unreadable numbers, from the one-pass ingest."""
+    return pipeline.ingested(spark, sf).report
 
 
 _P18_FIXED = " UNION ALL ".join(f"SELECT {i} AS position, '{c}' AS feature"
@@ -228,7 +281,7 @@ _P18_FIXED = " UNION ALL ".join(f"SELECT {i} AS position, '{c}' AS feature"
 {_P18_FIXED}
 UNION ALL
 SELECT {len(feats.BASE_FEATURE_COLUMNS)} + row_number() OVER (ORDER BY campaign_type) - 1 AS position,
-       'campaign_type_' || campaign_type AS feature
+       {O.type_column('campaign_type')} AS feature
 FROM (SELECT DISTINCT campaign_type FROM feat) AS t""", "feat"))
 def p18_training_columns(spark, sf):
     """Training column list: fixed names plus every campaign_type_* column, with positions."""
@@ -239,10 +292,15 @@ def p18_training_columns(spark, sf):
 # ======================================================================= 2.3 joins (non-forecast)
 
 @register("j7_expected_channels", O.q("""
-SELECT channel FROM (VALUES ('google'), ('bing'), ('meta')) AS e(channel)
-WHERE channel NOT IN (SELECT DISTINCT channel FROM canon)""", "canon"))
+SELECT s.source, e.channel
+FROM (VALUES ('platforms'), ('events')) AS s(source) CROSS JOIN (VALUES ('google'), ('bing'), ('meta')) AS e(channel)
+WHERE (s.source = 'platforms' AND e.channel NOT IN (SELECT DISTINCT channel FROM canon))
+   OR (s.source = 'events' AND e.channel NOT IN (SELECT DISTINCT channel FROM ev_canon))""", "canon", "ev_canon"))
 def j7_expected_channels(spark, sf):
-    return quality.expected_channels(_canon(spark, sf))
+    """Expected channels that a source lacks: none for the platforms, all three for the events."""
+    both = {"platforms": _canon(spark, sf), "events": events_canonical(spark, sf)}
+    parts = [quality.expected_channels(df).select(F.lit(name).alias("source"), "channel") for name, df in both.items()]
+    return parts[0].unionByName(parts[1])
 
 
 # ======================================================================= 2.4 aggregations
@@ -322,7 +380,7 @@ def a12_training_metadata(spark, sf):
 @register("a15_group_size", O.q("""
 SELECT channel, campaign_type, count(*) AS rows, count(*) >= 60 AS dedicated FROM feat GROUP BY 1, 2""", "feat"))
 def a15_group_size(spark, sf):
-    return agg.group_sizes(_feat(spark, sf))
+    return group_table(_feat(spark, sf))
 
 
 @register("a16_median", O.q("""
@@ -332,17 +390,10 @@ UNION ALL SELECT 'google', '*filled*', gmed FROM g_gmed
 UNION ALL SELECT 'meta', '*filled*', gmed FROM m_gmed""", "g_tmed", "m_tmed", "g_gmed", "m_gmed"), {"budget_median": 4})
 def a16_median(spark, sf):
     """Exact medians: per campaign type of the raw budget, and of the filled column."""
-    raws = raw_dialects(spark, sf)
-    out = None
-    for ch in ("google", "meta"):
-        typed = norm.PARSERS[ch](raws[ch]).where(F.col("date").isNotNull())
-        per_type = typed.groupBy("campaign_type").agg(F.median("daily_budget").alias("budget_median"))
-        filled = typed.join(per_type, "campaign_type", "left").select(
-            F.coalesce("daily_budget", "budget_median").alias("b"))
-        glob = filled.agg(F.lit("*filled*").alias("campaign_type"), F.median("b").alias("budget_median"))
-        part = per_type.unionByName(glob).select(F.lit(ch).alias("channel"), "campaign_type", "budget_median")
-        out = part if out is None else out.unionByName(part)
-    return out
+    g = norm.ingest(raw_dialects(spark, sf)).grain.where(F.col("channel").isin("google", "meta"))
+    per_type, filled = norm.budget_medians(g.withColumn("n", F.col("rows")), ["channel"])
+    return per_type.withColumnRenamed("type_median", "budget_median").unionByName(filled.select(
+        "channel", F.lit("*filled*").alias("campaign_type"), F.col("filled_median").alias("budget_median")))
 
 
 # ======================================================================= 2.5 windows
@@ -478,21 +529,17 @@ def f9_channel_onehot(spark, sf):
                                                      ("channel_google", "channel_bing", "channel_meta")])
 
 
-@register("f10_campaign_type_onehot", O.q("""
-SELECT channel, campaign_type, count(*) AS rows, count(*) AS dummy_total, count(*) AS own_dummy,
-       (SELECT count(DISTINCT campaign_type) FROM feat) AS type_columns
-FROM feat GROUP BY channel, campaign_type""", "feat"))
+@register("f10_campaign_type_onehot", O.q(f"""
+SELECT f.channel, f.campaign_type, t.feature, CAST(sum(CASE WHEN f.campaign_type = t.campaign_type THEN 1 ELSE 0 END) AS BIGINT) AS ones
+FROM feat AS f CROSS JOIN (SELECT DISTINCT campaign_type, {O.type_column('campaign_type')} AS feature FROM feat) AS t
+GROUP BY f.channel, f.campaign_type, t.feature""", "feat"))
 def f10_campaign_type_onehot(spark, sf):
-    """One column per observed type: each row has exactly one 1, in its own type's column."""
+    """The sum of every one-hot column per group: its rows in their own type's column, 0 elsewhere."""
     f = _feat(spark, sf)
-    tcols = [c for c in f.columns if c.startswith(feats.TYPE_PREFIX)]
-    total = sum((F.col(f"`{c}`") for c in tcols), F.lit(0))
-    own = F.lit(0)
-    for c in tcols:
-        own = F.when(F.col("campaign_type") == F.lit(c[len(feats.TYPE_PREFIX):]), F.col(f"`{c}`")).otherwise(own)
-    return f.groupBy("channel", "campaign_type").agg(
-        F.count(F.lit(1)).alias("rows"), F.sum(total).cast("long").alias("dummy_total"),
-        F.sum(own).cast("long").alias("own_dummy"), F.lit(len(tcols)).cast("long").alias("type_columns"))
+    columns = [c for c in f.columns if c.startswith(feats.TYPE_PREFIX)]
+    sums = f.groupBy("channel", "campaign_type").agg(*[F.sum(c).cast("long").alias(c) for c in columns])
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("ones")) for c in columns])).alias("_p")
+    return sums.select("channel", "campaign_type", pairs).select("channel", "campaign_type", "_p.feature", "_p.ones")
 
 
 @register("f11_clip", O.q("""
@@ -556,12 +603,13 @@ SELECT c.channel, t.campaign_type, coalesce(f.avg_roas_last_30d, 0.0) AS avg_roa
        coalesce(f.total_revenue_last_90d, 0.0) AS total_revenue_last_90d,
        coalesce(f.total_spend_last_90d, 0.0) AS total_spend_last_90d,
        coalesce(f.trend_direction, 'flat') AS trend_direction, coalesce(f.n_anomalies, 0) AS anomalies
-FROM (SELECT DISTINCT channel FROM feat) AS c CROSS JOIN (SELECT DISTINCT campaign_type FROM feat) AS t
+FROM (VALUES ('google'), ('bing'), ('meta')) AS c(channel) CROSS JOIN (SELECT DISTINCT campaign_type FROM feat) AS t
 LEFT JOIN gs_final AS f ON f.gkey = c.channel || '__' || t.campaign_type""", _I2_DIG, "feat", "gs_final"), _I2_DIG)
 def i2_empty_scope_defaults(spark, sf):
-    """Every channel x type pair; pairs with no rows get the empty-scope defaults."""
+    """Every expected channel with every type; pairs with no rows get the empty-scope defaults."""
     f = _feat(spark, sf)
-    scopes = f.select("channel").distinct().crossJoin(f.select("campaign_type").distinct())
+    expected = F.array(*[F.lit(c) for c in quality.EXPECTED_CHANNELS])
+    scopes = f.select("campaign_type").distinct().select(F.explode(expected).alias("channel"), "campaign_type")
     s = stats.with_empty_defaults(scopes, stats.group_stats(f), ["channel", "campaign_type"])
     return s.select("channel", "campaign_type", "avg_roas_last_30d", "avg_roas_last_90d", "total_revenue_last_90d",
                     "total_spend_last_90d", "trend_direction", F.size("anomaly_flags").cast("long").alias("anomalies"))
@@ -593,11 +641,19 @@ def i4_summary_table(spark, sf):
     return stats.summaries(_feat(spark, sf))
 
 
+def _loaded(spark, sf):
+    bundle = pipeline.trained(spark, sf, "linear")
+    path = sinks.scratch_dir(spark, "bundle")
+    pipeline.save_trained(bundle, path)
+    return pipeline.load_trained(spark, path, bundle.features)
+
+
 @register("i5_anomaly_table", O.q("""
 SELECT gkey AS "group", strftime(date, '%Y-%m-%d') AS date, 'Revenue Z-Score > 2.5 (Volume Anomaly)' AS issue
 FROM gs_anom""", "gs_anom"))
 def i5_anomaly_table(spark, sf):
-    return stats.anomaly_table(_feat(spark, sf))
+    """Anomalies from the statistics of a loaded bundle."""
+    return stats.anomaly_table(_loaded(spark, sf).stats)
 
 
 @register("i6_risk_flags", O.q("""
@@ -605,4 +661,5 @@ SELECT gkey AS "group", 'declining_trend' AS risk, avg_roas_last_30d FROM gs_fin
 UNION ALL SELECT gkey, 'low_roas', avg_roas_last_30d FROM gs_final WHERE avg_roas_last_30d < 1.5""", "gs_final"),
           {"avg_roas_last_30d": 4})
 def i6_risk_flags(spark, sf):
-    return stats.risk_flags(stats.group_stats(_feat(spark, sf)))
+    """Risk flags from the statistics of a loaded bundle."""
+    return stats.risk_flags(_loaded(spark, sf).stats)

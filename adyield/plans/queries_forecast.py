@@ -1,9 +1,9 @@
 """Registered queries: scenario frame, models, residual pools, bootstrap, predictions, what-if.
 
-Queries with an oracle use the SQL-expressible stand-in predictor (per-group
-regression on spend) and linear-congruential draws; the same plans run the
-boosted-tree models with the reference's draw stream in the ``*_boosted`` and
-``m1``-``m4`` queries, which are checked on rows only.
+Most queries use the SQL-expressible stand-in predictor (per-group regression
+on spend) and linear-congruential draws. The default path (boosted trees, the
+reference's draw stream) runs in ``m1``, ``m4``, ``m9_..._numpy`` and
+``m11_..._boosted``; their oracles state what any such fit must satisfy.
 """
 
 from __future__ import annotations
@@ -14,11 +14,14 @@ from ..operators import features as feats
 from ..operators import forecast as fc
 from ..operators import scenarios as sc
 from ..operators.bootstrap import draws, pool_choice, pool_sizes
-from ..operators.gbt import BoostParams
-from ..operators.models import GLOBAL_POOL, TARGETS, fallback_pipeline
+from ..operators.aggregate import daily_aggregate
+from ..operators.models import GLOBAL_POOL, TARGETS, median_surrogates, pool_key
+from ..operators.stats import insight_texts
+from ..session import cut_lineage
 from ..sources import sinks
+from ..sources.fixtures import events_canonical
 from . import oracle as O
-from .pipeline import feature_table, forecast, simulate, trained
+from .pipeline import feature_table, forecast, simulate, train, trained
 from .registry import register
 
 WHAT_IF_MULTIPLIERS = {"google": 1.2, "meta": 0.8}
@@ -93,7 +96,7 @@ _P15_BASE = " UNION ALL ".join(
 @register("p15_align_columns", O.rounded(f"""
 {_P15_BASE}
 UNION ALL
-SELECT g.channel, g.campaign_type, 'campaign_type_' || t.campaign_type AS feature,
+SELECT g.channel, g.campaign_type, {O.type_column('t.campaign_type')} AS feature,
        CASE WHEN g.campaign_type = t.campaign_type THEN 1.0 ELSE 0.0 END AS value
 FROM (SELECT DISTINCT channel, campaign_type FROM trail) AS g CROSS JOIN (SELECT DISTINCT campaign_type FROM feat) AS t
 UNION ALL
@@ -131,7 +134,7 @@ JOIN pool_n AS g ON g.pool = '__global__' AND g.target = t.target""", "base", "t
 def j1_residual_pool_lookup(spark, sf):
     b = _lin(spark, sf)
     groups = sc.base_rows(b.features, []).select("channel", "campaign_type")
-    rows = groups.crossJoin(spark.createDataFrame([(t,) for t in TARGETS], "target string"))
+    rows = groups.crossJoin(F.broadcast(spark.createDataFrame([(t,) for t in TARGETS], "target string")))
     return pool_choice(rows, pool_sizes(b.models.residuals)).select("channel", "campaign_type", "target", "pool", "pool_n")
 
 
@@ -150,6 +153,14 @@ def j3_summary_lookup(spark, sf):
     return _pred(spark, sf).select("channel", "forecast_period_days", "causal_summary").distinct()
 
 
+@register("j3_insight_defaults", O.q("""
+SELECT e.scope, CASE WHEN e.scope = 'bing' THEN 'Bing summary not available in cache.' ELSE s.summary END AS summary
+FROM (VALUES ('all'), ('google'), ('meta'), ('bing')) AS e(scope) JOIN summ AS s ON s.scope = e.scope AND s.horizon = 60""", "summ"))
+def j3_insight_defaults(spark, sf):
+    """Texts of the insight page when one channel has no summary."""
+    return insight_texts(_lin(spark, sf).summaries.where(F.col("scope") != "bing"))
+
+
 @register("j4_scenario_expansion", O.rounded("""
 SELECT channel, campaign_type, forecast_period_days, budget_scenario, multiplier, new_spend, spend_input FROM frame""",
                                             FRAME_DIG, "frame"), FRAME_DIG)
@@ -207,9 +218,10 @@ _ROLL_DIG = dict(PRED_DIG)
 
 @register("a6_prediction_rollup", O.rounded("SELECT * FROM rollup_rows", _ROLL_DIG, "rollup_rows"), _ROLL_DIG)
 def a6_prediction_rollup(spark, sf):
+    """The portfolio rows of the grouping-sets aggregate that production uses."""
     b = _lin(spark, sf)
-    rows = fc.group_predictions(b.features, b.feature_cols, b.models, b.summaries, "lcg")
-    return fc.rollup(rows, b.summaries)
+    rows = fc.scored_intervals(sc.scenario_frame(b.features, b.feature_cols), b.models, "lcg")
+    return fc.with_rollup(rows, b.summaries).where(F.col("channel") == "all")
 
 
 _TOT_DIG = {"total_spend": 2, "total_revenue_p10": 2, "total_revenue_p50": 2, "total_revenue_p90": 2, "total_roas": 4}
@@ -245,28 +257,42 @@ def a14_percentiles(spark, sf):
 
 # ----------------------------------------------------------------------------- models, pools, draws
 
-@register("m1_fallback_model")
+def fit_quality(residuals, features, keys):
+    """Per key and target: rows, and whether the fit is unbiased (mean residual within 5 % of the target's
+    standard deviation) and no worse than the mean (squared error)."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(t).alias("target"), F.col(t).alias("y")) for t in TARGETS])).alias("_p")
+    truth = features.select(*keys, pairs).select(*keys, "_p.target", "_p.y").groupBy(*keys, "target").agg(
+        F.count(F.lit(1)).alias("rows"), F.var_pop("y").alias("_var"))
+    fit = residuals.groupBy(*keys, "target").agg(F.count(F.lit(1)).alias("residuals"), F.avg("residual").alias("_mean"),
+                                                 F.avg(F.col("residual") * F.col("residual")).alias("_mse"))
+    return truth.join(fit, [*keys, "target"]).select(
+        *keys, "target", "rows", "residuals", (F.abs("_mean") <= 0.05 * F.sqrt("_var") + 1e-9).alias("unbiased"),
+        (F.col("_mse") <= F.col("_var") + 1e-9).alias("beats_mean"))
+
+
+@register("m1_fallback_model", O.q("""
+SELECT t.target, count(*) AS rows, count(*) AS residuals, true AS unbiased, true AS beats_mean
+FROM feat CROSS JOIN targets AS t GROUP BY t.target""", "feat", "targets"))
 def m1_fallback_model(spark, sf):
-    """Spark ML fallback pipelines (200 trees) on all rows; mean in-sample prediction per group."""
-    f = _feat(spark, sf)
-    cols = feats.feature_columns(f)
-    out = f
-    for t in TARGETS:
-        out = fallback_pipeline(cols, t, BoostParams()).fit(f).transform(out)
-    return out.groupBy("channel", "campaign_type").agg(
-        F.count(F.lit(1)).alias("rows"), *[F.avg(f"pred_{t}").alias(f"mean_pred_{t}") for t in TARGETS])
+    """The trained bundle's fallback models (200 trees per target) on all rows."""
+    b = _boosted(spark, sf)
+    return fit_quality(b.models.residuals.where(F.col("pool") == GLOBAL_POOL), b.features, [])
+
+
+_M2_FIXED = " UNION ALL ".join(f"SELECT '{c}' AS feature, CAST(median({c}) AS DOUBLE) AS median FROM feat"
+                               for c in feats.BASE_FEATURE_COLUMNS)
 
 
-@register("m2_median_imputation")
+@register("m2_median_imputation", O.rounded(f"""
+{_M2_FIXED}
+UNION ALL
+SELECT t.feature, CAST(median(CASE WHEN f.campaign_type = t.campaign_type THEN 1.0 ELSE 0.0 END) AS DOUBLE) AS median
+FROM feat AS f CROSS JOIN (SELECT DISTINCT campaign_type, {O.type_column('campaign_type')} AS feature FROM feat) AS t
+GROUP BY t.feature""", {"median": 4}, "feat"), {"median": 4})
 def m2_median_imputation(spark, sf):
-    """Median surrogates the fallback pipeline's imputer learnt, one row per training column."""
-    from pyspark.ml.feature import Imputer
+    """The exact median that replaces missing values of every training column."""
     f = _feat(spark, sf)
-    cols = feats.feature_columns(f)
-    model = Imputer(inputCols=cols, outputCols=[f"_imp_{i}" for i in range(len(cols))], strategy="median").fit(f)
-    return model.surrogateDF.select(F.explode(F.arrays_zip(
-        F.array(*[F.lit(c) for c in cols]).alias("feature"),
-        F.array(*[F.col(f"`{c}`").cast("double") for c in cols]).alias("median"))).alias("z")).select("z.feature", "z.median")
+    return median_surrogates(f, feats.feature_columns(f))
 
 
 _M3 = feats.BASE_FEATURE_COLUMNS
@@ -285,16 +311,15 @@ def m3_standardisation(spark, sf):
     return spark.createDataFrame(rows, "feature string, mean double, std double")
 
 
-@register("m4_dedicated_group_models")
+@register("m4_dedicated_group_models", O.q("""
+SELECT f.channel, f.campaign_type, t.target, count(*) AS rows, count(*) AS residuals, true AS unbiased, true AS beats_mean
+FROM feat AS f CROSS JOIN targets AS t GROUP BY f.channel, f.campaign_type, t.target HAVING count(*) >= 60""", "feat", "targets"))
 def m4_dedicated_group_models(spark, sf):
-    """Dedicated boosted models per group with >= 60 rows (grouped fit); residual pool size per group."""
+    """Dedicated boosted models per group with >= 60 rows (grouped fit), judged on their residual pools."""
     b = _boosted(spark, sf)
-    sizes = pool_sizes(b.models.residuals)
-    return b.models.group_models.join(
-        sizes.where(F.col("pool") != GLOBAL_POOL).select(
-            F.split_part("pool", F.lit("__"), F.lit(1)).alias("channel"),
-            F.split_part("pool", F.lit("__"), F.lit(2)).alias("campaign_type"), "target", "n"),
-        ["channel", "campaign_type"], "left")
+    own = b.models.group_models.where("dedicated").select("channel", "campaign_type", pool_key().alias("pool"))
+    pools = b.models.residuals.join(own, "pool")
+    return fit_quality(pools, b.features, ["channel", "campaign_type"])
 
 
 _RES_DIG = {"min_residual": 2, "max_residual": 2, "abs_residual_sum": 2}
@@ -341,10 +366,13 @@ def m9_bootstrap_draws(spark, sf):
     return draws(pool_sizes(_lin(spark, sf).models.residuals), "lcg")
 
 
-@register("m9_bootstrap_draws_numpy")
+@register("m9_bootstrap_draws_numpy", O.q("""
+SELECT DISTINCT n, CAST(1000 AS BIGINT) AS draws, CAST(1000 AS BIGINT) AS places, true AS inside FROM pool_n""", "pool_n"))
 def m9_bootstrap_draws_numpy(spark, sf):
-    """The reference's draw stream: RandomState(42).choice(n, 1000) per distinct pool size."""
-    return draws(pool_sizes(_lin(spark, sf).models.residuals), "numpy")
+    """The reference's draw stream per distinct pool size: 1,000 draws, all of them places of the pool."""
+    d = draws(pool_sizes(_lin(spark, sf).models.residuals), "numpy")
+    return d.groupBy("n").agg(F.count(F.lit(1)).alias("draws"), F.count_distinct("k").alias("places"),
+                              F.min((F.col("idx") >= 0) & (F.col("idx") < F.col("n"))).alias("inside"))
 
 
 _M10 = ["month", "week_of_year", "day_of_week", "quarter", "is_q4", "is_november", "is_december", "days_since_start"]
@@ -364,15 +392,44 @@ def m10_future_feature_row(spark, sf):
     return _frame(spark, sf).select(*_MV, "midpoint_date", *_M10, "spend", "spend_vs_budget_ratio")
 
 
+@register("m10_train_origin", O.q("""
+SELECT f.channel, f.campaign_type, f.forecast_period_days, f.budget_scenario, f.midpoint_date,
+       CAST(f.midpoint_date - a.min_date AS DOUBLE) AS days_since_start
+FROM yr_frame AS f CROSS JOIN yr_anchor AS a""", "yr_frame", "yr_anchor"), {"days_since_start": 4})
+def m10_train_origin(spark, sf):
+    """A bundle trained on all rows scores the last year: days still count from the training table's first date."""
+    from .pipeline import load_trained, save_trained
+    b = _lin(spark, sf)
+    path = sinks.scratch_dir(spark, "bundle")
+    save_trained(b, path)
+    last = b.features.agg(F.max("date").alias("_last"))
+    year = b.features.crossJoin(F.broadcast(last)).where("date > date_sub(_last, 365)").drop("_last")
+    loaded = load_trained(spark, path, year)
+    frame = sc.scenario_frame(loaded.features, loaded.feature_cols, min_date=loaded.min_date)
+    return frame.select(*_MV, "midpoint_date", "days_since_start")
+
+
 @register("m11_forecast_job", O.rounded("SELECT * FROM predictions", PRED_DIG, "predictions"), PRED_DIG)
 def m11_forecast_job(spark, sf):
     return _pred(spark, sf)
 
 
-@register("m11_forecast_job_boosted")
+@register("m11_forecast_job_boosted", O.rounded("""
+SELECT forecast_period_days, channel, campaign_type, budget_scenario, spend_input, true AS ordered, true AS bounded, true AS summed
+FROM predictions""", {"spend_input": 2}, "predictions"), {"spend_input": 2})
 def m11_forecast_job_boosted(spark, sf):
-    """The default forecast: boosted-tree models and the reference's draw stream."""
-    return forecast(_boosted(spark, sf), draws="numpy")
+    """The default forecast (boosted trees, the reference's draws): quantiles in order and in bounds, rollup = sum."""
+    p = forecast(_boosted(spark, sf), draws="numpy", sort=False)
+    top = p.where("channel = 'all'").select("forecast_period_days", "budget_scenario", F.col("revenue_p50").alias("_top"))
+    total = (p.where("channel <> 'all'").groupBy("forecast_period_days", "budget_scenario")
+             .agg(F.sum("revenue_p50").alias("_sum")).join(top, ["forecast_period_days", "budget_scenario"]))
+    ordered = F.lit(True)
+    for m in ("revenue", "roas"):
+        ordered = ordered & (F.col(f"{m}_p10") <= F.col(f"{m}_p50")) & (F.col(f"{m}_p50") <= F.col(f"{m}_p90"))
+    bounded = (F.col("revenue_p10") >= 0) & (F.col("roas_p10") >= 0) & (F.col("roas_p90") <= 50)
+    return p.join(total, ["forecast_period_days", "budget_scenario"]).select(
+        "forecast_period_days", "channel", "campaign_type", "budget_scenario", "spend_input", ordered.alias("ordered"),
+        bounded.alias("bounded"), (F.abs(F.col("_top") - F.col("_sum")) <= 1e-6 * (1 + F.abs("_sum"))).alias("summed"))
 
 
 _WI = {"spend_input": 2, "revenue_p10": 2, "revenue_p50": 2, "revenue_p90": 2, "roas_p50": 4}
@@ -458,9 +515,53 @@ def s8_bundle_forecast(spark, sf):
 @register("s8_bundle_save_load", O.q("SELECT pool, target, n FROM pool_n", "pool_n"))
 def s8_bundle_save_load(spark, sf):
     """Bundle saved as Parquet tables and loaded back; residual pool sizes from the loaded table."""
-    from ..operators.aggregate import training_metadata
-    b = _lin(spark, sf)
+    from .pipeline import save_trained
     path = sinks.scratch_dir(spark, "bundle")
-    sinks.save_bundle(path, b.models.residuals, b.models.group_models, b.summaries, training_metadata(b.features))
-    loaded = sinks.load_bundle(spark, path)
-    return pool_sizes(loaded["residuals"])
+    save_trained(_lin(spark, sf), path)
+    return pool_sizes(sinks.load_bundle(spark, path)["residuals"])
+
+
+# ----------------------------------------------------------------------------- the same plans over the events source
+
+def _events(spark, sf, by_weekday):
+    """A linear bundle over the events: by type every group has 30 days (fallback model, own pool); by type and
+    weekday a few (fallback model, global pool)."""
+    daily = cut_lineage(daily_aggregate(events_canonical(spark, sf, by_weekday)), "events-daily")
+    return train(cut_lineage(feats.build_features(daily), "events-features"), "linear")
+
+
+def _event_queries(name, p, by_weekday):
+    @register(f"j1_pool_lookup_{name}", O.q(f"""
+SELECT b.channel, b.campaign_type, t.target,
+       CASE WHEN coalesce(pn.n, 0) >= 30 THEN b.channel || '__' || b.campaign_type ELSE '__global__' END AS pool,
+       CASE WHEN coalesce(pn.n, 0) >= 30 THEN pn.n ELSE g.n END AS pool_n
+FROM {p}base AS b CROSS JOIN targets AS t
+LEFT JOIN {p}pool_n AS pn ON pn.pool = b.channel || '__' || b.campaign_type AND pn.target = t.target
+JOIN {p}pool_n AS g ON g.pool = '__global__' AND g.target = t.target""", f"{p}base", "targets", f"{p}pool_n"))
+    def j1(spark, sf):
+        b = _events(spark, sf, by_weekday)
+        rows = sc.base_rows(b.features, []).select("channel", "campaign_type").crossJoin(
+            F.broadcast(spark.createDataFrame([(t,) for t in TARGETS], "target string")))
+        return pool_choice(rows, pool_sizes(b.models.residuals)).select("channel", "campaign_type", "target", "pool", "pool_n")
+
+    @register(f"j2_model_lookup_{name}", O.q(f"""
+SELECT channel, campaign_type, CASE WHEN dedicated THEN 'dedicated' ELSE 'fallback' END AS model FROM {p}lin_model""",
+                                              f"{p}lin_model"))
+    def j2(spark, sf):
+        return _events(spark, sf, by_weekday).models.group_models.select(
+            "channel", "campaign_type", F.when(F.col("dedicated"), "dedicated").otherwise("fallback").alias("model"))
+
+    @register(f"m6_global_pool_{name}", O.rounded(f"""
+SELECT target, pool_idx, residual FROM {p}pools WHERE pool = '__global__'""", {"residual": 2}, f"{p}pools"), {"residual": 2})
+    def m6(spark, sf):
+        r = _events(spark, sf, by_weekday).models.residuals
+        return r.where(F.col("pool") == GLOBAL_POOL).select("target", "pool_idx", "residual")
+
+    @register(f"a14_percentiles_{name}", O.rounded(f"SELECT {_cols(_IV)} FROM {p}pred", IV_DIG, f"{p}pred"))
+    def a14(spark, sf):
+        b = _events(spark, sf, by_weekday)
+        return fc.scored_intervals(sc.scenario_frame(b.features, b.feature_cols), b.models, "lcg").select(*_IV)
+
+
+_event_queries("events", "ev_", False)
+_event_queries("events_weekday", "evw_", True)

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Folder of the intermediate tables, inside the session's checkpoint directory.
+TABLES = "adyield-tables"
+
 
 def build_session(master: str | None = None, app_name: str = "adyield",
                   shuffle_partitions: int | None = None, driver_memory: str | None = None) -> SparkSession:
@@ -45,18 +51,54 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; only when unset (tests) make one."""
+    """The cluster's ``spark.checkpoint.dir``: a folder that the driver and all executors share.
+
+    Only a ``local`` master, whose executors run in the driver's own process, may go without: it gets a
+    temporary folder that is removed when the process ends. Any other master must name a shared folder,
+    because tables written to one machine's own disk cannot be read back by the others.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError(f"set spark.checkpoint.dir to a shared folder (master {sc.master})")
         configured = tempfile.mkdtemp(prefix="adyield-ckpt-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's file system and path object: the way that Spark itself reaches any store."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, where = file_system(spark, path)
+    return fs.exists(where)
+
+
+def fingerprint(spark: SparkSession, paths: list[str]) -> str:
+    """Length and modification time of tables (files, or folders of part files): changes when their data does."""
+    out = []
+    for path in paths:
+        fs, where = file_system(spark, path)
+        if fs.exists(where):
+            out += sorted(f"{s.getPath().getName()}:{s.getLen()}:{s.getModificationTime()}" for s in fs.listStatus(where))
+    return "|".join(out)
+
+
+def drop_intermediates(spark: SparkSession) -> None:
+    """Remove the session's intermediate tables from the shared folder, once no plan reads them any more."""
+    fs, where = file_system(spark, os.path.join(ensure_checkpoint_dir(spark), TABLES))
+    fs.delete(where, True)
+
+
 def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` as a Parquet table under the shared checkpoint directory and read it back.
 
@@ -64,7 +106,7 @@ def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
     and keeps column pruning and filter pushdown for the plans that read it.
     """
     spark = df.sparkSession
-    path = os.path.join(ensure_checkpoint_dir(spark), "adyield-tables", f"{name}-{uuid.uuid4().hex[:12]}")
+    path = os.path.join(ensure_checkpoint_dir(spark), TABLES, f"{name}-{uuid.uuid4().hex[:12]}")
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 

@@ -1,12 +1,15 @@
 """Directory CSV scan with dialect detection.
 
-Files are listed through the Hadoop FileSystem API (local, HDFS and object
-stores alike). Each file's dialect is decided from its header alone (a
-header-only read touches one line), falling back to the file name; unknown
-files are skipped. All files of one dialect are then read in a single
-``spark.read.csv`` call, as strings, and handed to the normaliser, which casts
-with ``try_cast``. The unnamed index column a pandas export carries arrives
-as ``_c0`` and is dropped.
+Paths are listed through the Hadoop FileSystem API (local, HDFS and object
+stores alike); a folder of part files, as Spark writes it, counts as one
+file. Each file's dialect is decided from its header alone, falling back to
+its name; unknown files are skipped. Headers are read on the executors, one
+small read per file. Files of a dialect are grouped by their exact header,
+every group is read under its own header, and the groups are united by
+column name, so files may differ in column order, in missing columns and in
+the unnamed index column that a pandas export carries (``_c0``, dropped).
+Values arrive as text; the texts that a data-frame reader takes as missing
+become NULL, and the normaliser casts the rest with ``try_cast``.
 """
 
 from __future__ import annotations
@@ -15,9 +18,12 @@ import csv as _csv
 import fnmatch
 import posixpath
 import sys
-from concurrent.futures import ThreadPoolExecutor
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..session import file_system
 
 # Header columns that identify each dialect, checked in this order.
 DIALECT_COLUMNS = [
@@ -28,22 +34,19 @@ DIALECT_COLUMNS = [
 # File-name fragments used when the header is not recognised.
 NAME_HINTS = [("google", ("google",)), ("bing", ("bing", "microsoft")), ("meta", ("meta", "facebook"))]
 INDEX_COLUMNS = ("_c0", "Unnamed: 0", "")
+# Texts that stand for a missing value.
+MISSING_TEXTS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A",
+                 "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+HEADER_BYTES = 1 << 16
 
 
 def list_files(spark: SparkSession, directory: str, pattern: str) -> list[str]:
-    """Paths in ``directory`` whose base name matches ``pattern``, sorted."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(directory)
-    fs = path.getFileSystem(conf)
+    """Paths in ``directory`` whose base name matches ``pattern``, sorted: files, and folders of part files."""
+    fs, path = file_system(spark, directory)
     if not fs.exists(path):
         return []
-    out = []
-    for status in fs.listStatus(path):
-        p = status.getPath()
-        if status.isFile() and fnmatch.fnmatchcase(p.getName(), pattern):
-            out.append(p.toString())
-    return sorted(out)
+    return sorted(s.getPath().toString() for s in fs.listStatus(path)
+                  if fnmatch.fnmatchcase(s.getPath().getName(), pattern))
 
 
 def csv_files(spark: SparkSession, directory: str) -> list[str]:
@@ -54,28 +57,53 @@ def csv_files(spark: SparkSession, directory: str) -> list[str]:
     return files
 
 
-def read_csv(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """Header CSV as strings; the pandas index column is dropped."""
-    df = spark.read.option("header", True).option("multiLine", False).csv(paths)
-    drop = [c for c in df.columns if c in INDEX_COLUMNS]
-    return df.drop(*drop) if drop else df
+def part_files(spark: SparkSession, path: str) -> list[str]:
+    """The path itself, or the data files of a folder."""
+    fs, where = file_system(spark, path)
+    if fs.getFileStatus(where).isFile():
+        return [path]
+    return sorted(s.getPath().toString() for s in fs.listStatus(where)
+                  if s.isFile() and s.getLen() and not s.getPath().getName().startswith(("_", ".")))
+
+
+def _first_lines(batches):
+    """First line of each file, read on an executor."""
+    from pyarrow import fs as pafs
+
+    for batch in batches:
+        found = []
+        for path in batch["path"]:
+            try:
+                where = path if "://" in path else "file://" + path.removeprefix("file:")
+                store, inner = pafs.FileSystem.from_uri(where)
+                with store.open_input_stream(inner) as stream:      # compressed files by their extension
+                    head = stream.read(HEADER_BYTES).decode("utf-8", "replace")
+                found.append((path, head.split("\n", 1)[0].rstrip("\r").lstrip("﻿"), None))
+            except Exception as exc:  # an unreadable file is a warning, as in the reference
+                found.append((path, None, f"{type(exc).__name__}: {exc}"[:300]))
+        yield pd.DataFrame(found, columns=["path", "line", "error"])
+
+
+def headers(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, line, error): the header line of every file, one task per few files."""
+    tasks = max(1, min(len(paths), 4 * spark.sparkContext.defaultParallelism))
+    rows = spark.createDataFrame([(p,) for p in paths], "path string").repartition(tasks, "path")
+    return rows.mapInPandas(_first_lines, "path string, line string, error string")
+
 
+def columns_of(line: str) -> list[str]:
+    return next(_csv.reader([line]), [])
 
-def header(spark: SparkSession, path: str) -> list[str]:
-    """Column names from the first line of a file, read through the FileSystem API (no Spark job)."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    stream = p.getFileSystem(conf).open(p)
-    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(p)
-    if codec is not None:
-        stream = codec.createInputStream(stream)
-    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
-    try:
-        line = reader.readLine() or ""
-    finally:
-        reader.close()
-    return next(_csv.reader([line.lstrip("\ufeff")]), [])
+
+def read_csv(spark: SparkSession, paths: list[str] | str, multi_line: bool = False) -> DataFrame:
+    """CSV files that share one header, as text; the pandas index column is dropped, missing texts are NULL.
+
+    Quotes inside quoted fields are doubled. ``multi_line`` admits line breaks inside quoted fields; such a
+    file cannot be split between tasks, so it is off by default.
+    """
+    df = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').csv(paths)
+    df = df.drop(*[c for c in df.columns if c in INDEX_COLUMNS])
+    return df.select([F.when(~F.trim(f"`{c}`").isin(*MISSING_TEXTS), F.col(f"`{c}`")).alias(c) for c in df.columns])
 
 
 def detect_dialect(columns: list[str], path: str = "") -> str | None:
@@ -91,51 +119,54 @@ def detect_dialect(columns: list[str], path: str = "") -> str | None:
     return None
 
 
-HEADER_READERS = 16
-
+def detected(spark: SparkSession, paths: list[str]) -> list[tuple[str, str, str | None]]:
+    """(path, header line, dialect) of every readable file; others are reported and skipped."""
+    out = []
+    for r in headers(spark, paths).orderBy("path").collect():      # one short row per file, like the listing
+        if r["error"]:
+            print(f"Warning: skipping file {r['path']}: {r['error']}", file=sys.stderr)
+        else:
+            folder = posixpath.basename(posixpath.dirname(r["path"]))
+            out.append((r["path"], r["line"], detect_dialect(columns_of(r["line"]), r["path"]) or detect_dialect([], folder)))
+    return out
 
-def dialect_files(spark: SparkSession, directory: str) -> dict[str, list[str]]:
-    """Group a directory's CSV files by dialect; unreadable or unknown files are skipped.
 
-    Only the first line of each file is read, a few files at a time (I/O-bound
-    metadata work, like Spark's own file listing).
-    """
-    def detect(path: str):
-        try:
-            return path, detect_dialect(header(spark, path), path)
-        except Exception as exc:  # an unreadable file is a warning, as in the reference
-            print(f"Warning: skipping file {path}: {exc}", file=sys.stderr)
-            return path, None
-
-    paths = csv_files(spark, directory)
-    with ThreadPoolExecutor(max_workers=min(HEADER_READERS, max(1, len(paths)))) as pool:
-        found = list(pool.map(detect, paths))
+def read_groups(spark: SparkSession, files: list[tuple[str, str]], multi_line: bool = False) -> DataFrame:
+    """Files (path, header line), each read under its own header, united by column name; absent columns are NULL."""
     groups: dict[str, list[str]] = {}
-    for path, dialect in found:
-        if dialect:
-            groups.setdefault(dialect, []).append(path)
-    return groups
+    for path, line in files:
+        groups.setdefault(line, []).append(path)
+    out = None
+    for line in sorted(groups):
+        part = read_csv(spark, groups[line], multi_line)
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
 
 
-def load_directory(spark: SparkSession, directory: str, duplicates: str = "union") -> dict[str, DataFrame]:
+def load_directory(spark: SparkSession, directory: str, duplicates: str = "union",
+                   multi_line: bool = False) -> dict[str, DataFrame]:
     """Raw dialect tables of a directory.
 
     ``duplicates="union"`` reads every file of a dialect; ``"last"`` keeps only
     the last file in sorted path order (the reference keeps the last one seen).
     A dialect with no file raises ``FileNotFoundError``.
     """
-    groups = dialect_files(spark, directory)
+    parts = [p for f in csv_files(spark, directory) for p in part_files(spark, f)]
+    groups: dict[str, list[tuple[str, str]]] = {}
+    for path, line, dialect in detected(spark, parts):
+        if dialect:
+            groups.setdefault(dialect, []).append((path, line))
     missing = [d for d, _ in DIALECT_COLUMNS if d not in groups]
     if missing:
         raise FileNotFoundError(f"Could not identify a file for: {', '.join(missing)} in '{directory}'")
     if duplicates == "last":
-        groups = {d: [paths[-1]] for d, paths in groups.items()}
-    return {d: read_csv(spark, paths) for d, paths in groups.items()}
+        groups = {d: files[-1:] for d, files in groups.items()}
+    return {d: read_groups(spark, files, multi_line) for d, files in groups.items()}
 
 
-def load_by_pattern(spark: SparkSession, directory: str, pattern: str) -> DataFrame:
+def load_by_pattern(spark: SparkSession, directory: str, pattern: str, multi_line: bool = False) -> DataFrame:
     """First file matching ``pattern`` (lower-case pattern tried second)."""
     files = list_files(spark, directory, pattern) or list_files(spark, directory, pattern.lower())
     if not files:
         raise FileNotFoundError(f"No file matching pattern '{pattern}' found in '{directory}'")
-    return read_csv(spark, files[0])
+    return read_groups(spark, [(p, line) for p, line, _ in detected(spark, part_files(spark, files[0]))], multi_line)

@@ -115,19 +115,22 @@ def raw_dialects(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
             "meta": raw_meta(spark, sf_dir)}
 
 
-def events_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+def events_canonical(spark: SparkSession, sf_dir: str, by_weekday: bool = False) -> DataFrame:
     """Second source: the ``events`` table as canonical rows of channel 'web'.
 
-    campaign_type = event_type, date = day of ts, revenue = value; the stream
-    carries no spend, clicks or budget, so those are 0.
+    campaign_type = event_type (``by_weekday``: and the weekday's number, Monday 0, so that a group has a few
+    days only), date = day of ts, revenue = value; the stream carries no spend, clicks or budget, so those are 0.
     """
     prepare(spark)
     ev = spark.read.parquet(table_path(sf_dir, "events")).select("ts", "event_type", "value", "user_id")
     from ..operators.normalize import finish_canonical
+    kind = F.coalesce(F.col("event_type"), F.lit("Unknown"))
+    if by_weekday:
+        kind = F.concat(kind, F.lit("_"), F.weekday(F.to_date("ts")).cast("string"))
     return finish_canonical(ev.select(
         F.to_date("ts").alias("date"),
         F.lit("web").alias("channel"),
-        F.coalesce(F.col("event_type"), F.lit("Unknown")).alias("campaign_type"),
+        kind.alias("campaign_type"),
         F.coalesce(F.col("event_type"), F.lit("Unknown")).alias("campaign_name"),
         F.lit(0.0).alias("spend"),
         F.coalesce(F.col("value"), F.lit(0.0)).alias("revenue"),

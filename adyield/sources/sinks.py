@@ -21,7 +21,7 @@ PREDICTIONS_SCHEMA = (
     "revenue_p50 double, revenue_p90 double, roas_p10 double, roas_p50 double, roas_p90 double, "
     "spend_input double, budget_scenario string, causal_summary string"
 )
-BUNDLE_TABLES = ("residuals", "group_models", "summaries", "metadata")
+BUNDLE_TABLES = ("residuals", "group_models", "summaries", "group_stats", "metadata")
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
@@ -53,25 +53,27 @@ def read_predictions_csv(spark: SparkSession, path: str) -> DataFrame:
             .option("escape", '"').csv(path))
 
 
-def save_bundle(path: str, residuals: DataFrame, group_models: DataFrame, summaries: DataFrame,
-                metadata: DataFrame) -> None:
-    """Model bundle as Parquet tables."""
-    for name, df in zip(BUNDLE_TABLES, (residuals, group_models, summaries, metadata)):
-        df.write.mode("overwrite").parquet(os.path.join(path, name))
+def save_bundle(path: str, tables: dict[str, DataFrame]) -> None:
+    """Model bundle as Parquet tables (S8), one per name of ``BUNDLE_TABLES``."""
+    for name in BUNDLE_TABLES:
+        tables[name].write.mode("overwrite").parquet(os.path.join(path, name))
 
 
 def load_bundle(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {name: spark.read.parquet(os.path.join(path, name)) for name in BUNDLE_TABLES}
 
 
-def export_dialect_csv(raws: dict[str, DataFrame], directory: str, with_index: bool = True) -> None:
-    """Write raw dialect tables as platform CSV exports into one directory.
+def export_csv(df: DataFrame, path: str, with_index: bool = True, null_text: str = "") -> None:
+    """One dialect's rows as CSV export files with a header each, into folder ``path``.
 
-    Every part file carries its dialect's header, so the directory looks like
-    a folder of mixed platform exports. ``with_index`` adds the unnamed
-    leading index column a pandas export has.
+    ``with_index`` adds the unnamed leading index column that a pandas export has.
     """
-    for i, (name, df) in enumerate(raws.items()):
-        out = df.select(F.monotonically_increasing_id().alias("_c0"), *df.columns) if with_index else df
-        (out.write.mode("overwrite" if i == 0 else "append").option("header", True)
-         .option("emptyValue", "").csv(directory))
+    out = df.select(F.monotonically_increasing_id().alias("_c0"), *df.columns) if with_index else df
+    (out.write.mode("append").option("header", True).option("emptyValue", "").option("nullValue", null_text)
+     .option("escape", '"').csv(path))
+
+
+def export_dialect_csv(raws: dict[str, DataFrame], directory: str, with_index: bool = True) -> None:
+    """Raw dialect tables as one directory of mixed platform exports."""
+    for df in raws.values():
+        export_csv(df, directory, with_index)

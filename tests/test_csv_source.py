@@ -30,8 +30,8 @@ def _write(tmp_path):
 
 def test_directory_round_trip(spark, tmp_path):
     _write(tmp_path)
-    groups = csvsrc.dialect_files(spark, str(tmp_path))
-    assert {k: len(v) for k, v in groups.items()} == {"google": 2, "bing": 1, "meta": 1}
+    kinds = [k for _, _, k in csvsrc.detected(spark, csvsrc.csv_files(spark, str(tmp_path)))]
+    assert sorted(map(str, kinds)) == ["None", "bing", "google", "google", "meta"]
     raws = csvsrc.load_directory(spark, str(tmp_path))
     assert "_c0" not in raws["google"].columns
     canon = unify(raws)
@@ -59,3 +59,33 @@ def test_upper_case_extension_only_when_no_lower(spark, tmp_path):
     assert [p.rsplit("/", 1)[-1] for p in csvsrc.csv_files(spark, str(tmp_path))] == ["X.CSV"]
     pd.DataFrame({"a": [1]}).to_csv(tmp_path / "y.csv")
     assert [p.rsplit("/", 1)[-1] for p in csvsrc.csv_files(spark, str(tmp_path))] == ["y.csv"]
+
+
+HEAD = "campaign_id,campaign_name,campaign_advertising_channel_type,campaign_budget_amount,segments_date,metrics_cost_micros,metrics_clicks,metrics_impressions,metrics_conversions,metrics_conversions_value"
+
+
+def test_every_file_is_read_under_its_own_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("," + HEAD + '\n0,1,plain,SEARCH,5,2024-01-01,1000000,1,2,3,4\n')
+    (tmp_path / "b.csv").write_text(HEAD + '\n2,"Brand ""X"", US",NA,N/A,2024-01-02,2000000,1,2,3,null\n')
+    order = HEAD.split(",")[::-1]
+    (tmp_path / "c.csv").write_text(",".join(order) + '\n9,8,7,6,3000000,2024-01-03,5,"",turned,3\n')
+    short = [c for c in HEAD.split(",") if c != "campaign_budget_amount"]
+    (tmp_path / "d.csv").write_text(",".join(short) + '\n4,"two\nlines",VIDEO,2024-01-04,4000000,1,2,3,4\n')
+    paths = csvsrc.csv_files(spark, str(tmp_path))
+    raw = csvsrc.read_groups(spark, [(p, line) for p, line, _ in csvsrc.detected(spark, paths)], multi_line=True)
+    got = {r["campaign_id"]: r for r in raw.collect()}
+    assert set(got) == {"1", "2", "3", "4"}
+    assert (got["1"]["campaign_name"], got["1"]["segments_date"], got["1"]["metrics_conversions_value"]) == ("plain", "2024-01-01", "4")
+    assert got["2"]["campaign_name"] == 'Brand "X", US' and got["2"]["segments_date"] == "2024-01-02"
+    assert got["2"]["campaign_advertising_channel_type"] is None and got["2"]["campaign_budget_amount"] is None
+    assert got["2"]["metrics_conversions_value"] is None
+    assert (got["3"]["campaign_name"], got["3"]["metrics_cost_micros"], got["3"]["campaign_advertising_channel_type"]) == ("turned", "3000000", None)
+    assert got["4"]["campaign_name"] == "two\nlines" and got["4"]["campaign_budget_amount"] is None
+
+
+def test_folder_of_part_files_counts_as_a_file(spark, tmp_path):
+    from adyield.sources import sinks
+    df = spark.range(100).selectExpr("cast(id as string) as campaign_id", "'x' as TimePeriod", "'y' as CampaignType").repartition(4)
+    sinks.export_csv(df, str(tmp_path / "Export.csv"))
+    assert csvsrc.load_by_pattern(spark, str(tmp_path), "Ex*.csv").count() == 100
+    assert {k for _, _, k in csvsrc.detected(spark, csvsrc.part_files(spark, str(tmp_path / "Export.csv")))} == {"bing"}

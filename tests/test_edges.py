@@ -82,6 +82,84 @@ def test_date_edges(spark):
     assert (r["week_of_year"], r["day_of_week"], r["month"], r["quarter"], r["is_q4"], r["is_december"]) == (1, 0, 12, 4, 1, 1)
 
 
+def test_date_layouts_and_the_report(spark):
+    texts = {"1/5/2024": D(2024, 1, 5), "2024-01-05T00:00:00Z": D(2024, 1, 5), "2024-01-05 00:00:00.000": D(2024, 1, 5),
+             "01/05/24": D(2024, 1, 5), "Jan 5, 2024": D(2024, 1, 5), "5-Jan-2024": D(2024, 1, 5), "20240105": D(2024, 1, 5),
+             "25/12/2023": D(2023, 12, 25), "2024-01-05T23:30:00+05:30": D(2024, 1, 5), "January 5, 2024 10:30 PM": D(2024, 1, 5),
+             "2024-02-30": None, "Foo 5, 2024": None, "5": None}
+    rows = [(t, "n", "SEARCH", "1", t, "1000000", "1", "1", "1", "one") for t in texts]
+    raw = _google(spark, rows)
+    got = {r["campaign_id"]: r["date"] for r in norm.normalize_google(raw).collect()}
+    assert got == {t: d for t, d in texts.items() if d}
+    empty = {"bing": raw.where("false"), "meta": raw.where("false")}
+    found = norm.ingest({"google": raw} | empty)
+    report = found.report.collect()
+    assert [(r["rows_read"], r["rows_dropped"], r["unreadable"]) for r in report] == [(len(texts), 3, len(texts))]
+
+
+def test_ingest_equals_the_row_level_path(spark):
+    from adyield.sources.fixtures import raw_dialects
+    raws = raw_dialects(spark, "/root/testdata/sf0.001")
+    key = lambda r: (r["date"], r["channel"], r["campaign_type"])
+    a = {key(r): r for r in norm.ingest(raws).daily.collect()}
+    b = {key(r): r for r in daily_aggregate(norm.unify(raws)).collect()}
+    assert a.keys() == b.keys()
+    for k in a:
+        for c in ("spend", "revenue", "clicks", "impressions", "conversions", "daily_budget", "roas"):
+            assert a[k][c] == pytest.approx(b[k][c], rel=1e-9)
+
+
+def test_weighted_median_is_exact(spark):
+    import random
+    import statistics
+    rng = random.Random(4)
+    rows = [(k, float(rng.randrange(50)) if rng.random() > 0.1 else None, rng.randrange(1, 9)) for k in "abc" for _ in range(40)]
+    rows += [("one", 3.0, 1), ("two", 3.0, 1), ("two", 4.0, 1), ("none", None, 5)]
+    got = {r["k"]: r["median"] for r in norm.weighted_median(spark.createDataFrame(rows, "k string, v double, n long"), ["k"], "v").collect()}
+    for k in ("a", "b", "c", "one", "two"):
+        assert got[k] == statistics.median([v for kk, v, n in rows if kk == k and v is not None for _ in range(n)])
+    assert "none" not in got
+
+
+def test_feature_names_survive_awkward_types(spark, tmp_path):
+    """Types that differ only by case, or hold a dot, blank or backtick: features, training, saving, loading, scoring."""
+    from adyield.operators.features import feature_columns, type_column
+    from adyield.operators.gbt import BoostParams
+    from adyield.plans import pipeline as P
+    from adyield.sources import sinks
+    types = ["SEARCH", "Search", "P.Max", "Two Words", "tick`s", "a__b"]
+    rows = [(D(2024, 1, 1) + dt.timedelta(days=i), ch, t, 1.0 + i % 7, 10.0 + i % 11 + k)
+            for k, t in enumerate(types) for ch in ("google", "bing") for i in range(65 if k % 2 else 40)]
+    path = str(tmp_path / "features")
+    sinks.write_features(build_features(_daily(spark, rows)), path)
+    f = sinks.read_features(spark, path)
+    columns = [c for c in feature_columns(f) if c.startswith("campaign_type_")]
+    assert len({c.lower() for c in columns}) == len(types) and "campaign_type_SEARCH" in columns
+    for t in types:
+        assert f.where(F.col(type_column(t)) == 1).select("campaign_type").distinct().collect() == [(t,)]
+    for kind in ("linear", "boosted"):
+        bundle = P.train(f, kind, BoostParams(n_estimators=2))
+        P.save_trained(bundle, str(tmp_path / kind))
+        loaded = P.load_trained(spark, str(tmp_path / kind), f)
+        assert P.forecast(loaded).count() == 15 * len(types) * 2 + 15
+    meta = spark.read.parquet(str(tmp_path / "linear" / "metadata")).first()
+    assert {(v["feature"], v["value"]) for v in meta["feature_values"] if v["key"] == "campaign_type"} == {
+        (type_column(t), t) for t in types}
+
+
+def test_loaded_bundle_counts_days_from_its_training_table(spark, tmp_path):
+    from adyield.operators import scenarios as sc
+    from adyield.plans import pipeline as P
+    rows = [(D(2023, 1, 1) + dt.timedelta(days=i), "google", "A", 1.0, 10.0 + i % 5) for i in range(400)]
+    f = build_features(_daily(spark, rows))
+    P.save_trained(P.train(f, "linear"), str(tmp_path))
+    late = P.load_trained(spark, str(tmp_path), f.where(F.col("date") >= D(2024, 1, 1)))
+    frame = sc.scenario_frame(late.features, late.feature_cols, [30], min_date=late.min_date)
+    last = D(2023, 1, 1) + dt.timedelta(days=399)
+    assert {r["days_since_start"] for r in frame.collect()} == {float((last - D(2023, 1, 1)).days + 15)}
+    assert late.stats.count() == 1
+
+
 def _daily(spark, rows):
     df = spark.createDataFrame(rows, "date date, channel string, campaign_type string, spend double, revenue double")
     return df.select("date", "channel", "campaign_type", "spend", "revenue",

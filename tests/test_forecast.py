@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from adyield.operators.bootstrap import draws, pool_choice, pool_sizes
-from adyield.operators.forecast import predictions, rollup
+from adyield.operators import gbt
+from adyield.operators.forecast import predictions, with_rollup
 from adyield.operators.gbt import BoostParams
 from adyield.operators.models import GLOBAL_POOL, fit_boosted
 from adyield.plans.pipeline import feature_table, forecast, trained
@@ -28,7 +29,10 @@ def test_rollup_edges(spark):
     df = spark.createDataFrame(rows, "forecast_period_days long, budget_scenario string, channel string, "
                                      "campaign_type string, spend_input double, revenue_p10 double, "
                                      "revenue_p50 double, revenue_p90 double")
-    got = {r["forecast_period_days"]: r for r in rollup(df).collect()}
+    df = df.withColumns({f"roas_{q}": F.lit(7.0) for q in ("p10", "p50", "p90")})
+    every = with_rollup(df).collect()
+    assert len(every) == 5 and all(r["roas_p50"] == 7.0 for r in every if r["channel"] == "c")
+    got = {r["forecast_period_days"]: r for r in every if r["channel"] == "all"}
     assert (got[30]["spend_input"], got[30]["revenue_p50"], got[30]["roas_p50"]) == (0.0, 22.0, 0.0)
     assert (got[60]["roas_p10"], got[60]["roas_p50"], got[60]["roas_p90"]) == (50.0, 50.0, 50.0)
     assert got[30]["channel"] == "all" and got[30]["campaign_type"] == "all"
@@ -119,3 +123,59 @@ def test_boosted_models_small(spark):
     groups = f.select("channel", "campaign_type").distinct().count()
     assert len(rows) == 15 * groups + 15
     assert all(r["revenue_p10"] <= r["revenue_p50"] <= r["revenue_p90"] for r in rows)
+
+
+def _brute_split(x, r, leaf):
+    """Least squared error over every feature and every cut between distinct values, features and cuts in order."""
+    import numpy as np
+    best = (((r - r.mean()) ** 2).sum() - 1e-9, None)
+    for j in range(x.shape[1]):
+        values = np.unique(x[:, j])
+        for low, high in zip(values, values[1:]):
+            left = x[:, j] <= low
+            if leaf <= left.sum() <= len(r) - leaf:
+                error = ((r[left] - r[left].mean()) ** 2).sum() + ((r[~left] - r[~left].mean()) ** 2).sum()
+                if error < best[0] - 1e-9:
+                    best = (error, (j, low, high))
+    return best[1]
+
+
+def test_splits_are_exact_at_any_number_of_values():
+    """Few and very many distinct values take the same search: no bins."""
+    import numpy as np
+    rng = np.random.default_rng(1)
+    for n, distinct in ((40, 5), (300, 10_000), (600, 10_000)):
+        x = rng.integers(0, distinct, (n, 3)).astype(float)
+        r = np.round(x[:, 1] / distinct + rng.normal(0, 0.3, n), 6)
+        want, got = _brute_split(x, r, 5), gbt.best_split(x, r, 5)
+        assert got[0] == want[0] and want[1] <= got[1] < want[2]
+
+
+def test_boosting_fits_and_fills():
+    import numpy as np
+    rng = np.random.default_rng(2)
+    x = rng.uniform(size=(500, 3))
+    y = np.where(x[:, 0] > 0.5, 10.0, 2.0) + x[:, 1]
+    x[::17, 2] = np.nan
+    model = gbt.fit(x, y)
+    left = y - gbt.predict(model, x)
+    assert (left ** 2).mean() < 0.05 * y.var() and abs(left.mean()) < 0.05 * y.std()
+    assert gbt.predict(gbt.fit(x[:1], y[:1]), x[:3]).tolist() == [y[0]] * 3
+
+
+def test_fitted_models_do_not_follow_the_input_partitions(spark):
+    f = feature_table(spark, SF_SMALL)
+    from adyield.operators.features import feature_columns
+    cols, out = feature_columns(f), []
+    for parts in (1, 8):
+        m = fit_boosted(f.repartition(parts), cols, BoostParams(n_estimators=4))
+        out.append({(r["pool"], r["target"], r["pool_idx"]): r["residual"] for r in m.residuals.collect()})
+    assert out[0].keys() == out[1].keys()
+    assert all(out[0][k] == pytest.approx(out[1][k], rel=1e-9, abs=1e-9) for k in out[0])
+
+
+def test_pool_keys_of_awkward_names_differ(spark):
+    from adyield.operators.models import pool_key
+    pairs = [("a", "b"), ("a__b", "c"), ("a", "b__c"), ("a_", "b"), ("a", "_b"), ("a", "b_"), ("_a", "b")]
+    keys = [r[0] for r in spark.createDataFrame(pairs, "channel string, campaign_type string").select(pool_key()).collect()]
+    assert len(set(keys)) == len(pairs) and keys[0] == "a__b"

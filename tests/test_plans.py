@@ -46,6 +46,25 @@ def test_window_features_one_exchange_one_window(spark):
     assert len(re.findall(r"Exchange hashpartitioning\(channel", plan)) == 1
 
 
+def test_ingest_scans_the_raw_rows_once_per_dialect(spark, monkeypatch):
+    """Validation, budget fill and A1 together: one raw pass, no Expand, no percentile over all values in a task."""
+    raws, seen = raw_dialects(spark, SF_SMALL), []
+    original = norm.cut_lineage
+    monkeypatch.setattr(norm, "cut_lineage", lambda df, name="table": seen.append(_plan(df)) or original(df, name))
+    found = norm.ingest(raws)
+    from adyield.operators.quality import validation_rules
+    seen += [_plan(found.daily), _plan(validation_rules(found.grain)), _plan(found.report)]
+    assert sum(p.count("l_returnflag") > 0 for p in seen) == 1
+    raw = next(p for p in seen if "l_returnflag" in p)
+    assert len(re.findall(r"FileScan parquet \[l_orderkey", raw)) == 3
+    assert not any("Expand" in p or "percentile" in p for p in seen)
+
+
+def test_quality_metrics_need_no_expand(spark):
+    from adyield.operators.quality import quality_metrics
+    assert "Expand" not in _plan(quality_metrics(norm.unify(raw_dialects(spark, SF_SMALL))))
+
+
 def test_intervals_do_not_multiply_rows_by_draws(spark):
     b = trained(spark, SF_SMALL, "linear")
     frame = sc.scenario_frame(b.features, b.feature_cols)
