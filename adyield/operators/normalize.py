@@ -102,33 +102,32 @@ def budget_medians(counts: DataFrame, keys: list[str], type_col: str = "campaign
 def impute_budget_approx(df: DataFrame, type_col: str = "campaign_type", budget_col: str = "daily_budget",
                          accuracy: int = 10_000) -> DataFrame:
     """``impute_budget`` with ``percentile_approx`` (relative rank error 1/accuracy) instead of counted values."""
-    per_type = cut_lineage(df.groupBy(type_col).agg(
+    per_type = cut_lineage(df.groupBy("channel", type_col).agg(
         F.percentile_approx(budget_col, 0.5, accuracy).alias("type_median")), "type-medians")
-    with_type = df.join(broadcast_if_small(per_type), type_col, "left")
-    filled = with_type.agg(F.percentile_approx(F.coalesce(budget_col, "type_median"), 0.5, accuracy).alias("filled_median"))
-    return _filled(with_type, filled, budget_col)
+    with_type = df.join(broadcast_if_small(per_type), ["channel", type_col], "left")
+    filled = with_type.groupBy("channel").agg(
+        F.percentile_approx(F.coalesce(budget_col, "type_median"), 0.5, accuracy).alias("filled_median"))
+    return _filled(with_type, cut_lineage(filled, "filled-medians"), budget_col)
 
 
 def _filled(with_type: DataFrame, filled: DataFrame, budget_col: str) -> DataFrame:
-    return (with_type.crossJoin(one_row(filled))
+    return (with_type.join(broadcast_if_small(filled), "channel", "left")
             .withColumn(budget_col, F.coalesce(budget_col, "type_median", "filled_median", F.lit(0.0)))
             .drop("type_median", "filled_median"))
 
 
 def impute_budget(df: DataFrame, type_col: str = "campaign_type", budget_col: str = "daily_budget") -> DataFrame:
-    """Median of the campaign type, then median of the already filled column, then 0 (P7, T7), row by row.
+    """Median of the channel's campaign type, then median of its already filled column, then 0 (P7, T7), row by row.
 
-    Runs jobs when called: one raw pass counts (type, budget) pairs with map-side combine and writes them to
-    the shared folder, and the medians come from that table. The returned plan is the fill: the per-type
-    medians meet the raw rows by broadcast while their checked size allows, else by a join whose skewed
-    partitions AQE splits, so a type that holds a third of the rows is never one task.
+    Runs jobs when called: one raw pass counts (channel, type, budget) with map-side combine and writes them to
+    the shared folder, and the medians come from that table. The returned plan is the fill: the medians meet
+    the raw rows by broadcast while their checked size allows, else by a join whose skewed partitions AQE
+    splits, so a type that holds a third of the rows is never one task.
     """
-    counts = cut_lineage(df.groupBy(type_col, budget_col).agg(F.count(F.lit(1)).alias("n")), "budget-counts")
-    per_type, filled = budget_medians(counts.withColumn("_all", F.lit(0)), ["_all"], type_col, budget_col)
-    with_type = df.join(broadcast_if_small(per_type.drop("_all")), type_col, "left")
-    # a one-row table even where no budget is known
-    one = df.sparkSession.range(1).select(F.lit(0).alias("_all")).join(filled, "_all", "left").drop("_all")
-    return _filled(with_type, one, budget_col)
+    counts = cut_lineage(df.groupBy("channel", type_col, budget_col).agg(F.count(F.lit(1)).alias("n")), "budget-counts")
+    per_type, filled = budget_medians(counts, ["channel"], type_col, budget_col)
+    with_type = df.join(broadcast_if_small(per_type), ["channel", type_col], "left")
+    return _filled(with_type, cut_lineage(filled, "filled-medians"), budget_col)
 
 
 def finish_canonical(df: DataFrame) -> DataFrame:
@@ -239,16 +238,27 @@ def normalize_meta(raw: DataFrame) -> DataFrame:
     return normalize(raw, "meta")
 
 
-def unify(raws: dict[str, DataFrame], exact_medians: bool = True) -> DataFrame:
-    """Union-all of the normalised dialects (U1); missing dialect is an error."""
-    missing = [ch for ch in ("google", "bing", "meta") if ch not in raws]
+def _present(raws: dict[str, DataFrame]) -> list[str]:
+    missing = [ch for ch in PARSERS if ch not in raws]
     if missing:
         raise FileNotFoundError(f"no input identified for channel(s): {', '.join(missing)}")
-    out = None
-    for ch in ("google", "bing", "meta"):
-        part = normalize(raws[ch], ch, exact_medians)
-        out = part if out is None else out.unionByName(part)
-    return out
+    return list(PARSERS)
+
+
+def unify(raws: dict[str, DataFrame], exact_medians: bool = True) -> DataFrame:
+    """Union-all of the normalised dialects (U1); missing dialect is an error.
+
+    The budgets of all channels that impute them are counted in one pass.
+    """
+    filled, plain = None, None
+    for ch in _present(raws):
+        part = PARSERS[ch](raws[ch]).where(F.col("date").isNotNull())
+        if IMPUTES_BUDGET[ch]:
+            filled = part if filled is None else filled.unionByName(part)
+        else:
+            plain = part if plain is None else plain.unionByName(part)
+    filled = impute_budget(filled) if exact_medians else impute_budget_approx(filled)
+    return finish_canonical(filled.unionByName(plain))
 
 
 @dataclass
@@ -267,11 +277,8 @@ def ingest(raws: dict[str, DataFrame]) -> Ingest:
     ``rows x median`` there; nothing needs the raw rows again. At worst (every row a budget of its own) the
     table has as many rows as the input, with eleven narrow columns.
     """
-    missing = [ch for ch in PARSERS if ch not in raws]
-    if missing:
-        raise FileNotFoundError(f"no input identified for channel(s): {', '.join(missing)}")
     typed = None
-    for ch in PARSERS:
+    for ch in _present(raws):
         part = PARSERS[ch](raws[ch]).drop("campaign_name", "campaign_id")
         typed = part if typed is None else typed.unionByName(part)
     grain = cut_lineage(typed.groupBy(*DAILY_KEYS, "daily_budget").agg(
