@@ -36,6 +36,7 @@ MAX_EPOCHS = 3
 BLOCK = 64
 SHARD_BLOCKS = 4096          # blocks per output shard
 MAX_SHARDS = 1024
+RUN = 1 << 14                # slots generated from one row
 CHUNKS = 512                 # independent runs of a source's layout: a hot source spreads over as many tasks
 
 
@@ -144,10 +145,15 @@ def mix(documents: DataFrame, seed: int = 7) -> tuple[DataFrame, DataFrame, Data
         key = (source_no.to_numpy(np.int64) * 1_000_003 + i // n) * 7919 + seed
         return pd.Series(permute(i % n, n, key))
 
-    # one row per (shard, source) and per source: small tables; the explode deals out the slots
-    slots = (shard_slots.repartition("shard", "source_no")
-             .join(sources.select("source_no", "blocks"), "source_no")
-             .select("shard", "source_no", "blocks", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("slot"))
+    # one row per (shard, source) and per source: small tables. Runs of at most RUN slots are dealt out first, so
+    # that neither a task nor an array grows with a hot source.
+    runs = (shard_slots.join(sources.select("source_no", "blocks"), "source_no")
+            .select("shard", "source_no", "blocks", (F.col("first") + F.col("n") - 1).alias("last"),
+                    F.explode(F.sequence("first", F.col("first") + F.col("n") - 1, F.lit(RUN).cast("long"))).alias("first"))
+            # a set number: the rows are few until they are exploded, and adaptive planning would put them in one task
+            .repartition(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard", "source_no", "first"))
+    slots = (runs.select("shard", "source_no", "blocks",
+                         F.explode(F.sequence("first", F.least("last", F.col("first") + RUN - 1))).alias("slot"))
              .withColumn("block", block_of("slot", "blocks", "source_no"))
              .select("shard", F.xxhash64("shard", "source_no", "slot").alias("place"), "source_no", "block"))
     return layout, slots, sources
