@@ -132,7 +132,7 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, roll_by
     key = F.xxhash64(F.col("page_id").cast("string"), "digest")
     shard = F.floor((key / F.lit(2.0 ** 64) + 0.5) * shards).cast("int")
     placed = (both.withColumn("key", key).withColumn("shard", F.least(shard, F.lit(shards - 1)))
-              .repartitionByRange(shards, "shard").sortWithinPartitions("shard", "key", "page_id", "digest", "is_record", "url"))
+              .repartitionById(shards, "shard").sortWithinPartitions("shard", "key", "page_id", "digest", "is_record", "url"))
     root, base = open_folder(folder)
     root.create_dir(base, recursive=True)
 
