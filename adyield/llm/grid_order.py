@@ -23,7 +23,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -31,13 +31,18 @@ from .common import components
 
 COSINE = 0.95
 AXES = 8                     # leading axes of the grid
-CELL_AXES = 2                # axes whose cells bring block boxes together
+CELL_AXES = 3                # axes whose cells bring block boxes together
 SAMPLE = 10_000              # vectors that fit the rotation
 BLOCK = 4_096                # vectors per block
 LEAF = 256                   # interval length that is compared outright
 
 
-def classes(vectors: DataFrame) -> DataFrame:
+def number_type(vectors: DataFrame) -> str:
+    """numpy type that holds the embedding's components exactly."""
+    return "<f4" if dict(vectors.dtypes)["embedding"] == "array<float>" else "<f8"
+
+
+def classes(vectors: DataFrame, number: str = "<f8") -> DataFrame:
     """(vec_id, signature, dim, vector): usable vectors get a signature of their exact components."""
     kind = dict(vectors.dtypes)["vec_id"]
 
@@ -49,7 +54,7 @@ def classes(vectors: DataFrame) -> DataFrame:
                 if x is None or not np.isfinite(x).all() or not x.any():
                     sig.append(None), dim.append(None), data.append(None)
                 else:
-                    raw = (x + 0.0).tobytes()
+                    raw = (x + 0.0).astype(number).tobytes()
                     sig.append(hashlib.blake2b(raw, digest_size=16).digest()), dim.append(len(x)), data.append(raw)
             yield pa.RecordBatch.from_pydict({"vec_id": ids, "signature": pa.array(sig, pa.binary()),
                                               "dim": pa.array(dim, pa.int32()), "vector": pa.array(data, pa.binary())})
@@ -57,86 +62,82 @@ def classes(vectors: DataFrame) -> DataFrame:
     return vectors.select("vec_id", "embedding").mapInArrow(run, f"vec_id {kind}, signature binary, dim int, vector binary")
 
 
-def unit(data: list[bytes]) -> np.ndarray:
-    """Unit vectors of one length, scaled first so that no square overflows."""
-    x = np.stack([np.frombuffer(d) for d in data])
+def unit(data: list[bytes], number: str = "<f8") -> np.ndarray:
+    """Unit vectors of one length in double precision, scaled first so that no square overflows."""
+    x = np.stack([np.frombuffer(d, number) for d in data]).astype(np.float64)
     x = x / np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def rotation(found: DataFrame, sample: int = SAMPLE) -> np.ndarray:
+def rotation(found: DataFrame, number: str = "<f8", sample: int = SAMPLE) -> np.ndarray:
     """Principal axes of at most ``sample`` vectors (smallest hash first)."""
     rows = found.orderBy(F.xxhash64("signature"), "signature").select("vector").limit(sample).collect()
-    x = unit([r["vector"] for r in rows])
+    x = unit([r["vector"] for r in rows], number)
     return np.linalg.svd(np.cov((x - x.mean(0)).T).reshape(x.shape[1], -1))[0] if len(x) > 1 else np.eye(x.shape[1])
 
 
-def blocks(found: DataFrame, axes: np.ndarray, eps: float, block: int = BLOCK) -> DataFrame:
-    """Sort by grid cell and cut into blocks: members, multiplicities, unit vectors and box of each."""
-    axes = axes[:, :AXES]
+def blocks(found: DataFrame, axes: np.ndarray, eps: float, number: str = "<f8", block: int | None = None) -> DataFrame:
+    """Sort by grid cell and cut the sequence into blocks of equal size, whatever the partitions: members,
+    multiplicities, vectors and box of each."""
+    block, axes = block or BLOCK, axes[:, :AXES]
 
     def place(batches):
         for batch in batches:
             if batch.num_rows:
-                y = unit(batch.column("vector").to_pylist()) @ axes
-                cells = np.floor(y / eps).astype(np.int64)
+                cells = np.floor(unit(batch.column("vector").to_pylist(), number) @ axes / eps).astype(np.int64)
                 # cells of unit vectors lie in -64..63 for any eps above 1/64; offset bytes sort as the cells do
                 order = [bytes(np.clip(c + 128, 0, 255).astype(np.uint8)) for c in cells]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(order, pa.binary())],
                                                  names=[*batch.schema.names, "cells"])
 
-    ordered = found.mapInArrow(place, "class_no long, copies long, vector binary, cells binary")
-    n = ordered.count()
-    # the hash splits a crowded cell between blocks
-    ordered = ordered.repartitionByRange(max(1, -(-n // block)), "cells", F.xxhash64("class_no")).sortWithinPartitions(
-        "cells", F.xxhash64("class_no"))
-
-    def cut(batches):
-        ids, copies, data = [], [], []
-
-        def one(k):
-            x = unit(data[:k])
-            y = x @ axes
-            out = pa.RecordBatch.from_pydict({
-                "ids": pa.array([ids[:k]], pa.list_(pa.int64())), "copies": pa.array([copies[:k]], pa.list_(pa.int64())),
-                "units": pa.array([x.tobytes()], pa.binary()),
-                "low": pa.array([y.min(0).tolist()], pa.list_(pa.float64())),
-                "high": pa.array([y.max(0).tolist()], pa.list_(pa.float64()))})
-            del ids[:k], copies[:k], data[:k]
-            return out
-
-        for batch in batches:
-            ids += batch.column("class_no").to_pylist()
-            copies += batch.column("copies").to_pylist()
-            data += batch.column("vector").to_pylist()
-            while len(ids) >= 2 * block:
-                yield one(block)
-        if ids:
-            yield one(len(ids))
-
-    cut_rows = ordered.select("class_no", "copies", "vector").mapInArrow(
-        cut, "ids array<long>, copies array<long>, units binary, low array<double>, high array<double>")
-    return cut_lineage(cut_rows.withColumn("block", F.monotonically_increasing_id()), "grid-blocks")
-
-
-def near_blocks(made: DataFrame, eps: float) -> DataFrame:
+    # the hash splits a crowded cell between partitions and blocks
+    order = ["cells", F.xxhash64("class_no"), "class_no"]
+    placed = (found.mapInArrow(place, "class_no long, copies long, vector binary, cells binary")
+              .repartitionByRange(*order).sortWithinPartitions(*order).drop("cells"))
+    placed = cut_lineage(placed.withColumn("part", F.spark_partition_id()).withColumn(
+        "at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "grid-order")
+    # one row per partition
+    counts = placed.groupBy("part").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("part", F.coalesce(before, F.lit(0)).alias("start"))
+    numbered = placed.join(F.broadcast(starts), "part").withColumn(
+        "block", F.floor((F.col("start") + F.col("at")) / block)).select("block", "start", "at", "class_no", "copies", "vector")
+
+    def cut(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("start", "ascending"), ("at", "ascending")])
+        data = rows.column("vector").to_pylist()
+        y = unit(data, number) @ axes
+        return pa.table({
+            "block": pa.array([rows.column("block")[0].as_py()], pa.int64()),
+            "ids": pa.array([rows.column("class_no").to_pylist()], pa.list_(pa.int64())),
+            "copies": pa.array([rows.column("copies").to_pylist()], pa.list_(pa.int64())),
+            "vectors": pa.array([b"".join(data)], pa.binary()),
+            "low": pa.array([y.min(0).tolist()], pa.list_(pa.float64())),
+            "high": pa.array([y.max(0).tolist()], pa.list_(pa.float64()))})
+
+    # a group is one block: at most ``block`` rows
+    return cut_lineage(numbered.groupBy("block").applyInArrow(
+        cut, "block long, ids array<long>, copies array<long>, vectors binary, low array<double>, high array<double>"), "grid-blocks")
+
+
+def near_blocks(made: DataFrame, eps: float, dim: int) -> DataFrame:
     """Pairs (a, b), a <= b, of blocks whose boxes are within eps: joined on cells of the first axes."""
-    boxes = made.select("block", "low", "high")
+    boxes, axes = made.select("block", "low", "high"), range(min(dim, CELL_AXES))
     cells = lambda widen: F.array(*[
         F.sequence(F.floor((F.col("low")[i] - widen) / eps), F.floor((F.col("high")[i] + widen) / eps))
-        for i in range(CELL_AXES)])
+        for i in axes])
 
     def spread(widen: float, name: str) -> DataFrame:
         out = boxes.withColumn("ranges", cells(widen))
-        for i in range(CELL_AXES):
+        for i in axes:
             out = out.withColumn(f"c{i}", F.explode(F.col("ranges")[i]))
-        return out.select(*[f"c{i}" for i in range(CELL_AXES)], F.col("block").alias(name),
+        return out.select(*[f"c{i}" for i in axes], F.col("block").alias(name),
                           F.col("low").alias(f"{name}_low"), F.col("high").alias(f"{name}_high"))
 
     a, b = spread(eps * 1.0001, "a"), spread(0.0, "b")
     gaps = F.expr("aggregate(zip_with(zip_with(a_low, b_high, (x, y) -> x - y), zip_with(b_low, a_high, (x, y) -> x - y), "
                   "(x, y) -> greatest(x, y, 0D)), 0D, (s, x) -> s + x * x)")
-    return (a.join(b, [f"c{i}" for i in range(CELL_AXES)]).filter((F.col("a") <= F.col("b")) & (gaps <= eps * eps * 1.0001))
+    return (a.join(b, [f"c{i}" for i in axes]).filter((F.col("a") <= F.col("b")) & (gaps <= eps * eps * 1.0001))
             .select("a", "b").distinct())
 
 
@@ -215,7 +216,8 @@ def join_blocks(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, sa
 def linked(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id and kept (the component's smallest id)."""
     eps = float(np.sqrt(2 - 2 * cosine))
-    rows = cut_lineage(classes(vectors), "grid-vectors")
+    number = number_type(vectors)
+    rows = cut_lineage(classes(vectors, number), "grid-vectors")
     found = cut_lineage(
         rows.filter("signature is not null").groupBy("signature")
         .agg(F.count("*").alias("copies"), F.min("vec_id").alias("first_id"), F.first("dim").alias("dim"),
@@ -223,10 +225,10 @@ def linked(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     parts = []
     for (dim,) in sorted(found.select("dim").distinct().collect()):      # vector lengths: few
         mine = found.filter(F.col("dim") == dim)
-        axes = rotation(mine)
-        made = blocks(mine.select("class_no", "copies", "vector"), axes, eps)
+        axes = rotation(mine, number)
+        made = blocks(mine.select("class_no", "copies", "vector"), axes, eps, number)
         leading = np.ascontiguousarray(axes[:, :AXES])
-        parts.append(_join(made, near_blocks(made, eps), leading, dim, cosine, eps))
+        parts.append(_join(made, near_blocks(made, eps, dim), leading, dim, cosine, eps, number))
     empty = vectors.sparkSession.createDataFrame([], "u long, v long, n long")
     out = empty
     for p in parts:
@@ -247,11 +249,11 @@ def linked(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
                       component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
 
 
-def _join(made: DataFrame, near: DataFrame, axes: np.ndarray, dim: int, cosine: float, eps: float) -> DataFrame:
+def _join(made: DataFrame, near: DataFrame, axes: np.ndarray, dim: int, cosine: float, eps: float, number: str) -> DataFrame:
     """Rows (u, null, n): links found of class u; (u, v, null): an edge of the forest."""
-    side = made.select("block", "ids", "copies", "units")
-    pairs = (near.join(side.toDF("a", "ids_a", "copies_a", "units_a"), "a")
-             .join(side.toDF("b", "ids_b", "copies_b", "units_b"), "b"))
+    side = made.select("block", "ids", "copies", "vectors")
+    pairs = (near.join(side.toDF("a", "ids_a", "copies_a", "vectors_a"), "a")
+             .join(side.toDF("b", "ids_b", "copies_b", "vectors_b"), "b"))
 
     def run(batches):
         for batch in batches:
@@ -259,7 +261,9 @@ def _join(made: DataFrame, near: DataFrame, axes: np.ndarray, dim: int, cosine:
                 g = lambda c: batch.column(c)[i]
                 ids = [np.array(g(f"ids_{s}").as_py(), np.int64) for s in "ab"]
                 w = [np.array(g(f"copies_{s}").as_py(), np.int64) for s in "ab"]
-                x, y = [np.frombuffer(g(f"units_{s}").as_py()).reshape(-1, dim) for s in "ab"]
+                size = np.dtype(number).itemsize * dim
+                raw = [g(f"vectors_{s}").as_py() for s in "ab"]
+                x, y = [unit([v[k: k + size] for k in range(0, len(v), size)], number) for v in raw]
                 same = g("a").as_py() == g("b").as_py()
                 nx, ny, edges = join_blocks(x, y, x @ axes, y @ axes, same, cosine, eps, w[0], w[1])
                 every = ids[0] if same else np.concatenate(ids)
@@ -271,5 +275,5 @@ def _join(made: DataFrame, near: DataFrame, axes: np.ndarray, dim: int, cosine:
                     "v": pa.concat_arrays([pa.nulls(len(at), pa.int64()), pa.array(every[e[:, 1]])]),
                     "n": pa.concat_arrays([pa.array(n[at]), pa.nulls(len(e), pa.int64())])})
 
-    columns = ["a", "b", "ids_a", "copies_a", "units_a", "ids_b", "copies_b", "units_b"]
+    columns = ["a", "b", "ids_a", "copies_a", "vectors_a", "ids_b", "copies_b", "vectors_b"]
     return pairs.select(columns).mapInArrow(run, "u long, v long, n long")

@@ -42,12 +42,11 @@ def test_clusters_copies_and_odd_vectors(spark, monkeypatch):
     rows = clustered(400)
     rows += [(1000 + i, rows[3][1]) for i in range(30)]
     rows += [(2000, None), (2001, []), (2002, [0.0] * 24), (2003, [float("nan")] * 24), (2004, [1.0, None] * 12),
-             (2005, [float("inf")] * 24), (2006, [1.0, 2.0]), (2007, [2.0, 4.0]), (2008, [-2.0, -4.0]),
+             (2005, [float("inf")] * 24), (2006, [1.0, 2.0]), (2007, [2.0, 4.0]), (2008, [-2.0, -4.0]), (2010, [3.0]), (2011, [5.0]), (2012, [-1.0]),
              (2009, [x * 1e-30 for x in rows[5][1]])]
     for block, leaf in ((4096, 256), (64, 16)):
         monkeypatch.setattr(g, "BLOCK", block)
         monkeypatch.setattr(g, "LEAF", leaf)
-        monkeypatch.setattr(g.blocks, "__defaults__", (block,))
         assert result(spark, rows) == brute(rows)
 
 
