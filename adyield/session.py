@@ -43,9 +43,14 @@ def build_session(master: str | None = None, app_name: str = "adyield",
     return spark
 
 
+# Bytes of a batch between the JVM and Python workers: the row limit alone lets long texts fill a worker's memory.
+ARROW_BATCH = "4m"
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Settings every query relies on; safe to call repeatedly."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BATCH)
     ensure_checkpoint_dir(spark)
     return spark
 
