@@ -24,10 +24,9 @@ import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from .common import slices
+from .common import slices, worker_model
 
 CACHE = 200_000              # distinct pre-tokens kept per worker
-_CODECS: dict[tuple[str, str], "Codec"] = {}
 
 
 def byte_letters() -> list[str]:
@@ -93,14 +92,18 @@ class Codec:
         self.letters = byte_letters()
         self.split = regex.compile(pattern)
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(self.vocabulary))
-        self.whole = {}
+        self.known = self._whole()
+        self.table = str.maketrans({chr(b): c for b, c in enumerate(self.letters)})
+
+    def _whole(self) -> dict[str, bytes]:
+        """Vocabulary entries that are texts: each is its own id."""
+        out = {}
         for rank, token in enumerate(self.vocabulary):
             try:
-                self.whole[token.decode()] = struct.pack("<I", rank)
+                out[token.decode()] = struct.pack("<I", rank)
             except UnicodeDecodeError:
                 pass
-        self.known = dict(self.whole)
-        self.table = str.maketrans({chr(b): c for b, c in enumerate(self.letters)})
+        return out
 
     def learn(self, tokens: list[str]) -> None:
         """Encode pre-tokens that are not yet known."""
@@ -112,8 +115,8 @@ class Codec:
         """Ids as little-endian unsigned 32-bit integers."""
         tokens = self.split.findall(text)
         if missing := [t for t in set(tokens) if t not in self.known]:
-            if len(self.known) + len(missing) > CACHE + len(self.whole):
-                self.known = dict(self.whole)
+            if len(self.known) + len(missing) > CACHE + len(self.vocabulary):
+                self.known = self._whole()
                 missing = [t for t in set(tokens) if t not in self.known]
             self.learn(missing)
         return b"".join(map(self.known.__getitem__, tokens))
@@ -123,9 +126,7 @@ class Codec:
 
 
 def codec(path: str, pattern: str) -> Codec:
-    if (path, pattern) not in _CODECS:
-        _CODECS[path, pattern] = Codec(path, pattern)
-    return _CODECS[path, pattern]
+    return worker_model(("codec", path, pattern), lambda: Codec(path, pattern))
 
 
 def tokenise(documents: DataFrame, path: str, pattern: str, with_ids: bool = True) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 # Text bytes handled by one vectorised step; memory per step is about 60 times this.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 _RNG = np.random.default_rng(20240607)
@@ -50,6 +50,17 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
+_MODEL: dict = {}
+
+
+def worker_model(key, build):
+    """A model built once per Python worker; the worker keeps one at a time, whichever operator asked last."""
+    if key not in _MODEL:
+        _MODEL.clear()
+        _MODEL[key] = build()
+    return _MODEL[key]
+
+
 class Words:
     """The words of several texts at once: byte span, text number and 64-bit hash of each."""
 

@@ -17,6 +17,8 @@ letter is ``und`` with score 0. The sample is bounded by
 from __future__ import annotations
 
 import json
+import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +26,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold_of, slices
+from .common import fold_of, slices, worker_model
 
-SAMPLE_DOCS, SAMPLE_DOC_CHARS, SAMPLE_CHARS = 200, 2_000, 60_000
+SAMPLE_DOCS, SAMPLE_DOC_CHARS, SAMPLE_CHARS = 200, 3_000, 30_000
+SAMPLE_SHARE = 600           # most letters that one document adds to its language's sample
 SEGMENT = 512
-SLICE = 1 << 20
+SLICE = 1 << 19
 MIN_SCORE = 0.3      # confidence below this rejects a document in the corpus pipeline
 UNDETERMINED = "und"
+_SENTENCE = re.compile(r"[.!?\n]+")
 
 
 class Automaton:
@@ -157,30 +161,31 @@ class CrossParser:
 
 def sample_texts(documents: DataFrame, learn: Column, docs: int = SAMPLE_DOCS, doc_chars: int = SAMPLE_DOC_CHARS,
                  chars: int = SAMPLE_CHARS) -> dict[str, str]:
-    """At most ``chars`` letters of at most ``docs`` labelled documents per language (smallest id hash first)."""
+    """At most ``chars`` letters of at most ``docs`` labelled documents per language (smallest id hash first).
+
+    Sentences that more than one of these documents holds are left out.
+    """
     by = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = (documents.filter(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang")
            .withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= docs).select("doc_id", "lang", "rank"))
     # at most ``docs`` ids per language: a fixed bound; the texts are read for these alone
     rows = (documents.filter("text is not null").select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"])
             .select("lang", "rank", "doc_id", F.substring("text", 1, doc_chars).alias("text")).collect())
+    rows = [(r["lang"], [u for u in map(letters, _SENTENCE.split(r["text"])) if u])
+            for r in sorted(rows, key=lambda r: (r["lang"], r["rank"], r["text"]))]
+    # sentences that several documents hold are copies or inserted passages, in whatever language
+    held = Counter(u for _, units in rows for u in set(units))
     out: dict[str, str] = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], r["rank"], r["text"])):
-        have = out.get(r["lang"], "")
-        if len(have) < chars and (more := letters(r["text"])):
-            out[r["lang"]] = (have + " " + more).strip()[:chars]
+    for lang, units in rows:
+        own = " ".join(u for u in units if held[u] == 1)[:SAMPLE_SHARE]
+        have = out.get(lang, "")
+        if own and len(have) < chars:
+            out[lang] = (have + " " + own).strip()[:chars]
     return out
 
 
-_PARSERS: dict[str, CrossParser] = {}
-
-
 def _parser(samples: str) -> CrossParser:
-    """One parser per Python worker and sample."""
-    if samples not in _PARSERS:
-        _PARSERS.clear()
-        _PARSERS[samples] = CrossParser(json.loads(samples))
-    return _PARSERS[samples]
+    return worker_model(("cross-parser", samples), lambda: CrossParser(json.loads(samples)))
 
 
 def identify(documents: DataFrame, samples: dict[str, str]) -> DataFrame:
