@@ -98,8 +98,9 @@ def later_runs(documents: DataFrame) -> DataFrame:
     """(doc_id, hashes): the runs of a document that a document with a smaller id holds."""
     hashes = run_hashes(documents)
     none = F.col("doc_id").isNull().alias("none")
-    firsts = (hashes.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct(none, "doc_id")).alias("first"))
-              .filter("n > 1").select("hash", F.col("first.doc_id").alias("first_id")))
+    # written, so that the join below has a plain shuffle on either side and a hot passage's rows can be split
+    firsts = cut_lineage(hashes.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct(none, "doc_id")).alias("first"))
+                         .filter("n > 1").select("hash", F.col("first.doc_id").alias("first_id")), "span-firsts")
     later = hashes.join(firsts, "hash").filter(~F.col("doc_id").eqNullSafe(F.col("first_id")))
     # bounded by the runs of one document (rows that share an id: of theirs)
     return later.groupBy("doc_id").agg(F.collect_set("hash").alias("hashes"))
