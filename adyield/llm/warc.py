@@ -36,6 +36,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .common import slices
 
 REVISIT_BYTES = 1000
@@ -111,8 +112,9 @@ class _Roller:
 def originals(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     """(page_id, digest, original): the records whose payload others share, from digests alone."""
     narrow = pages.filter(F.col("bytes") >= least).select("page_id", "digest")
-    shared = narrow.groupBy("digest").agg(F.max("page_id").alias("original"), F.count("*").alias("n")).filter(
-        "n > 1 and original is not null").select("digest", "original")
+    # written, so that the join has a plain shuffle on either side and a hot payload's rows can be split
+    shared = cut_lineage(narrow.groupBy("digest").agg(F.max("page_id").alias("original"), F.count("*").alias("n")).filter(
+        "n > 1 and original is not null").select("digest", "original"), "warc-originals")
     return narrow.join(shared, "digest").select("page_id", "digest", "original").distinct()
 
 
