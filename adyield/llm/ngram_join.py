@@ -217,8 +217,9 @@ def resolved(documents: DataFrame) -> DataFrame:
     lead = shared.select("token", *[F.col(f"b_{c}").alias(c) for c in cols]).distinct()
     held = own.union(lead).join(joined.withColumnRenamed("node", "class_no"), "class_no", "left").withColumn(
         "component", F.coalesce("component", "class_no"))
-    split = held.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    held = cut_lineage(held.join(split.select("token"), "token"), "ngram-held")
+    split = cut_lineage(held.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+                        .filter("low < high").select("token"), "ngram-split")
+    held = cut_lineage(held.join(split, "token"), "ngram-held")
     small = held.filter(F.col("pos") < F.col("n") - _overlap("n", "n") + F.col("matches"))
     a = small.select("token", *[F.col(c).alias(f"a_{c}") for c in [*cols, "component"]])
     b = held.select("token", *[F.col(c).alias(f"b_{c}") for c in [*cols, "component"]])
