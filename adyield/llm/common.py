@@ -158,10 +158,10 @@ def fold_of(doc_id, folds: int) -> Column:
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of ``edges (a, b)``: ``(node, component)`` with the smallest node of each.
 
-    Alternates large-star and small-star contraction, each a join-free
-    aggregation of the edge list, until the list stands still; every
+    Alternates large-star and small-star contraction, each an aggregation
+    and a join of the edge list, until the list stands still; every
     step is written to the shared folder, so lineage stays one step
-    long. A hot node's partners are only ever reduced to their minimum.
+    long. A hub's partners are only reduced to their minimum or split between tasks.
     """
     edges = edges.select("a", "b").filter("a != b")
     current = cut_lineage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
@@ -172,7 +172,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             break
         before = (state["n"], state["h"])
         both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        # written, so that the join has a plain shuffle on either side and a hub's edges can be split
+        low = cut_lineage(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), name)
         large = (both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .filter("u != v").distinct())
         least = large.groupBy("u").agg(F.min("v").alias("m"))
