@@ -61,6 +61,11 @@ def worker_model(key, build):
     return _MODEL[key]
 
 
+def forget_model() -> None:
+    """Drop what an operator that ran before left in this worker."""
+    _MODEL.clear()
+
+
 class Words:
     """The words of several texts at once: byte span, text number and 64-bit hash of each."""
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import WORD, row_key, slices
+from .common import WORD, forget_model, row_key, slices
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -224,6 +224,7 @@ def mixed(documents: DataFrame, seed: int = 7) -> DataFrame:
     chars = f"c{names.index('n_chars')}" if "n_chars" in names else None
 
     def run(batches):
+        forget_model()
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 source, texts = [], []

@@ -35,7 +35,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import components, row_key, shingle_sets, slices
+from .common import components, forget_model, row_key, shingle_sets, slices
 
 SHINGLE = 5
 PERCENT = 80                 # similarity threshold, in hundredths
@@ -50,6 +50,7 @@ def profiles(documents: DataFrame) -> DataFrame:
     kind = dict(documents.dtypes)["doc_id"]
 
     def run(batches):
+        forget_model()
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
             for part in slices(batch, "text"):
@@ -121,6 +122,7 @@ def prefixes(documents: DataFrame, counts: np.ndarray) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(counts.astype(np.int64))   # 2^SKETCH_BITS numbers
 
     def run(batches):
+        forget_model()
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = shingle_sets(part.column("text").to_pylist(), SHINGLE)
@@ -158,6 +160,7 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             .join(t.withColumnsRenamed({"class_no": "a", "text": "text_a"}), "a").select("a", "b", "text_a", "text_b"))
 
     def run(batches):
+        forget_model()
         last, kept = None, None
         for batch in batches:
             for part in slices(batch, "text_b", 1 << 20):

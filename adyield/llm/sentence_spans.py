@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import Words, mix, slices
+from .common import Words, forget_model, mix, slices
 
 MIN_UNITS, MIN_WORDS = 2, 12
 _UNIT = re.compile(r"[^\n]*?(?:[.!?;:,]+[\x20\x09-\x0D]+|\n|\Z)", re.S)
@@ -74,6 +74,7 @@ def runs(units: list[list[str]]) -> tuple[list[np.ndarray], list[np.ndarray], li
 
 
 def _parts(batches):
+    forget_model()
     for batch in batches:
         for part in slices(batch, "text", 1 << 20):
             yield part, [cut(t or "") for t in part.column("text").to_pylist()]
