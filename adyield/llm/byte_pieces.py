@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 
 from .common import slices, worker_model
 
-CACHE = 200_000              # distinct pre-tokens kept per worker
+CACHE = 80_000               # distinct pre-tokens kept per worker
 
 
 def byte_letters() -> list[str]:

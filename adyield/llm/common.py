@@ -7,6 +7,7 @@ split texts exactly as the code-point rule does.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,7 +57,7 @@ _MODEL: dict = {}
 def worker_model(key, build):
     """A model built once per Python worker; the worker keeps one at a time, whichever operator asked last."""
     if key not in _MODEL:
-        _MODEL.clear()
+        forget_model()
         _MODEL[key] = build()
     return _MODEL[key]
 
@@ -64,6 +65,16 @@ def worker_model(key, build):
 def forget_model() -> None:
     """Drop what an operator that ran before left in this worker."""
     _MODEL.clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Arrow's pool and the C heap keep it otherwise, in every idle worker."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):        # a C library without it
+        pass
 
 
 class Words:
@@ -139,6 +150,7 @@ def slices(batch: pa.RecordBatch, column: str, size: int = SLICE_BYTES) -> Itera
         total += int(n) + 1
     if start < batch.num_rows:
         yield batch.slice(start)
+    give_back()
 
 
 def row_key(*columns: str) -> Column:

@@ -23,7 +23,6 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -105,15 +104,18 @@ def _sources(sized: DataFrame, seed: int) -> tuple[DataFrame, DataFrame, int]:
     want = targets(sizes)
     blocks = [-(-s // BLOCK) for s in sizes]
     owed = [min(MAX_EPOCHS * b, round(t / s * b)) if s else 0 for s, t, b in zip(sizes, want, blocks)]
-    per = pd.DataFrame({"source": [r["source"] for r in rows], "source_no": range(len(rows)), "source_size": sizes,
-                        "target": want, "blocks": blocks, "owed": owed})
-    schema = "source string, source_no int, source_size long, target double, blocks long, owed long"
-    table = spark.createDataFrame(per.astype(object).where(per.notna(), None).values.tolist(), schema) if rows else (
-        spark.createDataFrame([], schema))
+    # Arrow tables go to the JVM as they are: no Python worker takes part
+    table = spark.createDataFrame(pa.table({
+        "source": pa.array([r["source"] for r in rows], pa.string()), "source_no": pa.array(range(len(rows)), pa.int32()),
+        "source_size": pa.array(sizes, pa.int64()), "target": pa.array(want, pa.float64()),
+        "blocks": pa.array(blocks, pa.int64()), "owed": pa.array(owed, pa.int64())}))
     draws = shard_draws(owed, seed) if sum(owed) else np.zeros((0, len(rows)), np.int64)
     before = np.cumsum(draws, 0) - draws
-    slots = [(int(s), int(k), int(before[s, k]), int(draws[s, k])) for s, k in zip(*np.nonzero(draws))]
-    return table, spark.createDataFrame(slots, "shard int, source_no int, first long, n long"), len(draws)
+    at = np.nonzero(draws)
+    slots = spark.createDataFrame(pa.table({
+        "shard": pa.array(at[0].astype(np.int32)), "source_no": pa.array(at[1].astype(np.int32)),
+        "first": pa.array(before[at].astype(np.int64)), "n": pa.array(draws[at].astype(np.int64))}))
+    return table, slots, len(draws)
 
 
 def mix(documents: DataFrame, seed: int = 7) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -139,11 +141,13 @@ def mix(documents: DataFrame, seed: int = 7) -> tuple[DataFrame, DataFrame, Data
     layout = placed.join(t, (placed["chunk"] == t["c"]) & placed["source"].eqNullSafe(t["s"])).select(
         "doc_id", "source", "size", "rkey", (F.col("chunk_first") + F.col("before")).alias("first_word"))
 
-    @F.pandas_udf("long")
-    def block_of(slot: pd.Series, blocks: pd.Series, source_no: pd.Series) -> pd.Series:
-        i, n = slot.to_numpy(np.int64), np.maximum(blocks.to_numpy(np.int64), 1)
-        key = (source_no.to_numpy(np.int64) * 1_000_003 + i // n) * 7919 + seed
-        return pd.Series(permute(i % n, n, key))
+    def place(batches):
+        for batch in batches:
+            shard, source_no, blocks, slot = (batch.column(c).to_numpy() for c in ("shard", "source_no", "blocks", "slot"))
+            n = np.maximum(blocks, 1)
+            key = (source_no.astype(np.int64) * 1_000_003 + slot // n) * 7919 + seed
+            yield pa.RecordBatch.from_pydict({"shard": shard, "source_no": source_no, "slot": slot,
+                                              "block": permute(slot % n, n, key)})
 
     # one row per (shard, source) and per source: small tables. Runs of at most RUN slots are dealt out first, so
     # that neither a task nor an array grows with a hot source.
@@ -154,7 +158,7 @@ def mix(documents: DataFrame, seed: int = 7) -> tuple[DataFrame, DataFrame, Data
             .repartition(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard", "source_no", "first"))
     slots = (runs.select("shard", "source_no", "blocks",
                          F.explode(F.sequence("first", F.least("last", F.col("first") + RUN - 1))).alias("slot"))
-             .withColumn("block", block_of("slot", "blocks", "source_no"))
+             .mapInArrow(place, "shard int, source_no int, slot long, block long")
              .select("shard", F.xxhash64("shard", "source_no", "slot").alias("place"), "source_no", "block"))
     return layout, slots, sources
 
