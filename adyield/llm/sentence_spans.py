@@ -1,7 +1,7 @@
 """Substring deduplication by sliding spans of sentences.
 
 A text is cut into sentence units (ends ``. ! ? ; :`` and commas before white
-space, and line ends). For every unit, the shortest run of at least
+space, and line ends; blank parts stay with the unit before them). For every unit, the shortest run of at least
 ``MIN_UNITS`` consecutive units with at least ``MIN_WORDS`` words that begins
 with it, and the one that ends with it, are hashed (words only, A-Z
 lower-cased). Runs are joined over all documents; the first
@@ -28,6 +28,7 @@ from .common import Words, forget_model, mix, slices
 
 MIN_UNITS, MIN_WORDS = 2, 12
 _UNIT = re.compile(r"[^\n]*?(?:[.!?;:,]+[\x20\x09-\x0D]+|\n|\Z)", re.S)
+_BLANK = " \t\n\v\f\r"
 
 
 def cut(text: str) -> list[str]:
@@ -35,7 +36,12 @@ def cut(text: str) -> list[str]:
     out, at = [], 0
     for m in _UNIT.finditer(text):
         if m.end() > at:
-            out.append(text[at: m.end()])
+            part = text[at: m.end()]
+            # a part without words belongs to the unit before it, at the start of the text to the first
+            if out and not (part.strip(_BLANK) and out[-1].strip(_BLANK)):
+                out[-1] += part
+            else:
+                out.append(part)
             at = m.end()
     return out
 
@@ -55,7 +61,6 @@ def runs(units: list[list[str]]) -> tuple[list[np.ndarray], list[np.ndarray], li
     down = np.multiply.accumulate(step)
     run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words.hash * up[:n], dtype=np.uint64)])
     unit = np.arange(len(flat))
-    filled = upto[1:] > upto[:-1]                        # a run begins and ends with a unit that has words
     ends = np.maximum(np.searchsorted(upto, upto[:-1] + MIN_WORDS, "left"), unit + MIN_UNITS)
     starts = np.minimum(np.searchsorted(upto, upto[1:] - MIN_WORDS, "right") - 1, unit + 1 - MIN_UNITS)
     out = ([], [], [])
@@ -65,8 +70,6 @@ def runs(units: list[list[str]]) -> tuple[list[np.ndarray], list[np.ndarray], li
         ahead, back = own[ends[a:b] <= b], own[starts[a:b] >= a]
         pairs = np.unique(np.concatenate([ahead * (len(flat) + 1) + ends[ahead], starts[back] * (len(flat) + 1) + back + 1]))
         s, e = pairs // (len(flat) + 1), pairs % (len(flat) + 1)
-        whole = filled[s] & filled[e - 1]
-        s, e = s[whole], e[whole]
         h = mix((run[upto[e]] - run[upto[s]]) * down[upto[s]] + (upto[e] - upto[s]).astype(np.uint64))
         for part, v in zip(out, (s - a, e - a, h)):
             part.append(v)

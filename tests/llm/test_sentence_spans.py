@@ -1,6 +1,8 @@
+import random
+
 from adyield.llm import sentence_spans as s
 
-from .helpers import PROSE, WORD, documents, odd_rows, with_clashes
+from .helpers import FOLD, PROSE, WORD, documents, odd_rows, with_clashes
 
 
 def brute(rows):
@@ -70,3 +72,34 @@ def test_odd_tables(spark):
     ids = [r["doc_id"] for r in kept.collect()]
     assert 2 not in ids and 3 in ids and 1 in ids
     assert s.dedup(documents(spark, [])).count() == 0
+
+
+def windows(text, k=50):
+    words = WORD.findall((text or "").translate(FOLD))
+    return {tuple(words[i: i + k]) for i in range(len(words) - k + 1)}
+
+
+def made(seed, n):
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choice("abcdefghijklmnopqrstuvw") for _ in range(rng.randint(2, 9))) for _ in range(n))
+
+
+def assert_no_window_stays(spark, texts, k=50):
+    """No k words of a text are left in a later one, by plain comparison."""
+    got = {r["doc_id"]: r["text"] for r in s.dedup(documents(spark, [(d, t, "en", "a") for d, t in texts])).collect()}
+    seen = set()
+    for d, text in sorted(texts):
+        assert not windows(got[d], k) & seen
+        seen |= windows(text, k)
+    return got
+
+
+def test_repeated_paragraphs_between_blank_lines_go(spark):
+    paragraphs = [made(i, 20 + i) for i in range(6)]
+    for between in ("\n\n", "\n \t\n\n", '."\n\n'):
+        texts = [(d, "\n\n" + between.join([made(100 + d, 30), *paragraphs, made(200 + d, 30)]) + "\n\n") for d in range(1, 5)]
+        got = assert_no_window_stays(spark, texts)
+        assert got[1] == texts[0][1]
+        for d in range(2, 5):
+            assert not any(p in got[d] for p in paragraphs)
+            assert made(100 + d, 30) in got[d] and made(200 + d, 30) in got[d]
