@@ -8,6 +8,7 @@ split texts exactly as the code-point rule does.
 from __future__ import annotations
 
 import ctypes
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -77,10 +78,32 @@ def give_back() -> None:
         pass
 
 
+def _unspaced() -> np.ndarray:
+    """By code point: 1 for letters of scripts written without blanks, 2 for marks and punctuation that follow them."""
+    kind = np.zeros(0x40000, np.uint8)
+    kind[0x20000:0x40000] = kind[0x3400:0x4DC0] = kind[0x4E00:0xA000] = kind[0xF900:0xFB00] = 1        # Han
+    blocks = [(0x0E00, 0x10A0), (0x1780, 0x1800), (0x1950, 0x19E0), (0x1A20, 0x1AB0),     # Thai to Myanmar, Khmer, Tai
+              (0x3000, 0x3130), (0x31A0, 0x3200), (0xA000, 0xA4D0), (0xA980, 0xAA00), (0xAA60, 0xAAE0),  # kana, Yi, Javanese
+              (0xFF61, 0xFFA0)]
+    for a, b in blocks:
+        for c in range(a, b):
+            kind[c] = 1 if unicodedata.category(chr(c))[0] in "LN" else 2
+    for c in range(0xFF01, 0xFF61):
+        if unicodedata.category(chr(c))[0] == "P":
+            kind[c] = 2
+    return kind
+
+
+_UNSPACED = _unspaced()
+
+
 class Words:
-    """The words of several texts at once: byte span, text number and 64-bit hash of each."""
+    """The words of several texts at once: byte span, text number and 64-bit hash of each.
 
-    def __init__(self, texts: list[str | None], fold: bool = True):
+    With ``unspaced``, each letter of a script written without blanks (with its marks) is a word, flagged in ``letter``.
+    """
+
+    def __init__(self, texts: list[str | None], fold: bool = True, unspaced: bool = False):
         raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
         self.raw = np.frombuffer(b" ".join([*raw, b""]) or b" ", np.uint8)
         self.offsets = np.concatenate([[0], np.cumsum([len(r) + 1 for r in raw])]).astype(np.int64)
@@ -90,6 +113,8 @@ class Words:
         self.ends = np.flatnonzero(space & ~edge[:-1])
         if len(self.ends) < len(self.starts):
             self.ends = np.append(self.ends, len(self.raw))
+        if unspaced:
+            self._letters()
         # self.first[i] : number of the first word of text i
         self.first = np.searchsorted(self.starts, self.offsets)
         self.text = np.repeat(np.arange(len(raw)), np.diff(self.first))
@@ -103,6 +128,30 @@ class Words:
         else:
             self.hash = np.zeros(0, np.uint64)
 
+    def _letters(self) -> None:
+        """Further words: every letter of an unspaced script, and what follows its marks."""
+        self.letter = np.zeros(len(self.starts), bool)
+        lead = np.flatnonzero(self.raw >= 0xE0)
+        if not len(lead):
+            return
+        b = [np.append(self.raw, np.zeros(3, np.uint8))[lead + j].astype(np.int64) & (0x3F if j else 0x0F) for j in range(4)]
+        point = np.where(self.raw[lead] >= 0xF0, (b[0] & 7) << 18 | b[1] << 12 | b[2] << 6 | b[3], b[0] << 12 | b[1] << 6 | b[2])
+        found = np.where(point < len(_UNSPACED), _UNSPACED[np.minimum(point, len(_UNSPACED) - 1)], 0)
+        if not found.any():
+            return
+        kind = np.zeros(len(self.raw), np.uint8)
+        kind[lead] = found
+        chars = np.flatnonzero((self.raw & 0xC0) != 0x80)
+        own = kind[chars]
+        after = np.concatenate([[False], own[:-1] > 0])
+        begins = np.zeros(len(self.raw), bool)
+        begins[self.starts] = True
+        begins[chars[(own == 1) | ((own == 0) & after & ~_SPACE[self.raw[chars]])]] = True
+        self.starts = np.flatnonzero(begins)
+        stop = self.ends[np.searchsorted(self.ends, self.starts, "right")]
+        self.ends = np.minimum(stop, np.append(self.starts[1:], len(self.raw)))
+        self.letter = kind[self.starts] == 1
+
     def windows(self, k: int) -> np.ndarray:
         """Hash of the k words from each word on (within or across texts; callers mask the crossings)."""
         n = len(self.hash) - k + 1

@@ -1,12 +1,17 @@
 """Substring deduplication by sliding spans of sentences.
 
-A text is cut into sentence units (ends ``. ! ? ; :`` and commas before white
-space, and line ends; blank parts stay with the unit before them). For every unit, the shortest run of at least
-``MIN_UNITS`` consecutive units with at least ``MIN_WORDS`` words that begins
-with it, and the one that ends with it, are hashed (words only, A-Z
-lower-cased). Runs are joined over all documents; the first
-occurrence (smallest doc_id, then first position) stays, and every sentence
-that a later occurrence covers is removed.
+A text is cut into sentence units: behind ``. ! ? ; :`` and commas before white
+space, behind the stops of other scripts, both with closing quotes and
+brackets, and behind lines. White space belongs to the unit before it, so every
+unit has words. A unit of more than ``MAX_WORDS`` words is cut on before words
+chosen by their hashes alone (the least of any ``WINDOW`` consecutive ones), so
+that a passage inside longer text or without stops is cut alike wherever it
+stands. For every unit, the shortest run of at least ``MIN_UNITS`` consecutive
+units with at least ``MIN_WORDS`` words that begins with it, and the one that
+ends with it, are hashed (words only, A-Z lower-cased; in scripts written
+without blanks every letter is hashed and counts as half a word). Runs are
+joined over all documents; the first occurrence (smallest doc_id, then first
+position) stays, and every unit that a later occurrence covers is removed.
 
 The join moves one (hash, doc_id) pair per distinct run of a document; hot
 runs are counted by map-side aggregation and their join is split by AQE.
@@ -17,6 +22,7 @@ after all others. Rows that share an id count as one document.
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -27,31 +33,94 @@ from ..session import cut_lineage
 from .common import Words, forget_model, mix, slices
 
 MIN_UNITS, MIN_WORDS = 2, 12
-_UNIT = re.compile(r"[^\n]*?(?:[.!?;:,]+[\x20\x09-\x0D]+|\n|\Z)", re.S)
-_BLANK = " \t\n\v\f\r"
+MAX_WORDS = 12               # units of more words are cut on
+WINDOW = 10                  # of any so many consecutive words of such a unit, the one with the least hash begins a unit
+_ASCII = ".!?;:,"
+# sentence and clause ends of other scripts, which need no white space after them
+_OTHER = ("\u037E\u0387\u0589\u055D\u060C\u061B\u061D-\u061F\u06D4\u0700-\u0702\u07F8\u07F9\u0837\u0839\u083D\u083E\u0964\u0965"
+          "\u0DF4\u0E5A\u0E5B\u0F08\u0F0D-\u0F12\u104A\u104B\u1361-\u1368\u166E\u1735\u1736\u17D4-\u17D6\u1802-\u1805\u1808"
+          "\u1809\u1944\u1945\u1AA8-\u1AAB\u1B5A\u1B5B\u1B5E\u1B5F\u1C3B\u1C3C\u1C7E\u1C7F\u203C\u203D\u2026\u2047-\u2049"
+          "\u2E2E\u2E3C\u2E41\u2E4C\u2E53\u2E54\u3001\u3002\uA4FE\uA4FF\uA60D-\uA60F\uA6F3-\uA6F7\uA876\uA877\uA8CE\uA8CF\uA92F"
+          "\uA9C8\uA9C9\uAA5D-\uAA5F\uAAF0\uAAF1\uABEB\uFE10-\uFE16\uFE19\uFE50-\uFE52\uFE54-\uFE57\uFF01\uFF0C\uFF0E\uFF1A"
+          "\uFF1B\uFF1F\uFF61\uFF64\U00010A56\U00010A57\U00011047\U00011048\U000110BE-\U000110C1\U00011141-\U00011143"
+          "\U000111C5\U000111C6\U000111DE\U000111DF\U00011238-\U0001123C\U0001144B-\U0001144D\U000115C2-\U000115C5"
+          "\U00011641\U00011642\U0001E95E\U0001E95F")
+_LINE = "\n\r\x85\u2028\u2029"
+_CLOSE = "\"'" + "".join(re.escape(chr(c)) for c in range(0x10000) if unicodedata.category(chr(c)) in ("Pe", "Pf", "Pi"))
+# a run of ASCII stops is looked at from its first only, so that long runs cost no more than their length
+_END = re.compile(rf"[{_ASCII}{_OTHER}{_LINE}](?:(?<=[{_LINE}])\s*|(?<=[{_OTHER}])[{_ASCII}{_OTHER}]*[{_CLOSE}]*\s*"
+                  rf"|(?<![{_ASCII}][{_ASCII}])[{_ASCII}]*[{_CLOSE}]*\s+)")
+
+
+def _sentences(text: str) -> list[str]:
+    """The text cut behind stops and lines; white space stays with what it follows, at the start with the first unit."""
+    out, at = [], 0
+    for m in _END.finditer(text, len(text) - len(text.lstrip(" \t\n\v\f\r"))):
+        out.append(text[at: m.end()])
+        at = m.end()
+    if at < len(text):
+        out.append(text[at:])
+    return out
+
+
+class Units:
+    """The units of several texts: ``upto`` words and ``weight`` before each unit, ``first`` unit of each text."""
+
+    def __init__(self, texts: list[str | None]):
+        whole = [_sentences(t or "") for t in texts]
+        self.flat = [u for text in whole for u in text]
+        self.sizes = np.array([len(t) for t in whole], np.int64)
+        self.words = words = Words(self.flat, unspaced=True)
+        weight = np.concatenate([[0], np.cumsum(2 - words.letter)]).astype(np.int64)
+        self.begins = begins = self._cuts(weight)
+        unit = words.text[begins]
+        self.cuts = np.searchsorted(unit, np.arange(len(self.flat) + 1))       # of begins, by sentence
+        self.upto = np.append(np.sort(np.concatenate([words.first[:-1], begins])), len(words.hash)).astype(np.int64)
+        self.weight = weight[self.upto]
+        text = np.repeat(np.arange(len(texts)), self.sizes)
+        self.first = np.concatenate([[0], np.cumsum(self.sizes + np.bincount(text[unit], minlength=len(texts)))]).astype(np.int64)
+        self.sentence = np.concatenate([[0], np.cumsum(self.sizes)]).astype(np.int64)
+
+    def _cuts(self, weight: np.ndarray) -> np.ndarray:
+        """Words inside long sentences that begin a unit: the least hash of some WINDOW words (the last of equal ones)."""
+        words = self.words
+        long = np.diff(weight[words.first]) > 2 * MAX_WORDS
+        at = np.flatnonzero(long[words.text])
+        own, h = words.text[at], words.hash[at]
+        reach = np.ones(len(at), np.int8)
+        left, right = np.ones(len(at), bool), np.ones(len(at), bool)
+        for k in range(1, min(WINDOW, len(at))):
+            same, least = own[k:] == own[:-k], h[k:] <= h[:-k]
+            left[k:] &= same & least
+            left[:k] = False
+            right[:-k] &= same & ~least
+            right[-k:] = False
+            reach += left
+            reach += right
+        return at[(reach >= WINDOW) & (at > words.first[own])]
+
+    def strings(self, i: int) -> list[str]:
+        """The units of text i; joined they give the text."""
+        out = []
+        for k in range(self.sentence[i], self.sentence[i + 1]):
+            if self.cuts[k] == self.cuts[k + 1]:
+                out.append(self.flat[k])
+                continue
+            raw = self.flat[k].encode("utf-8", "surrogatepass")
+            at = (self.words.starts[self.begins[self.cuts[k]: self.cuts[k + 1]]] - self.words.offsets[k]).tolist()
+            out += [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip([0, *at], [*at, len(raw)])]
+        return out
 
 
 def cut(text: str) -> list[str]:
     """The units of a text, ends and following white space included; joined they give the text."""
-    out, at = [], 0
-    for m in _UNIT.finditer(text):
-        if m.end() > at:
-            part = text[at: m.end()]
-            # a part without words belongs to the unit before it, at the start of the text to the first
-            if out and not (part.strip(_BLANK) and out[-1].strip(_BLANK)):
-                out[-1] += part
-            else:
-                out.append(part)
-            at = m.end()
-    return out
+    return Units([text]).strings(0)
 
 
-def runs(units: list[list[str]]) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+def runs(units: Units) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
     """For each text: the start unit, end unit (exclusive) and hash of every run."""
-    flat = [u for text in units for u in text]
-    first = np.concatenate([[0], np.cumsum([len(t) for t in units])]).astype(np.int64)
-    words = Words(flat)
-    upto = words.first                                   # words before each unit
+    first, upto, weight, words = units.first, units.upto, units.weight, units.words
+    size = len(upto) - 1
     # running polynomial over all words: the hash of any word range is a difference, freed from its offset
     n = len(words.hash)
     step = np.full(n + 1, 0xD6E8FEB86659FD93 | 1, np.uint64)
@@ -60,16 +129,16 @@ def runs(units: list[list[str]]) -> tuple[list[np.ndarray], list[np.ndarray], li
     step[1:] = pow(0xD6E8FEB86659FD93 | 1, -1, 1 << 64)
     down = np.multiply.accumulate(step)
     run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words.hash * up[:n], dtype=np.uint64)])
-    unit = np.arange(len(flat))
-    ends = np.maximum(np.searchsorted(upto, upto[:-1] + MIN_WORDS, "left"), unit + MIN_UNITS)
-    starts = np.minimum(np.searchsorted(upto, upto[1:] - MIN_WORDS, "right") - 1, unit + 1 - MIN_UNITS)
+    unit = np.arange(size)
+    ends = np.maximum(np.searchsorted(weight, weight[:-1] + 2 * MIN_WORDS, "left"), unit + MIN_UNITS)
+    starts = np.minimum(np.searchsorted(weight, weight[1:] - 2 * MIN_WORDS, "right") - 1, unit + 1 - MIN_UNITS)
     out = ([], [], [])
-    for i in range(len(units)):
+    for i in range(len(first) - 1):
         a, b = first[i], first[i + 1]
         own = unit[a:b]
         ahead, back = own[ends[a:b] <= b], own[starts[a:b] >= a]
-        pairs = np.unique(np.concatenate([ahead * (len(flat) + 1) + ends[ahead], starts[back] * (len(flat) + 1) + back + 1]))
-        s, e = pairs // (len(flat) + 1), pairs % (len(flat) + 1)
+        pairs = np.unique(np.concatenate([ahead * (size + 1) + ends[ahead], starts[back] * (size + 1) + back + 1]))
+        s, e = pairs // (size + 1), pairs % (size + 1)
         h = mix((run[upto[e]] - run[upto[s]]) * down[upto[s]] + (upto[e] - upto[s]).astype(np.uint64))
         for part, v in zip(out, (s - a, e - a, h)):
             part.append(v)
@@ -80,7 +149,7 @@ def _parts(batches):
     forget_model()
     for batch in batches:
         for part in slices(batch, "text", 1 << 20):
-            yield part, [cut(t or "") for t in part.column("text").to_pylist()]
+            yield part, Units(part.column("text").to_pylist())
 
 
 def run_hashes(documents: DataFrame) -> DataFrame:
@@ -128,7 +197,7 @@ def dedup(documents: DataFrame) -> DataFrame:
             starts, ends, hashes = runs(units)
             texts, removed = [], []
             for i, seen in enumerate(part.column("hashes").to_pylist()):
-                gone = np.zeros(len(units[i]) + 1, np.int64)
+                gone = np.zeros(units.first[i + 1] - units.first[i] + 1, np.int64)
                 h = hashes[i]
                 again = np.ones(len(h), bool)
                 again[np.unique(h, return_index=True)[1]] = False          # later in the same text: runs come by start
@@ -139,10 +208,10 @@ def dedup(documents: DataFrame) -> DataFrame:
                 drop = np.cumsum(gone)[:-1] > 0
                 removed.append(int(drop.sum()))
                 text = part.column("text")[i].as_py()
-                texts.append("".join(u for u, d in zip(units[i], drop) if not d) if drop.any() else text)
+                texts.append("".join(u for u, d in zip(units.strings(i), drop) if not d) if drop.any() else text)
             columns = {c: part.column(c) if c != "text" else pa.array(texts, pa.string()) for c in kept}
             yield pa.RecordBatch.from_pydict(columns | {
-                "n_units": pa.array([len(u) for u in units], pa.int64()), "n_removed": pa.array(removed, pa.int64())})
+                "n_units": pa.array(np.diff(units.first), pa.int64()), "n_removed": pa.array(removed, pa.int64())})
 
     where = dict(zip(own.columns, names))
     schema = ", ".join(f"{c} {kinds[where[c]]}" for c in kept) + ", n_units long, n_removed long"

@@ -103,3 +103,31 @@ def test_repeated_paragraphs_between_blank_lines_go(spark):
         for d in range(2, 5):
             assert not any(p in got[d] for p in paragraphs)
             assert made(100 + d, 30) in got[d] and made(200 + d, 30) in got[d]
+
+
+def test_passages_without_ascii_stops_go(spark):
+    """Unpunctuated, pasted into running text, closed by quotes, and in other scripts."""
+    def letters(seed, n, first, size, between="", stop="", each=7):
+        rng = random.Random(seed)
+        return "".join(chr(first + rng.randrange(size)) + (stop if i % each == each - 1 else between) for i in range(n))
+
+    passages = {
+        "plain": made(1, 60), "quoted": " ".join(made(i, 9) + '."' for i in range(10, 17)),
+        "danda": " ".join("".join(chr(0x915 + ord(c) - 97) for c in w) for w in made(2, 60).split()),
+        "arabic": "؟ ".join(" ".join("".join(chr(0x628 + ord(c) % 18) for c in w) for w in made(i, 11).split()) for i in range(30, 36)),
+        "han": letters(3, 120, 0x4E00, 3000, stop="。", each=13), "han, no stop": letters(4, 120, 0x4E00, 3000),
+        "thai": letters(5, 160, 0x0E01, 44)}
+    texts, own = [], {}
+    for k, (name, passage) in enumerate(passages.items()):
+        blank = "" if name.startswith(("han", "thai")) else " "
+        for d in range(10 * k, 10 * k + 3):
+            own[d] = letters(50 + d, 40, 0x4E00, 3000) if blank == "" else made(50 + d, 40)
+            texts.append((d, own[d] + blank + passage + blank + own[d][::-1]))
+    got = assert_no_window_stays(spark, texts)
+    for k, (name, passage) in enumerate(passages.items()):
+        assert got[10 * k] == texts[3 * k][1], name
+        for d in (10 * k + 1, 10 * k + 2):
+            # of scripts written without blanks 50 letters, of the others 50 words
+            n = 50 if name.startswith(("han", "thai")) else len(passage)
+            assert not any(passage[i: i + n] in got[d] for i in range(len(passage) - n + 1)), name
+            assert got[d].startswith(own[d]) and got[d].endswith(own[d][::-1]), name
