@@ -13,10 +13,13 @@ without blanks every letter is hashed and counts as half a word). Runs are
 joined over all documents; the first occurrence (smallest doc_id, then first
 position) stays, and every unit that a later occurrence covers is removed.
 
-The join moves one (hash, doc_id) pair per distinct run of a document; hot
-runs are counted by map-side aggregation and their join is split by AQE.
-Null texts have no units and come back null with 0 removed; null ids come
-after all others. Rows that share an id count as one document.
+The join moves one (hash, doc_id, text hash) row per distinct run of a
+document; hot runs are counted by map-side aggregation and their join is split
+by AQE. Null texts have no units and come back null with 0 removed; null ids
+come after all others. Every row is a document of its own: rows that share an
+id (or have none) follow one another by text hash, and of rows equal in both
+one is the first and the others lose every run. Only the latter, rows equal in
+id and text, are numbered in one task (sorted, not collected).
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -152,31 +155,44 @@ def _parts(batches):
             yield part, Units(part.column("text").to_pylist())
 
 
+def _texts(documents: DataFrame) -> DataFrame:
+    return documents.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+
+
 def run_hashes(documents: DataFrame) -> DataFrame:
-    """(hash, doc_id): the distinct runs of every document."""
+    """(hash, doc_id, text_hash): the distinct runs of every document."""
     kind = dict(documents.dtypes)["doc_id"]
 
     def spans(batches):
         for part, units in _parts(batches):
             _, _, hashes = runs(units)
             own = [np.unique(h) for h in hashes]
-            ids = np.repeat(np.arange(len(own)), [len(h) for h in own])
+            ids = pa.array(np.repeat(np.arange(len(own)), [len(h) for h in own]))
             yield pa.RecordBatch.from_pydict({
-                "hash": pa.array(np.concatenate(own).view(np.int64)), "doc_id": part.column("doc_id").take(pa.array(ids))})
+                "hash": pa.array(np.concatenate(own).view(np.int64)), "doc_id": part.column("doc_id").take(ids),
+                "text_hash": part.column("text_hash").take(ids)})
+
+    return _texts(documents).mapInArrow(spans, f"hash long, doc_id {kind}, text_hash long")
+
 
-    return documents.select("doc_id", "text").mapInArrow(spans, f"hash long, doc_id {kind}")
+def _key(rows: DataFrame) -> list[Column]:
+    """A row's id (null apart from empty) and text hash, never null."""
+    return [rows["doc_id"].isNull().alias("none"), F.coalesce(rows["doc_id"].cast("string"), F.lit("")).alias("id_text"),
+            rows["text_hash"]]
 
 
 def later_runs(documents: DataFrame) -> DataFrame:
-    """(doc_id, hashes): the runs of a document that a document with a smaller id holds."""
+    """(none, id_text, text_hash, hashes): the runs of a document that an earlier document with another id or text holds."""
     hashes = run_hashes(documents)
     none = F.col("doc_id").isNull().alias("none")
     # written, so that the join below has a plain shuffle on either side and a hot passage's rows can be split
-    firsts = cut_lineage(hashes.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct(none, "doc_id")).alias("first"))
-                         .filter("n > 1").select("hash", F.col("first.doc_id").alias("first_id")), "span-firsts")
-    later = hashes.join(firsts, "hash").filter(~F.col("doc_id").eqNullSafe(F.col("first_id")))
-    # bounded by the runs of one document (rows that share an id: of theirs)
-    return later.groupBy("doc_id").agg(F.collect_set("hash").alias("hashes"))
+    firsts = cut_lineage(hashes.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct(none, "doc_id", "text_hash")).alias("first"))
+                         .filter("n > 1").select("hash", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_text")),
+                         "span-firsts")
+    later = hashes.join(firsts, "hash").filter(
+        ~(F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_text"))))
+    # bounded by the runs of one text
+    return later.select(*_key(later), "hash").groupBy("none", "id_text", "text_hash").agg(F.collect_set("hash").alias("hashes"))
 
 
 def dedup(documents: DataFrame) -> DataFrame:
@@ -188,20 +204,30 @@ def dedup(documents: DataFrame) -> DataFrame:
     kinds = {f.name: f.dataType.simpleString() for f in documents.schema.fields}
     own = documents.select([F.col(f"`{c}`") for c in names]).toDF(*[f"c{i}" for i in range(len(names))])
     own = own.withColumnsRenamed({f"c{names.index('text')}": "text", f"c{names.index('doc_id')}": "doc_id"})
-    later = cut_lineage(later_runs(documents), "span-later").withColumnRenamed("doc_id", "later_id")
-    rows = own.join(later, own["doc_id"].eqNullSafe(later["later_id"]), "left").drop("later_id")
-    kept = [c for c in rows.columns if c != "hashes"]
+    later = cut_lineage(later_runs(documents), "span-later")
+    key = ["none", "id_text", "text_hash"]
+    # equal rows by their other columns, where these can be hashed
+    others = [c for c in own.columns if c not in ("doc_id", "text") and "map<" not in dict(own.dtypes)[c]]
+    rows = own.withColumn("text_hash", F.xxhash64("text"))
+    rows = rows.select(*own.columns, *_key(rows), F.xxhash64(*others).alias("rest") if others else F.lit(0).alias("rest"))
+    # numbered before the join, by its key: one exchange serves both
+    rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy(*key).orderBy("rest")))
+    rows = rows.join(later, key, "left").drop(*key, "rest")
+    kept = own.columns
 
     def rewrite(batches):
         for part, units in _parts(batches):
             starts, ends, hashes = runs(units)
             texts, removed = [], []
+            copies = part.column("copy").to_pylist()
             for i, seen in enumerate(part.column("hashes").to_pylist()):
                 gone = np.zeros(units.first[i + 1] - units.first[i] + 1, np.int64)
                 h = hashes[i]
                 again = np.ones(len(h), bool)
                 again[np.unique(h, return_index=True)[1]] = False          # later in the same text: runs come by start
-                if seen:
+                if copies[i] > 1:
+                    again[:] = True
+                elif seen:
                     again |= np.isin(h, np.array(seen, np.int64).view(np.uint64))
                 np.add.at(gone, starts[i][again], 1)
                 np.add.at(gone, ends[i][again], -1)

@@ -131,3 +131,19 @@ def test_passages_without_ascii_stops_go(spark):
             n = 50 if name.startswith(("han", "thai")) else len(passage)
             assert not any(passage[i: i + n] in got[d] for i in range(len(passage) - n + 1)), name
             assert got[d].startswith(own[d]) and got[d].endswith(own[d][::-1]), name
+
+
+def test_every_row_is_a_document(spark):
+    """Rows without id or with one id lose what another of them holds; of equal rows one keeps its text."""
+    passage, lone = made(1, 70), made(2, 40)
+    for i in (None, 7):
+        rows = [(i, f"{made(10 + k, 20)}. {passage}. {made(30 + k, 20)}.", "en", "a") for k in range(5)] + [(i, lone, "en", "a")] * 3
+        got = [r["text"] for r in s.dedup(documents(spark, rows)).collect()]
+        assert len(got) == len(rows)
+        assert sum(passage in t for t in got) == 1 and sum(bool(windows(t) & windows(passage)) for t in got) == 1
+        assert sorted(t for t in got if t in (lone, "")) == ["", "", lone]
+        for k in range(5):
+            assert sum(made(10 + k, 20) in t and made(30 + k, 20) in t for t in got) == 1
+    mixed = [(3, passage, "en", "a"), (None, passage, "en", "a"), (3, lone, "en", "a"), (1, passage + ". " + made(5, 20), "en", "a")]
+    got = {(r["doc_id"], r["n_removed"] > 0) for r in s.dedup(documents(spark, mixed)).collect()}
+    assert got == {(1, False), (3, True), (3, False), (None, True)}
