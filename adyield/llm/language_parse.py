@@ -163,21 +163,25 @@ def sample_texts(documents: DataFrame, learn: Column, docs: int = SAMPLE_DOCS, d
                  chars: int = SAMPLE_CHARS) -> dict[str, str]:
     """At most ``chars`` letters of at most ``docs`` labelled documents per language (smallest id hash first).
 
-    Sentences that more than one of these documents holds are left out.
+    Rows that share id and label are one document (its least text). A sentence counts once, and not at all if documents
+    of several languages hold it.
     """
     by = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = (documents.filter(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang")
+    ids = (documents.filter(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang").distinct()
            .withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= docs).select("doc_id", "lang", "rank"))
-    # at most ``docs`` ids per language: a fixed bound; the texts are read for these alone
+    # at most ``docs`` ids per language: a fixed bound; the texts are read for these alone, one for each id
     rows = (documents.filter("text is not null").select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"])
-            .select("lang", "rank", "doc_id", F.substring("text", 1, doc_chars).alias("text")).collect())
+            .groupBy("lang", "rank", "doc_id").agg(F.min(F.substring("text", 1, doc_chars)).alias("text")).collect())
     rows = [(r["lang"], [u for u in map(letters, _SENTENCE.split(r["text"])) if u])
-            for r in sorted(rows, key=lambda r: (r["lang"], r["rank"], r["text"]))]
-    # sentences that several documents hold are copies or inserted passages, in whatever language
-    held = Counter(u for _, units in rows for u in set(units))
+            for r in sorted(rows, key=lambda r: (r["lang"], r["rank"]))]
+    # sentences that documents of several languages hold are inserted passages or wrongly labelled copies
+    held = Counter(u for _, u in {(lang, u) for lang, units in rows for u in units})
     out: dict[str, str] = {}
+    seen: set[str] = set()
     for lang, units in rows:
-        own = " ".join(u for u in units if held[u] == 1)[:SAMPLE_SHARE]
+        fresh = [u for u in dict.fromkeys(units) if held[u] == 1 and u not in seen]
+        seen.update(fresh)
+        own = " ".join(fresh)[:SAMPLE_SHARE]
         have = out.get(lang, "")
         if own and len(have) < chars:
             out[lang] = (have + " " + own).strip()[:chars]

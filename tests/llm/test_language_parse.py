@@ -65,3 +65,23 @@ def test_fold_follows_crc32(spark):
     rows = documents(spark, [(i, "", "en", "a") for i in range(50)] + [(None, "", "en", "a")])
     for r in rows.select("doc_id", fold_of("doc_id", 3).alias("f")).collect():
         assert r["f"] == fold(r["doc_id"], 3)
+
+
+def test_repeated_rows_and_copies_are_learned(spark, small):
+    from pyspark.sql import functions as F
+    df = small("documents")
+    twice = df.union(df)
+    learn = fold_of("doc_id", 3) != 1
+    once = lp.sample_texts(df, learn)
+    assert len(once) == 4 and lp.sample_texts(twice, learn) == once
+    want = {(r["doc_id"], r["lang_pred"], r["score"]) for r in lp.predict(df).collect()}
+    got = lp.predict(twice).collect()
+    assert len(got) == 2 * len(want) and {(r["doc_id"], r["lang_pred"], r["score"]) for r in got} == want
+    assert lp.keep_identified(twice).count() == 2 * lp.keep_identified(df).count() > 0
+    # all documents of a language are copies of one, under other ids
+    copies = df.filter("lang != 'de'").union(df.filter("lang = 'de'").withColumn("text", F.lit(
+        "der alte fluss lief an der muehle vorbei. niemand fragte, warum das rad stand. im herbst kam ein boot an das ufer.")))
+    assert "muehle" in lp.sample_texts(copies, learn)["de"]
+    # a sentence of two languages is not learned
+    two = documents(spark, [(1, "one of both. only here", "en", "a"), (2, "one of both. ici seul", "fr", "a")])
+    assert lp.sample_texts(two, F.lit(True)) == {"en": "only here", "fr": "ici seul"}
