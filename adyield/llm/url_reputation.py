@@ -8,12 +8,19 @@ A host is blocked when the lower posterior bound of its good rate is below a
 threshold; a host without labels stands on its domain's posterior, a domain
 without labels on its suffix's, a suffix without labels on the global rate.
 
+For the hierarchy alone, user names, ports and a last dot are stripped from the
+host; the suffix is the longest of the table ``suffixes`` that the host ends
+with, else its last label, and the domain has one label more. An IP address is
+its own domain, and all of them share a suffix of their own.
+
 Null urls and urls without ``://`` have an empty host and path; they take
 the verdict of the empty host. Repeated pages count and return once per row.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +34,21 @@ THRESHOLD = 0.5      # least acceptable lower bound of the good rate
 Z = 1.645            # one-sided 95 % bound (normal form of the beta posterior)
 MIN_STRENGTH, MAX_STRENGTH = 1.0, 1000.0
 
+# second-level names under which the public registers domains, by country: the default table of suffixes
+_SECOND_LEVEL = {
+    "ac co gov ltd me net nhs org plc police sch": "uk", "asn com edu gov id net org": "au", "ac ad co ed go gr lg ne or": "jp",
+    "art blog com eco edu emp eng gov ind jus leg med mil net org tur": "br", "ac co geek gen govt iwi kiwi maori net org school": "nz",
+    "ac co edu gov law net nom org web": "za", "ac co edu firm gen gov ind net nic org res": "in", "ac co go ne or pe re": "kr",
+    "ac com edu gov net org": "cn pk", "com edu gov idv net org": "tw hk", "com edu gov net org per": "sg",
+    "com edu gov net org": "gr pt my ph vn sa eg lb ng gh np kw qa bh om cy mt do gt sv ni pa py bo ve uy ec lk",
+    "ac co go in mi net or": "th", "ac co desa go my net or sch web": "id", "av bel biz com edu gen gov info k12 net org pol tel web": "tr",
+    "com edu gob net org": "mx ar pe es", "com edu gov mil net nom org": "co", "ac co gov k12 muni net org": "il", "com edu gov in net org": "ua",
+    "com edu gov info net org": "pl", "ac co gov net org sch": "ae", "ac co go me ne or sc": "ke",
+    "ac co go ne or": "tz ug", "ac co gov net org": "ma ir", "ac co com gv or": "at", "ac com edu gov info mil net org": "bd"}
+SUFFIXES = tuple(sorted(f"{name}.{country}" for names, countries in _SECOND_LEVEL.items()
+                        for country in countries.split() for name in names.split()))
+ADDRESSES = "[ip]"   # the suffix of IP addresses; no host ends so
+
 
 def host_of(url) -> Column:
     return F.translate(F.coalesce(F.regexp_extract(url, "://([^/?#]*)", 1), F.lit("")), UPPER, LOWER)
@@ -36,6 +58,20 @@ def path_of(url) -> Column:
     return F.coalesce(F.regexp_extract(url, "://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def hierarchy(host: Column, suffixes: Iterable[str] = SUFFIXES) -> tuple[Column, Column]:
+    """The registered domain and the suffix of a host."""
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", ""), r"\.$", "")
+    address = bare.rlike(r"^([0-9]+\.){3}[0-9]+$|^\[")
+    domain, suffix = F.substring_index(bare, ".", -2), F.substring_index(bare, ".", -1)
+    suffixes = set(suffixes)
+    for n in sorted({s.count(".") + 1 for s in suffixes}):       # the longest comes last and decides
+        end = F.substring_index(bare, ".", -n)
+        listed = end.isin([s for s in suffixes if s.count(".") + 1 == n])
+        domain = F.when(listed, F.substring_index(bare, ".", -n - 1)).otherwise(domain)
+        suffix = F.when(listed, end).otherwise(suffix)
+    return F.when(address, bare).otherwise(domain), F.when(address, F.lit(ADDRESSES)).otherwise(suffix)
+
+
 def _match(rules, value: str) -> Column:
     """The ``value`` ("rule" or "verdict") of the longest rule that fits, else null."""
     out = F.lit(None).cast("string")
@@ -70,19 +106,20 @@ def _posterior(children: DataFrame, key: str, parents: DataFrame | None, parent_
             .withColumn("mean", F.col("a") / (F.col("a") + F.col("b"))))
 
 
-def reputation(pages: DataFrame, outcomes: DataFrame, threshold: float = THRESHOLD, z: float = Z) -> DataFrame:
+def reputation(pages: DataFrame, outcomes: DataFrame, threshold: float = THRESHOLD, z: float = Z,
+               suffixes: Iterable[str] = SUFFIXES) -> DataFrame:
     """``pages (page_id, host)`` and ``outcomes (page_id, good 0/1)`` -> one row per host with its bound and verdict.
 
     Without any outcome the global rate is taken as 1 (nothing speaks against a host).
     """
     labelled = pages.join(outcomes.filter("good is not null").select("page_id", "good"), "page_id", "left")
     hosts = labelled.groupBy("host").agg(F.coalesce(F.sum("good"), F.lit(0)).alias("good"), F.count("good").alias("n"))
-    hosts = hosts.withColumn("domain", F.substring_index("host", ".", -2)).withColumn(
-        "suffix", F.substring_index("host", ".", -1))
+    domain, suffix = hierarchy(F.col("host"), suffixes)
+    hosts = hosts.withColumn("domain", domain).withColumn("suffix", suffix)
     total = hosts.agg(F.coalesce(F.sum("good") / F.nullif(F.sum("n"), F.lit(0)), F.lit(1.0)).alias("parent_mean"))
     counts = lambda *by: hosts.groupBy(*by).agg(F.sum("good").alias("good"), F.sum("n").alias("n"))
-    suffixes = _posterior(counts("suffix").crossJoin(F.broadcast(total)), "suffix", None, None)
-    domains = _posterior(counts("domain", "suffix"), "domain", suffixes, "suffix")
+    tops = _posterior(counts("suffix").crossJoin(F.broadcast(total)), "suffix", None, None)
+    domains = _posterior(counts("domain", "suffix"), "domain", tops, "suffix")
     judged = _posterior(hosts.drop("suffix"), "host", domains, "domain")
     a, b = F.col("a"), F.col("b")
     bound = F.col("mean") - z * F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
@@ -90,10 +127,11 @@ def reputation(pages: DataFrame, outcomes: DataFrame, threshold: float = THRESHO
         "verdict", F.when(F.col("bound") >= threshold, "allow").otherwise("block"))
 
 
-def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFrame:
+def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, threshold: float = THRESHOLD,
+                suffixes: Iterable[str] = SUFFIXES) -> DataFrame:
     """One row per page: page_id, host, path, the rule that decided (or null) and the verdict."""
     parsed = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    judged = reputation(parsed, outcomes, threshold).select("host", F.col("verdict").alias("by_reputation"))
+    judged = reputation(parsed, outcomes, threshold, suffixes=suffixes).select("host", F.col("verdict").alias("by_reputation"))
     return parsed.join(judged, "host", "left").select(
         "page_id", "host", "path", _match(rules, "rule").alias("rule"),
         F.coalesce(_match(rules, "verdict"), "by_reputation").alias("verdict"))

@@ -46,3 +46,28 @@ def test_matches_sql(spark, small, duck):
     want = duck.sql(u.oracle())
     key = lambda r: r[0]
     assert sorted(map(tuple, got.select(*want.columns).collect()), key=key) == sorted(want.fetchall(), key=key)
+
+
+def test_hierarchy_of_public_suffixes_ports_and_addresses(spark):
+    want = {"a.b.co.uk": ("b.co.uk", "co.uk"), "b.co.uk:8080": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"),
+            "x.y.shop.com.br.": ("shop.com.br", "com.br"), "a.example.com:443": ("example.com", "com"), "me@w.example.org": ("example.org", "org"),
+            "10.0.0.1": ("10.0.0.1", u.ADDRESSES), "10.0.0.1:81": ("10.0.0.1", u.ADDRESSES), "[::1]:80": ("[::1]", u.ADDRESSES),
+            "localhost": ("localhost", "localhost"), "": ("", ""), "notco.uk": ("notco.uk", "uk")}
+    df = spark.createDataFrame([(h,) for h in want], "host string")
+    domain, suffix = u.hierarchy(df["host"])
+    assert {r[0]: (r[1], r[2]) for r in df.select("host", domain, suffix).collect()} == want
+    domain, suffix = u.hierarchy(df["host"], ["shop.com.br", "com.br"])
+    assert df.filter("host like 'x.y%'").select(domain, suffix).first() == ("y.shop.com.br", "shop.com.br")
+
+
+def test_sites_under_a_public_suffix_do_not_share_a_reputation(spark):
+    rows, good = [], []
+    for i in range(600):
+        host, ok = [("www.good.co.uk", 1), (f"www.bad{i // 3 % 8}.co.uk", 0), (f"www.worse{i // 3 % 8}.co.uk:8080", 0)][i % 3]
+        rows.append((i, f"http://{host}/p"))
+        good.append((i, ok))
+    rows += [(900, "http://new.good.co.uk/"), (901, "http://new.good.co.uk:81/"), (902, "http://new.worse1.co.uk/")]
+    got = {r["page_id"]: r for r in u.filter_urls(
+        spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(good, "page_id long, good int")).collect()}
+    assert [got[i]["verdict"] for i in (900, 901, 902)] == ["allow", "allow", "block"]
+    assert got[901]["host"] == "new.good.co.uk:81"
