@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from . import (byte_pieces, grid_order, language_parse, mixing, ngram_join, quality_trees, sentence_spans, toxic_segments,
-               url_reputation, warc)
+from . import (byte_pieces, grid_order, language_parse, maxscore, mixing, ngram_join, part_codes, quality_trees, sentence_spans,
+               source_divergence, toxic_segments, url_reputation, warc)
 from .registry import register, table
 
 
@@ -79,3 +79,21 @@ def op9_toxic_segments(spark, sf):
 def op10_grid_order(spark, sf):
     """Link counts and components of all vectors at cosine 0.95."""
     return grid_order.linked(table(spark, sf, "embeddings"))
+
+
+@register("op11_source_divergence", source_divergence.oracle())
+def op11_source_divergence(spark, sf):
+    """Divergence between the sources of every language, and the terms that mark each source."""
+    return source_divergence.audit(table(spark, sf, "documents"))
+
+
+@register("op12_part_codes", part_codes.oracle())
+def op12_part_codes(spark, sf):
+    """Codes of all vectors by 16 codebooks of 64 entries."""
+    return part_codes.compress(table(spark, sf, "embeddings"))
+
+
+@register("op13_maxscore", maxscore.oracle())
+def op13_maxscore(spark, sf):
+    """The 20 best inner products of every vector whose id is divisible by 20."""
+    return maxscore.search(table(spark, sf, "embeddings"))
