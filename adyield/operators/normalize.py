@@ -5,10 +5,11 @@ followed by the date filter and the budget imputation. Types are coerced with
 ``try_cast`` so the same code serves text columns from CSV and typed columns
 from Parquet.
 
-``ingest`` is the production path: it reads the raw rows once, into sums per
-(date, channel, type, raw budget). Budget medians, the fill (a constant per
-type), the daily table (A1), the validation figures and the counts of dropped
-dates and unreadable numbers all come from that one table.
+``ingest`` is the production path: it sums the raw rows per (date, channel,
+type), missing budgets apart. The fill (a constant per type), the daily table
+(A1), the validation figures, the counts of dropped dates and unreadable
+numbers and the report of malformed files all come from that table; budget
+medians come from counts of (type, budget), or from sketches beside the sums.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import parse_date, safe_ratio, to_double, to_long
 from ..session import cut_lineage
+from ..sources.csv import ROW_EXTRA, ROW_FILE, file_report, require, row_marks, warn_skipped, without_files
 from .aggregate import DAILY_COLUMNS, DAILY_KEYS
 from .common import broadcast_if_small, one_row
 
@@ -62,14 +64,26 @@ def _text(c: Column) -> Column:
     return c.cast("string")
 
 
-def weighted_median(counts: DataFrame, keys: list[str], value: str, n: str = "n") -> DataFrame:
+# Distinct (key, value) counts up to which medians are taken in memory; a count takes some 50 bytes of a task's map.
+COUNTED_MAX = 1_000_000
+# KLL sketches: size parameter, its rank error (single-sided, 99 %), and the points that a sketch is read at.
+SKETCH_K = 800
+SKETCH_RANK_ERROR = 0.0055
+SKETCH_POINTS = 1_000
+
+
+def weighted_median(counts: DataFrame, keys: list[str], value: str, n: str = "n", counted: int | None = None) -> DataFrame:
     """Exact median of ``value`` (each counted ``n`` times, nulls ignored) per key: (keys, median).
 
-    The (key, value) rows are range-partitioned and each partition's total is carried to the later ones (one
+    ``counted``: a checked bound on the rows of ``counts``. Up to ``COUNTED_MAX`` the built-in percentile reads them.
+    Beyond, the (key, value) rows are range-partitioned and each partition's total is carried to the later ones (one
     row per key and partition), so running counts need no task that holds all values of a key. The median is
-    the mean of the values at the two middle places.
+    the mean of the values at the two middle places either way.
     """
-    rows = counts.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.sum(n).alias("_n"))
+    present = counts.where(F.col(value).isNotNull())
+    if counted is not None and counted <= COUNTED_MAX:
+        return present.groupBy(*keys).agg(F.percentile(value, F.lit(0.5), F.col(n)).alias("median"))
+    rows = present.groupBy(*keys, value).agg(F.sum(n).alias("_n"))
     ranged = cut_lineage(rows.repartitionByRange(*keys, value).withColumn("_part", F.spark_partition_id()), "ranged")
     by_key = Window.partitionBy(*keys)
     totals = ranged.groupBy(*keys, "_part").agg(F.sum("_n").alias("_here")).select(
@@ -87,16 +101,38 @@ def weighted_median(counts: DataFrame, keys: list[str], value: str, n: str = "n"
 
 def budget_medians(counts: DataFrame, keys: list[str], type_col: str = "campaign_type",
                    budget_col: str = "daily_budget") -> tuple[DataFrame, DataFrame]:
-    """Medians that fill missing budgets (T7), from ``(keys, type, budget, n)`` counts.
+    """Medians that fill missing budgets (T7), from a written table of ``(keys, type, budget, n)`` counts.
 
     Returns (keys, type, type_median) and (keys, filled_median): the median of the type, and the median of the
     column after that first fill.
     """
-    per_type = cut_lineage(weighted_median(counts, [*keys, type_col], budget_col).withColumnRenamed(
+    counted = counts.count()
+    per_type = cut_lineage(weighted_median(counts, [*keys, type_col], budget_col, counted=counted).withColumnRenamed(
         "median", "type_median"), "type-medians")
     filled = counts.join(broadcast_if_small(per_type), [*keys, type_col], "left").withColumn(
         "_filled", F.coalesce(budget_col, "type_median"))
-    return per_type, weighted_median(filled, keys, "_filled").withColumnRenamed("median", "filled_median")
+    return per_type, weighted_median(filled, keys, "_filled", counted=counted).withColumnRenamed("median", "filled_median")
+
+
+def sketched_medians(sketches: DataFrame, keys: list[str], type_col: str = "campaign_type") -> tuple[DataFrame, DataFrame]:
+    """``budget_medians`` from mergeable sketches: rows (keys, type, sketch, missing), any number per type.
+
+    A type's median lies within ``SKETCH_RANK_ERROR`` of the middle rank. The filled column is read from the key's
+    merged sketch at ``SKETCH_POINTS`` ranks, beside each type's median counted as often as its budget is missing, which adds
+    ``1 / SKETCH_POINTS`` to the error.
+    """
+    n, points = F.kll_sketch_get_n_double("_sketch"), F.lit(SKETCH_POINTS)
+    merged = [F.kll_merge_agg_double("sketch", SKETCH_K).alias("_sketch"), F.sum("missing").alias("_missing")]
+    at = lambda rank: F.when(n > 0, F.kll_sketch_get_quantile_double("_sketch", rank))
+    per_type = cut_lineage(sketches.groupBy(*keys, type_col).agg(*merged).select(
+        *keys, type_col, at(F.lit(0.5)).alias("type_median"), "_missing"), "type-medians")
+    ranks = F.array(*[F.lit((i + 0.5) / SKETCH_POINTS) for i in range(SKETCH_POINTS)])
+    read = sketches.groupBy(*keys).agg(*merged).select(*keys, n.alias("n"), F.explode(at(ranks)).alias("value"))
+    masses = per_type.where("type_median is not null and _missing > 0").select(
+        *keys, (F.col("_missing") * points).alias("n"), F.col("type_median").alias("value"))
+    # SKETCH_POINTS rows per key and one per type
+    filled = weighted_median(read.unionByName(masses), keys, "value", counted=0).withColumnRenamed("median", "filled_median")
+    return per_type.drop("_missing"), filled
 
 
 def impute_budget_approx(df: DataFrame, type_col: str = "campaign_type", budget_col: str = "daily_budget",
@@ -142,6 +178,11 @@ def meta_campaign_type(name: Column) -> Column:
     return F.when(token.isin(*META_TYPES), token).otherwise(F.lit(UNKNOWN_NAME))
 
 
+def _marks(raw: DataFrame) -> list[Column]:
+    """The file and the surplus fields of rows that come from CSV files not judged yet."""
+    return [F.col(c) for c in (ROW_FILE, ROW_EXTRA) if c in raw.columns]
+
+
 def _unreadable(get, names: list[str]) -> Column:
     """Cells of the named fields that hold text which is no number (they become NULL and are filled, T31)."""
     return sum((F.when(get(n).isNotNull() & get(n).try_cast("double").isNull(), 1).otherwise(0) for n in names),
@@ -167,6 +208,7 @@ def parsed_google(raw: DataFrame) -> DataFrame:
         _text(get("campaign_id")).alias("campaign_id"),
         _unreadable(get, ["metrics_cost_micros", "metrics_conversions_value", "metrics_clicks", "metrics_impressions",
                           "metrics_conversions", "campaign_budget_amount"]),
+        *_marks(raw),
     )
 
 
@@ -186,6 +228,7 @@ def parsed_bing(raw: DataFrame) -> DataFrame:
         F.coalesce(to_double(get("DailyBudget")), F.lit(0.0)).alias("daily_budget"),
         _text(get("CampaignId")).alias("campaign_id"),
         _unreadable(get, ["Spend", "Revenue", "Clicks", "Impressions", "Conversions", "DailyBudget"]),
+        *_marks(raw),
     )
 
 
@@ -207,6 +250,7 @@ def parsed_meta(raw: DataFrame) -> DataFrame:
         to_double(get("daily_budget")).alias("daily_budget"),
         _text(get("campaign_id")).alias("campaign_id"),
         _unreadable(get, ["spend", "conversion", "clicks", "impressions", "daily_budget"]),
+        *_marks(raw),
     )
 
 
@@ -263,43 +307,73 @@ def unify(raws: dict[str, DataFrame], exact_medians: bool = True) -> DataFrame:
 
 @dataclass
 class Ingest:
-    """What one pass over the raw rows yields."""
-    grain: DataFrame      # date, channel, campaign_type, daily_budget (raw) with sums and counts
-    daily: DataFrame      # A1, budgets filled
-    report: DataFrame     # channel, rows_read, rows_dropped, unreadable
+    """What the raw rows yield."""
+    grain: DataFrame             # date, channel, campaign_type (and file) with sums, row counts and missing budgets
+    daily: DataFrame             # A1, budgets filled
+    report: DataFrame            # channel, rows_read, rows_dropped, unreadable
+    type_medians: DataFrame      # channel, campaign_type, type_median
+    filled_medians: DataFrame    # channel, filled_median
+    files: DataFrame | None = None     # channel, file, rows, long_rows, short_rows, skipped (CSV sources)
+
 
+def ingest(raws: dict[str, DataFrame], exact_medians: bool = True) -> Ingest:
+    """Raw dialects -> daily table and reports.
 
-def ingest(raws: dict[str, DataFrame]) -> Ingest:
-    """Raw dialects -> daily table and reports, reading every raw row once.
+    One pass over the raw rows sums them per (date, channel, type) with map-side combine, missing budgets apart: the
+    fill is a constant per type, so the daily budget is ``sum + missing x median`` and what is shuffled and written has
+    days x groups rows (times the files that a day is spread over, for CSV sources). Exact medians take a second pass
+    over three columns, which counts (type, budget); ``exact_medians=False`` keeps a quantile sketch beside the sums
+    instead (rank error ``SKETCH_RANK_ERROR``) and reads the raw rows once.
 
-    Rows are summed per (date, channel, type, raw budget) with map-side combine and written to the shared
-    folder. A missing budget is its own group, and its fill is a constant per type, so the daily budget is
-    ``rows x median`` there; nothing needs the raw rows again. At worst (every row a budget of its own) the
-    table has as many rows as the input, with eleven narrow columns.
+    Files with a row wider than their header and first row are left out as a whole, as an unreadable file is.
     """
-    typed = None
+    typed, marks = None, [ROW_FILE] if any(ROW_FILE in df.columns for df in raws.values()) else []
     for ch in _present(raws):
         part = PARSERS[ch](raws[ch]).drop("campaign_name", "campaign_id")
-        typed = part if typed is None else typed.unionByName(part)
-    grain = cut_lineage(typed.groupBy(*DAILY_KEYS, "daily_budget").agg(
+        typed = part if typed is None else typed.unionByName(part, allowMissingColumns=True)
+    imputes = F.col("channel").isin(*[ch for ch, yes in IMPUTES_BUDGET.items() if yes])
+    budget = F.when(imputes, F.col("daily_budget"))
+    aggregates = [
         F.count(F.lit(1)).alias("rows"), F.sum(F.when(F.col("revenue") <= 0, 1).otherwise(0)).alias("nonpositive"),
-        F.sum("unreadable").alias("unreadable"),
-        *[F.sum(c).alias(c) for c in ("spend", "revenue", "clicks", "impressions", "conversions")]), "grain")
+        F.sum("unreadable").alias("unreadable"), F.count(F.when(F.col("daily_budget").isNull(), 1)).alias("missing"),
+        *[F.sum(c).alias(c) for c in ("spend", "revenue", "clicks", "impressions", "conversions", "daily_budget")]]
+    if marks:
+        typed = typed.select("*", *[c for c in row_marks()[1:]])
+        aggregates += [F.sum(c).alias(c) for c in ("long_rows", "short_rows")]
+    if not exact_medians:
+        aggregates.append(F.kll_sketch_agg_double(budget, SKETCH_K).alias("sketch"))
+    grain, files = cut_lineage(typed.groupBy(*DAILY_KEYS, *marks).agg(*aggregates), "grain"), None
+    skipped = False
+    if marks:
+        files = cut_lineage(file_report(grain.where(F.col(ROW_FILE).isNotNull()), ["channel"]), "csv-files")
+        warn_skipped(files)
+        skipped = files.where("skipped").count() > 0
+    if skipped:
+        grain = cut_lineage(without_files(grain, files), "grain")
+        require([r["channel"] for r in grain.select("channel").distinct().collect()], "the given files")    # three at most
     report = grain.groupBy("channel").agg(
         F.sum("rows").alias("rows_read"),
         F.sum(F.when(F.col("date").isNull(), F.col("rows")).otherwise(0)).alias("rows_dropped"),
         F.sum("unreadable").alias("unreadable"))
     grain = grain.where(F.col("date").isNotNull())
-    imputed = grain.where(F.col("channel").isin(*[ch for ch, yes in IMPUTES_BUDGET.items() if yes]))
-    per_type, filled = budget_medians(imputed.withColumn("n", F.col("rows")), ["channel"])
-    budget = F.coalesce("daily_budget", "type_median", "filled_median", F.lit(0.0)) * F.col("rows")
+    if exact_medians:
+        counts = typed.where(F.col("date").isNotNull() & imputes).groupBy(*marks, "channel", "campaign_type", "daily_budget").agg(
+            F.count(F.lit(1)).alias("n"))
+        counts = cut_lineage(without_files(counts, files) if skipped else counts, "budget-counts")
+        per_type, filled = budget_medians(counts, ["channel"])
+    else:
+        per_type, filled = sketched_medians(grain.where(imputes), ["channel"])
+    filled = cut_lineage(filled, "filled-medians")
+    fill = F.coalesce("type_median", "filled_median", F.lit(0.0)) * F.col("missing")
     full = (grain.join(broadcast_if_small(per_type), ["channel", "campaign_type"], "left")
-            .join(broadcast_if_small(cut_lineage(filled, "filled-medians")), "channel", "left"))
+            .join(broadcast_if_small(filled), "channel", "left"))
     daily = full.groupBy(*DAILY_KEYS).agg(
         *[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in ("spend", "revenue")],
         *[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("clicks", "impressions")],
-        F.coalesce(F.sum("conversions"), F.lit(0.0)).alias("conversions"), F.sum(budget).alias("daily_budget"))
-    return Ingest(grain, daily.withColumn("roas", safe_ratio("revenue", "spend")).select(*DAILY_COLUMNS), report)
+        F.coalesce(F.sum("conversions"), F.lit(0.0)).alias("conversions"),
+        F.sum(F.coalesce("daily_budget", F.lit(0.0)) + fill).alias("daily_budget"))
+    daily = daily.withColumn("roas", safe_ratio("revenue", "spend")).select(*DAILY_COLUMNS)
+    return Ingest(grain, daily, report, per_type, filled, files)
 
 
 def invalid_date_counts(raws: dict[str, DataFrame]) -> DataFrame:

@@ -170,20 +170,21 @@ def load_trained(spark: SparkSession, path: str, features: DataFrame) -> Trained
 
 
 def load_source(spark: SparkSession, source: str) -> dict[str, DataFrame]:
-    """Raw dialect tables: the driver tables when ``source`` holds them, else a directory of CSV exports."""
+    """Raw dialect tables: the driver tables when ``source`` holds them, else a directory of CSV exports, whose files
+    ``ingest`` judges."""
     from ..sources import csv as csvsrc
     if path_exists(spark, table_path(source, "lineitem")):
         return raw_dialects(spark, source)
-    return csvsrc.load_directory(spark, source)
+    return csvsrc.load_directory(spark, source, check_rows=False)
 
 
-def features_job(spark: SparkSession, source: str, out: str) -> DataFrame:
+def features_job(spark: SparkSession, source: str, out: str, exact_medians: bool = True) -> DataFrame:
     """Ingest, validate, aggregate, build features, write Parquet (the reference's feature program).
 
-    One pass over the raw rows. Dropped dates, unreadable numbers and validation warnings go to stderr.
+    Skipped files, dropped dates, unreadable numbers and validation warnings go to stderr.
     """
     prepare(spark)
-    found = ingest(load_source(spark, source))
+    found = ingest(load_source(spark, source), exact_medians)
     for r in found.report.orderBy("channel").collect():          # one row per channel
         if r["rows_dropped"] or r["unreadable"]:
             print(f"{r['channel']}: {r['rows_dropped']} of {r['rows_read']} rows dropped for their date, "

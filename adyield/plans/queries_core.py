@@ -65,7 +65,7 @@ def _export_dir(spark, sf):
 @register("s1_csv_directory_scan", O.q("SELECT * FROM daily", "daily"), DAILY_DBL)
 def s1_csv_directory_scan(spark, sf):
     """Driver tables exported as mixed platform CSVs, scanned back by header detection, through the one-pass ingest."""
-    return norm.ingest(csvsrc.load_directory(spark, _export_dir(spark, sf))).daily
+    return norm.ingest(csvsrc.load_directory(spark, _export_dir(spark, sf), check_rows=False)).daily
 
 
 @register("s2_csv_pattern_read", O.q("SELECT channel, count(*) AS rows FROM canon GROUP BY channel", "canon"))
@@ -88,7 +88,7 @@ def s3_dialect_detection(spark, sf):
     """Dialect decided per exported file (header, then name); data lines per dialect."""
     d = _export_dir(spark, sf)
     parts = [p for f in csvsrc.csv_files(spark, d) for p in csvsrc.part_files(spark, f)]
-    kinds = spark.createDataFrame([(p.rsplit("/", 1)[-1], k) for p, _, k in csvsrc.detected(spark, parts)],
+    kinds = spark.createDataFrame([(p.rsplit("/", 1)[-1], k) for p, *_, k in csvsrc.detected(spark, parts)],
                                   "file string, dialect string")
     lines = spark.read.text(parts).groupBy(F.col("_metadata.file_name").alias("file")).agg((F.count(F.lit(1)) - 1).alias("n"))
     return kinds.join(lines, "file").groupBy("dialect").agg(F.sum("n").alias("rows"))
@@ -107,6 +107,57 @@ def s4_file_choice(spark, sf):
     return out
 
 
+_LOST, _CUT = "Brand#11", "Brand#12"      # campaigns whose export files hold too wide, or too short rows
+
+
+def _malformed_dir(spark, sf):
+    """The dialects as exports of raw lines: ``kept`` files, ``short`` files whose rows lack the last field, and
+    ``long`` files in which every other row has a field too many."""
+    d = sinks.scratch_dir(spark, "malformed-csv")
+    for ch, raw in raw_dialects(spark, sf).items():
+        name, last = ("CampaignName", "Conversions") if ch == "bing" else ("campaign_name", "metrics_conversions" if ch == "google" else "impressions")
+        columns = [c for c in raw.columns if c != last] + [last]
+        text = lambda cs: F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cs])
+        brand = F.substring_index(name, "_", -1)
+        kinds = {"kept": (~brand.isin(_LOST, _CUT), F.array(text(columns))), "short": (brand == _CUT, F.array(text(columns[:-1]))),
+                 "long": (brand == _LOST, F.array(text(columns), F.concat(text(columns), F.lit(",1"))))}
+        for kind, (chosen, lines) in kinds.items():
+            # one column whose name is the header: no separator of its own, so lines stay as they are
+            (raw.where(chosen).select(F.explode(lines).alias(",".join(columns))).write.option("header", True)
+             .option("sep", "\x01").csv(f"{d}/{ch}_{kind}.csv"))
+    return d
+
+
+@register("s1_row_integrity", O.q(f"""
+SELECT channel, date, count(*) AS rows, sum(revenue) AS revenue,
+       CAST(sum(CASE WHEN channel = 'meta' AND campaign_name LIKE '%{_CUT}' THEN 0 ELSE impressions END) AS BIGINT) AS impressions,
+       sum(CASE WHEN channel <> 'meta' AND campaign_name LIKE '%{_CUT}' THEN 0 ELSE conversions END) AS conversions
+FROM canon WHERE campaign_name NOT LIKE '%{_LOST}' GROUP BY 1, 2""", "canon"), {"revenue": 2, "conversions": 2})
+def s1_row_integrity(spark, sf):
+    """Exports with short and over-long rows through the one-pass ingest: short rows are filled, files with wider rows
+    are left out as a whole."""
+    found = norm.ingest(csvsrc.load_directory(spark, _malformed_dir(spark, sf), check_rows=False), exact_medians=False)
+    sums = found.grain.groupBy("channel", "date").agg(*[F.sum(c).alias(c) for c in ("rows", "revenue", "impressions", "conversions")])
+    return sums.withColumn("impressions", F.col("impressions").cast("long"))
+
+
+@register("s4_skipped_files", O.q(f"""
+SELECT channel, kind, CAST(sum(rows) AS BIGINT) AS rows, CAST(sum(long) AS BIGINT) AS long_rows, CAST(sum(short) AS BIGINT) AS short_rows,
+       kind = 'long' AS skipped
+FROM (SELECT channel, CASE WHEN name LIKE '%{_LOST}' THEN 'long' WHEN name LIKE '%{_CUT}' THEN 'short' ELSE 'kept' END AS kind,
+             CASE WHEN name LIKE '%{_LOST}' THEN 2 ELSE 1 END AS rows, CASE WHEN name LIKE '%{_LOST}' THEN 1 ELSE 0 END AS long,
+             CASE WHEN name LIKE '%{_CUT}' THEN 1 ELSE 0 END AS short
+      FROM (SELECT 'google' AS channel, campaign_name AS name FROM g_raw UNION ALL SELECT 'bing', CampaignName FROM b_raw
+            UNION ALL SELECT 'meta', campaign_name FROM m_raw))
+GROUP BY 1, 2""", "g_raw", "b_raw", "m_raw"))
+def s4_skipped_files(spark, sf):
+    """The report of the same exports, file by file: rows, long and short rows, skipped; summed per kind of file."""
+    found = norm.ingest(csvsrc.load_directory(spark, _malformed_dir(spark, sf), check_rows=False), exact_medians=False)
+    kind = F.regexp_extract("file", r"_([a-z]+)\.csv/[^/]*$", 1).alias("kind")
+    return found.files.groupBy("channel", kind).agg(
+        *[F.sum(c).alias(c) for c in ("rows", "long_rows", "short_rows")], F.bool_and("skipped").alias("skipped"))
+
+
 @register("s5_features_parquet", O.q(f"SELECT {_cols(FIXED_FEATURES)} FROM feat", "feat"), FEAT_DBL)
 def s5_features_parquet(spark, sf):
     """Features written as Parquet partitioned by channel and read back."""
@@ -197,14 +248,40 @@ GROUP BY f.channel, f.campaign_type""", "g_fill", "m_fill", "g_tmed", "m_tmed",
           {"budget_after": 2, "type_median": 4})
 def p7_budget_imputation(spark, sf):
     """Type median, then median of the filled column, then 0, for google and meta."""
-    g = norm.ingest(raw_dialects(spark, sf)).grain.where(F.col("channel").isin("google", "meta"))
-    g = g.withColumn("n", F.col("rows"))
-    per_type, filled = norm.budget_medians(g, ["channel"])
-    full = g.join(per_type, ["channel", "campaign_type"], "left").join(filled, "channel", "left")
-    budget = F.coalesce("daily_budget", "type_median", "filled_median", F.lit(0.0))
+    found = norm.ingest(raw_dialects(spark, sf))
+    g = found.grain.where(F.col("channel").isin("google", "meta"))
+    full = g.join(found.type_medians, ["channel", "campaign_type"], "left").join(found.filled_medians, "channel", "left")
+    fill = F.coalesce("type_median", "filled_median", F.lit(0.0)) * F.col("missing")
     return full.groupBy("channel", "campaign_type").agg(
-        F.sum("n").alias("rows"), F.sum(F.when(F.col("daily_budget").isNull(), F.col("n")).otherwise(0)).alias("null_before"),
-        F.first("type_median").alias("type_median"), F.sum(budget * F.col("n")).alias("budget_after"))
+        F.sum("rows").alias("rows"), F.sum("missing").alias("null_before"), F.first("type_median").alias("type_median"),
+        F.sum(F.coalesce("daily_budget", F.lit(0.0)) + fill).alias("budget_after"))
+
+
+@register("p7_sketched_medians", O.q("""
+SELECT channel, campaign_type, count(budget) AS budgets, TRUE AS within
+FROM (SELECT * FROM g_fill UNION ALL SELECT * FROM m_fill) AS f GROUP BY 1, 2 HAVING count(budget) > 0
+UNION ALL
+SELECT channel, '*filled*', count(budget1), TRUE
+FROM (SELECT * FROM g_fill UNION ALL SELECT * FROM m_fill) AS f GROUP BY 1""", "g_fill", "m_fill"))
+def p7_sketched_medians(spark, sf):
+    """The one-pass ingest's medians: the middle rank lies among those of the median within the stated error."""
+    raws, rows = raw_dialects(spark, sf), None
+    found = norm.ingest(raws, exact_medians=False)
+    for ch in ("google", "meta"):
+        part = norm.PARSERS[ch](raws[ch]).where(F.col("date").isNotNull()).select("channel", "campaign_type", "daily_budget")
+        rows = part if rows is None else rows.unionByName(part)
+    filled = rows.join(found.type_medians, ["channel", "campaign_type"]).join(found.filled_medians, "channel")
+
+    def judged(scope, value, median, error):
+        low, high = F.sum(F.when(value < median, 1).otherwise(0)), F.sum(F.when(value <= median, 1).otherwise(0))
+        return filled.where(value.isNotNull()).groupBy("channel", scope).agg(
+            F.count(value).alias("budgets"),
+            ((low <= F.count(value) * (0.5 + error)) & (high >= F.count(value) * (0.5 - error))).alias("within"))
+
+    own, every = F.col("daily_budget"), F.coalesce("daily_budget", "type_median")
+    return judged(F.col("campaign_type"), own, F.col("type_median"), norm.SKETCH_RANK_ERROR).unionByName(
+        judged(F.lit("*filled*").alias("campaign_type"), every, F.col("filled_median"),
+               norm.SKETCH_RANK_ERROR + 1 / norm.SKETCH_POINTS))
 
 
 @register("p8_meta_campaign_type", O.q("""
@@ -390,8 +467,8 @@ UNION ALL SELECT 'google', '*filled*', gmed FROM g_gmed
 UNION ALL SELECT 'meta', '*filled*', gmed FROM m_gmed""", "g_tmed", "m_tmed", "g_gmed", "m_gmed"), {"budget_median": 4})
 def a16_median(spark, sf):
     """Exact medians: per campaign type of the raw budget, and of the filled column."""
-    g = norm.ingest(raw_dialects(spark, sf)).grain.where(F.col("channel").isin("google", "meta"))
-    per_type, filled = norm.budget_medians(g.withColumn("n", F.col("rows")), ["channel"])
+    found = norm.ingest(raw_dialects(spark, sf))
+    per_type, filled = found.type_medians, found.filled_medians
     return per_type.withColumnRenamed("type_median", "budget_median").unionByName(filled.select(
         "channel", F.lit("*filled*").alias("campaign_type"), F.col("filled_median").alias("budget_median")))
 

@@ -2,6 +2,8 @@
 
 import re
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from adyield.operators import normalize as norm
@@ -46,18 +48,23 @@ def test_window_features_one_exchange_one_window(spark):
     assert len(re.findall(r"Exchange hashpartitioning\(channel", plan)) == 1
 
 
-def test_ingest_scans_the_raw_rows_once_per_dialect(spark, monkeypatch):
-    """Validation, budget fill and A1 together: one raw pass, no Expand, no percentile over all values in a task."""
+@pytest.mark.parametrize("exact", [False, True])
+def test_ingest_reads_the_raw_rows_once_and_the_budgets_once_more(spark, monkeypatch, exact):
+    """Validation, budget fill and A1 together: one raw pass whose shuffle is keyed by day and group; exact medians
+    count (type, budget) in a second one over fewer columns."""
     raws, seen = raw_dialects(spark, SF_SMALL), []
     original = norm.cut_lineage
     monkeypatch.setattr(norm, "cut_lineage", lambda df, name="table": seen.append(_plan(df)) or original(df, name))
-    found = norm.ingest(raws)
+    found = norm.ingest(raws, exact)
     from adyield.operators.quality import validation_rules
     seen += [_plan(found.daily), _plan(validation_rules(found.grain)), _plan(found.report)]
-    assert sum(p.count("l_returnflag") > 0 for p in seen) == 1
-    raw = next(p for p in seen if "l_returnflag" in p)
-    assert len(re.findall(r"FileScan parquet \[l_orderkey", raw)) == 3
-    assert not any("Expand" in p or "percentile" in p for p in seen)
+    raw = [p for p in seen if "l_returnflag" in p]
+    assert len(raw) == 1 + exact
+    assert all(len(re.findall(r"FileScan parquet \[l_orderkey", p)) == 3 - (i > 0) for i, p in enumerate(raw))
+    assert re.search(r"Exchange hashpartitioning\(date#\d+, channel#\d+, campaign_type#\d+, \d+\)", raw[0])
+    assert not any("Expand" in p for p in seen) and not any("percentile" in p for p in raw)
+    if exact:
+        assert "l_extendedprice" not in raw[1]
 
 
 def test_quality_metrics_need_no_expand(spark):
