@@ -221,6 +221,23 @@ def fold_of(doc_id, folds: int) -> Column:
     return F.pmod(F.crc32(F.encode(text, "UTF-8")), F.lit(folds))
 
 
+def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, bounds: dict[str, int]) -> DataFrame:
+    """(text, ``label``): at most ``bound`` labelled documents of each condition on the label, smallest id hash first.
+
+    One row per id, however often it occurs in either table: an id whose labels contradict each other is left out, and
+    of several texts under one id the one with the smallest hash counts. Null ids and labels are left out.
+    """
+    ids = (labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id")
+           .agg(F.min(label).alias(label), F.max(label).alias("_other")).filter(F.col(label) == F.col("_other")).drop("_other"))
+    chosen = None
+    for condition, bound in bounds.items():
+        part = ids.filter(condition).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+        chosen = part if chosen is None else chosen.union(part)
+    # at most the sum of the bounds: pairs of numbers
+    found = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id", label).agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", label)
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of ``edges (a, b)``: ``(node, component)`` with the smallest node of each.
 

@@ -4,6 +4,12 @@ The trees are fitted on the statistics of a bounded sample of labelled rows
 (``SAMPLE_ROWS``, by smallest hash of the id) with monotonic constraints on
 chosen features, flattened into numpy node arrays and applied to every row,
 one array step per tree level. Null texts have no words and fail the base.
+
+Every row of ``documents`` is judged by itself, repeated ones too. An id is
+learned from once, whatever its rows in either table; contradicting labels
+leave it out. Values that lie on a bin's edge go left. Without labels of both
+kinds the score is the base rate (1 without any); an empty table gives an
+empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -13,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, slices
+from .common import Words, labelled_sample, slices
 
 SAMPLE_ROWS = 20_000
 TREES, DEPTH, BINS, RATE, MIN_LEAF, L2 = 60, 4, 32, 0.15, 20, 1.0
@@ -194,11 +200,8 @@ def fit_trees(x: np.ndarray, y: np.ndarray, signs: list[int], trees: int = TREES
 # ------------------------------------------------------------------ Spark side
 
 def training_rows(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of at most ``rows`` labelled documents (smallest id hash first)."""
-    chosen = (labels.filter("quality is not null and doc_id is not null").select("doc_id", "quality")
-              .orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(rows))
-    # at most ``rows`` pairs of numbers: a fixed bound
-    sample = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "quality")
+    """Features and labels of at most ``rows`` labelled documents (smallest id hash first), one per id."""
+    sample = labelled_sample(documents, labels.select("doc_id", F.col("quality").cast("int")), "quality", {"true": rows})
 
     def features(batches):
         for batch in batches:
@@ -206,6 +209,7 @@ def training_rows(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_RO
                 _, x = statistics(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_pydict({"x": x.tolist(), "quality": part.column("quality")})
 
+    # at most ``rows`` rows of a dozen numbers
     got = sample.mapInArrow(features, "x array<double>, quality int").toPandas()
     got = got.sort_values(["quality", "x"], key=lambda s: s if s.name == "quality" else s.map(tuple))
     x = np.array(got["x"].tolist(), float).reshape(-1, len(FEATURES))

@@ -14,8 +14,12 @@ the sum over all significant ones are calibrated to a probability by a
 logistic fit.
 
 Lexicon, K and calibration are learned from at most ``SAMPLE_TOXIC`` and
-``SAMPLE_CLEAN`` labelled documents (smallest id hash first). Null and empty
-texts have no segments; without both labels every score is the base rate.
+``SAMPLE_CLEAN`` labelled documents (smallest id hash first). An id is learned
+from once, whatever its rows in either table; contradicting labels leave it out.
+Segments that chance explains (expected number above ``MOST_CHANCE`` in a text
+of that length) are not listed. Null and empty texts have no segments; without
+both labels every score is the base rate. Repeated rows are scored one by one;
+an empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, slices
+from ..session import cut_lineage
+from .common import fold_of, labelled_sample, slices
 
 SAMPLE_TOXIC, SAMPLE_CLEAN = 2_500, 7_500
 STEMS = (4, 5, 6)
@@ -36,6 +41,7 @@ LEAST_G = 18.0               # least G statistic of a toxic form
 LEAST_ODDS = 2.0             # least log-odds of a toxic form
 PRIOR = 0.01                 # pseudo-counts of the Dirichlet prior, as a share of all occurrences
 PASSAGE_RATE = 0.1           # share of toxic words that a passage keeps up its score with
+MOST_CHANCE = 0.05           # E-value up to which a segment is significant
 NULL_FROM = 3.0              # clean segments from this score on are counted for K
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -94,6 +100,10 @@ class Scorer:
         parts = [max(0.0, self.scale * s - np.log(self.k * max(n, 1))) for _, _, s in found]
         return (max(parts), sum(parts)) if parts else (0.0, 0.0)
 
+    def significant(self, n: int, found) -> list[tuple[int, int, float]]:
+        """Segments of which chance would show at most ``MOST_CHANCE`` in a text of n words."""
+        return [f for f in found if self.k * max(n, 1) * np.exp(-self.scale * f[2]) <= MOST_CHANCE]
+
     def probability(self, n: int, found) -> float:
         best, total = self.evidence(n, found)
         z = self.fit[0] + self.fit[1] * best + self.fit[2] * np.log1p(total)
@@ -182,12 +192,10 @@ def _scale(scores: np.ndarray, rates: np.ndarray) -> float:
 
 def fit(documents: DataFrame, labels: DataFrame, learn: Column) -> Scorer:
     """Learn from labelled rows that ``learn`` (over ``doc_id``) admits."""
-    rows = labels.filter(learn & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).select("doc_id", "toxic")
-    order = [F.xxhash64("doc_id"), "doc_id"]
-    ids = (rows.filter("toxic = 1").orderBy(*order).limit(SAMPLE_TOXIC)
-           .union(rows.filter("toxic = 0").orderBy(*order).limit(SAMPLE_CLEAN)))
-    # at most SAMPLE_TOXIC + SAMPLE_CLEAN pairs: a fixed bound
-    sample = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", F.col("toxic").cast("int"))
+    rows = labels.filter(learn & F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int"))
+    # written: a bounded table that the counts and the calibration read
+    sample = cut_lineage(labelled_sample(documents, rows, "toxic", {"toxic = 1": SAMPLE_TOXIC, "toxic = 0": SAMPLE_CLEAN}),
+                         "toxic-sample")
     scorer = Scorer(*lexicon(sample))
 
     def scan(batches):
@@ -214,7 +222,7 @@ def fit(documents: DataFrame, labels: DataFrame, learn: Column) -> Scorer:
 
 
 def passages(documents: DataFrame, scorer: Scorer) -> DataFrame:
-    """doc_id, score and the toxic segments (first word, last word, score) of every whole text."""
+    """doc_id, score and the significant toxic segments (first word, last word, score) of every whole text."""
     kind = dict(documents.dtypes)["doc_id"]
 
     def run(batches):
@@ -224,7 +232,7 @@ def passages(documents: DataFrame, scorer: Scorer) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": part.column("doc_id"),
                     "score": pa.array([scorer.probability(n, f) for n, f in found], pa.float64()),
-                    "segments": pa.array([[{"first": a, "last": b, "score": s} for a, b, s in f] for _, f in found],
+                    "segments": pa.array([[{"first": a, "last": b, "score": s} for a, b, s in scorer.significant(n, f)] for n, f in found],
                                          pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("score", pa.float64())])))})
 
     return documents.select("doc_id", "text").mapInArrow(

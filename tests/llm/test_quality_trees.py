@@ -72,3 +72,25 @@ def test_odd_tables(spark):
     assert len(got) == len(odd_rows())
     assert all(r["base_failed"] and not r["kept"] for r in got if r["n_words"] < 50)
     assert q.judge(documents(spark, []), labels).count() == 0
+
+
+def test_the_sample_bound_holds_for_repeated_rows(spark):
+    texts = [(i, "word " * (i + 60), "en", "a") for i in range(30)]
+    docs = documents(spark, texts + [(3, "other words " * k, "en", "b") for k in range(1, 40)] + [(None, "x", "en", "a")] * 20)
+    for _ in range(5):
+        docs = docs.union(docs)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)] * 20 + [(3, 1)] * 50 + [(7, 0), (None, 1)], "doc_id long, quality int")
+    for rows in (5, 12, 1000):
+        x, y = q.training_rows(docs, labels, rows)
+        assert len(x) == len(y) == min(rows, 29)                 # 7 has contradicting labels
+        again, _ = q.training_rows(docs.repartition(7), labels, rows)
+        assert (again == x).all()
+    assert q.judge(docs.limit(500), labels).count() == 500
+
+
+def test_ties_and_a_single_label(spark):
+    docs = documents(spark, [(i, "the same words " * 30, "en", "a") for i in range(200)])
+    for labels, kept in (([(i, i % 2) for i in range(200)], None), ([(i, 1) for i in range(200)], True), ([(i, 0) for i in range(200)], False)):
+        rows = q.judge(docs, spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+        assert len({(r["quality_score"], r["kept"]) for r in rows}) == 1 and all(r["base_failed"] for r in rows)
+        assert kept is None or (rows[0]["quality_score"] >= 0.5) == kept

@@ -75,3 +75,36 @@ def test_label_free_and_odd_tables(spark):
     some = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (4, None), (None, 1), (6, 0)], "doc_id long, toxic int")
     assert t.predict(df, some).count() == len(odd_rows())
     assert t.predict(documents(spark, []), some).count() == 0
+
+
+def test_the_sample_bound_holds_for_repeated_rows(spark, monkeypatch):
+    docs, labels = planted(n=60)
+    df = documents(spark, docs + [(8, f"another text {k}", "en", "b") for k in range(50)])
+    for _ in range(5):
+        df = df.union(df)
+    lab = spark.createDataFrame(labels * 30 + [(0, 0)] * 40, "doc_id long, toxic int")
+    monkeypatch.setattr(t, "SAMPLE_TOXIC", 6)
+    monkeypatch.setattr(t, "SAMPLE_CLEAN", 10)
+    seen = []
+    original = t.labelled_sample
+    monkeypatch.setattr(t, "labelled_sample", lambda *a: seen.append(original(*a)) or seen[-1])
+    t.fit(df, lab, t.fold_of("doc_id", 5) != 0)
+    rows = seen[0].collect()
+    assert [sum(r["toxic"] == k for r in rows) for k in (1, 0)] == [6, 10]
+
+
+def test_listed_segments_are_significant(spark):
+    docs, labels = planted()
+    df, lab = documents(spark, docs), spark.createDataFrame(labels, "doc_id long, toxic int")
+    scorer = t.fit(df, lab, t.fold_of("doc_id", 5) != 0)
+    text = dict((d, x) for d, x, *_ in docs)
+    some = 0
+    for r in t.passages(df, scorer).collect():
+        n, found = scorer.scan(text[r["doc_id"]])
+        expected = [f for f in found if scorer.k * n * np.exp(-scorer.scale * f[2]) <= 0.05]
+        assert [(s["first"], s["last"]) for s in r["segments"]] == [f[:2] for f in expected]
+        some += len(expected)
+    assert some > 50
+    weak = t.Scorer({"mild ": 0.5, "mildl": 0.5}, 1.0, k=0.01)
+    n, found = weak.scan("plain " * 2000 + "mild")
+    assert found and not weak.significant(n, found)
