@@ -1,42 +1,49 @@
 """Mix sources to target weights by fixed-length token blocks.
 
 Every source's words are laid end to end in document order and cut into
-blocks of ``BLOCK`` words. The mix is a sequence of output shards; each shard
-draws its number of blocks per source from a multinomial over what the
-sources still owe, so shard contents vary while the totals meet the targets.
-Slot i of a source maps through a pseudorandom permutation of its block
-numbers (one per pass over the source) to a block, and slots join blocks by
-(source, block). A block is taken at most once per pass, so no document
-exceeds ``MAX_EPOCHS`` times its size.
+blocks of ``BLOCK`` words. The mix is a sequence of output shards of
+``SHARD_BLOCKS`` slots; the number of slots that a shard gives each source is
+drawn from a multinomial over what the sources still owe. The draws halve the
+range of shards again and again, each half seeded by its bounds, so any task
+can draw the shards it needs and the totals still meet the targets. Slot i of
+a source maps through a pseudorandom permutation of its block numbers (one
+per pass over the source) to a block, and slots join blocks by (source,
+block). The result is read from the joined rows (shard, place, words). A
+source's last slot is cut to the words that it still owes, so what it gives is
+its target rounded to a word, and a block is taken at most once per pass, so no
+document exceeds ``MAX_EPOCHS`` times its size.
 
 Sources by code point, null last, weigh ``WEIGHTS`` in turn and share all
 words; a target stops at ``MAX_EPOCHS`` times its source's size and the
 excess is shared again by weight. A null source is a source of its own, a
 null text has size 0 and takes nothing. Repeated rows are documents of their
-own. Documents are laid out by a hash chunk, then id, then text hash, so
-reruns agree whatever the partitioning. Per-source totals (one small row per
-source) are the only thing that the driver sees.
+own. Documents are laid out by a hash chunk, then id and text hash, so
+reruns agree whatever the partitioning. An empty table gives an empty mix.
+Other columns are carried by ``mixed`` and not read. Numbers per source (one
+small row per source) are the only thing that the driver and the tasks hold.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.common import broadcast_if_small
 from ..session import cut_lineage
 from .common import WORD, forget_model, row_key, slices
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 BLOCK = 64
-SHARD_BLOCKS = 4096          # blocks per output shard
-MAX_SHARDS = 1024
-RUN = 1 << 14                # slots generated from one row
-CHUNKS = 512                 # independent runs of a source's layout: a hot source spreads over as many tasks
+SHARD_BLOCKS = 4096          # slots of an output shard
+DRAWN = 16                   # shards drawn from one row
+CHUNK_ROWS = 20_000          # documents of a chunk of the layout: the number of chunks follows the table
+SALTED = 1_000               # copies of a row that stay together
 
 
 def targets(sizes: list[int], weights=WEIGHTS, cap: int = MAX_EPOCHS) -> list[float]:
@@ -58,27 +65,43 @@ def targets(sizes: list[int], weights=WEIGHTS, cap: int = MAX_EPOCHS) -> list[fl
     return out
 
 
-def shard_draws(owed: list[int], seed: int) -> np.ndarray:
-    """Blocks per (shard, source): multinomial draws over what is still owed, the last shard takes the rest."""
-    owed = np.array(owed, np.int64)
+def _split(owed: np.ndarray, want: int, rng: np.random.Generator) -> np.ndarray:
+    """``want`` slots drawn from a multinomial over what is owed; what a source cannot give is drawn again."""
+    got = np.zeros_like(owed)
+    while want > 0:
+        rest = owed - got
+        draw = np.minimum(rng.multinomial(want, rest / rest.sum()), rest)
+        got += draw
+        want -= int(draw.sum())
+    return got
+
+
+def shard_draws(owed: np.ndarray, shards: int, seed: int, first: int, last: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, slots per source before it, slots per source) of the shards ``first`` to ``last`` - 1."""
+    owed = np.asarray(owed, np.int64)
     total = int(owed.sum())
-    shards = max(1, min(MAX_SHARDS, -(-total // SHARD_BLOCKS)))
-    rng, out = np.random.default_rng(seed), []
-    for s in range(shards):
-        want = total * (s + 1) // shards - total * s // shards
-        got = np.zeros_like(owed)
-        while want > 0 and s < shards - 1:
-            rest = owed - got
-            draw = np.minimum(rng.multinomial(want, rest / rest.sum()), rest)
-            got += draw
-            want -= int(draw.sum())
-        out.append(got if s < shards - 1 else owed.copy())
-        owed = owed - out[-1]
-    return np.array(out)
-
-
-def permute(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """A keyed permutation of 0..size-1 applied elementwise: four Feistel rounds, walked until inside."""
+    todo = [(0, shards, owed, np.zeros_like(owed))]
+    while todo:
+        low, high, mine, before = todo.pop()
+        if high <= first or low >= last:
+            continue
+        if high - low == 1:
+            yield low, before, mine
+            continue
+        mid = (low + high) // 2
+        left = _split(mine, total * mid // shards - total * low // shards, np.random.default_rng([seed, low, high]))
+        todo += [(mid, high, mine - left, before + left), (low, mid, left, before)]
+
+
+def _round(half_word: np.ndarray, key: np.ndarray, r: int, mask: np.ndarray) -> np.ndarray:
+    f = (half_word + key + np.uint64(r)) * np.uint64(0x9E3779B97F4A7C15)
+    f = (f ^ (f >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (f >> np.uint64(32)) & mask
+
+
+def permute(index: np.ndarray, size: np.ndarray, key: np.ndarray, back: bool = False) -> np.ndarray:
+    """A keyed permutation of 0..size-1 applied elementwise (``back``: its inverse): four Feistel rounds, walked until
+    inside."""
     size = np.maximum(size, 1)
     half = np.maximum(1, (np.ceil(np.log2(np.maximum(size, 2))).astype(np.int64) + 1) // 2).astype(np.uint64)
     mask = (np.uint64(1) << half) - np.uint64(1)
@@ -86,157 +109,202 @@ def permute(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
     key = key.astype(np.uint64)
     while len(todo):
         left, right = out[todo] >> half[todo], out[todo] & mask[todo]
-        for r in range(4):
-            f = (right + key[todo] + np.uint64(r)) * np.uint64(0x9E3779B97F4A7C15)
-            f = (f ^ (f >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            left, right = right, left ^ ((f >> np.uint64(32)) & mask[todo])
+        for r in reversed(range(4)) if back else range(4):
+            if back:
+                left, right = right ^ _round(left, key[todo], r, mask[todo]), left
+            else:
+                left, right = right, left ^ _round(right, key[todo], r, mask[todo])
         out[todo] = (left << half[todo]) | right
         todo = todo[out[todo] >= size[todo].astype(np.uint64)]
     return out.astype(np.int64)
 
 
-def _sources(sized: DataFrame, seed: int) -> tuple[DataFrame, DataFrame, int]:
-    """Per-source targets, per-(shard, source) slots, and the number of shards."""
-    spark = sized.sparkSession
-    rows = sized.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"), F.count("*").alias("n")).collect()
-    rows = sorted(rows, key=lambda r: (r["source"] is None, r["source"] or ""))
-    sizes = [r["source_size"] for r in rows]
-    want = targets(sizes)
-    blocks = [-(-s // BLOCK) for s in sizes]
-    owed = [min(MAX_EPOCHS * b, round(t / s * b)) if s else 0 for s, t, b in zip(sizes, want, blocks)]
-    # Arrow tables go to the JVM as they are: no Python worker takes part
-    table = spark.createDataFrame(pa.table({
-        "source": pa.array([r["source"] for r in rows], pa.string()), "source_no": pa.array(range(len(rows)), pa.int32()),
-        "source_size": pa.array(sizes, pa.int64()), "target": pa.array(want, pa.float64()),
-        "blocks": pa.array(blocks, pa.int64()), "owed": pa.array(owed, pa.int64())}))
-    draws = shard_draws(owed, seed) if sum(owed) else np.zeros((0, len(rows)), np.int64)
-    before = np.cumsum(draws, 0) - draws
-    at = np.nonzero(draws)
-    slots = spark.createDataFrame(pa.table({
-        "shard": pa.array(at[0].astype(np.int32)), "source_no": pa.array(at[1].astype(np.int32)),
-        "first": pa.array(before[at].astype(np.int64)), "n": pa.array(draws[at].astype(np.int64))}))
-    return table, slots, len(draws)
-
-
-def mix(documents: DataFrame, seed: int = 7) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(layout, slots, sources).
-
-    ``layout``: every row of ``documents`` (doc_id, source, row key) with its size and the place of its first
-    word in its source. ``slots``: (shard, place, source_no, block), the mix in output order.
+def pass_key(source_no, turn, seed: int):
+    """The key of a source's permutation in one pass."""
+    return (source_no * 1_000_003 + turn) * 7919 + seed
+
+
+def slots_owed(sizes: list[int], want: list[float], seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per source: the slots that give its target in words, and the words of the last of them.
+
+    A pass gives the source once; the last, incomplete one takes slots until the words suffice, wherever its
+    permutation puts the source's last, shorter block.
+    """
+    size = np.array(sizes, np.int64)
+    owed = np.minimum(MAX_EPOCHS * size, np.rint(want).astype(np.int64))
+    blocks = -(-size // BLOCK)
+    short = blocks * BLOCK - size
+    turns, rest = owed // np.maximum(size, 1), owed % np.maximum(size, 1)
+    at = permute(np.maximum(blocks - 1, 0), blocks, pass_key(np.arange(len(size)), turns, seed), back=True) if len(size) else size
+    given = lambda n: n * BLOCK - np.where(at < n, short, 0)
+    more = -(-rest // BLOCK)
+    more += given(more) < rest
+    # a source without a rest ends with a whole block: no slot is cut
+    return turns * blocks + more, np.where(rest > 0, rest - given(np.maximum(more - 1, 0)), BLOCK)
+
+
+def _positional(documents: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The table under names that cannot clash, and the new names of the columns that the mix reads."""
+    names = documents.columns
+    return documents.toDF(*[f"c{i}" for i in range(len(names))]), {c: f"c{i}" for i, c in enumerate(names)}
+
+
+def layout(documents: DataFrame) -> DataFrame:
+    """Every row's id, source, size and the place of its first word in its source, numbered (``row``), written.
+
+    Rows that are equal in all columns are laid out as one entry of ``copies`` times its size and then spread, so
+    that no task gathers them.
     """
-    words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sized = documents.select("doc_id", "source", words.alias("size"), F.xxhash64("text").alias("text_hash"),
-                             row_key("doc_id", "source", "text").alias("rkey"))
-    sized = sized.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(CHUNKS)).cast("int"))
-    sized = cut_lineage(sized, "mix-sizes")
-    sources, shard_slots, _ = _sources(sized, seed)
-    # at most CHUNKS rows per source
-    totals = sized.groupBy("source", "chunk").agg(F.sum("size").alias("chunk_size"))
+    own, at = _positional(documents)
+    words = F.coalesce(F.regexp_count(at["text"], F.lit(WORD)), F.lit(0)).cast("long")
+    entry = ["rkey", "doc_id", "source", "size", "text_hash"]
+    entries = own.select(row_key(*own.columns).alias("rkey"), F.col(at["doc_id"]).alias("doc_id"), F.col(at["source"]).alias("source"),
+                         words.alias("size"), F.xxhash64(at["text"]).alias("text_hash")).groupBy(*entry).agg(F.count("*").alias("copies"))
+    entries = cut_lineage(entries, "mix-sizes")
+    chunks = max(1, -(-entries.count() // CHUNK_ROWS))
+    entries = entries.withColumn("chunk", F.pmod(F.xxhash64("rkey"), F.lit(chunks)).cast("int"))
+    length = F.col("size") * F.col("copies")
+    # at most ``chunks`` rows per source
+    totals = entries.groupBy("source", "chunk").agg(F.sum(length).alias("chunk_size"))
     upto = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("source", "chunk", F.coalesce(F.sum("chunk_size").over(upto), F.lit(0)).alias("chunk_first"))
-    within = (Window.partitionBy("source", "chunk").orderBy("doc_id", "text_hash", "size")
+    totals = totals.select(F.col("source").alias("s"), F.col("chunk").alias("c"),
+                           F.coalesce(F.sum("chunk_size").over(upto), F.lit(0)).alias("chunk_first"))
+    within = (Window.partitionBy("source", "chunk").orderBy("doc_id", "text_hash", "rkey")
               .rowsBetween(Window.unboundedPreceding, -1))
-    placed = sized.withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    t = totals.select(F.col("source").alias("s"), F.col("chunk").alias("c"), "chunk_first")
-    layout = placed.join(t, (placed["chunk"] == t["c"]) & placed["source"].eqNullSafe(t["s"])).select(
-        "doc_id", "source", "size", "rkey", (F.col("chunk_first") + F.col("before")).alias("first_word"))
+    placed = entries.withColumn("before", F.coalesce(F.sum(length).over(within), F.lit(0)))
+    placed = placed.join(totals, (placed["chunk"] == totals["c"]) & placed["source"].eqNullSafe(totals["s"])).withColumn(
+        "entry_first", F.col("chunk_first") + F.col("before"))
+    # a large group of copies is cut into runs that are dealt out before they are spread
+    cut = lambda df, size: df.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(size).cast("long"))))
+    each = F.explode(F.sequence("copy", F.least(F.col("copies"), F.col("copy") + SALTED) - 1))
+    many = cut(placed.filter(F.col("copies") > SALTED), SALTED).repartition("rkey", "copy").withColumn("copy", each)
+    found = cut(placed.filter(F.col("copies") <= SALTED), 1).unionByName(many)
+    return cut_lineage(found.select("doc_id", "source", "size", "rkey", "copies", "copy",
+                                    (F.col("entry_first") + F.col("copy") * F.col("size")).alias("first_word"))
+                       .withColumn("row", F.monotonically_increasing_id()), "mix-layout")
+
+
+def slots(sources: list[tuple[int, float]], spark, seed: int = 7) -> DataFrame:
+    """The mix in output order, (shard, place, source_no, turn, block, words), for the sources' (size, target).
 
-    def place(batches):
+    ``words``: how many of the block's words are taken, from its first on; less than the block has only in a source's
+    last slot.
+    """
+    size = np.array([s for s, _ in sources], np.int64)
+    blocks = -(-size // BLOCK)
+    owed, last = slots_owed([s for s, _ in sources], [t for _, t in sources], seed)
+    shards = -(-int(owed.sum()) // SHARD_BLOCKS)
+
+    def draw(batches):
+        forget_model()
         for batch in batches:
-            shard, source_no, blocks, slot = (batch.column(c).to_numpy() for c in ("shard", "source_no", "blocks", "slot"))
-            n = np.maximum(blocks, 1)
-            key = (source_no.astype(np.int64) * 1_000_003 + slot // n) * 7919 + seed
-            yield pa.RecordBatch.from_pydict({"shard": shard, "source_no": source_no, "slot": slot,
-                                              "block": permute(slot % n, n, key)})
-
-    # one row per (shard, source) and per source: small tables. Runs of at most RUN slots are dealt out first, so
-    # that neither a task nor an array grows with a hot source.
-    runs = (shard_slots.join(sources.select("source_no", "blocks"), "source_no")
-            .select("shard", "source_no", "blocks", (F.col("first") + F.col("n") - 1).alias("last"),
-                    F.explode(F.sequence("first", F.col("first") + F.col("n") - 1, F.lit(RUN).cast("long"))).alias("first"))
-            # a set number: the rows are few until they are exploded, and adaptive planning would put them in one task
-            .repartition(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard", "source_no", "first"))
-    slots = (runs.select("shard", "source_no", "blocks",
-                         F.explode(F.sequence("first", F.least("last", F.col("first") + RUN - 1))).alias("slot"))
-             .mapInArrow(place, "shard int, source_no int, slot long, block long")
-             .select("shard", F.xxhash64("shard", "source_no", "slot").alias("place"), "source_no", "block"))
-    return layout, slots, sources
-
-
-def pieces(documents: DataFrame, seed: int = 7) -> tuple[DataFrame, DataFrame]:
-    """(rows, pieces): the layout with targets, and for each row its words per block with the times the mix takes them."""
-    layout, slots, sources = mix(documents, seed)
-    s = sources.select(F.col("source").alias("s"), "source_no", "source_size", "target")
-    rows = layout.join(s, layout["source"].eqNullSafe(s["s"])).drop("s", "source")
-    rows = cut_lineage(rows.withColumn("row", F.monotonically_increasing_id()), "mix-layout")
+            for first in batch.column("id").to_pylist():
+                for shard, before, n in shard_draws(owed, shards, seed, first * DRAWN, (first + 1) * DRAWN):
+                    no = np.repeat(np.arange(len(n)), n)
+                    slot = np.arange(len(no)) - np.repeat(np.cumsum(n) - n, n) + before[no]
+                    turn = slot // blocks[no]
+                    block = permute(slot % blocks[no], blocks[no], pass_key(no, turn, seed))
+                    whole = np.minimum(BLOCK, size[no] - block * BLOCK)
+                    yield pa.RecordBatch.from_pydict({
+                        "shard": pa.array(np.full(len(no), shard), pa.int64()),
+                        "place": pa.array(np.random.default_rng([seed, shard]).permutation(len(no)), pa.int32()),
+                        "source_no": pa.array(no, pa.int32()), "turn": pa.array(turn, pa.int32()), "block": pa.array(block, pa.int64()),
+                        "words": pa.array(np.where(slot == owed[no] - 1, np.minimum(whole, last[no]), whole), pa.int32())})
+
+    # a set number of partitions: the rows are few until they are drawn, and adaptive planning would put them in one task
+    parts = max(1, min(-(-shards // DRAWN), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return spark.range(0, -(-shards // DRAWN), 1, parts).mapInArrow(
+        draw, "shard long, place int, source_no int, turn int, block long, words int")
+
+
+def mix(documents: DataFrame, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+    """(rows, mix).
+
+    ``rows``: the layout with each row's source_size and target. ``mix``: (shard, place, row, turn, begin, words), the
+    blocks of the mix in output order, joined to the documents that they are cut from: ``words`` words of the
+    document from its word ``begin`` on.
+    """
+    spark = documents.sparkSession
+    placed = layout(documents)
+    # one row per source
+    found = placed.groupBy("source").agg(F.sum("size").cast("long").alias("size")).collect()
+    found = sorted(found, key=lambda r: (r["source"] is None, r["source"] or ""))
+    sizes = [r["size"] for r in found]
+    want = targets(sizes)
+    # an Arrow table goes to the JVM as it is: no Python worker takes part
+    sources = spark.createDataFrame(pa.table({
+        "s": pa.array([r["source"] for r in found], pa.string()), "source_no": pa.array(range(len(found)), pa.int32()),
+        "source_size": pa.array(sizes, pa.int64()), "target": pa.array(want, pa.float64())}))
+    rows = placed.join(broadcast_if_small(sources), placed["source"].eqNullSafe(sources["s"])).drop("s", "source")
     last = F.col("first_word") + F.col("size") - 1
-    cut = (rows.filter("size > 0")
-           .select("row", "source_no", "first_word", last.alias("last_word"),
-                   F.explode(F.sequence(F.floor(F.col("first_word") / BLOCK), F.floor(last / BLOCK))).alias("block"))
-           .withColumn("words", F.least("last_word", F.col("block") * BLOCK + BLOCK - 1)
-                       - F.greatest("first_word", F.col("block") * BLOCK) + 1))
-    times = slots.groupBy("source_no", "block").agg(F.count("*").alias("times"))
-    return rows, cut.join(times, ["source_no", "block"])
+    cut = rows.filter("size > 0").select("row", "source_no", "first_word", last.alias("last_word"), F.explode(
+        F.sequence(F.floor(F.col("first_word") / BLOCK), F.floor(last / BLOCK))).alias("block"))
+    drawn = slots(list(zip(sizes, want)), spark, seed)
+    begin = F.greatest("first_word", F.col("block") * BLOCK)
+    end = F.least(F.col("last_word") + 1, F.col("block") * BLOCK + F.col("words"))
+    # a block holds at most ``BLOCK`` documents with words and is drawn at most ``MAX_EPOCHS`` times
+    joined = cut.join(drawn, ["source_no", "block"]).filter(end > begin).select(
+        "shard", "place", "row", "turn", (begin - F.col("first_word")).alias("begin"), (end - begin).alias("words"))
+    return rows, joined
 
 
 def taken(documents: DataFrame, seed: int = 7) -> DataFrame:
     """One row per document: size, source_size, target and the words that the mix takes of it."""
-    rows, cut = pieces(documents, seed)
-    got = cut.groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    rows, found = mix(documents, seed)
+    got = found.groupBy("row").agg(F.sum("words").alias("taken"))
     return rows.join(got, "row", "left").select("doc_id", "size", "source_size", "target",
                                                 F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
 
 
-def passages(text: str, first: int, blocks: list[tuple[int, int]]) -> list[str]:
-    """The parts of a text that the mix takes: per pass, each run of neighbouring blocks is one part."""
-    spans = [m.span() for m in re.finditer(WORD, text)]
-    last, out = first + len(spans) - 1, []
-    for level in range(1, MAX_EPOCHS + 1):
-        taken_blocks = [b for b, t in blocks if t >= level]
-        runs: list[list[int]] = []
-        for b in taken_blocks:
-            if runs and runs[-1][1] == b - 1:
-                runs[-1][1] = b
-            else:
-                runs.append([b, b])
-        for a, b in runs:
-            i, j = max(first, a * BLOCK) - first, min(last, b * BLOCK + BLOCK - 1) - first
-            whole = i == 0 and j == len(spans) - 1
-            out.append(text if whole else text[spans[i][0]: spans[j][1]])
-    return out
+def passages(text: str, spans: list[tuple[int, int, int]]) -> list[str]:
+    """The parts of a text that the mix takes, from (turn, first word, words): neighbours within a turn are one part."""
+    at = [m.span() for m in re.finditer(WORD, text)]
+    runs: list[list[int]] = []
+    for turn, begin, words in sorted(spans):
+        if runs and runs[-1][0] == turn and runs[-1][2] == begin:
+            runs[-1][2] = begin + words
+        else:
+            runs.append([turn, begin, begin + words])
+    return [text if a == 0 and b == len(at) else text[at[a][0]: at[b - 1][1]] for _, a, b in runs]
 
 
 def mixed(documents: DataFrame, seed: int = 7) -> DataFrame:
     """Pipeline form: the mix as rows of documents (columns unchanged).
 
-    A document taken whole keeps its text; otherwise every run of neighbouring blocks is a row with the
-    document's id and the run's text, and passes beyond the first repeat it. ``n_chars`` follows the text.
+    A document taken whole keeps its text; otherwise every run of neighbouring blocks of a turn is a row with the
+    document's id and the run's text, and further turns repeat it. ``n_chars`` follows the text.
+
+    Rows meet their places by a key over all columns. Rows that are equal in all of them share a key: their text is
+    kept once and meets all their places, ``SALTED`` of them a task, so a large group of equal rows is never gathered.
     """
     names = documents.columns
-    rows, cut = pieces(documents, seed)
+    rows, found = mix(documents, seed)
     # bounded by the blocks of one document
-    profile = cut.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("block", "times"))).alias("blocks"))
-    place = rows.select("row", "rkey", "first_word").join(profile, "row").select(
-        "rkey", "first_word", "blocks",
-        F.row_number().over(Window.partitionBy("rkey").orderBy("first_word")).alias("copy"))
-    own = documents.toDF(*[f"c{i}" for i in range(len(names))])
-    at = {c: f"c{names.index(c)}" for c in ("doc_id", "source", "text")}
-    key = row_key(at["doc_id"], at["source"], at["text"])
-    own = own.withColumn("rkey", key).withColumn("copy", F.row_number().over(Window.partitionBy("rkey").orderBy("rkey")))
-    joined = own.join(place, ["rkey", "copy"]).drop("rkey", "copy").withColumnRenamed(at["text"], "text")
-    kept = [c for c in joined.columns if c not in ("first_word", "blocks")]
-    chars = f"c{names.index('n_chars')}" if "n_chars" in names else None
+    spans = found.groupBy("row").agg(F.collect_list(F.struct("turn", "begin", "words")).alias("spans"))
+    place = rows.select("row", "rkey", "copies", "copy").join(spans, "row").withColumn("salt", F.floor(F.col("copy") / SALTED))
+    repeated = cut_lineage(rows.filter("copies > 1 and copy = 0").select(
+        "rkey", F.ceil(F.col("copies") / SALTED).alias("salts")), "mix-repeated")
+    few = broadcast_if_small(repeated)
+    own, at = _positional(documents)
+    columns = own.columns
+    own = own.withColumn("rkey", row_key(*columns))
+    single = own.join(few, "rkey", "left_anti").join(place.filter("copies = 1"), "rkey").select(*columns, "spans")
+    once = own.join(few, "rkey").groupBy("rkey", "salts").agg(F.first(F.struct(*columns)).alias("own"))
+    once = once.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+    joined = single.union(once.join(place.filter("copies > 1"), ["rkey", "salt"]).select("own.*", "spans"))
+    joined = joined.withColumnRenamed(at["text"], "text")
+    kept = [c for c in joined.columns if c != "spans"]
+    chars = at.get("n_chars")
 
     def run(batches):
         forget_model()
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 source, texts = [], []
-                columns = [part.column(c).to_pylist() for c in ("text", "first_word", "blocks")]
-                for i, (text, first, blocks) in enumerate(zip(*columns)):
-                    found = passages(text, first, [(b["block"], b["times"]) for b in blocks])
-                    texts += found
-                    source += [i] * len(found)
+                for i, (text, mine) in enumerate(zip(part.column("text").to_pylist(), part.column("spans").to_pylist())):
+                    got = passages(text, [(b["turn"], b["begin"], b["words"]) for b in mine])
+                    texts += got
+                    source += [i] * len(got)
                 take = pa.array(source, pa.int64())
                 out = {c: part.column(c).take(take) for c in kept} | {"text": pa.array(texts, pa.string())}
                 if chars:
