@@ -42,7 +42,7 @@ MAX_EPOCHS = 3
 BLOCK = 64
 SHARD_BLOCKS = 4096          # slots of an output shard
 DRAWN = 16                   # shards drawn from one row
-CHUNK_ROWS = 20_000          # documents of a chunk of the layout: the number of chunks follows the table
+CHUNK_ROWS = 2_000          # documents of a chunk of the layout: the number of chunks follows the table
 SALTED = 1_000               # copies of a row that stay together
 
 
@@ -243,7 +243,8 @@ def mix(documents: DataFrame, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     begin = F.greatest("first_word", F.col("block") * BLOCK)
     end = F.least(F.col("last_word") + 1, F.col("block") * BLOCK + F.col("words"))
     # a block holds at most ``BLOCK`` documents with words and is drawn at most ``MAX_EPOCHS`` times
-    joined = cut.join(drawn, ["source_no", "block"]).filter(end > begin).select(
+    # merged: the planner knows the rows that slots are drawn from, not how many come of them
+    joined = cut.hint("merge").join(drawn, ["source_no", "block"]).filter(end > begin).select(
         "shard", "place", "row", "turn", (begin - F.col("first_word")).alias("begin"), (end - begin).alias("words"))
     return rows, joined
 
