@@ -1,17 +1,21 @@
 """Substring deduplication by sliding spans of sentences.
 
-A text is cut into sentence units: behind ``. ! ? ; :`` and commas before white
-space, behind the stops of other scripts, both with closing quotes and
-brackets, and behind lines. White space belongs to the unit before it, so every
-unit has words. A unit of more than ``MAX_WORDS`` words is cut on before words
-chosen by their hashes alone (the least of any ``WINDOW`` consecutive ones), so
-that a passage inside longer text or without stops is cut alike wherever it
-stands. For every unit, the shortest run of at least ``MIN_UNITS`` consecutive
-units with at least ``MIN_WORDS`` words that begins with it, and the one that
-ends with it, are hashed (words only, A-Z lower-cased; in scripts written
-without blanks every letter is hashed and counts as half a word). Runs are
-joined over all documents; the first occurrence (smallest doc_id, then first
-position) stays, and every unit that a later occurrence covers is removed.
+A text is cut into sentences: behind ``. ! ?`` before white space and behind the
+full stops, question and exclamation marks of other scripts, all with closing
+quotes and brackets, and behind lines. White space belongs to the sentence
+before it, so every sentence has words. Where no stop comes for more than
+``MAX_WORDS`` words the sentence is cut on, before words chosen by their hashes
+alone (the least of any ``WINDOW`` consecutive ones), so that a passage inside
+longer text or without stops is cut alike wherever it stands. For every such
+unit, the shortest run of at least ``MIN_UNITS`` consecutive units with at
+least ``MIN_WORDS`` words that begins with it, and the one that ends with it,
+are hashed (words only, A-Z lower-cased; in scripts written without blanks
+every letter is hashed and counts as half a word). Runs are joined over all
+documents; the first occurrence (smallest doc_id, then first position) stays,
+and every unit that a later occurrence covers is removed.
+
+A repeated passage is found from ``MIN_WORDS`` words in whole units on; shorter
+common phrases, headings and lines are left alone.
 
 The join moves one (hash, doc_id, text hash) row per distinct run of a
 document; hot runs are counted by map-side aggregation and their join is split
@@ -35,19 +39,18 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from .common import Words, forget_model, mix, slices
 
-MIN_UNITS, MIN_WORDS = 2, 12
-MAX_WORDS = 12               # units of more words are cut on
-WINDOW = 10                  # of any so many consecutive words of such a unit, the one with the least hash begins a unit
-_ASCII = ".!?;:,"
-# sentence and clause ends of other scripts, which need no white space after them
-_OTHER = ("\u037E\u0387\u0589\u055D\u060C\u061B\u061D-\u061F\u06D4\u0700-\u0702\u07F8\u07F9\u0837\u0839\u083D\u083E\u0964\u0965"
-          "\u0DF4\u0E5A\u0E5B\u0F08\u0F0D-\u0F12\u104A\u104B\u1361-\u1368\u166E\u1735\u1736\u17D4-\u17D6\u1802-\u1805\u1808"
-          "\u1809\u1944\u1945\u1AA8-\u1AAB\u1B5A\u1B5B\u1B5E\u1B5F\u1C3B\u1C3C\u1C7E\u1C7F\u203C\u203D\u2026\u2047-\u2049"
-          "\u2E2E\u2E3C\u2E41\u2E4C\u2E53\u2E54\u3001\u3002\uA4FE\uA4FF\uA60D-\uA60F\uA6F3-\uA6F7\uA876\uA877\uA8CE\uA8CF\uA92F"
-          "\uA9C8\uA9C9\uAA5D-\uAA5F\uAAF0\uAAF1\uABEB\uFE10-\uFE16\uFE19\uFE50-\uFE52\uFE54-\uFE57\uFF01\uFF0C\uFF0E\uFF1A"
-          "\uFF1B\uFF1F\uFF61\uFF64\U00010A56\U00010A57\U00011047\U00011048\U000110BE-\U000110C1\U00011141-\U00011143"
-          "\U000111C5\U000111C6\U000111DE\U000111DF\U00011238-\U0001123C\U0001144B-\U0001144D\U000115C2-\U000115C5"
-          "\U00011641\U00011642\U0001E95E\U0001E95F")
+MIN_UNITS, MIN_WORDS = 2, 36
+MAX_WORDS = 16               # sentences of more words are cut on
+WINDOW = 12                  # of any so many consecutive words of such a sentence, the one with the least hash begins a unit
+_ASCII = ".!?"
+# Full stops, question and exclamation marks and verse ends of other scripts, which need no white space after them.
+_OTHER = ("\u037E\u0589\u061D-\u061F\u06D4\u0700-\u0702\u07F9\u0837\u0839\u083D\u083E\u0964\u0965\u0DF4\u0E5A\u0E5B\u0F08"
+          "\u0F0D-\u0F12\u104A\u104B\u1362\u1367\u1368\u166E\u1735\u1736\u17D4\u17D5\u1803\u1809\u1944\u1945\u1AA8-\u1AAB"
+          "\u1B5A\u1B5B\u1B5E\u1B5F\u1C3B\u1C3C\u1C7E\u1C7F\u203C\u203D\u2026\u2047-\u2049\u2E2E\u2E3C\u2E53\u2E54\u3002\uA4FF"
+          "\uA60E\uA60F\uA6F3\uA6F7\uA876\uA877\uA8CE\uA8CF\uA92F\uA9C8\uA9C9\uAA5D-\uAA5F\uAAF0\uAAF1\uABEB\uFE12\uFE15"
+          "\uFE16\uFE19\uFE52\uFE56\uFE57\uFF01\uFF0E\uFF1F\uFF61\U00010A56\U00010A57\U00011047\U00011048\U000110BE-\U000110C1"
+          "\U00011141-\U00011143\U000111C5\U000111C6\U000111DE\U000111DF\U00011238-\U0001123C\U0001144B-\U0001144D"
+          "\U000115C2-\U000115C5\U00011641\U00011642\U0001E95E\U0001E95F")
 _LINE = "\n\r\x85\u2028\u2029"
 _CLOSE = "\"'" + "".join(re.escape(chr(c)) for c in range(0x10000) if unicodedata.category(chr(c)) in ("Pe", "Pf", "Pi"))
 # a run of ASCII stops is looked at from its first only, so that long runs cost no more than their length

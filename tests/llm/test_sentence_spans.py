@@ -1,23 +1,67 @@
 import random
 
 from adyield.llm import sentence_spans as s
+from adyield.llm.common import Words
 
 from .helpers import FOLD, PROSE, WORD, documents, odd_rows, with_clashes
 
 
+def sentences(text):
+    """Plain walk over the letters: a sentence ends behind ASCII stops with closing quotes before white space, and behind
+    line ends; white space stays with what it follows, at the start with the first sentence."""
+    out, at, i, n = [], 0, len(text) - len(text.lstrip()), len(text)
+    while i < n:
+        j = i
+        if text[i] == "\n":
+            j = i + 1
+        elif text[i] in ".!?":
+            j = i
+            while j < n and text[j] in ".!?":
+                j += 1
+            while j < n and text[j] in "\"')]":
+                j += 1
+            j = j if j < n and text[j].isspace() else i
+        if j > i:
+            while j < n and text[j].isspace():
+                j += 1
+            out.append(text[at:j])
+            at = i = j
+        else:
+            i += 1
+    return out + [text[at:]] * (at < n)
+
+
+def units_of(text):
+    """Sentences; of long ones, every word that has the least hash of some window (the last of equal ones) begins a unit."""
+    out = []
+    for sentence in sentences(text):
+        words = list(WORD.finditer(sentence))
+        if len(words) <= s.MAX_WORDS:
+            out.append(sentence)
+            continue
+        h = Words([sentence]).hash.tolist()
+        first = set()
+        for a in range(len(words) - s.WINDOW + 1):
+            first.add(max(range(a, a + s.WINDOW), key=lambda k: (-h[k], k)))
+        edges = [0, *sorted(words[k].start() for k in first if k), len(sentence)]
+        out += [sentence[a:b] for a, b in zip(edges, edges[1:])]
+    return out
+
+
 def brute(rows):
-    """doc_id -> text after removal, by plain comparison of word runs; ids distinct."""
+    """doc_id -> text after removal, by plain comparison of word runs; ids distinct, texts of scripts with blanks."""
     def found(text):
-        units = s.cut(text or "")
-        words = [WORD.findall(u.lower()) for u in units]
-        def enough(a, b):
-            return b - a >= s.MIN_UNITS and sum(map(len, words[a:b])) >= s.MIN_WORDS
-
+        units = units_of(text or "")
+        words = [WORD.findall(u.translate(FOLD)) for u in units]
+        upto = [0]
+        for w in words:
+            upto.append(upto[-1] + len(w))
+        enough = lambda a, b: b - a >= s.MIN_UNITS and upto[b] - upto[a] >= s.MIN_WORDS
         n, spans = len(units), set()
         for a in range(n):
             spans |= {(a, b) for b in [next((b for b in range(a + 1, n + 1) if enough(a, b)), None)] if b}
             spans |= {(b, a + 1) for b in [next((b for b in range(a, -1, -1) if enough(b, a + 1)), None)] if b is not None}
-        out = [(a, b, tuple(w for u in words[a:b] for w in u)) for a, b in sorted(spans) if words[a] and words[b - 1]]
+        out = [(a, b, tuple(w for u in words[a:b] for w in u)) for a, b in sorted(spans)]
         return units, out
 
     seen, result = set(), {}
@@ -33,6 +77,11 @@ def brute(rows):
     return result
 
 
+def test_units_are_sentences(small):
+    for t in [r["text"] for r in small("documents").collect()] + ["a.b c!\n\nd, e", ".", "\n", "One, two: three; four. (Five.) Six?", " \n a. b"]:
+        assert s.cut(t) == units_of(t)
+
+
 def test_units_join_to_the_text(small):
     for t in [r["text"] for r in small("documents").collect()] + [t or "" for _, t, _, _ in odd_rows()] + ["a.b c!\n\nd, e", ".", "\n"]:
         assert "".join(s.cut(t)) == t
@@ -54,8 +103,10 @@ def test_passage_goes_from_all_but_the_first(spark):
 
 def test_unique_text_is_untouched(spark):
     text = "Nothing in here is said twice, as far as anybody knows. Each clause is new; each word has its place."
-    rows = [(1, text, "en", "a"), (2, PROSE, "en", "a")]
-    assert {r["doc_id"]: r["text"] for r in s.dedup(documents(spark, rows)).collect()}[1] == text
+    shared = "In short, as has been said before, and will be again, all of this is so."
+    rows = [(1, text, "en", "a"), (2, PROSE, "en", "a"), (3, f"{shared} {text[::-1]}", "en", "a"), (4, f"{made(3, 40)}. {shared} {made(4, 9)}", "en", "a")]
+    got = {r["doc_id"]: r["text"] for r in s.dedup(documents(spark, rows)).collect()}
+    assert got[1] == text and got[3] == rows[2][1] and got[4] == rows[3][1]      # one sentence with commas is no passage
 
 
 def test_odd_tables(spark):
@@ -64,7 +115,7 @@ def test_odd_tables(spark):
     rows = out.collect()
     assert len(rows) == len(odd_rows()) and set(out.columns) == set(df.columns) | {"n_units", "n_removed"}
     by = {r["doc_id"]: r for r in rows if r["doc_id"] not in (8, None)}
-    assert by[1]["n_removed"] > 0                        # its own second and third repetition
+    assert by[1]["n_removed"] == 0                       # a sentence said three times is shorter than a passage
     assert by[2]["text"].strip() == "" and by[3]["text"] is None and by[4]["text"] == ""
     assert by[6]["n_removed"] == 0
     kept = s.without_repeats(df)
