@@ -15,18 +15,28 @@ from pyspark.sql.types import DataType, DateType, TimestampNTZType, TimestampTyp
 ROAS_MAX = 50.0
 BUDGET_RATIO_MAX = 3.0
 
-# Date text layouts accepted by the raw readers, tried in this order, as a pattern and the
-# places of year, month and day among its groups. A time, fraction and offset may follow any of them.
+MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
+_MONTH = ("(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?"
+          "|dec(?:ember)?)")
+_DAY, _YEAR, _GAP = r"(\d{1,2})(?:st|nd|rd|th)?", r"(\d{4}|\d{2})", r"[-/., ]+"
+# What stands around the date of a date text: a weekday's name before it, a time with fraction and zone after it.
+DATE_HEAD = r"(?:(?:mon|tues?|wed(?:nes)?|thu(?:rs?)?|fri|sat(?:ur)?|sun)(?:day)?[., ]+)?"
+DATE_TAIL = (r"(?:(?:[T ,]+\d{1,2}:\d{2}(?::\d{2}(?:[.,]\d+)?)?|T\d{4}(?:\d{2})?(?:[.,]\d+)?|[T ,]+\d{1,2}(?= *[ap]\.?m)) *(?:[ap]\.?m\.?)?"
+             r" *(?:z|[a-z]{2,5}|[a-z]+(?:/[a-z_]+)+)? *(?:[+-]\d{2}:?(?:\d{2})?)? *(?:\([^)]*\))?)?")
+# Date layouts tried in this order, as a pattern and the places of year, month and day among its groups (0: the
+# first day of the month).
 DATE_LAYOUTS = (
-    (r"(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})", (1, 2, 3)),        # 2024-01-05, 2024/1/5
-    (r"(\d{4})(\d{2})(\d{2})", (1, 2, 3)),                      # 20240105
-    (r"(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})", (3, 1, 2)),        # 1/5/2024
-    (r"(\d{1,2})[-/.](\d{1,2})[-/.](\d{2})", (3, 1, 2)),        # 01/05/24
-    (r"([A-Za-z]{3,9})\.? +(\d{1,2}),? +(\d{4})", (3, 1, 2)),   # Jan 5, 2024
-    (r"(\d{1,2})[- ]([A-Za-z]{3,9})[- ,]+(\d{4})", (3, 2, 1)),   # 5-Jan-2024
+    (r"(\d{4})[-/. ](\d{1,2})[-/. ](\d{1,2})", (1, 2, 3)),     # 2024-01-05, 2024/1/5
+    (r"(\d{4})(\d{2})(\d{2})", (1, 2, 3)),                     # 20240105
+    (rf"(\d{{1,2}})[-/. ](\d{{1,2}})[-/. ]{_YEAR}", (3, 1, 2)),  # 1/5/2024, 01/05/24
+    (rf"{_MONTH}{_GAP}{_DAY}{_GAP}{_YEAR}", (3, 1, 2)),          # Jan 5, 2024, Jan-05-2024
+    (rf"{_DAY}[-/., ]*{_MONTH}[-/., ]*{_YEAR}", (3, 2, 1)),      # 5-Jan-2024, 05-Jan-24, 5 January 2024
+    (rf"(\d{{4}})[-/., ]*{_MONTH}{_GAP}{_DAY}", (1, 2, 3)),      # 2024-Jan-05
+    (r"(\d{4})[-/.](\d{1,2})", (1, 2, 0)),                      # 2024-01
+    (r"(\d{1,2})[-/.](\d{4})", (2, 1, 0)),                      # 01/2024
+    (rf"{_MONTH}[-/., ]*(\d{{4}})", (2, 1, 0)),                  # Jan 2024
+    (rf"(\d{{4}})[-/., ]*{_MONTH}", (1, 2, 0)),                  # 2024 Jan
 )
-DATE_TAIL = r"(?:[T ,]+\d{1,2}:\d{2}(?::\d{2}(?:[.,]\d+)?)? *(?:[AaPp][Mm])? *(?:Z|UTC|GMT|[+-]\d{2}:?\d{0,2})?)?"
-MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 
 
 def col_(c: Column | str) -> Column:
@@ -93,31 +103,68 @@ def budget_ratio_forecast(new_spend: Column | str, budget: Column | str) -> Colu
                   clip(new_spend / budget, 0.0, BUDGET_RATIO_MAX)).otherwise(F.lit(1.0))
 
 
-def _layout_date(text: Column, pattern: str, places: tuple[int, int, int]) -> Column:
+def _layout_date(text: Column, pattern: str, places: tuple[int, int, int], day_first: bool) -> Column:
     """The date that ``text`` holds in one layout, else NULL."""
-    whole = f"^{pattern}{DATE_TAIL}$"
-    year, month, day = (F.regexp_extract(text, whole, k) for k in places)
-    if "A-Za-z" in pattern:
+    whole = f"(?i)^{DATE_HEAD}{pattern}{DATE_TAIL}$"
+    year, month, day = (F.regexp_extract(text, whole, k) if k else F.lit("1") for k in places)
+    if _MONTH in pattern:
         month = F.array_position(F.lit(MONTHS), F.lower(F.substring(month, 1, 3))).cast("string")
     year = F.when(F.length(year) == 2, F.concat(F.when(year.try_cast("int") < 69, "20").otherwise("19"), year)).otherwise(year)
-    # day and month change places only where the text can be read no other way
     first = F.try_to_timestamp(F.concat_ws("-", year, month, day), F.lit("yyyy-M-d"))
-    swapped = F.try_to_timestamp(F.concat_ws("-", year, day, month), F.lit("yyyy-M-d"))
-    return F.when(F.regexp_like(text, F.lit(whole)), F.coalesce(first, swapped) if places == (3, 1, 2) else first)
+    if places == (3, 1, 2) and _MONTH not in pattern:
+        # day and month change places where the text can be read no other way
+        other = F.try_to_timestamp(F.concat_ws("-", year, day, month), F.lit("yyyy-M-d"))
+        first = F.coalesce(other, first) if day_first else F.coalesce(first, other)
+    return F.when(F.regexp_like(text, F.lit(whole)), first)
+
+
+def _is_plain(text: Column) -> Column:
+    """Texts built like 2024-01-05, which need no pattern: most of them, in most exports."""
+    return (F.length(text) == 10) & (F.substring(text, 5, 1) == "-") & (F.substring(text, 8, 1) == "-")
 
 
-def parse_date(c: Column | str, dtype: DataType | None = None, layouts=DATE_LAYOUTS) -> Column:
+def is_typed_date(dtype: DataType | None) -> bool:
+    return isinstance(dtype, (DateType, TimestampType, TimestampNTZType))
+
+
+def parse_date(c: Column | str, dtype: DataType | None = None, layouts=DATE_LAYOUTS, day_first: bool = False) -> Column:
     """Raw date -> DateType; unparseable -> NULL.
 
-    Typed inputs are truncated to the day; every text is tried against the declared layouts by itself, and
-    the day is the one written, whatever time or offset follows. ``normalize.invalid_date_counts`` reports
-    what is dropped.
+    Typed inputs are truncated to the day; every text is tried against the layouts, and the day is the one written,
+    whatever time or zone follows. ``day_first`` tells how numbers such as 5/1/2024 are read if both ways give a
+    date; ``normalize`` takes it from the other dates of the same file.
     """
     c = col_(c)
-    if isinstance(dtype, (DateType, TimestampType, TimestampNTZType)):
+    if is_typed_date(dtype):
         return F.to_date(c)
     text = F.trim(c.cast("string"))
-    return F.to_date(F.coalesce(*[_layout_date(text, p, k) for p, k in layouts]))
+    found = F.to_date(F.coalesce(*[_layout_date(text, p, k, day_first) for p, k in layouts]))
+    return F.when(_is_plain(text), text.try_cast("date")).otherwise(found) if layouts is DATE_LAYOUTS else found
+
+
+_NUMBERS = DATE_LAYOUTS[2]
+_NUMERIC_DATE = f"(?i)^{DATE_HEAD}{_NUMBERS[0]}{DATE_TAIL}$"
+
+
+def other_reading(c: Column | str, date: Column) -> Column:
+    """``date``, or the day-first reading of a numeric text such as 5/1/2024."""
+    text = F.trim(col_(c).cast("string"))
+    return F.when(~_is_plain(text) & F.regexp_like(text, F.lit(_NUMERIC_DATE)), F.to_date(_layout_date(text, *_NUMBERS, True))).otherwise(date)
+
+
+def date_order(c: Column | str) -> Column:
+    """What a numeric date text such as 25/12/2023 tells about its file: 'day' or 'month' stands first, or 'either'; NULL
+    for other texts."""
+    text = F.trim(col_(c).cast("string"))
+    a, b = (F.regexp_extract(text, _NUMERIC_DATE, k).try_cast("int") for k in (1, 2))
+    return F.when(_is_plain(text), F.lit(None).cast("string")).when((a > 12) & (b <= 12), "day").when(
+        (b > 12) & (a <= 12), "month").when((a <= 12) & (b <= 12), "either")
+
+
+def text_shape(c: Column | str) -> Column:
+    """A text with runs of letters and of digits reduced to one sign each: 'a9/9', for reports of unknown layouts."""
+    text = F.substring(F.trim(col_(c).cast("string")), 1, 200)
+    return F.coalesce(F.regexp_replace(F.regexp_replace(text, r"\p{L}+", "a"), "[0-9]+", "9"), F.lit("(missing)"))
 
 
 # ---------------------------------------------------------------- calendar

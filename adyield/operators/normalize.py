@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import parse_date, safe_ratio, to_double, to_long
+from ..functions.exprs import date_order, is_typed_date, other_reading, parse_date, safe_ratio, text_shape, to_double, to_long
 from ..session import cut_lineage
 from ..sources.csv import ROW_EXTRA, ROW_FILE, file_report, require, row_marks, warn_skipped, without_files
 from .aggregate import DAILY_COLUMNS, DAILY_KEYS
@@ -47,6 +47,10 @@ BING_DEFAULT_TYPE = "Search"
 MICROS = 1_000_000.0
 
 
+# Columns that parsed rows carry until the order of day and month in their file is known.
+DAY_FIRST, ORDER, SHAPE = "_date_day_first", "_date_order", "_date_shape"
+
+
 def _getter(df: DataFrame):
     cols = set(df.columns)
     types = {f.name: f.dataType for f in df.schema.fields}
@@ -178,6 +182,17 @@ def meta_campaign_type(name: Column) -> Column:
     return F.when(token.isin(*META_TYPES), token).otherwise(F.lit(UNKNOWN_NAME))
 
 
+def _dates(c: Column, dtype) -> list[Column]:
+    """The date, its other reading and what it tells about the order of day and month in its file, and the shape of a
+    text that is no date."""
+    date = parse_date(c, dtype)
+    if is_typed_date(dtype):
+        return [date.alias("date"), date.alias(DAY_FIRST), F.lit(None).cast("string").alias(ORDER),
+                F.when(date.isNull(), "(missing)").alias(SHAPE)]
+    return [date.alias("date"), other_reading(c, date).alias(DAY_FIRST), date_order(c).alias(ORDER),
+            F.when(date.isNull(), text_shape(c)).alias(SHAPE)]
+
+
 def _marks(raw: DataFrame) -> list[Column]:
     """The file and the surplus fields of rows that come from CSV files not judged yet."""
     return [F.col(c) for c in (ROW_FILE, ROW_EXTRA) if c in raw.columns]
@@ -195,7 +210,7 @@ def parsed_google(raw: DataFrame) -> DataFrame:
     spend = (to_double(get("metrics_cost_micros")) / F.lit(MICROS)
              if "metrics_cost_micros" in cols else F.lit(0.0))
     return raw.select(
-        parse_date(get("segments_date"), dtype("segments_date")).alias("date"),
+        *_dates(get("segments_date"), dtype("segments_date")),
         F.lit("google").alias("channel"),
         F.coalesce(_text(get("campaign_advertising_channel_type")), F.lit(GOOGLE_DEFAULT_TYPE)).alias("campaign_type"),
         F.coalesce(_text(get("campaign_name")), F.lit(UNKNOWN_NAME)).alias("campaign_name"),
@@ -216,7 +231,7 @@ def parsed_bing(raw: DataFrame) -> DataFrame:
     """Typed bing rows before the date filter (P2, P5); budget NULL -> 0, no median."""
     get, dtype, _ = _getter(raw)
     return raw.select(
-        parse_date(get("TimePeriod"), dtype("TimePeriod")).alias("date"),
+        *_dates(get("TimePeriod"), dtype("TimePeriod")),
         F.lit("bing").alias("channel"),
         F.coalesce(_text(get("CampaignType")), F.lit(BING_DEFAULT_TYPE)).alias("campaign_type"),
         F.coalesce(_text(get("CampaignName")), F.lit(UNKNOWN_NAME)).alias("campaign_name"),
@@ -238,7 +253,7 @@ def parsed_meta(raw: DataFrame) -> DataFrame:
     name = F.coalesce(_text(get("campaign_name")), F.lit(UNKNOWN_NAME))
     revenue = F.coalesce(to_double(get("conversion")), F.lit(0.0))
     return raw.select(
-        parse_date(get("date_start"), dtype("date_start")).alias("date"),
+        *_dates(get("date_start"), dtype("date_start")),
         F.lit("meta").alias("channel"),
         meta_campaign_type(name).alias("campaign_type"),
         name.alias("campaign_name"),
@@ -258,13 +273,49 @@ PARSERS = {"google": parsed_google, "bing": parsed_bing, "meta": parsed_meta}
 IMPUTES_BUDGET = {"google": True, "bing": False, "meta": True}
 
 
+# Share of a file's numeric dates that must be readable day first only. Of evenly spread days 60 % are; one stray date
+# among month-first ones does not turn a file.
+DAY_FIRST_SHARE = 1 / 3
+
+
+def day_first_scopes(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys (channel, file) whose numeric dates put the day first: more than ``DAY_FIRST_SHARE`` of them (counted by
+    ``rows``) can be read no other way, and none only month first. One row per such file."""
+    seen = lambda *orders: F.sum(F.when(F.col(ORDER).isin(*orders), F.col("rows")).otherwise(0))
+    return rows.where(F.col(ORDER).isNotNull()).groupBy(*keys).agg(
+        seen("day").alias("_day"), seen("month").alias("_month"), seen("day", "either").alias("_all")).where(
+        (F.col("_month") == 0) & (F.col("_day") > F.col("_all") * DAY_FIRST_SHARE)).select(*keys, F.lit(True).alias("_flip"))
+
+
+def settle_dates(rows: DataFrame, scopes: DataFrame, keys: list[str]) -> DataFrame:
+    """``date`` as the rows' file writes it; the columns of the decision go. ``scopes`` must be a written table."""
+    if scopes.count():
+        named = scopes.toDF(*[f"_{k}" for k in keys], "_flip")
+        same = [rows[k].eqNullSafe(named[f"_{k}"]) for k in keys]
+        on = same[0] if len(same) == 1 else same[0] & same[1]
+        rows = rows.join(broadcast_if_small(named), on, "left").withColumn(
+            "date", F.when(F.col("_flip"), F.col(DAY_FIRST)).otherwise(F.col("date"))).drop("_flip", *[f"_{k}" for k in keys])
+    return rows.drop(DAY_FIRST, ORDER)
+
+
+def dated(parsed: DataFrame) -> DataFrame:
+    """Parsed rows with a settled date, the others dropped.
+
+    Whether a file writes the day or the month first takes a pass over its dates if they are text.
+    """
+    keys = ["channel", *[c for c in (ROW_FILE,) if c in parsed.columns]]
+    orders = parsed.select(*keys, ORDER, F.lit(1).alias("rows"))
+    scopes = cut_lineage(day_first_scopes(orders, keys), "date-orders")
+    return settle_dates(parsed.drop(SHAPE), scopes, keys).where(F.col("date").isNotNull())
+
+
 def normalize(raw: DataFrame, channel: str, exact_medians: bool = True) -> DataFrame:
     """Raw dialect table -> canonical rows (P1-P11). Rows with no valid date are dropped.
 
     ``exact_medians=False`` fills budgets with approximate medians (bounded
     memory per campaign type whatever the number of distinct budgets).
     """
-    typed = PARSERS[channel](raw).where(F.col("date").isNotNull())
+    typed = dated(PARSERS[channel](raw))
     if IMPUTES_BUDGET[channel]:
         typed = impute_budget(typed) if exact_medians else impute_budget_approx(typed)
     return finish_canonical(typed)
@@ -296,7 +347,7 @@ def unify(raws: dict[str, DataFrame], exact_medians: bool = True) -> DataFrame:
     """
     filled, plain = None, None
     for ch in _present(raws):
-        part = PARSERS[ch](raws[ch]).where(F.col("date").isNotNull())
+        part = dated(PARSERS[ch](raws[ch]))
         if IMPUTES_BUDGET[ch]:
             filled = part if filled is None else filled.unionByName(part)
         else:
@@ -313,6 +364,7 @@ class Ingest:
     report: DataFrame            # channel, rows_read, rows_dropped, unreadable
     type_medians: DataFrame      # channel, campaign_type, type_median
     filled_medians: DataFrame    # channel, filled_median
+    unknown_dates: DataFrame     # channel, shape, rows: date texts of no known layout
     files: DataFrame | None = None     # channel, file, rows, long_rows, short_rows, skipped (CSV sources)
 
 
@@ -325,6 +377,7 @@ def ingest(raws: dict[str, DataFrame], exact_medians: bool = True) -> Ingest:
     over three columns, which counts (type, budget); ``exact_medians=False`` keeps a quantile sketch beside the sums
     instead (rank error ``SKETCH_RANK_ERROR``) and reads the raw rows once.
 
+    A file whose numeric dates put the day first (``day_first_scopes``) is read so.
     Files with a row wider than their header and first row are left out as a whole, as an unreadable file is.
     """
     typed, marks = None, [ROW_FILE] if any(ROW_FILE in df.columns for df in raws.values()) else []
@@ -342,7 +395,8 @@ def ingest(raws: dict[str, DataFrame], exact_medians: bool = True) -> Ingest:
         aggregates += [F.sum(c).alias(c) for c in ("long_rows", "short_rows")]
     if not exact_medians:
         aggregates.append(F.kll_sketch_agg_double(budget, SKETCH_K).alias("sketch"))
-    grain, files = cut_lineage(typed.groupBy(*DAILY_KEYS, *marks).agg(*aggregates), "grain"), None
+    keys = [*DAILY_KEYS, DAY_FIRST, ORDER, SHAPE, *marks]
+    grain, files = cut_lineage(typed.groupBy(*keys).agg(*aggregates), "grain"), None
     skipped = False
     if marks:
         files = cut_lineage(file_report(grain.where(F.col(ROW_FILE).isNotNull()), ["channel"]), "csv-files")
@@ -351,11 +405,15 @@ def ingest(raws: dict[str, DataFrame], exact_medians: bool = True) -> Ingest:
     if skipped:
         grain = cut_lineage(without_files(grain, files), "grain")
         require([r["channel"] for r in grain.select("channel").distinct().collect()], "the given files")    # three at most
+    scope = ["channel", *marks]
+    scopes = cut_lineage(day_first_scopes(grain, scope), "date-orders")
+    grain = settle_dates(grain, scopes, scope)
+    shapes = grain.where(F.col("date").isNull()).groupBy("channel", F.col(SHAPE).alias("shape")).agg(F.sum("rows").alias("rows"))
     report = grain.groupBy("channel").agg(
         F.sum("rows").alias("rows_read"),
         F.sum(F.when(F.col("date").isNull(), F.col("rows")).otherwise(0)).alias("rows_dropped"),
         F.sum("unreadable").alias("unreadable"))
-    grain = grain.where(F.col("date").isNotNull())
+    grain = grain.where(F.col("date").isNotNull()).drop(SHAPE)
     if exact_medians:
         counts = typed.where(F.col("date").isNotNull() & imputes).groupBy(*marks, "channel", "campaign_type", "daily_budget").agg(
             F.count(F.lit(1)).alias("n"))
@@ -373,14 +431,14 @@ def ingest(raws: dict[str, DataFrame], exact_medians: bool = True) -> Ingest:
         F.coalesce(F.sum("conversions"), F.lit(0.0)).alias("conversions"),
         F.sum(F.coalesce("daily_budget", F.lit(0.0)) + fill).alias("daily_budget"))
     daily = daily.withColumn("roas", safe_ratio("revenue", "spend")).select(*DAILY_COLUMNS)
-    return Ingest(grain, daily, report, per_type, filled, files)
+    return Ingest(grain, daily, report, per_type, filled, shapes, files)
 
 
 def invalid_date_counts(raws: dict[str, DataFrame]) -> DataFrame:
     """Rows dropped by the date parse, per channel (P4 report), without the rest of ``ingest``."""
     out = None
     for ch, raw in raws.items():
-        part = PARSERS[ch](raw).agg(
+        part = PARSERS[ch](raw).select("date").agg(
             F.lit(ch).alias("channel"),
             F.count(F.lit(1)).alias("rows_read"),
             F.sum(F.when(F.col("date").isNull(), 1).otherwise(0)).cast("long").alias("rows_dropped"))

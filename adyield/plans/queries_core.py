@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.exprs import clip, parse_date
+from ..functions.exprs import clip, parse_date, text_shape
 from ..functions.text import group_key, report_label
 from ..operators import aggregate as agg
 from ..operators import features as feats
@@ -215,6 +215,45 @@ def p4_date_layouts(spark, sf):
         F.count(F.lit(1)).alias("rows"))
 
 
+# Freer forms, by order number; the last is a layout that nobody knows.
+_FREE_TEXTS = ["EEE, dd MMM yyyy", "yyyyMMdd'T'HHmmss", "dd-MMM-yy", "MMM-dd-yyyy", "yyyy-MM", "MMM yyyy",
+               "yyyy-MM-dd HH:mm:ss 'America/New_York'", "'day' D 'of' yyyy"]
+
+
+@register("p4_free_dates", O.q("""
+SELECT CASE WHEN form IN (4, 5) THEN strftime(d, '%Y-%m-01') WHEN form < 7 THEN strftime(d, '%Y-%m-%d') END AS date, form,
+       CASE WHEN form = 7 THEN 'a 9 a 9' END AS shape, count(*) AS rows
+FROM (SELECT CAST(l_shipdate AS DATE) AS d, l_orderkey % 8 AS form FROM lineitem) GROUP BY 1, 2, 3"""))
+def p4_free_dates(spark, sf):
+    """Every ship date written in one of eight free forms and parsed back; the unknown form is counted by its shape."""
+    li = spark.read.parquet(table_path(sf, "lineitem")).select("l_orderkey", "l_shipdate")
+    text, kind = F.lit(None).cast("string"), F.col("l_orderkey") % len(_FREE_TEXTS)
+    for k, form in enumerate(_FREE_TEXTS):
+        text = F.when(kind == k, F.date_format(F.to_timestamp(F.to_date("l_shipdate")), form)).otherwise(text)
+    rows = li.select(text.alias("text"), kind.cast("long").alias("form")).withColumn("date", parse_date("text").cast("string"))
+    return rows.groupBy("date", "form", F.when(F.col("date").isNull(), text_shape("text")).alias("shape")).agg(
+        F.count(F.lit(1)).alias("rows"))
+
+
+@register("p4_day_first", O.q("""
+SELECT channel, date, count(*) AS rows, sum(revenue) AS revenue FROM canon GROUP BY 1, 2""", "canon"), {"revenue": 2})
+def p4_day_first(spark, sf):
+    """Google and meta exports that write the day first, bing the month: each is read in its own order."""
+    raws = raw_dialects(spark, sf)
+    for ch, column, form in (("google", "segments_date", "dd/MM/yyyy"), ("meta", "date_start", "d.M.yyyy"), ("bing", "TimePeriod", "MM/dd/yyyy")):
+        raws[ch] = raws[ch].withColumn(column, F.date_format(F.try_to_timestamp(column, F.lit("yyyy-MM-dd")), form))
+    return norm.ingest(raws).grain.groupBy("channel", "date").agg(F.sum("rows").alias("rows"), F.sum("revenue").alias("revenue"))
+
+
+@register("p4_unknown_dates", O.q("""
+SELECT channel, 'a/a' AS shape, count(*) AS rows FROM (
+  SELECT channel, date FROM g_typed UNION ALL SELECT channel, date FROM b_typed UNION ALL SELECT channel, date FROM m_typed)
+WHERE date IS NULL GROUP BY 1""", "g_typed", "b_typed", "m_typed"))
+def p4_unknown_dates(spark, sf):
+    """Date texts of no known layout by their shape, from the one-pass ingest."""
+    return pipeline.ingested(spark, sf).unknown_dates
+
+
 @register("p5_null_fill", O.q("""
 SELECT channel, campaign_type, count(*) AS rows, count(*) FILTER (WHERE campaign_name = 'Unknown') AS unknown_names,
        CAST(sum(clicks) AS BIGINT) AS clicks, CAST(sum(impressions) AS BIGINT) AS impressions,

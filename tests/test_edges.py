@@ -97,6 +97,38 @@ def test_date_layouts_and_the_report(spark):
     assert [(r["rows_read"], r["rows_dropped"], r["unreadable"]) for r in report] == [(len(texts), 3, len(texts))]
 
 
+def test_free_date_texts(spark):
+    from adyield.functions.exprs import parse_date, text_shape
+    day = D(2024, 1, 5)
+    texts = {"Fri, 05 Jan 2024": day, "20240105T103000": day, "05-Jan-24": day, "Jan-05-2024": day, "2024-01": D(2024, 1, 1),
+             "Jan 2024": D(2024, 1, 1), "2024-01-05 10:30:00 America/New_York": day, "Friday, January 5th, 2024": day,
+             "Fri, 05 Jan 2024 10:30:00 GMT": day, "Fri, 05 Jan 2024 10:30:00 +0100 (CET)": day, "2024-Jan-05": day, "5 sept 2024": D(2024, 9, 5),
+             "05JAN2024": day, "2024.01.05": day, "01/2024": D(2024, 1, 1), "1/5/2024 10:30 PM": day, "2024-01-05T10:30:00.123456Z": day,
+             "2024-01-05 10:30:00-05:00": day, "Marble 5, 2024": None, "Maybe 2024": None, "2024-13-45": None, "99": None, "": None, None: None,
+             "2024-01-05 later": None, "week 3 of 2024": None}
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", parse_date("t").alias("d"), text_shape("t").alias("s")).collect()
+    assert {r["t"]: r["d"] for r in rows} == texts
+    shape = {r["t"]: r["s"] for r in rows}
+    assert shape["week 3 of 2024"] == "a 9 a 9" and shape["2024-13-45"] == "9-9-9" and shape[None] == "(missing)"
+
+
+def test_a_file_tells_the_order_of_day_and_month(spark):
+    def google(texts):
+        return _google(spark, [(str(i), "n", "SEARCH", "1", t, "1000000", "1", "1", "1", "1") for i, t in enumerate(texts)])
+
+    empty = google([]).where("false")
+    cases = [(["5/1/2024", "25/12/2023"], [D(2024, 1, 5), D(2023, 12, 25)]), (["5/1/2024", "12/25/2023"], [D(2024, 5, 1), D(2023, 12, 25)]),
+             (["5/1/2024"], [D(2024, 5, 1)]), (["5/1/2024", "12/25/2023", "25/12/2023"], [D(2024, 5, 1), D(2023, 12, 25), D(2023, 12, 25)])]
+    for texts, want in cases:
+        raw = google(texts)
+        got = {r["campaign_id"]: r["date"] for r in norm.normalize_google(raw).collect()}
+        assert [got[str(i)] for i in range(len(texts))] == want
+        found = norm.ingest({"google": raw, "bing": empty, "meta": empty})
+        assert sorted(r["date"] for r in found.daily.collect()) == sorted(set(want)) and not found.unknown_dates.collect()
+    found = norm.ingest({"google": google(["n/a", "week 3", "week 14", None, "2024-01-05"]), "bing": empty, "meta": empty})
+    assert {(r["shape"], r["rows"]) for r in found.unknown_dates.collect()} == {("a/a", 1), ("a 9", 2), ("(missing)", 1)}
+
+
 def test_ingest_equals_the_row_level_path(spark):
     from adyield.sources.fixtures import raw_dialects
     raws = raw_dialects(spark, "/root/testdata/sf0.001")
