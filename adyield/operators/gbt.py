@@ -20,9 +20,9 @@ import numpy as np
 class BoostParams:
     """Hyper-parameters of the boosted models.
 
-    ``max_bins`` and ``partitions`` concern the fallback model, which Spark ML fits: candidate splits per
-    feature, and the partitions its row sampling follows. Both are fixed numbers, so the size of the table
-    never picks the model.
+    ``max_bins`` and ``partition_rows`` concern the fallback model, which Spark ML fits: candidate splits per
+    feature, and the rows of a partition. The row sampling follows the partitions; these follow from the table
+    alone, not from the cluster, so a table gives the same model wherever it is fitted.
     """
     n_estimators: int = 200
     learning_rate: float = 0.05
@@ -31,7 +31,7 @@ class BoostParams:
     subsample: float = 0.8
     seed: int = 42
     max_bins: int = 256
-    partitions: int = 8
+    partition_rows: int = 10_000
 
 
 # Spark type of a fitted model: start value, medians, and per tree its nodes (feature -1: a leaf).

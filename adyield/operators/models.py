@@ -158,11 +158,55 @@ def restore_linear(tables: dict, residuals: DataFrame) -> FittedModels:
 FILLED, SCALED = "_filled", "_scaled"
 
 
-def median_surrogates(features: DataFrame, feature_cols: list[str]) -> DataFrame:
-    """(feature, median): the exact median that fills a column's missing values; 0 for an all-null column (M2)."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.coalesce(F.median(F.col(c).cast("double")), F.lit(0.0)).alias("median"))
-                      for c in feature_cols])
-    return features.agg(pairs.alias("_p")).select(F.explode("_p").alias("_p")).select("_p.*")
+# Values of a column that one aggregate may hold; above, a column's middle is narrowed first.
+MEDIAN_VALUES = 100_000
+BRACKET = 0.01               # share of a bracket's values that the next one keeps on either side of the middle
+
+
+def median_surrogates(features: DataFrame, feature_cols: list[str], most: int = MEDIAN_VALUES) -> DataFrame:
+    """(feature, median): the exact median that fills a column's missing values; 0 for an all-null column (M2).
+
+    Every column has a bracket that holds its two middle places, open at first. While one of them lies strictly inside
+    a bracket of more than ``most`` inner values, a pass over the table counts what lies below, on and inside it and takes
+    mergeable approximate quantiles just around the middle as the next bracket: all columns in the same pass, some fifty
+    times fewer values each time, however often a value repeats. No task holds more than ``most`` values of a column.
+    Per feature, the driver holds a bracket.
+    """
+    value = {c: F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")) for c in feature_cols}
+    bracket = {c: (float("-inf"), float("inf")) for c in feature_cols}
+    inner = lambda c: F.when((value[c] > bracket[c][0]) & (value[c] < bracket[c][1]), value[c])
+    medians: dict[str, float] = dict.fromkeys(feature_cols, 0.0)
+    few: dict[str, list] = {}                      # per column: for either middle place a value, or a place in the inner values
+    todo = list(feature_cols)
+    while todo:
+        got = features.agg(*[x.alias(f"{k}{i}") for i, c in enumerate(todo) for k, x in (
+            ("n", F.count(value[c])), ("below", F.count(F.when(value[c] < bracket[c][0], 1))),
+            ("low", F.count(F.when(value[c] == bracket[c][0], 1))), ("inner", F.count(inner(c))))]).first()
+        wide = {}
+        for i, c in enumerate(todo):
+            n, below, at_low, inside = (got[f"{k}{i}"] for k in ("n", "below", "low", "inner"))
+            if not n:
+                continue
+            # places among the inner values; before them the lower end, behind them the upper one
+            places = [p - below - at_low for p in ((n - 1) // 2, n // 2)]
+            if inside <= most or not any(0 <= p < inside for p in places):
+                few[c] = [bracket[c][0] if p < 0 else bracket[c][1] if p >= inside else p for p in places]
+            else:
+                wide[c] = (places, inside)
+        shares = {c: [max(0.0, p[0] / n - BRACKET), min(1.0, p[1] / n + BRACKET)] for c, (p, n) in wide.items()}
+        near = features.agg(*[F.percentile_approx(inner(c), shares[c], int(4 / BRACKET)).alias(f"q{i}")
+                              for i, c in enumerate(wide)]).first() if wide else None
+        for i, (c, (places, inside)) in enumerate(wide.items()):
+            low, high = near[f"q{i}"]
+            bracket[c] = (bracket[c][0] if places[0] < 0 else low, bracket[c][1] if places[1] >= inside else high)
+        todo = list(wide)
+    # at most ``most`` values of a column whose middle lies among them
+    held = {c: F.array_sort(F.collect_list(inner(c))) for c, ends in few.items() if any(isinstance(e, int) for e in ends)}
+    found = features.agg(*[F.array(*[F.get(held[c], F.lit(e)) for e in few[c] if isinstance(e, int)]).alias(f"m{i}")
+                           for i, c in enumerate(held)]).first() if held else None
+    at = {c: iter(found[f"m{i}"]) for i, c in enumerate(held)}
+    medians |= {c: sum(next(at[c]) if isinstance(e, int) else e for e in ends) / 2 for c, ends in few.items()}
+    return features.sparkSession.createDataFrame([(c, float(medians[c])) for c in feature_cols], "feature string, median double")
 
 
 def fill_medians(df: DataFrame, medians: dict[str, float]) -> DataFrame:
@@ -230,9 +274,10 @@ def fit_boosted(features: DataFrame, feature_cols: list[str], params: gbt.BoostP
     """Fallback Spark ML models on all rows plus dedicated per-group models (M1-M6)."""
     groups = group_table(features, dedicated_min_rows)
     medians = cut_lineage(median_surrogates(features, feature_cols), "medians")
-    # Fixed partitions and row order: the boosting's row sampling follows both.
+    # Partitions and row order follow from the table: the boosting's row sampling follows both.
     ordered = features.select(*GROUP_KEYS, "date", *TARGETS, F.struct(*feature_cols).alias("_x"))
-    ordered = ordered.repartition(params.partitions, *GROUP_KEYS).sortWithinPartitions(*GROUP_KEYS, "date")
+    parts = max(1, -(-features.count() // params.partition_rows))
+    ordered = ordered.repartition(parts, *GROUP_KEYS, "date").sortWithinPartitions(*GROUP_KEYS, "date")
     filled = fill_medians(ordered.select(*[F.col(t).alias(f"_y_{t}") for t in TARGETS], "_x.*"),
                           {r["feature"]: r["median"] for r in medians.collect()})
     prepare = preparation(feature_cols).fit(filled)

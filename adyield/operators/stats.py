@@ -9,7 +9,7 @@ or the portfolio (daily sums).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import capitalize, clip
@@ -45,15 +45,30 @@ def _anchored(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(broadcast_if_small(cut_lineage(per_scope, "scopes")), keys, "inner")
 
 
+def _is_anomaly() -> F.Column:
+    z = (F.col("revenue") - F.col("_mean")) / F.col("_std")
+    return (F.col("_std") > 0) & (F.abs(z) > ANOMALY_Z)
+
+
 def anomaly_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose revenue z-score over the whole scope exceeds 2.5 in absolute value."""
-    a = _anchored(rows, keys)
-    z = (F.col("revenue") - F.col("_mean")) / F.col("_std")
-    return a.where((F.col("_std") > 0) & (F.abs(z) > ANOMALY_Z)).select(*keys, "date")
+    return _anchored(rows, keys).where(_is_anomaly()).select(*keys, "date")
+
+
+def first_anomalies(anchored: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """(keys, anomaly_flags): the first ``most`` anomaly dates of every scope that has any.
+
+    The rank limit drops the others before the shuffle and before dates are put together, so neither a task nor an
+    array grows with a scope's anomalies.
+    """
+    by_date = Window.partitionBy(*keys).orderBy("date")
+    found = anchored.where(_is_anomaly()).select(*keys, "date").withColumn("_n", F.row_number().over(by_date)).where(F.col("_n") <= most)
+    return found.groupBy(*keys).agg(F.array_sort(F.collect_list("date")).alias("anomaly_flags"))
 
 
 def scope_stats(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Per scope: 30/90-day ratios and totals, trend, anomaly dates.
+    """Per scope: 30/90-day ratios and totals, trend, number of anomalies and the first ``MAX_PROMPT_ANOMALIES`` of their
+    dates (A3, A4, W8, I1); ``anomaly_rows`` has all of them.
 
     ``rows`` has ``keys``, date, revenue, spend.
     """
@@ -62,15 +77,13 @@ def scope_stats(rows: DataFrame, keys: list[str]) -> DataFrame:
     in30 = F.col("date") > F.date_sub(last, 30)
     in90 = F.col("date") > F.date_sub(last, 90)
     prior = (F.col("date") <= F.date_sub(last, 30)) & (F.col("date") > F.date_sub(last, 60))
-    z = (F.col("revenue") - F.col("_mean")) / F.col("_std")
-    is_anomaly = (F.col("_std") > 0) & (F.abs(z) > ANOMALY_Z)
     s = a.groupBy(*keys).agg(
         F.coalesce(F.sum(F.when(in30, F.col("revenue"))), F.lit(0.0)).alias("revenue_last_30d"),
         F.coalesce(F.sum(F.when(in30, F.col("spend"))), F.lit(0.0)).alias("spend_last_30d"),
         F.coalesce(F.sum(F.when(in90, F.col("revenue"))), F.lit(0.0)).alias("total_revenue_last_90d"),
         F.coalesce(F.sum(F.when(in90, F.col("spend"))), F.lit(0.0)).alias("total_spend_last_90d"),
         F.coalesce(F.sum(F.when(prior, F.col("revenue"))), F.lit(0.0)).alias("revenue_prior_30d"),
-        F.array_sort(F.collect_list(F.when(is_anomaly, F.col("date")))).alias("anomaly_flags"),
+        F.count(F.when(_is_anomaly(), 1)).alias("anomalies"),
         F.first("_mean").alias("revenue_mean"),
         F.first("_std").alias("revenue_std"),
         F.count(F.lit(1)).alias("rows"),
@@ -82,9 +95,13 @@ def scope_stats(rows: DataFrame, keys: list[str]) -> DataFrame:
     trend = (F.when(F.col("revenue_last_30d") > F.col("revenue_prior_30d") * TREND_UP, F.lit("up"))
              .when(F.col("revenue_last_30d") < F.col("revenue_prior_30d") * TREND_DOWN, F.lit("down"))
              .otherwise(F.lit("flat")))
+    # one row per scope that has anomalies, at most MAX_PROMPT_ANOMALIES dates each
+    first = first_anomalies(a, keys, MAX_PROMPT_ANOMALIES)
+    s = s.join(broadcast_if_small(cut_lineage(first, "first-anomalies")), keys, "left").withColumn(
+        "anomaly_flags", F.coalesce("anomaly_flags", F.array().cast("array<date>")))
     return s.select(*keys, ratio30.alias("avg_roas_last_30d"), ratio90.alias("avg_roas_last_90d"),
                     "total_revenue_last_90d", "total_spend_last_90d", trend.alias("trend_direction"),
-                    "anomaly_flags", "revenue_last_30d", "revenue_prior_30d", "revenue_mean",
+                    "anomalies", "anomaly_flags", "revenue_last_30d", "revenue_prior_30d", "revenue_mean",
                     "revenue_std", "rows")
 
 
@@ -96,6 +113,7 @@ def with_empty_defaults(scopes: DataFrame, stats: DataFrame, keys: list[str]) ->
         *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in
           ("avg_roas_last_30d", "avg_roas_last_90d", "total_revenue_last_90d", "total_spend_last_90d")],
         F.coalesce(F.col("trend_direction"), F.lit("flat")).alias("trend_direction"),
+        F.coalesce("anomalies", F.lit(0)).alias("anomalies"),
         F.coalesce(F.col("anomaly_flags"), F.array().cast("array<date>")).alias("anomaly_flags"))
 
 
@@ -104,6 +122,11 @@ def group_stats(features: DataFrame) -> DataFrame:
     return scope_stats(features.select(*GROUP_KEYS, "date", "revenue", "spend"), GROUP_KEYS)
 
 
+def group_anomalies(features: DataFrame) -> DataFrame:
+    """Every anomaly date of every (channel, campaign_type), one row each."""
+    return anomaly_rows(features.select(*GROUP_KEYS, "date", "revenue"), GROUP_KEYS)
+
+
 def channel_stats(features: DataFrame) -> DataFrame:
     """Stats per channel over its (date, type) rows, not daily totals."""
     return scope_stats(features.select("channel", "date", "revenue", "spend"), ["channel"])
@@ -148,8 +171,7 @@ def summaries(features: DataFrame, horizons: list[int] = HORIZONS) -> DataFrame:
     """Summary table (scope, horizon, summary, prompt) for channels and the portfolio."""
     base = scope_inputs(features)
     hz = features.sparkSession.createDataFrame([(h,) for h in horizons], "horizon long")
-    first5 = F.transform(F.slice(F.col("anomaly_flags"), 1, MAX_PROMPT_ANOMALIES),
-                         lambda d: F.date_format(d, "yyyy-MM-dd"))
+    first5 = F.transform("anomaly_flags", lambda d: F.date_format(d, "yyyy-MM-dd"))
     return base.crossJoin(F.broadcast(hz)).select(
         "scope", "horizon",
         template_summary("scope", "avg_roas_last_30d", "trend_direction", "top_campaign_type").alias("summary"),
@@ -176,11 +198,10 @@ def insight_texts(summary_table: DataFrame, scopes: list[str] = INSIGHT_SCOPES,
     return shown.join(found, "scope", "left").select("scope", F.coalesce("summary", default).alias("summary"))
 
 
-def anomaly_table(stats: DataFrame) -> DataFrame:
-    """One row per (group, anomaly date, issue), from group statistics (fresh or a bundle's)."""
-    return stats.select(
-        F.concat_ws("__", "channel", "campaign_type").alias("group"), F.explode("anomaly_flags").alias("_d")).select(
-        "group", F.date_format("_d", "yyyy-MM-dd").alias("date"), F.lit(ANOMALY_ISSUE).alias("issue"))
+def anomaly_table(anomalies: DataFrame) -> DataFrame:
+    """One row per (group, anomaly date, issue), from the groups' anomaly rows (fresh or a bundle's)."""
+    return anomalies.select(F.concat_ws("__", "channel", "campaign_type").alias("group"),
+                            F.date_format("date", "yyyy-MM-dd").alias("date"), F.lit(ANOMALY_ISSUE).alias("issue"))
 
 
 def risk_flags(stats: DataFrame) -> DataFrame:

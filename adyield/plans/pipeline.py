@@ -23,7 +23,7 @@ from ..operators.models import TARGETS, FittedModels, fit_models, restore_booste
 from ..operators.normalize import Ingest, ingest, unify
 from ..operators.quality import check, validation_rules
 from ..operators.scenarios import base_rows, channel_multipliers
-from ..operators.stats import group_stats, summaries
+from ..operators.stats import group_anomalies, group_stats, summaries
 from ..session import cut_lineage, fingerprint, path_exists, prepare, table_path
 from ..sources import sinks
 from ..sources.fixtures import raw_dialects
@@ -80,6 +80,7 @@ class TrainedBundle:
     models: FittedModels
     summaries: DataFrame
     stats: DataFrame
+    anomalies: DataFrame              # channel, campaign_type, date: one row per anomaly
     min_date: str | None = None       # first date of the training table; None: ``features`` is that table
     _base: DataFrame | None = None
 
@@ -96,7 +97,8 @@ def train(features: DataFrame, kind: str = "boosted", params: BoostParams = Boos
     kw = {"params": params} if kind == "boosted" else {}
     models = fit_models(features, cols, kind, **kw)
     summ = cut_lineage(summaries(features), "summaries")
-    return TrainedBundle(features, cols, models, summ, cut_lineage(group_stats(features), "group-stats"))
+    return TrainedBundle(features, cols, models, summ, cut_lineage(group_stats(features), "group-stats"),
+                         cut_lineage(group_anomalies(features), "group-anomalies"))
 
 
 def trained(spark: SparkSession, sf_dir: str, kind: str = "boosted",
@@ -139,24 +141,30 @@ MODEL_TABLES = {"linear": ("coefficients", "overall"), "boosted": ("groups", "gr
 
 
 def save_trained(bundle: TrainedBundle, path: str) -> None:
-    """Bundle directory: residuals, group models, summaries, group stats, metadata, model tables, fallback."""
+    """Bundle directory: residuals, group models, summaries, statistics, metadata, model tables, fallback.
+
+    Everything goes to a version folder of its own, which readers see once its manifest is written, last of all: a run
+    that ends early leaves the bundle before it in place.
+    """
     spark = bundle.features.sparkSession
     m = bundle.models
     values = [v for v in feature_values(*observed_values(bundle.features)) if v[0] in set(bundle.feature_cols)]
     meta = (spark.createDataFrame([(m.kind, list(bundle.feature_cols), values)], "kind string, feature_columns array<string>, "
                                   "feature_values array<struct<feature: string, key: string, value: string>>")
             .crossJoin(training_metadata(bundle.features)))
-    sinks.save_bundle(path, {"residuals": m.residuals, "group_models": m.group_models, "summaries": bundle.summaries,
-                             "group_stats": bundle.stats, "metadata": meta})
-    for name, df in m.tables.items():
-        df.write.mode("overwrite").parquet(os.path.join(path, "model_tables", name))
+    version = sinks.new_version(spark, path)
+    sinks.save_bundle(version, {"residuals": m.residuals, "group_models": m.group_models, "summaries": bundle.summaries,
+                                "group_stats": bundle.stats, "anomalies": bundle.anomalies, "metadata": meta})
+    sinks.save_bundle(os.path.join(version, "model_tables"), m.tables)
     for name, pipeline_model in m.fallback.items():
-        pipeline_model.write().overwrite().save(os.path.join(path, "fallback", name))
+        pipeline_model.write().overwrite().save(os.path.join(version, "fallback", name))
+    sinks.commit_version(spark, version, {"kind": m.kind, "tables": [*sinks.BUNDLE_TABLES, *m.tables], "fallback": list(m.fallback)})
 
 
 def load_trained(spark: SparkSession, path: str, features: DataFrame) -> TrainedBundle:
     """Rebuild a trained bundle (scoring included) from ``save_trained`` output, to score ``features``."""
-    t = sinks.load_bundle(spark, path)
+    path = sinks.current_version(spark, path)
+    t = sinks.load_bundle(spark, path, path)
     meta = t["metadata"].first()
     kind, cols = meta["kind"], list(meta["feature_columns"])
     tables = {n: spark.read.parquet(os.path.join(path, "model_tables", n)) for n in MODEL_TABLES[kind]}
@@ -166,7 +174,7 @@ def load_trained(spark: SparkSession, path: str, features: DataFrame) -> Trained
         from pyspark.ml import PipelineModel
         fallback = {n: PipelineModel.load(os.path.join(path, "fallback", n)) for n in ("prepare", *TARGETS)}
         models = restore_boosted(tables, t["residuals"], fallback, cols)
-    return TrainedBundle(features, cols, models, t["summaries"], t["group_stats"], meta["min_date"])
+    return TrainedBundle(features, cols, models, t["summaries"], t["group_stats"], t["anomalies"], meta["min_date"])
 
 
 def load_source(spark: SparkSession, source: str) -> dict[str, DataFrame]:
@@ -206,7 +214,10 @@ def train_job(spark: SparkSession, features_path: str, bundle_out: str, kind: st
 
 def predict_job(spark: SparkSession, features_path: str, bundle_path: str, output: str,
                 draws: str = "numpy") -> DataFrame:
-    """Load features and bundle, forecast, write the predictions CSV (the reference's predict program)."""
+    """Load features and bundle, forecast, write the predictions CSV (the reference's predict program).
+
+    ``output`` is one file in the predictions' order if its name ends in ``.csv``, else a folder of part files.
+    """
     prepare(spark)
     features = sinks.read_features(spark, features_path)
     pred = forecast(load_trained(spark, bundle_path, features), draws=draws)

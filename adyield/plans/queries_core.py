@@ -590,8 +590,8 @@ def o4_preview(spark, sf):
 @register("o5_first_anomalies", O.q("SELECT scope, anom_txt AS first_anomalies FROM scope_anom5", "scope_anom5"))
 def o5_first_anomalies(spark, sf):
     s = stats.scope_inputs(_feat(spark, sf))
-    first5 = F.transform(F.slice("anomaly_flags", 1, stats.MAX_PROMPT_ANOMALIES), lambda d: F.date_format(d, "yyyy-MM-dd"))
-    return s.where(F.size("anomaly_flags") > 0).select("scope", F.array_join(first5, ", ").alias("first_anomalies"))
+    first5 = F.transform("anomaly_flags", lambda d: F.date_format(d, "yyyy-MM-dd"))
+    return s.where("anomalies > 0").select("scope", F.array_join(first5, ", ").alias("first_anomalies"))
 
 
 @register("o6_top1", O.rounded("""
@@ -728,7 +728,7 @@ def i2_empty_scope_defaults(spark, sf):
     scopes = f.select("campaign_type").distinct().select(F.explode(expected).alias("channel"), "campaign_type")
     s = stats.with_empty_defaults(scopes, stats.group_stats(f), ["channel", "campaign_type"])
     return s.select("channel", "campaign_type", "avg_roas_last_30d", "avg_roas_last_90d", "total_revenue_last_90d",
-                    "total_spend_last_90d", "trend_direction", F.size("anomaly_flags").cast("long").alias("anomalies"))
+                    "total_spend_last_90d", "trend_direction", "anomalies")
 
 
 _I3_DIG = {"total_revenue_last_90d": 2, "total_spend_last_90d": 2, "avg_roas_last_30d": 4, "avg_roas_last_90d": 4}
@@ -745,7 +745,7 @@ UNION ALL SELECT 'portfolio', scope, avg_roas_last_30d, avg_roas_last_90d, total
 def i3_stats_three_grains(spark, sf):
     f = _feat(spark, sf)
     cols = ["avg_roas_last_30d", "avg_roas_last_90d", "total_revenue_last_90d", "total_spend_last_90d",
-            "trend_direction", F.size("anomaly_flags").cast("long").alias("anomalies")]
+            "trend_direction", "anomalies"]
     g = stats.group_stats(f).select(F.lit("group").alias("grain"), group_key("channel", "campaign_type").alias("scope"), *cols)
     c = stats.channel_stats(f).select(F.lit("channel").alias("grain"), F.col("channel").alias("scope"), *cols)
     p = stats.portfolio_stats(f).select(F.lit("portfolio").alias("grain"), "scope", *cols)
@@ -769,7 +769,7 @@ SELECT gkey AS "group", strftime(date, '%Y-%m-%d') AS date, 'Revenue Z-Score > 2
 FROM gs_anom""", "gs_anom"))
 def i5_anomaly_table(spark, sf):
     """Anomalies from the statistics of a loaded bundle."""
-    return stats.anomaly_table(_loaded(spark, sf).stats)
+    return stats.anomaly_table(_loaded(spark, sf).anomalies)
 
 
 @register("i6_risk_flags", O.q("""

@@ -302,12 +302,11 @@ _M3 = feats.BASE_FEATURE_COLUMNS
     f"SELECT '{c}' AS feature, avg({c}) AS mean, stddev_samp({c}) AS std FROM feat" for c in _M3),
     {"mean": 2, "std": 2}, "feat"), {"mean": 2, "std": 2})
 def m3_standardisation(spark, sf):
-    """Mean and sample std the fallback pipeline's scaler learnt per base feature."""
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
-    f = _feat(spark, sf)
-    v = VectorAssembler(inputCols=_M3, outputCol="_v").transform(f.select(*_M3))
-    m = StandardScaler(inputCol="_v", outputCol="_s", withMean=True, withStd=True).fit(v)
-    rows = [(c, float(m.mean[i]), float(m.std[i])) for i, c in enumerate(_M3)]
+    """Mean and sample std per base feature, as the scaler in the trained bundle's fallback holds them."""
+    models = _boosted(spark, sf).models
+    scaler = models.fallback["prepare"].stages[-1]
+    at = {c: i for i, c in enumerate(models.feature_cols)}
+    rows = [(c, float(scaler.mean[at[c]]), float(scaler.std[at[c]])) for c in _M3]
     return spark.createDataFrame(rows, "feature string, mean double, std double")
 
 
@@ -488,7 +487,7 @@ def f8_budget_ratio_forecast(spark, sf):
 @register("s6_predictions_csv", O.rounded("SELECT * FROM predictions", PRED_DIG, "predictions"), PRED_DIG)
 def s6_predictions_csv(spark, sf):
     """Predictions written as CSV with a header, read back with the declared schema."""
-    path = sinks.scratch_dir(spark, "predictions-csv")
+    path = sinks.scratch_dir(spark, "predictions-csv") + ".csv"
     sinks.write_predictions_csv(_pred(spark, sf), path)
     return sinks.read_predictions_csv(spark, path)
 

@@ -179,3 +179,44 @@ def test_pool_keys_of_awkward_names_differ(spark):
     pairs = [("a", "b"), ("a__b", "c"), ("a", "b__c"), ("a_", "b"), ("a", "_b"), ("a", "b_"), ("_a", "b")]
     keys = [r[0] for r in spark.createDataFrame(pairs, "channel string, campaign_type string").select(pool_key()).collect()]
     assert len(set(keys)) == len(pairs) and keys[0] == "a__b"
+
+
+def test_medians_are_narrowed_to_the_exact_middle(spark):
+    """Brackets of few values, heavy ties on either side of the middle, missing values and NaN."""
+    import random
+    import statistics
+
+    from adyield.operators.models import median_surrogates
+    rng = random.Random(5)
+    n = 3000
+    columns = {"even": [rng.gauss(0, 9) for _ in range(n)], "odd": [rng.random() for _ in range(n - 1)] + [None],
+               "halves": [0.0, 1.0] * (n // 2), "ones": [1.0] * (n - 40) + [2.0] * 40, "edge": [0.0] * (n // 2) + [rng.random() + 1 for _ in range(n // 2)],
+               "edge2": [5.0] * (n // 2) + [-rng.random() for _ in range(n // 2)], "nan": [float("nan")] * 7 + [rng.randint(0, 5) * 1.0 for _ in range(n - 7)],
+               "null": [None] * n, "one": [None] * (n - 1) + [4.5], "skew": [10.0 ** rng.randint(0, 300) for _ in range(n)], "a.b": [1.0 * i for i in range(n)]}
+    df = spark.createDataFrame([tuple(c[i] for c in columns.values()) for i in range(n)], ", ".join(f"`{c}` double" for c in columns))
+    want = {}
+    for c, values in columns.items():
+        present = [v for v in values if v is not None and v == v]
+        want[c] = statistics.median(present) if present else 0.0
+    for most in (10, 150, 10_000):
+        got = {r["feature"]: r["median"] for r in median_surrogates(df.repartition(5), list(columns), most).collect()}
+        assert got == pytest.approx(want, rel=1e-15)
+    assert median_surrogates(df.limit(0), ["even"]).first()["median"] == 0.0
+
+
+def test_partitions_of_the_fallback_follow_the_table(spark, monkeypatch):
+    """The same model whatever the cluster: its partitions come from the rows, not from the session."""
+    from adyield.operators import models
+    from adyield.operators.features import feature_columns
+    from adyield.operators.gbt import BoostParams
+    f = feature_table(spark, SF_SMALL)
+    cols, got = feature_columns(f), []
+    for before, shuffles in ((1, "3"), (7, "11")):
+        old = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+        try:
+            fitted = models.fit_boosted(f.repartition(before), cols, BoostParams(n_estimators=3, partition_rows=2_000))
+            got.append({t: fitted.fallback[t].stages[0].toDebugString.split("\n", 1)[1] for t in models.TARGETS})
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert got[0] == got[1]

@@ -40,3 +40,62 @@ def test_features_job_from_csv_directory(spark, tmp_path):
     a = sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in from_csv.select(*cols).collect())
     b = sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in from_tables.select(*cols).collect())
     assert a == b
+
+
+def test_predictions_are_one_ordered_file(spark, tmp_path):
+    import csv
+    b = P.trained(spark, SF_SMALL, "linear")
+    P.save_trained(b, str(tmp_path / "bundle"))
+    sinks.write_features(b.features, str(tmp_path / "features"))
+    out = str(tmp_path / "out" / "predictions.csv")
+    for _ in range(2):                                       # the second run replaces the file
+        got = P.predict_job(spark, str(tmp_path / "features"), str(tmp_path / "bundle"), out, draws="lcg")
+    assert (tmp_path / "out" / "predictions.csv").is_file() and len(list((tmp_path / "out").glob("pred*"))) == 1
+    want = P.forecast(b, draws="lcg")
+    with open(out, newline="") as f:
+        rows = list(csv.reader(f))
+    assert rows[0] == want.columns
+    keys = [want.columns.index(c) for c in ("forecast_period_days", "channel", "campaign_type", "budget_scenario")]
+    assert [tuple(r[i] for i in keys) for r in rows[1:]] == [tuple(str(r[i]) for i in keys) for r in want.collect()]
+    assert got.count() == len(rows) - 1
+
+
+def test_a_bundle_becomes_visible_as_a_whole(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "bundle")
+    with pytest.raises(FileNotFoundError):
+        sinks.current_version(spark, path)
+    b = P.trained(spark, SF_SMALL, "linear")
+    P.save_trained(b, path)
+    first = sinks.current_version(spark, path)
+    original, written = sinks.save_bundle, []
+
+    def fail_at_the_third(folder, tables):
+        for name, df in tables.items():
+            if len(written) == 2:
+                raise OSError("executor lost")
+            original(folder, {name: df})
+            written.append(name)
+
+    monkeypatch.setattr(sinks, "save_bundle", fail_at_the_third)
+    with pytest.raises(OSError):
+        P.save_trained(b, path)
+    monkeypatch.undo()
+    assert len(written) == 2 and sinks.current_version(spark, path) == first
+    assert P.load_trained(spark, path, b.features).summaries.count() == b.summaries.count()
+    for _ in range(3):
+        P.save_trained(b, path)
+    versions = sinks._versions(spark, path)
+    assert sinks.current_version(spark, path) == versions[-1][0] > first
+    assert sum(done for _, done in versions) == sinks.KEPT_VERSIONS and first not in [f for f, _ in versions]
+
+
+def test_anomalies_beyond_the_listed_ones(spark):
+    import datetime as dt
+
+    from adyield.operators import stats
+    rows = [(dt.date(2024, 1, 1) + dt.timedelta(days=i), "c", "t", 1.0, 1000.0 if i % 40 == 7 else 100.0 + i % 3) for i in range(400)]
+    df = spark.createDataFrame(rows, "date date, channel string, campaign_type string, spend double, revenue double")
+    r = stats.group_stats(df).first()
+    every = sorted(x["date"] for x in stats.anomaly_table(stats.group_anomalies(df)).collect())
+    assert r["anomalies"] == len(every) == 10
+    assert [str(d) for d in r["anomaly_flags"]] == every[:stats.MAX_PROMPT_ANOMALIES]
