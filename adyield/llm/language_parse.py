@@ -10,8 +10,21 @@ Texts are lower-cased and every run of non-letters becomes one blank. Long
 texts are parsed in segments of ``SEGMENT`` characters, all of them, so that
 whole batches advance one character per array step; a segment border ends at
 most one phrase, alike for every language. A text that is null or has no
-letter is ``und`` with score 0. The sample is bounded by
-``SAMPLE_DOCS`` documents and ``SAMPLE_CHARS`` characters per language.
+letter is ``und`` with score 0.
+
+The sample is bounded by ``SAMPLE_DOCS`` documents and ``SAMPLE_CHARS``
+letters per language, the documents with the smallest id hashes. All languages
+are cut to the letters of the shortest sample, but to no less than
+``LEAST_CHARS``, so that none has the advantage of a smaller dictionary. The
+texts of every ``CHECK_EVERY``-th of a language's documents, which the samples do
+not hold, tell what entropy the learned languages have: a text of at least
+``CHECK_LETTERS`` letters whose entropy lies ``FOREIGN`` times above the highest
+of these languages' usual entropies is ``foreign``, whatever language is
+nearest. The corpus pipeline rejects it; ``predict`` still names the nearest.
+
+Repeated rows are predicted one by one and learned from once; ties go to the
+first language. Without labelled texts every text is ``und``. An empty table
+gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,13 +39,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold_of, slices, worker_model
+from ..operators.common import broadcast_if_small
+from ..session import cut_lineage
+from .common import fold_of, give_back, slices, worker_model
 
-SAMPLE_DOCS, SAMPLE_DOC_CHARS, SAMPLE_CHARS = 200, 3_000, 30_000
+SAMPLE_DOCS, SAMPLE_DOC_CHARS, SAMPLE_CHARS = 250, 3_000, 60_000
 SAMPLE_SHARE = 600           # most letters that one document adds to its language's sample
+LEAST_CHARS = 8_000          # letters that no sample is cut below for another's sake
+PICKED = 2_000               # documents per language among which the smallest id hashes are ranked
+CHECK_EVERY = 5              # of so many labelled documents, one tells the usual entropy and the others make the sample
+CHECK_LETTERS = 40
+FOREIGN = 2.0                # a text's entropy over the usual one that tells an unlearned language
 SEGMENT = 512
 SLICE = 1 << 19
-MIN_SCORE = 0.3      # confidence below this rejects a document in the corpus pipeline
 UNDETERMINED = "und"
 _SENTENCE = re.compile(r"[.!?\n]+")
 
@@ -76,31 +95,32 @@ def letters(text: str) -> str:
 class CrossParser:
     """Parses batches of texts against the samples of all languages at once."""
 
-    def __init__(self, samples: dict[str, str]):
+    def __init__(self, samples: dict[str, str], usual: float | None = None):
         self.langs = sorted(samples)
+        self.usual = usual                           # highest usual entropy of the learned languages
         alphabet = sorted({c for s in samples.values() for c in s if c != " "})
         # codes: 0 blank, 1 a letter that no sample holds, 2.. the samples' letters
         self.code_of = {c: i + 2 for i, c in enumerate(alphabet)} | {" ": 0}
-        self.width = len(alphabet) + 2
-        tables, roots, self.bits = [], [], []
-        base = 1                                     # row 0: no such phrase
+        width = len(alphabet) + 2
+        # a language's own table: states by the letters that its sample holds (column 0: any other); row 0: no such phrase
+        self.own, self.tables, self.restart, self.bits = [], [], [], []
         for lang in self.langs:
             auto = Automaton([self.code_of[c] for c in samples[lang]])
-            table = np.zeros((len(auto.next), self.width), np.int32)
+            held = sorted({self.code_of[c] for c in samples[lang]})
+            own = np.zeros(width, np.int32)
+            own[held] = np.arange(len(held)) + 1
+            table = np.zeros((len(auto.next) + 1, len(held) + 1), np.int32)
             for state, edges in enumerate(auto.next):
                 for c, to in edges.items():
-                    table[state, c] = base + to
-            tables.append(table)
-            roots.append(base)
-            base += len(auto.next)
+                    table[state + 1, own[c]] = to + 1
+            del auto
+            self.own.append(own)
+            self.tables.append(table)
+            self.restart.append(np.where(table[1] > 0, table[1], 1).astype(np.int32))
             self.bits.append(np.log2(len(samples[lang]) + 2))
-        self.table = np.concatenate([np.zeros((1, self.width), np.int32), *tables]).ravel() if tables else None
-        self.roots = np.array(roots, np.int32)
+        give_back()
         self.bits = np.array(self.bits)
-        if tables:
-            first = self.table.reshape(-1, self.width)[self.roots]
-            self.restart = np.where(first > 0, first, self.roots[:, None]).astype(np.int32)
-        self.lookup = np.full(0x110000, -1, np.int8 if self.width < 120 else np.int16)
+        self.lookup = np.full(0x110000, -1, np.int8 if width < 120 else np.int16)
 
     def codes(self, text: str) -> np.ndarray:
         points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -133,13 +153,15 @@ class CrossParser:
         active = np.searchsorted(-sizes, -np.arange(sizes[0]), "left")   # segments longer than each step
         count = np.zeros((len(self.langs), len(parts)), np.int32)
         for k in range(len(self.langs)):
-            state = np.full(len(parts), self.roots[k], np.int64)
+            state = np.ones(len(parts), np.int64)
             restart, tally = self.restart[k], count[k]
+            table, width = self.tables[k].ravel(), self.tables[k].shape[1]
+            mine = self.own[k][grid]
             tally += 1
             for step in range(sizes[0]):
                 n = active[step]
-                c = grid[step, :n]
-                to = self.table[state[:n] * self.width + c]
+                c = mine[step, :n]
+                to = table[state[:n] * width + c]
                 failed = to == 0
                 tally[:n] += failed
                 state[:n] = np.where(failed, restart[c], to)
@@ -147,86 +169,125 @@ class CrossParser:
             out[:, k] = np.bincount(owner, count[k], len(texts))
         return out
 
-    def classify(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Letters of every text and its bits per letter in every language."""
         codes = [self.codes(t) if t else np.zeros(0, np.int32) for t in texts]
         n = np.array([len(c) for c in codes])
+        return n, self.phrases(codes) * self.bits / np.maximum(n, 1)[:, None]
+
+    def classify(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Nearest language, confidence, and whether the text is foreign to all of them."""
         if not self.langs:
-            return [UNDETERMINED] * len(texts), np.zeros(len(texts))
-        entropy = self.phrases(codes) * self.bits / np.maximum(n, 1)[:, None]
+            return [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
+        n, entropy = self.entropies(texts)
         weight = np.exp2(-2 * (entropy - entropy.min(1, keepdims=True)))
         score = np.where(n > 0, weight.max(1) / weight.sum(1), 0.0)
         best = entropy.argmin(1)
-        return [self.langs[b] if m else UNDETERMINED for b, m in zip(best, n)], score
+        foreign = (n >= CHECK_LETTERS) & (entropy.min(1) > FOREIGN * (self.usual or np.inf))
+        return [self.langs[b] if m else UNDETERMINED for b, m in zip(best, n)], score, foreign
 
 
-def sample_texts(documents: DataFrame, learn: Column, docs: int = SAMPLE_DOCS, doc_chars: int = SAMPLE_DOC_CHARS,
-                 chars: int = SAMPLE_CHARS) -> dict[str, str]:
-    """At most ``chars`` letters of at most ``docs`` labelled documents per language (smallest id hash first).
+def labelled_texts(documents: DataFrame, learn: Column, docs: int = SAMPLE_DOCS, doc_chars: int = SAMPLE_DOC_CHARS) -> list[tuple[str, int, str]]:
+    """(lang, rank, text): beginnings of at most ``docs`` labelled documents per language, smallest id hash first.
 
-    Rows that share id and label are one document (its least text). A sentence counts once, and not at all if documents
-    of several languages hold it.
+    Rows that share id and label are one document (its least text). Ranked are only ids whose hash lies so low that
+    some ``PICKED`` of the language are expected there, so that no task ranks a language.
     """
-    by = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = (documents.filter(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang").distinct()
+    ids = documents.filter(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select(
+        "doc_id", "lang", F.xxhash64("doc_id").alias("order"))
+    # one row per language; 2^64 hashes
+    share = ids.groupBy(F.col("lang").alias("of")).agg((F.lit(float(PICKED)) / F.approx_count_distinct("doc_id")).alias("share"))
+    low = F.lit(-2.0 ** 63) + F.col("share") * 2.0 ** 64
+    by = Window.partitionBy("lang").orderBy("order", "doc_id")
+    ids = (ids.join(broadcast_if_small(cut_lineage(share, "language-shares")), F.col("lang") == F.col("of"))
+           .filter(F.col("order") <= low).select("doc_id", "lang", "order").distinct()
            .withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= docs).select("doc_id", "lang", "rank"))
     # at most ``docs`` ids per language: a fixed bound; the texts are read for these alone, one for each id
     rows = (documents.filter("text is not null").select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"])
             .groupBy("lang", "rank", "doc_id").agg(F.min(F.substring("text", 1, doc_chars)).alias("text")).collect())
-    rows = [(r["lang"], [u for u in map(letters, _SENTENCE.split(r["text"])) if u])
-            for r in sorted(rows, key=lambda r: (r["lang"], r["rank"]))]
+    return sorted((r["lang"], r["rank"], r["text"]) for r in rows)
+
+
+def samples_of(rows: list[tuple[str, int, str]], chars: int = SAMPLE_CHARS) -> dict[str, str]:
+    """At most ``chars`` letters per language. A sentence counts once, and not at all if documents of several languages
+    hold it."""
+    units = [(lang, [u for u in map(letters, _SENTENCE.split(text)) if u]) for lang, _, text in rows]
     # sentences that documents of several languages hold are inserted passages or wrongly labelled copies
-    held = Counter(u for _, u in {(lang, u) for lang, units in rows for u in units})
+    held = Counter(u for _, u in {(lang, u) for lang, own in units for u in own})
     out: dict[str, str] = {}
     seen: set[str] = set()
-    for lang, units in rows:
-        fresh = [u for u in dict.fromkeys(units) if held[u] == 1 and u not in seen]
+    for lang, mine in units:
+        fresh = [u for u in dict.fromkeys(mine) if held[u] == 1 and u not in seen]
         seen.update(fresh)
         own = " ".join(fresh)[:SAMPLE_SHARE]
         have = out.get(lang, "")
         if own and len(have) < chars:
             out[lang] = (have + " " + own).strip()[:chars]
-    return out
+    equal = max(LEAST_CHARS, min(map(len, out.values()), default=0))
+    return {lang: text[:equal] for lang, text in out.items()}
+
+
+def sample_texts(documents: DataFrame, learn: Column) -> dict[str, str]:
+    """The samples of all languages of the admitted rows."""
+    return samples_of([r for r in labelled_texts(documents, learn) if r[1] % CHECK_EVERY])
+
+
+def usual_entropy(samples: dict[str, str], rows: list[tuple[str, int, str]]) -> float | None:
+    """The highest of the languages' median entropies over texts that the samples do not hold; None without such texts."""
+    parser, own = CrossParser(samples), {}
+    for lang, _, text in rows:
+        n, entropy = parser.entropies([text])
+        if lang in samples and n[0] >= CHECK_LETTERS:
+            own.setdefault(lang, []).append(entropy[0, parser.langs.index(lang)])
+    return max((float(np.median(e)) for e in own.values()), default=None)
+
+
+def learned(documents: DataFrame, learn: Column) -> str:
+    """The samples and their usual entropy, packed for the workers."""
+    rows = labelled_texts(documents, learn)
+    samples = samples_of([r for r in rows if r[1] % CHECK_EVERY])
+    usual = usual_entropy(samples, [r for r in rows if r[1] % CHECK_EVERY == 0])
+    return json.dumps({"samples": samples, "usual": usual}, sort_keys=True)
 
 
-def _parser(samples: str) -> CrossParser:
-    return worker_model(("cross-parser", samples), lambda: CrossParser(json.loads(samples)))
+def _parser(packed: str) -> CrossParser:
+    return worker_model(("cross-parser", packed), lambda: CrossParser(**json.loads(packed)))
 
 
-def identify(documents: DataFrame, samples: dict[str, str]) -> DataFrame:
-    """The documents' own columns plus ``lang_pred`` and ``score``, one row per document.
+def identify(documents: DataFrame, packed: str) -> DataFrame:
+    """The documents' own columns plus ``lang_pred``, ``score`` and ``is_foreign``, one row per document.
 
     Own columns of these names are replaced.
     """
-    packed = json.dumps(samples, sort_keys=True)
-    documents = documents.drop("lang_pred", "score")
+    documents = documents.drop("lang_pred", "score", "is_foreign")
     names = documents.columns
 
     def parse(batches):
         for batch in batches:
             for part in slices(batch, "text", SLICE):
-                pred, score = _parser(packed).classify(part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pred, pa.string()), pa.array(score)],
-                                                 names=[*names, "lang_pred", "score"])
+                pred, score, foreign = _parser(packed).classify(part.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pred, pa.string()), pa.array(score), pa.array(foreign)],
+                                                 names=[*names, "lang_pred", "score", "is_foreign"])
 
     schema = T.StructType([*documents.schema.fields, T.StructField("lang_pred", T.StringType()),
-                           T.StructField("score", T.DoubleType())])
+                           T.StructField("score", T.DoubleType()), T.StructField("is_foreign", T.BooleanType())])
     return documents.mapInArrow(parse, schema)
 
 
 def predict(documents: DataFrame, folds: int = 3, held: int = 1) -> DataFrame:
     """Contract form: learn outside the held-out fold, predict every document."""
-    samples = sample_texts(documents, fold_of("doc_id", folds) != held)
+    packed = learned(documents, fold_of("doc_id", folds) != held)
     # keep columns of the caller out of the parser; the fold is no input of the prediction
-    judged = identify(documents.select("doc_id", "text"), samples)
-    return judged.select("doc_id", (fold_of("doc_id", folds) == held).alias("held_out"), "lang_pred", "score")
+    judged = identify(documents.select("doc_id", "text"), packed)
+    return judged.select("doc_id", (fold_of("doc_id", folds) == held).alias("held_out"), "lang_pred", "score", "is_foreign")
 
 
-def keep_identified(documents: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """Pipeline form: rows whose language is determined with enough confidence, columns unchanged."""
+def keep_identified(documents: DataFrame) -> DataFrame:
+    """Pipeline form: rows whose language is determined and none of the unlearned ones, columns unchanged."""
     # positional names: columns of the caller may have any name
     names = documents.columns
     inner = documents.toDF(*[f"c{i}" for i in range(len(names))])
     inner = inner.withColumnRenamed(f"c{names.index('text')}", "text")
-    judged = identify(inner, sample_texts(documents, fold_of("doc_id", 3) != 1))
-    kept = judged.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score))
-    return kept.drop("lang_pred", "score").toDF(*names)
+    judged = identify(inner, learned(documents, fold_of("doc_id", 3) != 1))
+    kept = judged.filter((F.col("lang_pred") != UNDETERMINED) & ~F.col("is_foreign"))
+    return kept.drop("lang_pred", "score", "is_foreign").toDF(*names)

@@ -85,3 +85,31 @@ def test_repeated_rows_and_copies_are_learned(spark, small):
     # a sentence of two languages is not learned
     two = documents(spark, [(1, "one of both. only here", "en", "a"), (2, "one of both. ici seul", "fr", "a")])
     assert lp.sample_texts(two, F.lit(True)) == {"en": "only here", "fr": "ici seul"}
+
+
+def test_samples_are_equally_long():
+    rows = [("aa", k, f"{chr(97 + k % 26)}word{'x' * (k % 7)} tail " * 60) for k in range(100)] + [("bb", 1, "short one")]
+    long = [(lang, k, ". ".join(f"{lang}{chr(97 + j % 26)}{'q' * (k % 9)}{chr(97 + k % 26)} unit" for j in range(40))) for lang in ("cc", "dd")
+            for k in range(60 if lang == "cc" else 30)]
+    got = lp.samples_of(rows + long)
+    assert len(got["bb"]) == 9 and all(len(t) <= lp.LEAST_CHARS for t in got.values())
+    got = lp.samples_of(long)
+    assert lp.LEAST_CHARS <= len(got["cc"]) == len(got["dd"])
+
+
+def test_unlearned_languages_are_rejected(spark, small):
+    """Texts of unlearned scripts go; what is learned stays."""
+    foreign = {1: "река текла мимо старой мельницы и никто не спрашивал почему колесо остановилось " * 3,
+               2: "川は古い水車小屋のそばを流れていたが車輪がなぜ止まったのか誰も尋ねなかった" * 3,
+               3: "ο ποταμός κυλούσε δίπλα στον παλιό μύλο και κανείς δεν ρώτησε γιατί σταμάτησε ο τροχός " * 3,
+               4: "nehir eski değirmenin yanından akıyordu ve kimse çarkın neden durduğunu sormadı " * 3}
+    df = small("documents")
+    packed = lp.learned(df, fold_of("doc_id", 3) != 1)
+    rows = lp.identify(documents(spark, [(d, t, None, None) for d, t in foreign.items()]), packed).collect()
+    assert all(r["is_foreign"] for r in rows if r["doc_id"] < 4)
+    own = lp.identify(df, packed).collect()
+    assert np.mean([r["is_foreign"] for r in own if r["lang_pred"] != "und"]) < 0.02
+    both = df.union(documents(spark, [(10_000 + d, t, "xx", "a") for d, t in foreign.items() if d < 4]).select(df.columns))
+    # a label that one document holds is learned like any other, unless the document is held out
+    kept = {r["doc_id"] for r in lp.keep_identified(both).collect()}
+    assert len([d for d in kept if d < 10_000]) > 0.97 * df.filter("text rlike '[a-z]'").count()
