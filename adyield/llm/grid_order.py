@@ -14,7 +14,10 @@ group of copies costs one row. A block pair returns link counts and the
 edges of a spanning forest (at most one per vector), never all its pairs.
 
 Vectors that are null, empty, zero, or hold null or non-finite components
-link with nothing. Vectors of different lengths never link.
+link with nothing. Vectors of different lengths never link. A null id is larger
+than every other; a component of null ids alone has a null component id and all
+its rows are kept. Repeated rows are vectors of their own and link with each
+other. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -49,13 +52,19 @@ def classes(vectors: DataFrame, number: str = "<f8") -> DataFrame:
     def run(batches):
         for batch in batches:
             ids, sig, dim, data = batch.column("vec_id"), [], [], []
-            for v in batch.column("embedding").to_pylist():
-                x = None if not v or any(e is None for e in v) else np.array(v, np.float64)
-                if x is None or not np.isfinite(x).all() or not x.any():
-                    sig.append(None), dim.append(None), data.append(None)
-                else:
-                    raw = (x + 0.0).astype(number).tobytes()
-                    sig.append(hashlib.blake2b(raw, digest_size=16).digest()), dim.append(len(x)), data.append(raw)
+            lists = batch.column("embedding")
+            length = lists.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+            # null components come as NaN
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(number) + 0.0
+            end = np.cumsum(length)
+            upto = lambda mask: np.concatenate([[0], np.cumsum(mask)])
+            bad, some = upto(~np.isfinite(flat)), upto(flat != 0)
+            good = (length > 0) & (bad[end] == bad[end - length]) & (some[end] > some[end - length])
+            for ok, n, stop in zip(good.tolist(), length.tolist(), end.tolist()):
+                raw = flat[stop - n: stop].tobytes() if ok else None
+                sig.append(hashlib.blake2b(raw, digest_size=16).digest() if ok else None)
+                dim.append(n if ok else None)
+                data.append(raw)
             yield pa.RecordBatch.from_pydict({"vec_id": ids, "signature": pa.array(sig, pa.binary()),
                                               "dim": pa.array(dim, pa.int32()), "vector": pa.array(data, pa.binary())})
 
@@ -246,7 +255,7 @@ def linked(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     own = rows.join(per_class, "signature", "left")
     component = F.when(F.col("signature").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return own.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
-                      component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+                      component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
 
 
 def _join(made: DataFrame, near: DataFrame, axes: np.ndarray, dim: int, cosine: float, eps: float, number: str) -> DataFrame:

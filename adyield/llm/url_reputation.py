@@ -14,7 +14,11 @@ with, else its last label, and the domain has one label more. An IP address is
 its own domain, and all of them share a suffix of their own.
 
 Null urls and urls without ``://`` have an empty host and path; they take
-the verdict of the empty host. Repeated pages count and return once per row.
+the verdict of the empty host. Repeated pages return once per row; a page's
+outcome counts once for a host, however often page and outcome are repeated,
+and contradicting outcomes count as one each. Of rules equally long the last
+in code-point order wins. An empty table gives an empty result. Other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -24,6 +28,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # (verdict, host, path): fixed values of the query's contract.
@@ -34,19 +40,70 @@ THRESHOLD = 0.5      # least acceptable lower bound of the good rate
 Z = 1.645            # one-sided 95 % bound (normal form of the beta posterior)
 MIN_STRENGTH, MAX_STRENGTH = 1.0, 1000.0
 
-# second-level names under which the public registers domains, by country: the default table of suffixes
-_SECOND_LEVEL = {
-    "ac co gov ltd me net nhs org plc police sch": "uk", "asn com edu gov id net org": "au", "ac ad co ed go gr lg ne or": "jp",
-    "art blog com eco edu emp eng gov ind jus leg med mil net org tur": "br", "ac co geek gen govt iwi kiwi maori net org school": "nz",
-    "ac co edu gov law net nom org web": "za", "ac co edu firm gen gov ind net nic org res": "in", "ac co go ne or pe re": "kr",
-    "ac com edu gov net org": "cn pk", "com edu gov idv net org": "tw hk", "com edu gov net org per": "sg",
-    "com edu gov net org": "gr pt my ph vn sa eg lb ng gh np kw qa bh om cy mt do gt sv ni pa py bo ve uy ec lk",
-    "ac co go in mi net or": "th", "ac co desa go my net or sch web": "id", "av bel biz com edu gen gov info k12 net org pol tel web": "tr",
-    "com edu gob net org": "mx ar pe es", "com edu gov mil net nom org": "co", "ac co gov k12 muni net org": "il", "com edu gov in net org": "ua",
-    "com edu gov info net org": "pl", "ac co gov net org sch": "ae", "ac co go me ne or sc": "ke",
-    "ac co go ne or": "tz ug", "ac co gov net org": "ma ir", "ac co com gv or": "at", "ac com edu gov info mil net org": "bd"}
-SUFFIXES = tuple(sorted(f"{name}.{country}" for names, countries in _SECOND_LEVEL.items()
-                        for country in countries.split() for name in names.split()))
+# Second-level names under which the public registers domains, by country: the default table of suffixes.
+SECOND_LEVEL = {
+    "ae": "ac co gov net org sch",
+    "ar": "com edu gob net org",
+    "at": "ac co com gv or",
+    "au": "asn com edu gov id net org",
+    "bd": "ac com edu gov info mil net org",
+    "bh": "com edu gov net org",
+    "bo": "com edu gov net org",
+    "br": "art blog com eco edu emp eng gov ind jus leg med mil net org tur",
+    "cn": "ac com edu gov net org",
+    "co": "com edu gov mil net nom org",
+    "cy": "com edu gov net org",
+    "do": "com edu gov net org",
+    "ec": "com edu gov net org",
+    "eg": "com edu gov net org",
+    "es": "com edu gob net org",
+    "gh": "com edu gov net org",
+    "gr": "com edu gov net org",
+    "gt": "com edu gov net org",
+    "hk": "com edu gov idv net org",
+    "id": "ac co desa go my net or sch web",
+    "il": "ac co gov k12 muni net org",
+    "in": "ac co edu firm gen gov ind net nic org res",
+    "ir": "ac co gov net org",
+    "jp": "ac ad co ed go gr lg ne or",
+    "ke": "ac co go me ne or sc",
+    "kr": "ac co go ne or pe re",
+    "kw": "com edu gov net org",
+    "lb": "com edu gov net org",
+    "lk": "com edu gov net org",
+    "ma": "ac co gov net org",
+    "mt": "com edu gov net org",
+    "mx": "com edu gob net org",
+    "my": "com edu gov net org",
+    "ng": "com edu gov net org",
+    "ni": "com edu gov net org",
+    "np": "com edu gov net org",
+    "nz": "ac co geek gen govt iwi kiwi maori net org school",
+    "om": "com edu gov net org",
+    "pa": "com edu gov net org",
+    "pe": "com edu gob net org",
+    "ph": "com edu gov net org",
+    "pk": "ac com edu gov net org",
+    "pl": "com edu gov info net org",
+    "pt": "com edu gov net org",
+    "py": "com edu gov net org",
+    "qa": "com edu gov net org",
+    "sa": "com edu gov net org",
+    "sg": "com edu gov net org per",
+    "sv": "com edu gov net org",
+    "th": "ac co go in mi net or",
+    "tr": "av bel biz com edu gen gov info k12 net org pol tel web",
+    "tw": "com edu gov idv net org",
+    "tz": "ac co go ne or",
+    "ua": "com edu gov in net org",
+    "ug": "ac co go ne or",
+    "uk": "ac co gov ltd me net nhs org plc police sch",
+    "uy": "com edu gov net org",
+    "ve": "com edu gov net org",
+    "vn": "com edu gov net org",
+    "za": "ac co edu gov law net nom org web",
+}
+SUFFIXES = tuple(sorted(f"{name}.{country}" for country, names in SECOND_LEVEL.items() for name in names.split()))
 ADDRESSES = "[ip]"   # the suffix of IP addresses; no host ends so
 
 
@@ -112,10 +169,12 @@ def reputation(pages: DataFrame, outcomes: DataFrame, threshold: float = THRESHO
 
     Without any outcome the global rate is taken as 1 (nothing speaks against a host).
     """
-    labelled = pages.join(outcomes.filter("good is not null").select("page_id", "good"), "page_id", "left")
+    found = outcomes.filter("good is not null").select("page_id", "good").distinct()
+    labelled = pages.select("page_id", "host").distinct().join(found, "page_id", "left")
     hosts = labelled.groupBy("host").agg(F.coalesce(F.sum("good"), F.lit(0)).alias("good"), F.count("good").alias("n"))
     domain, suffix = hierarchy(F.col("host"), suffixes)
-    hosts = hosts.withColumn("domain", domain).withColumn("suffix", suffix)
+    # written: every level of the hierarchy reads it
+    hosts = cut_lineage(hosts.withColumn("domain", domain).withColumn("suffix", suffix), "url-hosts")
     total = hosts.agg(F.coalesce(F.sum("good") / F.nullif(F.sum("n"), F.lit(0)), F.lit(1.0)).alias("parent_mean"))
     counts = lambda *by: hosts.groupBy(*by).agg(F.sum("good").alias("good"), F.sum("n").alias("n"))
     tops = _posterior(counts("suffix").crossJoin(F.broadcast(total)), "suffix", None, None)
@@ -166,6 +225,7 @@ def oracle() -> str:
               "FROM hosts h JOIN suffixes s USING (suffix) GROUP BY 1", "domain", None),
         level("judged", "SELECT h.host, h.good, h.n, d.mean AS m FROM hosts h JOIN domains d USING (domain)",
               "host", None)])
+    listed = ", ".join(f"'{x}'" for x in SUFFIXES)          # all of two labels
     return f"""
 WITH parsed AS (
   SELECT page_id,
@@ -173,10 +233,17 @@ WITH parsed AS (
          coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 counted AS (
   SELECT host, coalesce(sum(quality), 0) AS good, count(quality) AS n
-  FROM parsed LEFT JOIN labels ON page_id = doc_id AND quality IS NOT NULL GROUP BY 1),
+  FROM (SELECT DISTINCT page_id, host FROM parsed)
+  LEFT JOIN (SELECT DISTINCT doc_id, quality FROM labels WHERE quality IS NOT NULL) ON page_id = doc_id GROUP BY 1),
+bare AS (
+  SELECT *, regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '\\.$', '') AS b FROM counted),
+cut AS (
+  SELECT *, string_split(b, '.') AS labels, regexp_matches(b, '^([0-9]+\\.){{3}}[0-9]+$|^\\[') AS is_address,
+         array_to_string(string_split(b, '.')[-2:], '.') AS last_two FROM bare),
 hosts AS (
-  SELECT *, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain,
-         list_extract(string_split(host, '.'), -1) AS suffix FROM counted),
+  SELECT host, good, n,
+         CASE WHEN is_address THEN b WHEN last_two IN ({listed}) THEN array_to_string(labels[-3:], '.') ELSE last_two END AS domain,
+         CASE WHEN is_address THEN '{ADDRESSES}' WHEN last_two IN ({listed}) THEN last_two ELSE labels[-1] END AS suffix FROM cut),
 total AS (SELECT coalesce(CAST(sum(good) AS DOUBLE) / nullif(sum(n), 0), 1.0) AS rate FROM hosts),
 {levels}
 SELECT page_id, p.host, path, {case('rule').replace('host', 'p.host')} AS rule,

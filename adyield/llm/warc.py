@@ -1,14 +1,16 @@
 """WARC archives: a deterministic sharded writer and its reader.
 
-Records are range-sorted by a 64-bit key of (page id, payload digest), which
-spreads evenly whatever the ids are; a shard is an equal range of that key,
-and the number of shards follows the payload bytes, so the same table always
-gives the same files. Within a shard, records follow (key, page id) and files
-roll when their compressed size passes a limit. Headers, HTTP lengths and
-digests are generated anew. Every file is written under a temporary name and
-renamed when complete; the files that count are those of the manifest, a
-Parquet table that Spark commits last. A retried or repeated task writes the
-same bytes under the same final name.
+Records are range-sorted by page id. The bytes of equal intervals of the ids
+are summed exactly, neighbouring intervals make up a shard of about
+``SHARD_BYTES`` payload bytes, and one that exceeds a shard (crowded ids, an id
+that fills much of the table, ids that are no numbers) is dealt to several by a
+hash of id and digest, so the same table always gives the same files. Within a
+shard, records follow (page id, digest) and files roll when their compressed
+size passes ``ROLL_BYTES``. Headers, HTTP lengths and digests are generated
+anew. Every file is written under a temporary name and renamed when complete;
+the files that count are those of the manifest, a Parquet table that Spark
+commits last. A retried or repeated task writes the same bytes under the same
+final name.
 
 Of records with equal payloads of at least ``REVISIT_BYTES``, the one with
 the largest page id is the response and the others are revisits of it
@@ -29,7 +31,7 @@ import hashlib
 import os
 import uuid
 import zlib
-from urllib.parse import quote
+from urllib.parse import quote, unquote_to_bytes
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -40,8 +42,10 @@ from ..session import cut_lineage
 from .common import slices
 
 REVISIT_BYTES = 1000
-SHARD_BYTES = 32 << 20       # payload bytes per shard, on average
-ROLL_BYTES = 64 << 20        # compressed bytes after which a file is closed
+SHARD_BYTES = 128 << 20      # payload bytes of a shard
+MOST_SHARDS = 50_000         # beyond, shards grow with the input
+BUCKETS = 1 << 16            # intervals of page ids that shards are put together from
+ROLL_BYTES = 8 << 20         # compressed bytes after which a file is closed
 DATE = "2024-01-01T00:00:00Z"
 CHUNK = 1 << 20
 
@@ -53,8 +57,22 @@ def open_folder(folder: str):
     return pafs.FileSystem.from_uri(folder)
 
 
+RECORD = "urn:page-record:"
+
+
+def _quoted(page_id) -> str:
+    """An id as part of a URI: null is a hyphen, everything else is quoted (a hyphen of its own too)."""
+    text = "-" if page_id is None else quote(str(page_id).encode("utf-8", "surrogatepass"), safe="")
+    return "%2D" if page_id == "-" else text
+
+
+def _unquoted(record_id: str) -> str | None:
+    text = record_id.strip("<>").removeprefix(RECORD).split(":")[0]
+    return None if text == "-" else unquote_to_bytes(text).decode("utf-8", "surrogatepass")
+
+
 def _record_id(page_id, digest: str, copy: int) -> str:
-    return f"urn:page-record:{'-' if page_id is None else page_id}:{digest[:16]}:{copy}"
+    return f"{RECORD}{_quoted(page_id)}:{digest[:16]}:{copy}"
 
 
 def _headers(lines: list[tuple[str, str]]) -> bytes:
@@ -118,23 +136,57 @@ def originals(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     return narrow.join(shared, "digest").select("page_id", "digest", "original").distinct()
 
 
+def ranges(rows: DataFrame, shard_bytes: int):
+    """Shards as ranges of the page id: the bucket of an id, (bucket, first, parts) for every bucket that has rows, and the
+    number of shards.
+
+    Ids are laid out over ``BUCKETS`` equal intervals of their range (numbers; other types share one bucket) and the
+    exact bytes of each are summed, so shards do not depend on the partitioning. Neighbouring buckets make up a shard; one that
+    exceeds a shard is dealt to ``parts`` shards by hash. Null ids come last.
+    """
+    numeric = dict(rows.dtypes)["page_id"] in ("tinyint", "smallint", "int", "bigint")
+    low, high = rows.agg(F.min("page_id"), F.max("page_id")).first() if numeric else (None, None)
+
+    def bucket(page_id):
+        if low is None:
+            return F.when(page_id.isNull(), BUCKETS).otherwise(0).cast("int")
+        at = F.floor((page_id.cast("double") - float(low)) / (float(high) - float(low) + 1.0) * BUCKETS)
+        return F.when(page_id.isNull(), BUCKETS).otherwise(F.greatest(F.least(at, F.lit(BUCKETS - 1)), F.lit(0))).cast("int")
+
+    # at most BUCKETS + 1 rows
+    sums = rows.groupBy(bucket(F.col("page_id")).alias("bucket")).agg(F.sum(F.col("bytes").cast("long") + 512).alias("b")).collect()
+    # a large input gets larger shards, not more than MOST_SHARDS of them
+    size = max(shard_bytes, sum(r["b"] for r in sums) // MOST_SHARDS)
+    out, shard, held = [], 0, 0
+    for r in sorted(sums):
+        if held and held + r["b"] > size:
+            shard, held = shard + 1, 0
+        parts = max(1, -(-r["b"] // size))
+        out.append((r["bucket"], shard, parts))
+        if parts > 1:
+            shard, held = shard + parts, 0
+        else:
+            held += r["b"]
+    return bucket, rows.sparkSession.createDataFrame(out, "bucket int, first int, parts int"), max([1, *(f + p for _, f, p in out)])
+
+
 def write(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> DataFrame:
     """Write ``pages (page_id, url, html)`` to ``folder`` and return its manifest (also left at ``folder/manifest``)."""
     spark = pages.sparkSession
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select("page_id", "url", "html", F.sha1(payload).alias("digest"), F.octet_length(payload).alias("bytes"))
-    total = rows.agg(F.coalesce(F.sum(F.col("bytes").cast("long") + 512), F.lit(0)).alias("b")).first()["b"]
-    shards = max(1, -(-total // shard_bytes))
     marks = originals(rows)
     kind = dict(pages.dtypes)["page_id"]
     # a mark sorts directly before the records that it is about; one shuffle moves both
     both = (rows.select("page_id", "digest", F.lit(1).alias("is_record"), "url", "html",
                         F.lit(None).cast(kind).alias("original"))
             .union(marks.select("page_id", "digest", F.lit(0), F.lit(None), F.lit(None), "original")))
-    key = F.xxhash64(F.col("page_id").cast("string"), "digest")
-    shard = F.floor((key / F.lit(2.0 ** 64) + 0.5) * shards).cast("int")
-    placed = (both.withColumn("key", key).withColumn("shard", F.least(shard, F.lit(shards - 1)))
-              .repartitionById(shards, "shard").sortWithinPartitions("shard", "key", "page_id", "digest", "is_record", "url"))
+    dealt, shards, count = ranges(rows, shard_bytes)
+    bucket = dealt(both["page_id"]).alias("bucket")
+    shard = F.col("first") + F.pmod(F.xxhash64(F.col("page_id").cast("string"), "digest"), F.col("parts"))
+    placed = (both.select("*", bucket).join(F.broadcast(shards), "bucket").withColumn("shard", shard.cast("int")).drop("bucket", "first", "parts")
+              .repartitionById(count, "shard")
+              .sortWithinPartitions("shard", F.asc_nulls_last("page_id"), "digest", "is_record", "url"))
     root, base = open_folder(folder)
     root.create_dir(base, recursive=True)
 
@@ -184,9 +236,8 @@ def parse_record(raw: bytes) -> dict:
     kind = fields["WARC-Type"]
     if kind == "response" and (len(payload) != length or hashlib.sha1(payload).hexdigest() != digest):
         raise ValueError(f"damaged record {fields['WARC-Record-ID']}")
-    page = fields["WARC-Record-ID"].split(":")[2]
-    refers = fields["WARC-Refers-To"].split(":")[2] if kind == "revisit" else None
-    return {"page_id": None if page == "-" else page, "url": fields["WARC-Target-URI"], "record_type": kind,
+    refers = _unquoted(fields["WARC-Refers-To"]) if kind == "revisit" else None
+    return {"page_id": _unquoted(fields["WARC-Record-ID"]), "url": fields["WARC-Target-URI"], "record_type": kind,
             "payload": payload if kind == "response" else None, "payload_bytes": length, "payload_digest": digest,
             "refers_to": refers}
 

@@ -76,3 +76,10 @@ def test_empty_and_repeated_rows(spark):
     rows = g.linked(df.selectExpr("*", "1 as n_links", "2 as signature")).collect()
     assert sorted(r["n_links"] for r in rows) == [0, 2, 2, 2]
     assert {r["component_id"] for r in rows if r["n_links"]} == {1}
+
+
+def test_kept_is_never_null(spark):
+    df = spark.createDataFrame([(None, [1.0, 0.0]), (None, [0.0, 1.0]), (None, None), (5, [0.0, 1.0]), (6, [])],
+                               "vec_id long, embedding array<float>")
+    got = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in g.linked(df).collect()), key=str)
+    assert got == sorted([(None, 0, None, True), (None, 1, 5, False), (None, 0, None, True), (5, 1, 5, True), (6, 0, 6, True)], key=str)

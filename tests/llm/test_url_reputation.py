@@ -71,3 +71,27 @@ def test_sites_under_a_public_suffix_do_not_share_a_reputation(spark):
         spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(good, "page_id long, good int")).collect()}
     assert [got[i]["verdict"] for i in (900, 901, 902)] == ["allow", "allow", "block"]
     assert got[901]["host"] == "new.good.co.uk:81"
+
+
+def test_sql_on_suffixes_ports_addresses_repeats_and_clashing_columns(spark):
+    import random
+
+    import duckdb
+    rng = random.Random(2)
+    hosts = ["a.shop.co.uk", "b.shop.co.uk", "other.co.uk:8080", "x.com.br", "www.x.com.br.", "user@y.example.org", "10.0.0.1", "10.0.0.2:81",
+             "[::1]:80", "good.net", "bad.net", "co.uk", "uk", "", "deep.er.host.net"]
+    pages = [(i, f"http://{rng.choice(hosts)}/{rng.choice(['', 'es/', 'fr/1'])}") for i in range(300)] + [(None, "http://good.net/"), (5, None)]
+    pages += pages[:40] * 3
+    bad = ("bad.net", "other.co.uk", "10.0.0.")
+    labels = [(i, int(not any(b in (u or "") for b in bad)) ^ (rng.random() < 0.05)) for i, u in pages if i is not None and i % 2]
+    labels += labels[:30] + [(7, 0), (7, 1), (9, None), (None, 0)]
+    page = spark.createDataFrame(pages, "page_id long, url string").selectExpr("*", "'x' as host", "1 as mean", "2 as good", "3 as k")
+    outcome = spark.createDataFrame(labels, "page_id long, good int").selectExpr("*", "'y' as host", "4 as n")
+    got = sorted((tuple(r) for r in u.filter_urls(page, outcome).collect()), key=str)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR)").executemany("INSERT INTO pages VALUES (?, ?)", pages)
+    con.execute("CREATE TABLE labels (doc_id BIGINT, quality INTEGER)").executemany("INSERT INTO labels VALUES (?, ?)", labels)
+    assert got == sorted(con.sql(u.oracle()).fetchall(), key=str) and len(got) == len(pages)
+    assert {v for *_, v in got} == {"allow", "block"}
+    top = {r["host"]: (r["n"], r["verdict"]) for r in u.reputation(page.select("page_id", u.host_of(page["url"]).alias("host")), outcome).collect()}
+    assert top["other.co.uk:8080"][1] == "block" and top["a.shop.co.uk"][1] == "allow"

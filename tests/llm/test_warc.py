@@ -98,3 +98,49 @@ def test_repeated_rows_nulls_and_empty_table(spark):
     assert got == [(0, "response", None), (0, "response", None), (1, "response", None), (1, "revisit", 1)]
     at = folder(spark, "warc")
     assert warc.write(pages(spark, []), at).count() == 0 and warc.read(spark, at).count() == 0
+
+
+def test_text_ids_come_back(spark):
+    ids = ["a:b", "a:c", "-", "", "é/ %3A", "a\r\nb", "<x>", "~", None]
+    df = spark.createDataFrame([(i, "u", "y" * 1500) for i in ids] + [("own", "u", str(i)) for i in range(1)],
+                               "page_id string, url string, html string").selectExpr("*", "1 as shard", "2 as digest", "3 as original", "4 as key")
+    at = folder(spark, "warc")
+    warc.write(df, at)
+    back = warc.read(spark, at, id_type="string").collect()
+    assert sorted(r["page_id"] or "" for r in back) == sorted(i or "" for i in [*ids, "own"])
+    assert sum(r["page_id"] is None for r in back) == 1
+    top = max(i for i in ids if i is not None)
+    assert {r["refers_to"] for r in back if r["record_type"] == "revisit"} == {top}
+
+
+def test_shards_are_ranges_and_files_roll(spark):
+    import random
+    rng = random.Random(1)
+    ids = [*range(400), *range(5000, 5003), 10 ** 15, None]
+    rows = [(i, "u", "".join(rng.choice("abcdefgh") for _ in range(900))) for i in ids] + [(7, "v", str(k) * 700) for k in range(60)]
+    at = folder(spark, "warc")
+    files = sorted(r["file"] for r in warc.write(pages(spark, rows), at, shard_bytes=20_000, roll_bytes=4_000).collect())
+    shards = {f.split("-")[1] for f in files}
+    assert len(shards) > 10 and len(files) > 2 * len(shards)             # several files a shard
+    root, base = warc.open_folder(at)
+    found = []
+    for f in files:
+        with root.open_input_stream(f"{base}/{f}", compression=None) as stream:
+            found.append([warc.parse_record(raw)["page_id"] for raw in warc.records(stream)])
+        assert sum(len(x) for x in found[-1:]) <= 20
+    flat = [i for x in found for i in x]
+    assert sorted(flat, key=str) == sorted((str(r[0]) if r[0] is not None else None for r in rows), key=str)
+    assert flat[-2:] == [str(10 ** 15), None]
+    by_shard = {}
+    for f, x in zip(files, found):
+        by_shard.setdefault(f.split("-")[1], []).extend(x)
+    # ids up to 5002 share an interval of the range up to 10^15 and are dealt by hash, in order within a shard
+    assert all([int(i) for i in x if i] == sorted(int(i) for i in x if i) for x in by_shard.values())
+    even = [(i, "u", "z" * 800 + str(i)) for i in range(600)]
+    at = folder(spark, "warc")
+    files = sorted(r["file"] for r in warc.write(pages(spark, even), at, shard_bytes=30_000, roll_bytes=4_000).collect())
+    flat = []
+    for f in files:
+        with root.open_input_stream(f"{base.rsplit('/', 1)[0]}/{at.rsplit('/', 1)[1]}/{f}", compression=None) as stream:
+            flat += [int(warc.parse_record(raw)["page_id"]) for raw in warc.records(stream)]
+    assert flat == list(range(600))
