@@ -42,9 +42,9 @@ from ..session import cut_lineage
 from .common import slices
 
 REVISIT_BYTES = 1000
-SHARD_BYTES = 128 << 20      # payload bytes of a shard
+SHARD_BYTES = 32 << 20       # payload bytes of a shard
 MOST_SHARDS = 50_000         # beyond, shards grow with the input
-BUCKETS = 1 << 16            # intervals of page ids that shards are put together from
+BUCKETS = 1 << 13            # intervals of page ids that shards are put together from
 ROLL_BYTES = 8 << 20         # compressed bytes after which a file is closed
 DATE = "2024-01-01T00:00:00Z"
 CHUNK = 1 << 20
