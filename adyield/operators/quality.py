@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.exprs import is_typed_date
 from ..session import cut_lineage
 from .common import one_row
 from .normalize import CANONICAL_COLUMNS
@@ -56,22 +57,29 @@ def expected_channels(canonical: DataFrame, expected=EXPECTED_CHANNELS) -> DataF
     return exp.join(present, "channel", "left_anti")
 
 
+def has_typed_dates(df: DataFrame) -> bool:
+    """Whether the table's ``date`` is a date or timestamp; text, a number or no such column is not."""
+    return "date" in df.columns and is_typed_date(df.schema["date"].dataType)
+
+
 def channel_counts(canonical: DataFrame) -> DataFrame:
-    """Rows and rows with revenue <= 0 per channel: what the validation rules need."""
+    """Rows and rows with revenue <= 0 per channel, and whether dates are dates: what the validation rules need."""
     return canonical.groupBy("channel").agg(
-        F.count(F.lit(1)).alias("rows"), F.sum(F.when(F.col("revenue") <= 0, 1).otherwise(0)).alias("nonpositive"))
+        F.count(F.lit(1)).alias("rows"), F.sum(F.when(F.col("revenue") <= 0, 1).otherwise(0)).alias("nonpositive"),
+        F.lit(has_typed_dates(canonical)).alias("typed_dates"))
 
 
-def validation_rules(counts: DataFrame, is_date: bool = True) -> DataFrame:
+def validation_rules(counts: DataFrame) -> DataFrame:
     """Rule table (rule, value, level): row count, date type, revenue share, missing channels.
 
-    ``counts`` is ``channel_counts`` of canonical rows, or any table that sums up to it (``Ingest.grain``): one
-    aggregate over it gives all rules.
+    ``counts`` is ``channel_counts`` of canonical rows, or any table that sums up to it and has their ``date``
+    (``Ingest.grain``): one aggregate over it gives all rules.
     """
+    typed = F.coalesce(F.bool_and("typed_dates"), F.lit(True)) if "typed_dates" in counts.columns else F.lit(has_typed_dates(counts))
     present = F.collect_set(F.when(F.col("channel").isin(*EXPECTED_CHANNELS), F.col("channel")))
     a = counts.agg(F.coalesce(F.sum("rows"), F.lit(0)).cast("double").alias("rows"),
                    F.coalesce(F.sum("nonpositive"), F.lit(0)).cast("double").alias("nonpositive"),
-                   (F.lit(len(EXPECTED_CHANNELS)) - F.size(present)).cast("double").alias("missing"))
+                   (F.lit(len(EXPECTED_CHANNELS)) - F.size(present)).cast("double").alias("missing"), typed.alias("typed"))
     share = F.when(F.col("rows") > 0, F.col("nonpositive") / F.col("rows")).otherwise(0.0)
 
     def rule(name: str, value: Column, level: str, when: Column) -> Column:
@@ -80,7 +88,7 @@ def validation_rules(counts: DataFrame, is_date: bool = True) -> DataFrame:
 
     rules = F.array(
         rule("min_rows", F.col("rows"), "abort", F.col("rows") < MIN_ROWS),
-        rule("date_type", F.lit(1.0 if is_date else 0.0), "abort", F.lit(not is_date)),
+        rule("date_type", F.col("typed"), "abort", ~F.col("typed")),
         rule("nonpositive_revenue_share", share, "warn", share > MAX_NONPOSITIVE_REVENUE_SHARE),
         rule("missing_channels", F.col("missing"), "warn", F.col("missing") > 0))
     return a.select(F.explode(rules).alias("r")).select("r.*")

@@ -380,6 +380,18 @@ def p17_validation_events(spark, sf):
     return quality.validation_rules(quality.channel_counts(events_canonical(spark, sf)))
 
 
+@register("p17_text_dates", O.q("""
+SELECT 'min_rows' AS rule, CAST(count(*) AS DOUBLE) AS value, CASE WHEN count(*) < 100 THEN 'abort' ELSE 'ok' END AS level FROM canon
+UNION ALL SELECT 'date_type', 0.0, 'abort'
+UNION ALL SELECT 'nonpositive_revenue_share', avg(CASE WHEN revenue <= 0 THEN 1.0 ELSE 0.0 END),
+       CASE WHEN avg(CASE WHEN revenue <= 0 THEN 1.0 ELSE 0.0 END) > 0.5 THEN 'warn' ELSE 'ok' END FROM canon
+UNION ALL SELECT 'missing_channels', 3.0 - count(DISTINCT channel), CASE WHEN count(DISTINCT channel) < 3 THEN 'warn' ELSE 'ok' END FROM canon""",
+                              "canon"), {"value": 4})
+def p17_text_dates(spark, sf):
+    """The rules over canonical rows whose dates are still text: the run aborts."""
+    return quality.validation_rules(quality.channel_counts(_canon(spark, sf).withColumn("date", F.col("date").cast("string"))))
+
+
 @register("p4_ingest_report", O.q("""
 SELECT 'google' AS channel, count(*) AS rows_read, count(*) FILTER (WHERE date IS NULL) AS rows_dropped, CAST(0 AS BIGINT) AS unreadable FROM g_typed
 UNION ALL SELECT 'bing', count(*), count(*) FILTER (WHERE date IS NULL), 0 FROM b_typed

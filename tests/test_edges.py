@@ -258,3 +258,15 @@ def test_approx_medians_close_to_exact(spark):
     assert exact.keys() == approx.keys()
     diffs = [abs(exact[k] - approx[k]) / max(abs(exact[k]), 1.0) for k in exact]
     assert max(diffs) < 0.01
+
+
+def test_dates_that_are_no_dates_abort(spark):
+    from adyield.operators import quality
+    rows = spark.range(150).selectExpr("'google' as channel", "1.0D as revenue", "date'2024-01-01' as date")
+    for df, level in ((rows, "ok"), (rows.selectExpr("*", "cast(date as timestamp) as d").drop("date").withColumnRenamed("d", "date"), "ok"),
+                      (rows.withColumn("date", F.col("date").cast("string")), "abort"), (rows.drop("date"), "abort")):
+        rules = quality.validation_rules(quality.channel_counts(df))
+        assert {r["rule"]: r["level"] for r in rules.collect()}["date_type"] == level
+        if level == "abort":
+            with pytest.raises(ValueError):
+                quality.check(rules)
