@@ -174,7 +174,7 @@ def test_feature_names_survive_awkward_types(spark, tmp_path):
         P.save_trained(bundle, str(tmp_path / kind))
         loaded = P.load_trained(spark, str(tmp_path / kind), f)
         assert P.forecast(loaded).count() == 15 * len(types) * 2 + 15
-    meta = spark.read.parquet(str(tmp_path / "linear" / "metadata")).first()
+    meta = sinks.load_bundle(spark, str(tmp_path / "linear"))["metadata"].first()
     assert {(v["feature"], v["value"]) for v in meta["feature_values"] if v["key"] == "campaign_type"} == {
         (type_column(t), t) for t in types}
 
