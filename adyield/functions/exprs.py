@@ -142,6 +142,17 @@ def parse_date(c: Column | str, dtype: DataType | None = None, layouts=DATE_LAYO
     return F.when(_is_plain(text), text.try_cast("date")).otherwise(found) if layouts is DATE_LAYOUTS else found
 
 
+# Digits of a time of day: before or after a colon, or its fraction. No date of any layout has a digit beside a colon.
+_CLOCK = r"(?<=[Tt ,])\d{1,2}(?=:)|(?<=:)\d{2}|(?<=:\d{2}[.,])\d+"
+
+
+def day_text(c: Column | str) -> Column:
+    """The trimmed text of a date with all digits of its time of day put to 0: a text of the same date, order and shape, of
+    which a table has few however exact its times are."""
+    text = F.trim(col_(c).cast("string"))
+    return F.when(F.contains(text, F.lit(":")) & (F.length(text) <= SHAPE_LENGTH), F.regexp_replace(text, _CLOCK, "00")).otherwise(text)
+
+
 _NUMBERS = DATE_LAYOUTS[2]
 _NUMERIC_DATE = f"(?i)^{DATE_HEAD}{_NUMBERS[0]}{DATE_TAIL}$"
 
@@ -161,9 +172,12 @@ def date_order(c: Column | str) -> Column:
         (b > 12) & (a <= 12), "month").when((a <= 12) & (b <= 12), "either")
 
 
+SHAPE_LENGTH = 200
+
+
 def text_shape(c: Column | str) -> Column:
     """A text with runs of letters and of digits reduced to one sign each: 'a9/9', for reports of unknown layouts."""
-    text = F.substring(F.trim(col_(c).cast("string")), 1, 200)
+    text = F.substring(F.trim(col_(c).cast("string")), 1, SHAPE_LENGTH)
     return F.coalesce(F.regexp_replace(F.regexp_replace(text, r"\p{L}+", "a"), "[0-9]+", "9"), F.lit("(missing)"))
 
 

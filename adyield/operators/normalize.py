@@ -10,6 +10,9 @@ type), missing budgets apart. The fill (a constant per type), the daily table
 (A1), the validation figures, the counts of dropped dates and unreadable
 numbers and the report of malformed files all come from that table; budget
 medians come from counts of (type, budget), or from sketches beside the sums.
+
+Date texts are read once per distinct text (``read_dates``), not once per row:
+rows are summed or counted by their text first, and meet its date by a join.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import date_order, is_typed_date, other_reading, parse_date, safe_ratio, text_shape, to_double, to_long
+from ..functions.exprs import date_order, day_text, is_typed_date, other_reading, parse_date, safe_ratio, text_shape, to_double, to_long
 from ..session import cut_lineage
 from ..sources.csv import ROW_EXTRA, ROW_FILE, file_report, require, row_marks, warn_skipped, without_files
 from .aggregate import DAILY_COLUMNS, DAILY_KEYS
@@ -49,6 +52,8 @@ MICROS = 1_000_000.0
 
 # Columns that parsed rows carry until the order of day and month in their file is known.
 DAY_FIRST, ORDER, SHAPE = "_date_day_first", "_date_order", "_date_shape"
+# The text of a date that is not read yet.
+DATE_TEXT = "_date_text"
 
 
 def _getter(df: DataFrame):
@@ -182,9 +187,12 @@ def meta_campaign_type(name: Column) -> Column:
     return F.when(token.isin(*META_TYPES), token).otherwise(F.lit(UNKNOWN_NAME))
 
 
-def _dates(c: Column, dtype) -> list[Column]:
+def _dates(c: Column, dtype, late: bool = False) -> list[Column]:
     """The date, its other reading and what it tells about the order of day and month in its file, and the shape of a
-    text that is no date."""
+    text that is no date. ``late``: a text stays as it is, for ``read_dates``, and the date is NULL."""
+    if late:
+        return [F.to_date(c).alias("date")] if is_typed_date(dtype) else [
+            F.lit(None).cast("date").alias("date"), day_text(c).alias(DATE_TEXT)]
     date = parse_date(c, dtype)
     if is_typed_date(dtype):
         return [date.alias("date"), date.alias(DAY_FIRST), F.lit(None).cast("string").alias(ORDER),
@@ -193,6 +201,21 @@ def _dates(c: Column, dtype) -> list[Column]:
             F.when(date.isNull(), text_shape(c)).alias(SHAPE)]
 
 
+def read_dates(texts: DataFrame) -> DataFrame:
+    """The distinct ``DATE_TEXT`` of ``texts`` with ``_dates`` of each, written: no text is read twice."""
+    found = texts.select(DATE_TEXT).where(F.col(DATE_TEXT).isNotNull()).distinct()
+    return cut_lineage(found.select(DATE_TEXT, *_dates(F.col(DATE_TEXT), found.schema[DATE_TEXT].dataType)), "date-texts")
+
+
+def with_dates(rows: DataFrame, read: DataFrame) -> DataFrame:
+    """Rows with what ``read_dates`` found in their ``DATE_TEXT``; a typed date stays."""
+    known = read.withColumnRenamed("date", "_read")
+    return (rows.join(broadcast_if_small(known), DATE_TEXT, "left")
+            .withColumn("date", F.coalesce("date", "_read")).withColumn(DAY_FIRST, F.coalesce(DAY_FIRST, "date"))
+            .withColumn(SHAPE, F.when(F.col("date").isNull(), F.coalesce(SHAPE, F.lit("(missing)"))))
+            .drop(DATE_TEXT, "_read"))
+
+
 def _marks(raw: DataFrame) -> list[Column]:
     """The file and the surplus fields of rows that come from CSV files not judged yet."""
     return [F.col(c) for c in (ROW_FILE, ROW_EXTRA) if c in raw.columns]
@@ -204,13 +227,13 @@ def _unreadable(get, names: list[str]) -> Column:
                F.lit(0)).alias("unreadable")
 
 
-def parsed_google(raw: DataFrame) -> DataFrame:
+def parsed_google(raw: DataFrame, late_dates: bool = False) -> DataFrame:
     """Typed google rows before the date filter."""
     get, dtype, cols = _getter(raw)
     spend = (to_double(get("metrics_cost_micros")) / F.lit(MICROS)
              if "metrics_cost_micros" in cols else F.lit(0.0))
     return raw.select(
-        *_dates(get("segments_date"), dtype("segments_date")),
+        *_dates(get("segments_date"), dtype("segments_date"), late_dates),
         F.lit("google").alias("channel"),
         F.coalesce(_text(get("campaign_advertising_channel_type")), F.lit(GOOGLE_DEFAULT_TYPE)).alias("campaign_type"),
         F.coalesce(_text(get("campaign_name")), F.lit(UNKNOWN_NAME)).alias("campaign_name"),
@@ -227,11 +250,11 @@ def parsed_google(raw: DataFrame) -> DataFrame:
     )
 
 
-def parsed_bing(raw: DataFrame) -> DataFrame:
+def parsed_bing(raw: DataFrame, late_dates: bool = False) -> DataFrame:
     """Typed bing rows before the date filter (P2, P5); budget NULL -> 0, no median."""
     get, dtype, _ = _getter(raw)
     return raw.select(
-        *_dates(get("TimePeriod"), dtype("TimePeriod")),
+        *_dates(get("TimePeriod"), dtype("TimePeriod"), late_dates),
         F.lit("bing").alias("channel"),
         F.coalesce(_text(get("CampaignType")), F.lit(BING_DEFAULT_TYPE)).alias("campaign_type"),
         F.coalesce(_text(get("CampaignName")), F.lit(UNKNOWN_NAME)).alias("campaign_name"),
@@ -247,13 +270,13 @@ def parsed_bing(raw: DataFrame) -> DataFrame:
     )
 
 
-def parsed_meta(raw: DataFrame) -> DataFrame:
+def parsed_meta(raw: DataFrame, late_dates: bool = False) -> DataFrame:
     """Typed meta rows before the date filter."""
     get, dtype, _ = _getter(raw)
     name = F.coalesce(_text(get("campaign_name")), F.lit(UNKNOWN_NAME))
     revenue = F.coalesce(to_double(get("conversion")), F.lit(0.0))
     return raw.select(
-        *_dates(get("date_start"), dtype("date_start")),
+        *_dates(get("date_start"), dtype("date_start"), late_dates),
         F.lit("meta").alias("channel"),
         meta_campaign_type(name).alias("campaign_type"),
         name.alias("campaign_name"),
@@ -298,15 +321,22 @@ def settle_dates(rows: DataFrame, scopes: DataFrame, keys: list[str]) -> DataFra
     return rows.drop(DAY_FIRST, ORDER)
 
 
-def dated(parsed: DataFrame) -> DataFrame:
+def dated(raw: DataFrame, channel: str) -> DataFrame:
     """Parsed rows with a settled date, the others dropped.
 
-    Whether a file writes the day or the month first takes a pass over its dates if they are text.
+    Texts take a pass over the dates alone, which counts each text per file; what a text says, and whether its file writes
+    the day or the month first, come from these counts.
     """
-    keys = ["channel", *[c for c in (ROW_FILE,) if c in parsed.columns]]
-    orders = parsed.select(*keys, ORDER, F.lit(1).alias("rows"))
-    scopes = cut_lineage(day_first_scopes(orders, keys), "date-orders")
-    return settle_dates(parsed.drop(SHAPE), scopes, keys).where(F.col("date").isNotNull())
+    rows = PARSERS[channel](raw, late_dates=True)
+    if DATE_TEXT not in rows.columns:
+        return rows.where(F.col("date").isNotNull())
+    keys = ["channel", *[c for c in (ROW_FILE,) if c in rows.columns]]
+    counts = cut_lineage(rows.where(F.col(DATE_TEXT).isNotNull()).groupBy(*keys, DATE_TEXT).agg(
+        F.count(F.lit(1)).alias("rows")), "text-counts")
+    read = read_dates(counts)
+    scopes = cut_lineage(day_first_scopes(counts.join(broadcast_if_small(read), DATE_TEXT), keys), "date-orders")
+    known = cut_lineage(read.where(F.col("date").isNotNull()).drop(SHAPE), "dates")
+    return settle_dates(rows.drop("date").join(broadcast_if_small(known), DATE_TEXT).drop(DATE_TEXT), scopes, keys)
 
 
 def normalize(raw: DataFrame, channel: str, exact_medians: bool = True) -> DataFrame:
@@ -315,7 +345,7 @@ def normalize(raw: DataFrame, channel: str, exact_medians: bool = True) -> DataF
     ``exact_medians=False`` fills budgets with approximate medians (bounded
     memory per campaign type whatever the number of distinct budgets).
     """
-    typed = dated(PARSERS[channel](raw))
+    typed = dated(raw, channel)
     if IMPUTES_BUDGET[channel]:
         typed = impute_budget(typed) if exact_medians else impute_budget_approx(typed)
     return finish_canonical(typed)
@@ -347,7 +377,7 @@ def unify(raws: dict[str, DataFrame], exact_medians: bool = True) -> DataFrame:
     """
     filled, plain = None, None
     for ch in _present(raws):
-        part = dated(PARSERS[ch](raws[ch]))
+        part = dated(raws[ch], ch)
         if IMPUTES_BUDGET[ch]:
             filled = part if filled is None else filled.unionByName(part)
         else:
@@ -371,7 +401,7 @@ class Ingest:
 def ingest(raws: dict[str, DataFrame], exact_medians: bool = True) -> Ingest:
     """Raw dialects -> daily table and reports.
 
-    One pass over the raw rows sums them per (date, channel, type) with map-side combine, missing budgets apart: the
+    One pass over the raw rows sums them per (date text, channel, type) with map-side combine, missing budgets apart: the
     fill is a constant per type, so the daily budget is ``sum + missing x median`` and what is shuffled and written has
     days x groups rows (times the files that a day is spread over, for CSV sources). Exact medians take a second pass
     over three columns, which counts (type, budget); ``exact_medians=False`` keeps a quantile sketch beside the sums
@@ -382,8 +412,10 @@ def ingest(raws: dict[str, DataFrame], exact_medians: bool = True) -> Ingest:
     """
     typed, marks = None, [ROW_FILE] if any(ROW_FILE in df.columns for df in raws.values()) else []
     for ch in _present(raws):
-        part = PARSERS[ch](raws[ch]).drop("campaign_name", "campaign_id")
+        part = PARSERS[ch](raws[ch], late_dates=True).drop("campaign_name", "campaign_id")
         typed = part if typed is None else typed.unionByName(part, allowMissingColumns=True)
+    if DATE_TEXT not in typed.columns:
+        typed = typed.withColumn(DATE_TEXT, F.lit(None).cast("string"))
     imputes = F.col("channel").isin(*[ch for ch, yes in IMPUTES_BUDGET.items() if yes])
     budget = F.when(imputes, F.col("daily_budget"))
     aggregates = [
@@ -395,7 +427,7 @@ def ingest(raws: dict[str, DataFrame], exact_medians: bool = True) -> Ingest:
         aggregates += [F.sum(c).alias(c) for c in ("long_rows", "short_rows")]
     if not exact_medians:
         aggregates.append(F.kll_sketch_agg_double(budget, SKETCH_K).alias("sketch"))
-    keys = [*DAILY_KEYS, DAY_FIRST, ORDER, SHAPE, *marks]
+    keys = [*DAILY_KEYS, DATE_TEXT, *marks]
     grain, files = cut_lineage(typed.groupBy(*keys).agg(*aggregates), "grain"), None
     skipped = False
     if marks:
@@ -405,6 +437,8 @@ def ingest(raws: dict[str, DataFrame], exact_medians: bool = True) -> Ingest:
     if skipped:
         grain = cut_lineage(without_files(grain, files), "grain")
         require([r["channel"] for r in grain.select("channel").distinct().collect()], "the given files")    # three at most
+    read = read_dates(grain)
+    grain = with_dates(grain, read)
     scope = ["channel", *marks]
     scopes = cut_lineage(day_first_scopes(grain, scope), "date-orders")
     grain = settle_dates(grain, scopes, scope)
@@ -415,8 +449,10 @@ def ingest(raws: dict[str, DataFrame], exact_medians: bool = True) -> Ingest:
         F.sum("unreadable").alias("unreadable"))
     grain = grain.where(F.col("date").isNotNull()).drop(SHAPE)
     if exact_medians:
-        counts = typed.where(F.col("date").isNotNull() & imputes).groupBy(*marks, "channel", "campaign_type", "daily_budget").agg(
-            F.count(F.lit(1)).alias("n"))
+        bad = cut_lineage(read.where(F.col("date").isNull()).select(DATE_TEXT), "bad-dates")
+        valid = typed.where(imputes & (F.col("date").isNotNull() | F.col(DATE_TEXT).isNotNull())).join(
+            broadcast_if_small(bad), DATE_TEXT, "left_anti")
+        counts = valid.groupBy(*marks, "channel", "campaign_type", "daily_budget").agg(F.count(F.lit(1)).alias("n"))
         counts = cut_lineage(without_files(counts, files) if skipped else counts, "budget-counts")
         per_type, filled = budget_medians(counts, ["channel"])
     else:

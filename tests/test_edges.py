@@ -270,3 +270,43 @@ def test_dates_that_are_no_dates_abort(spark):
         if level == "abort":
             with pytest.raises(ValueError):
                 quality.check(rules)
+
+
+def test_a_time_of_day_does_not_make_a_text_of_its_own(spark):
+    """Texts of one day differ by their time only: they become one text, which says the same as each of them."""
+    from adyield.functions.exprs import date_order, day_text, other_reading, parse_date, text_shape
+    groups = [["2024-01-05 10:30:00.5", "2024-01-05 23:59:59.123"], ["2024-01-05T01:02:03Z", "2024-01-05T21:32:53Z"],
+              ["25/12/2023 9:05", "25/12/2023 10:55"], ["5/1/2024, 1:30 PM", "5/1/2024, 11:45 PM"],
+              ["Jan 2024 05:30", "Jan 2024 06:31"], ["2024-01-05T23:30:00+05:30", "2024-01-05T01:30:59+05:45"],
+              ["20 24 01 05:30", "20 24 01 06:31"], ["week 3 at 10:30", "week 3 at 11:31"]]
+    alone = ["2024-01-05", "n/a", "", "1:2", "5/1/24:30", "2024-01-05 1:2:3", "2024-01-05 10:30:00,5 x", "x" * 210 + " 10:30:00.12345"]
+    rows = spark.createDataFrame([(i, t) for i, g in enumerate(groups + [[t] for t in alone]) for t in g], "g int, t string")
+    said = lambda c: F.struct(parse_date(c), other_reading(c, parse_date(c)), date_order(c), text_shape(c))
+    found = rows.select("g", day_text("t").alias("u"), "t").withColumn("same", said("u").eqNullSafe(said("t"))).collect()
+    assert not [r for r in found if not r["same"]]
+    assert all(len({r["u"] for r in found if r["g"] == i}) == 1 for i in range(len(groups)))
+
+
+def test_times_of_day_neither_multiply_the_sums_nor_the_reads(spark):
+    times = [f"2024-01-0{1 + i % 2} {i % 24:02d}:{i % 60:02d}:{(7 * i) % 60:02d}" for i in range(500)]
+    raw = _google(spark, [(str(i), "n", "SEARCH", "1", t, "1000000", "1", "1", "1", "1") for i, t in enumerate(times)])
+    found = norm.ingest({"google": raw, "bing": raw.where("false"), "meta": raw.where("false")})
+    assert found.grain.count() == 2
+    assert {r["date"]: r["clicks"] for r in found.daily.collect()} == {D(2024, 1, 1): 250, D(2024, 1, 2): 250}
+    assert norm.normalize_google(raw).groupBy("date").count().count() == 2
+
+
+def test_typed_and_text_dates_together(spark):
+    """One dialect with typed dates, one with texts: each is read in its own way, NULL is missing in both."""
+    typed = _google(spark, [(str(i), "n", "SEARCH", "1", t, "1000000", "1", "1", "1", "1") for i, t in enumerate(
+        ["2024-01-05", None])]).withColumn("segments_date", F.col("segments_date").cast("date"))
+    bing = spark.createDataFrame([("a", "n", "Search", t, 1.0) for t in ("25/12/2023", "5/1/2024", None, "n/a")],
+                                 "CampaignId string, CampaignName string, CampaignType string, TimePeriod string, Spend double")
+    meta = spark.createDataFrame([], "campaign_id string, campaign_name string, date_start string")
+    raws = {"google": typed, "bing": bing, "meta": meta}
+    want = [("bing", D(2023, 12, 25)), ("bing", D(2024, 1, 5)), ("google", D(2024, 1, 5))]
+    found = norm.ingest(raws)
+    assert sorted((r["channel"], r["date"]) for r in found.daily.collect()) == want
+    assert sorted((r["channel"], r["date"]) for r in norm.unify(raws).collect()) == want
+    assert {(r["channel"], r["shape"], r["rows"]) for r in found.unknown_dates.collect()} == {
+        ("google", "(missing)", 1), ("bing", "(missing)", 1), ("bing", "a/a", 1)}
