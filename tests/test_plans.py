@@ -82,3 +82,29 @@ def test_intervals_do_not_multiply_rows_by_draws(spark):
     text = _formatted(iv)
     assert "sequence(" not in text          # no explode over the 1,000 draws
     assert "array_sort" in text             # quantiles are array expressions
+
+
+def _written_plans(monkeypatch, run) -> list[str]:
+    """Plans of the tables that ``run`` writes in the normaliser, and of what it returns."""
+    seen, original = [], norm.cut_lineage
+    monkeypatch.setattr(norm, "cut_lineage", lambda df, name="table": seen.append(_plan(df)) or original(df, name))
+    return seen + [_plan(run())]
+
+
+@pytest.mark.parametrize("exact", [False, True])
+def test_raw_rows_are_not_matched_against_date_layouts(spark, monkeypatch, exact):
+    """Layouts are tried per distinct text: no pass over the raw rows, in the one-pass ingest and row by row, has them."""
+    raws = raw_dialects(spark, SF_SMALL)
+    for run in (lambda: norm.ingest(raws, exact).daily, lambda: norm.unify(raws, exact)):
+        raw = [p for p in _written_plans(monkeypatch, run) if "l_returnflag" in p]
+        assert raw and not any("regexp_extract" in p or "RLIKE" in p for p in raw)
+        monkeypatch.undo()
+
+
+def test_a_part_table_over_the_bound_is_not_broadcast(spark, monkeypatch):
+    from adyield.sources import fixtures
+    small = _plan(raw_dialects(spark, SF_SMALL)["meta"])
+    assert "BroadcastHashJoin" in small
+    monkeypatch.setattr(fixtures, "PART_BROADCAST_BYTES", 1 << 10)
+    large = raw_dialects(spark, SF_SMALL)
+    assert all("SortMergeJoin" in _plan(df) and "Broadcast" not in _plan(df) for df in large.values())
