@@ -11,7 +11,7 @@ from ..operators import features as feats
 from ..operators import normalize as norm
 from ..operators import quality, stats
 from ..operators.models import group_table
-from ..session import table_path
+from ..session import cut_lineage, table_path
 from ..sources import csv as csvsrc
 from ..sources import sinks
 from ..sources.fixtures import events_canonical, raw_dialects
@@ -51,7 +51,8 @@ def _export_dir(spark, sf):
     d = sinks.scratch_dir(spark, "dialect-csv")
     for ch, raw in raw_dialects(spark, sf).items():
         name = "CampaignName" if ch == "bing" else "campaign_name"
-        dealt = raw.withColumn("_part", F.pmod(F.hash(*raw.columns), F.lit(3)))
+        # written once: three exports read it, without the scan and join behind it
+        dealt = cut_lineage(raw.withColumn("_part", F.pmod(F.hash(*raw.columns), F.lit(3))), "export")
         quoted = F.concat(F.col(name), F.lit('_"Brand", US'))
         left_out = ("metrics_video_views", "cpm")       # a meta file without its mark is known by its name
         sinks.export_csv(dealt.where("_part = 0").drop("_part"), f"{d}/{ch}_0.csv", with_index=True)
