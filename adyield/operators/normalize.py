@@ -183,7 +183,7 @@ def finish_canonical(df: DataFrame) -> DataFrame:
 
 def meta_campaign_type(name: Column) -> Column:
     """First '_' token of the name if it is a known type, else "Unknown" (P8, T13)."""
-    token = F.split_part(F.coalesce(name, F.lit("")), F.lit("_"), F.lit(1))
+    token = F.substring_index(F.coalesce(name, F.lit("")), "_", 1)      # one search; a split would build all tokens
     return F.when(token.isin(*META_TYPES), token).otherwise(F.lit(UNKNOWN_NAME))
 
 

@@ -108,3 +108,19 @@ def test_a_part_table_over_the_bound_is_not_broadcast(spark, monkeypatch):
     monkeypatch.setattr(fixtures, "PART_BROADCAST_BYTES", 1 << 10)
     large = raw_dialects(spark, SF_SMALL)
     assert all("SortMergeJoin" in _plan(df) and "Broadcast" not in _plan(df) for df in large.values())
+
+
+def test_no_raw_row_is_split_or_goes_through_a_date_formatter(spark):
+    """Per raw row, the campaign type is one search and a four-digit year's date a plain cast; the values are as before."""
+    from adyield.sources import fixtures
+    raw = raw_dialects(spark, SF_SMALL)["meta"]
+    assert "split" not in _plan(norm.parsed_meta(raw, late_dates=True))
+    assert "cast(d as string)" in str(fixtures._date_text()).lower()
+    days = ["-0004-03-01", "0000-12-31", "0001-01-01", "1999-02-28", "9999-12-31", "+10000-01-01"]
+    rows = spark.createDataFrame([(1, x) for x in days] + [(1, None), (997, days[3])], "l_orderkey long, t string").withColumn(
+        "d", F.col("t").cast("date"))
+    got = rows.select(fixtures._date_text().alias("new"), F.when(F.col("l_orderkey") == 997, "n/a").otherwise(
+        F.date_format("d", "yyyy-MM-dd")).alias("old")).collect()
+    assert len(got) == 8 and all(r["new"] == r["old"] for r in got)
+    names = spark.createDataFrame([(x,) for x in ("Generic_a_b", "Generic", "_Generic", "generic_a", "", None)], "n string")
+    assert [r[0] for r in names.select(norm.meta_campaign_type(F.col("n"))).collect()] == ["Generic", "Generic"] + ["Unknown"] * 4
