@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import functions as F
 
 from ..functions.exprs import clip, parse_date, text_shape
@@ -49,7 +51,9 @@ def _export_dir(spark, sf):
     """The dialects as a directory of mixed exports: with and without the index column, columns in another order, an
     unused column left out, quoted names with commas and doubled quotes, missing values as NA."""
     d = sinks.scratch_dir(spark, "dialect-csv")
-    for ch, raw in raw_dialects(spark, sf).items():
+
+    def export(item):
+        ch, raw = item
         name = "CampaignName" if ch == "bing" else "campaign_name"
         # written once: three exports read it, without the scan and join behind it
         dealt = cut_lineage(raw.withColumn("_part", F.pmod(F.hash(*raw.columns), F.lit(3))), "export")
@@ -60,6 +64,11 @@ def _export_dir(spark, sf):
                          with_index=False, null_text="NA")
         sinks.export_csv(dealt.where("_part = 2").select([c for c in raw.columns if c not in left_out]), f"{d}/{ch}_2.csv",
                          with_index=False)
+
+    # the dialects' exports are independent jobs: submit them together, so the last tasks of one leave no core idle
+    raws = raw_dialects(spark, sf)
+    with ThreadPoolExecutor(max_workers=len(raws)) as pool:
+        list(pool.map(export, raws.items()))
     return d
 
 

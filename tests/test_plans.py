@@ -124,3 +124,21 @@ def test_no_raw_row_is_split_or_goes_through_a_date_formatter(spark):
     assert len(got) == 8 and all(r["new"] == r["old"] for r in got)
     names = spark.createDataFrame([(x,) for x in ("Generic_a_b", "Generic", "_Generic", "generic_a", "", None)], "n string")
     assert [r[0] for r in names.select(norm.meta_campaign_type(F.col("n"))).collect()] == ["Generic", "Generic"] + ["Unknown"] * 4
+
+
+def test_the_exports_of_the_dialects_are_written_together(spark, monkeypatch):
+    """No dialect waits for another one's files: the first export of each is under way at the same time."""
+    import threading
+
+    from adyield.plans import queries_core
+    together, original = threading.Barrier(3, timeout=120), queries_core.sinks.export_csv
+
+    def export_csv(df, path, **kw):
+        if "_0.csv" in path:
+            together.wait()
+        return original(df, path, **kw)
+
+    monkeypatch.setattr(queries_core.sinks, "export_csv", export_csv)
+    found = queries_core.s4_file_choice(spark, SF_SMALL)
+    rows = {r["channel"]: r["rows_read"] for r in found.collect()}
+    assert rows == {ch: raw.count() for ch, raw in raw_dialects(spark, SF_SMALL).items()}
